@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, language_id, media, separators, token_files
+from gaugeworks.llm import bpe, decontaminate, language_id, media, ngram_join, separators, suffix_dedup, token_files
 from gaugeworks.llm.sampling import bucket_of
 
 #: The operators' vocabularies; another folder with the same files may be named.
@@ -47,17 +47,31 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(docs, tokenizer_path("word_bpe_49k.json"), outputs=outputs).select("doc_id", *outputs)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.near_copies(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "n_links")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return token_files.read_token_files(spark, manifest)
 
 
 def queries():
-    return {f.__name__: f for f in (op2_language_id, op3_token_counts, op4_bpe, op6_media_columns, op10_token_files)}
+    return {f.__name__: f for f in (op2_language_id, op3_token_counts, op4_bpe, op5_suffix_dedup, op6_media_columns, op8_decontamination, op9_ngram_join, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
