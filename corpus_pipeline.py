@@ -1,4 +1,59 @@
+"""The corpus pipeline: language ID, near copies, repeated strings, benchmark passages,
+token ids.  Every stage reads what the one before it kept, as Parquet."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from gaugeworks.llm import bpe, decontaminate, language_id, ngram_join, suffix_dedup
+from gaugeworks.llm.cluster import written
+from gaugeworks.llm.queries import fit_languages, table, tokenizer_path
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the language model rejects go: null texts, texts without a letter,
+    answers below its calibrated threshold."""
+    return language_id.identify(docs, fit_languages(docs)).where("not rejected").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays."""
+    return ngram_join.drop_near_copies(docs)
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 200 bytes that begin anywhere else are cut out of the texts."""
+    return suffix_dedup.remove_repeats(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents contaminated by ``benchmark`` go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents and the number and digest of their token ids, with the digest of
+    the decoded text."""
+    return bpe.bpe_encode(docs, tokenizer_path("word_bpe_49k.json"), outputs=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near_copies", drop_near_copies),
+    ("repeats", remove_repeats),
+    ("benchmark", drop_benchmark),
+    ("encode", encode),
+]
+
+#: Near copies, trained models and merges are beyond SQL.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, name)
+    return docs
