@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, decontaminate, language_id, media, ngram_join, separators, suffix_dedup, token_files
+from gaugeworks.llm import bpe, decontaminate, language_id, media, ngram_join, quality, separators, suffix_dedup, token_files, toxicity
 from gaugeworks.llm.sampling import bucket_of
 
 #: The operators' vocabularies; another folder with the same files may be named.
@@ -31,6 +31,15 @@ def fit_languages(docs: DataFrame) -> language_id.LanguageModel:
     return language_id.fit_language_model(docs.where(bucket_of(docs.doc_id, 3) != 1))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain of the labels there are: poor quality, then toxic.  Documents whose
+    crc32 modulo 5 is 0 are held out of the training."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(bucket_of(F.col("doc_id"), 5) != 0).select("doc_id", (1 - F.col("quality")).alias("poor"), F.col("toxic").alias("toxicity"))
+    found = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels, ["poor", "toxicity"]))
+    return found.select("doc_id", (bucket_of(F.col("doc_id"), 5) == 0).alias("held_out"), "p_poor", "p_toxicity", "toxic")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.identify(docs.select("doc_id", "text"), fit_languages(docs))
@@ -55,6 +64,13 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(bucket_of(F.col("doc_id"), 4) != 2)
+    found = quality.score_quality(docs, quality.fit_quality(docs, labels))
+    return found.select("doc_id", (bucket_of(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -71,7 +87,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op2_language_id, op3_token_counts, op4_bpe, op5_suffix_dedup, op6_media_columns, op8_decontamination, op9_ngram_join, op10_token_files)}
+    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_token_counts, op4_bpe, op5_suffix_dedup, op6_media_columns, op7_quality, op8_decontamination, op9_ngram_join, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
