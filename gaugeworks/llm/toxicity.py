@@ -23,8 +23,9 @@ from gaugeworks.llm.sampling import per_class
 
 BITS = 20
 FOLDS = 4
-#: Of the training rows called toxic while unseen, so many must be.
-PRECISION = 0.995
+#: L1 term for each training row, and its most.
+SPARSITY = 0.002
+MOST_SPARSITY = 4.0
 
 
 @dataclass
@@ -42,11 +43,11 @@ class Linear:
         return logistic(rows.times(dense) + earlier @ self.chain + self.bias)
 
 
-def fit_linear(rows: Sparse, earlier: np.ndarray, target: np.ndarray, use: np.ndarray, epochs: int = 3, rate: float = 0.3, sparsity: float = 0.5, ridge: float = 0.1, seed: int = 5) -> Linear:
+def fit_linear(rows: Sparse, earlier: np.ndarray, target: np.ndarray, use: np.ndarray, epochs: int = 3, rate: float = 0.3, ridge: float = 0.1, seed: int = 5) -> Linear:
     """Follow-the-regularised-leader with an L1 term, over the rows in ``use``."""
     size, links = 1 << BITS, earlier.shape[1]
     z, n = np.zeros(size + links + 1), np.zeros(size + links + 1)
-    penalty = np.full(size + links + 1, sparsity)
+    penalty = np.full(size + links + 1, min(MOST_SPARSITY, SPARSITY * len(use)))
     penalty[size:] = 0
     rng = np.random.default_rng(seed)
     ones = {}
@@ -109,20 +110,20 @@ def train_chain(texts: Sequence[str], targets: np.ndarray, categories: Sequence[
             model = fit_linear(rows, earlier, target, everything[fold != f])
             unseen[fold == f] = model.probability(rows, earlier)[fold == f]
         earlier = np.column_stack([earlier, unseen])
-    return ToxicityChain(list(categories), models, precise_threshold(earlier[:, -1], targets[:, -1]) if n else 0.5)
+    return ToxicityChain(list(categories), models, best_threshold(earlier[:, -1], targets[:, -1]))
 
 
-def precise_threshold(score: np.ndarray, target: np.ndarray, precision: float = PRECISION) -> float:
-    """The middle of the gap below the most rows that are right often enough, 0.1 to
-    0.9; a half if there are none."""
+def best_threshold(score: np.ndarray, target: np.ndarray) -> float:
+    """The middle of the gap at which hits and misses balance best (F1), within 0.25
+    to 0.9; a half without positive rows."""
     rank = np.argsort(-score, kind="stable")
-    right = np.cumsum(target[rank]) / np.arange(1, len(rank) + 1)
-    fine = np.flatnonzero(right >= precision)
-    if not len(fine):
+    hits = np.cumsum(target[rank])
+    if not len(rank) or not hits[-1]:
         return 0.5
-    last = int(fine[-1])
+    f1 = 2 * hits / (np.arange(1, len(rank) + 1) + hits[-1])
+    last = int(np.argmax(f1))
     below = score[rank[last + 1]] if last + 1 < len(rank) else 0.0
-    return float(np.clip((score[rank[last]] + below) / 2, 0.1, 0.9))
+    return float(np.clip((score[rank[last]] + below) / 2, 0.25, 0.9))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, categories: Sequence[str], each: int = 1500, text: str = "text", key: str = "doc_id") -> ToxicityChain:
@@ -142,7 +143,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, categories: Sequence[str],
 def score_toxicity(docs: DataFrame, chain: ToxicityChain, text: str = "text", threshold: float | None = None) -> DataFrame:
     """All columns of ``docs``, a probability ``p_<category>`` for each category and
     ``toxic``: the last category's probability is at least ``threshold`` (by default
-    the chain's own, set for precision on unseen training rows).  Null and
+    the chain's own, set on training rows scored unseen).  Null and
     empty texts are scored as texts without words; the columns replace others of
     their names."""
     made = [*(f"p_{c}" for c in chain.categories), "toxic"]
