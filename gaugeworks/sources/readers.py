@@ -73,13 +73,13 @@ def frame_records(lines: DataFrame, key: str, order: str, text: str = "value") -
     lines before the first frame."""
     begins = F.regexp_extract(text, r"^frame:(\d+)", 1)
     frame = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines.select(key, order, begins.alias("b"), F.regexp_extract(text, r"^([^=\s]+)=(.*)$", 1).alias("k"), F.regexp_extract(text, r"^([^=\s]+)=(.*)$", 2).alias("v"))
-    marked = marked.withColumn("record", F.sum(F.when(F.col("b") != "", 1).otherwise(0)).over(frame))
-    number = F.col("v").try_cast("double")
+    marked = lines.select(key, order, begins.alias("__b"), F.regexp_extract(text, r"^([^=\s]+)=(.*)$", 1).alias("__k"), F.regexp_extract(text, r"^([^=\s]+)=(.*)$", 2).alias("__v"))
+    marked = marked.withColumn("record", F.sum(F.when(F.col("__b") != "", 1).otherwise(0)).over(frame))
+    number = F.col("__v").try_cast("double")
     fine = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < float("inf"))
-    entry = F.when((F.col("k") != "") & fine & (F.col("record") > 0), F.struct("k", number.alias("v")))
-    bad = F.count_if((F.col("k") != "") & (~fine | (F.col("record") == 0)))
-    return marked.groupBy(key, "record").agg(F.max("b").try_cast("long").alias("frame"), F.map_from_entries(F.array_sort(F.collect_set(entry))).alias("values"), bad.alias("bad"))
+    entry = F.when((F.col("__k") != "") & fine & (F.col("record") > 0), F.struct("__k", number.alias("v")))
+    bad = F.count_if((F.col("__k") != "") & (~fine | (F.col("record") == 0)))
+    return marked.groupBy(key, "record").agg(F.max("__b").try_cast("long").alias("frame"), F.map_from_entries(F.array_sort(F.collect_set(entry))).alias("values"), bad.alias("bad"))
 
 
 def frame_scores(texts: DataFrame, key: str, text: str = "value") -> DataFrame:
@@ -114,8 +114,8 @@ def resume_records(lines: DataFrame, order: str, text: str = "value") -> DataFra
 
 def tool_names(lines: DataFrame, pattern: str, text: str = "value") -> DataFrame:
     """The distinct first groups of ``pattern`` over the lines of a listing."""
-    name = F.regexp_extract(F.explode(F.split(text, "\n")), pattern, 1)
-    return lines.select(name.alias("name")).where("name <> ''").distinct()
+    each = lines.select(F.explode(F.split(text, "\n")).alias("line"))
+    return each.select(F.regexp_extract("line", pattern, 1).alias("name")).where("name <> ''").distinct()
 
 
 def progress(lines: DataFrame, duration: float, text: str = "value") -> DataFrame:

@@ -64,8 +64,8 @@ def append_lines(rows: DataFrame, folder: str) -> None:
 
 
 def write_table_text(rows: DataFrame, folder: str, columns: Mapping[str, str]) -> None:
-    """K4: CSV of fixed columns, nested ones flattened by their paths."""
-    rows.select(*(F.col(path).alias(name) for name, path in columns.items())).write.mode("overwrite").option("header", True).csv(folder)
+    """K4: CSV of fixed columns, nested ones flattened by expressions."""
+    rows.select(*(F.expr(path).alias(name) for name, path in columns.items())).write.mode("overwrite").option("header", True).csv(folder)
 
 
 def summary_text(row: DataFrame) -> DataFrame:

@@ -1,0 +1,164 @@
+"""Known values of single operators, and brute force for the sequential ones."""
+
+import random
+
+import numpy as np
+import pandas as pd
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from gaugeworks.functions import expr as X
+from gaugeworks.operators import catalogs, evaluation, intervals, ranks, robust, sampling_plan, search, series, state
+
+
+def one(spark, column, **values):
+    row = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {'string' if isinstance(v, str) else 'double' if isinstance(v, float) else 'long'}" for k, v in values.items()))
+    return row.select(column.alias("x")).first().x
+
+
+@pytest.mark.parametrize("text,want", [("128k", 128000), ("1.5m", 1500000), ("700", 700), ("0k", None), ("2g", None), ("abc", None)])
+def test_parse_rate(spark, text, want):
+    assert one(spark, X.parse_rate(F.col("t")), t=text) == want
+
+
+def test_small_expressions(spark):
+    assert one(spark, X.parse_rate(F.col("t"), "kmg"), t="2g") == 2_000_000_000
+    assert one(spark, X.parse_clock(F.col("t")), t="01:02:03.50") == 3723.5
+    assert one(spark, X.parse_clock(F.col("t")), t="3.5") is None
+    assert abs(one(spark, X.parse_fraction(F.col("t")), t="30000/1001") - 29.97) < 0.001
+    assert one(spark, X.parse_fraction(F.col("t")), t="0/0") is None
+    assert one(spark, X.lenient_long(F.col("t")), t="12.7") == 12
+    assert one(spark, X.lenient_long(F.col("t")), t="N/A") == 0
+    assert one(spark, X.safe_name(F.col("t")), t="..a b/ü_") == "a_b"
+    assert one(spark, X.safe_name(F.col("t")), t="///") == "item"
+    assert one(spark, X.bit_depth(F.col("t")), t="yuv420p10le") == 10
+    assert one(spark, X.search_tolerance(F.col("x"), 5000, 0.03), x=10_000_000) == 300_000
+    assert one(spark, X.human_size(F.col("x")), x=1536) == "1.5 KiB"
+    assert one(spark, X.human_duration(F.col("x")), x=3725) == "1:02:05"
+    assert one(spark, X.shorten(F.col("t"), 8), t="one  two three") == "one t..."
+    assert one(spark, X.odd_below(F.col("x")), x=6) == 5
+
+
+def frames(spark, values):
+    return spark.createDataFrame([(1, k, float(v)) for k, v in enumerate(values)], "k long, n long, v double")
+
+
+def test_gate_of_a_long_dip_and_of_one_frame(spark):
+    dip = series.gate_score(frames(spark, [95.0] * 120 + [78.0] * 30), "k", ["n"], "v", 30).first()
+    assert (dip.worst, dip.gate) == (78.0, 82.0)
+    spike = series.gate_score(frames(spark, [95.0] * 75 + [78.0] + [95.0] * 75), "k", ["n"], "v", 30).first()
+    assert spike.worst > 94 and spike.gate > 94
+
+
+def test_ranks_of_ties_and_of_one(spark):
+    rows = spark.createDataFrame([(1, 5.0), (2, 5.0)], "id long, v double")
+    assert {r.midrank for r in ranks.midrank(rows, "v").collect()} == {0.5}
+    assert ranks.midrank(rows.limit(1), "v").first().midrank == 0.5
+    assert [r.midrank for r in ranks.midrank(rows, "v", ["id"]).collect()] == [0.5, 0.5]
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.integers(0, 9), min_size=2, max_size=30))
+def test_midranks_by_definition(values):
+    got = sampling_plan.midranks(np.array(values, float))
+    ordered = sorted(values)
+    for v, g in zip(values, got, strict=True):
+        places = [i for i, o in enumerate(ordered) if o == v]
+        assert g == pytest.approx((places[0] + places[-1]) / 2 / (len(values) - 1))
+
+
+def test_size_predictions():
+    p = robust.predict_size(1_500_000, [2_000_000, 1_200_000, 1_150_000], 60, 0, None, [1.0, 0.5, 0.2], [0.2, 0.3, 0.4, 0.5, 0.6])
+    assert p["mean_rate"] < 1_500_000 and p["upper_rate"] < 2_000_000 and p["method"].startswith("risk_distribution")
+    assert 0.05 <= robust.predict_size(1_000_000, [400_000, 2_500_000], 60, 0, 1e8)["uncertainty"] <= 0.30
+
+
+def test_search_finds_the_cheapest_tested_pass():
+    p, selected, required = search.search(lambda r: 96.0 if r >= 1_800_000 else 90.0, 500_000, 3_000_000, 3_000_000, 95.0)
+    assert len(p.tried) <= 8 and selected == required == min(r for r, q in p.tried.items() if q >= 95) >= 1_800_000
+    odd, selected, _ = search.search(lambda r: 96.0 if r // 100_000 % 2 else 90.0, 500_000, 2_900_000, 3_000_000, 95.0)
+    assert selected == min(r for r, q in odd.tried.items() if q >= 95)
+    over, selected, required = search.search(lambda r: 96.0 if r >= 2_500_000 else 90.0, 500_000, 2_000_000, 3_000_000, 95.0)
+    assert selected is None and required >= 2_500_000
+    assert search.search(lambda r: 1.0, 500_000, 2_000_000, 3_000_000, 95.0)[1:] == (None, None)
+
+
+def test_rounds_learn_failed_holdouts():
+    got = search.verify_rounds(lambda learned: 10 + len(learned), lambda s: {"a"} if s < 11 else set())
+    assert got == (11, {"a"}, 2)
+
+
+def scouts(n, seed):
+    rng = random.Random(seed)
+    rows = [(f"w{k:03d}", 10.0 + 12.0 * k, rng.uniform(0, 120), rng.uniform(0, 60), rng.choice([0.0, 0.0, 15.0]), 0.1, 0.2, 0.1, 0) for k in range(n)]
+    return pd.DataFrame(rows, columns=["id", "centre", "spatial", "motion", "transition", "dark", "flat", "noise", "cuts"])
+
+
+@pytest.mark.parametrize("n", [1, 3, 8, 40, 100])
+def test_plans_have_no_overlap_and_all_pools(n):
+    s = sampling_plan.PlanSettings()
+    plan = sampling_plan.plan_source(scouts(n, n), 12.0 * n + 20, s)
+    assert plan == sampling_plan.plan_source(scouts(n, n).sample(frac=1, random_state=1), 12.0 * n + 20, s)
+    starts = sorted(p[2] for p in plan)
+    assert all(b - a >= s.sample_sec - 1e-9 for a, b in zip(starts, starts[1:]))
+    pools = [p[0] for p in plan]
+    if n >= 8:
+        assert s.search_min <= pools.count("search") <= s.search_max and s.holdout_min <= pools.count("holdout") <= s.holdout_max and pools.count("reserve") == s.reserves
+
+
+def test_moved_windows_stay_apart():
+    assert sampling_plan.keep_apart([(0.0, 5.0), (5.0, 5.0)], [1.0, 5.0]) == [(0.0, True), (5.0, False)]
+
+
+def test_capacity_is_the_most_there_can_be(spark):
+    rng = random.Random(8)
+    rows = [(k, i, float(s), float(s + rng.randint(1, 9))) for k in range(6) for i, s in enumerate(rng.choices(range(20), k=7))]
+    got = intervals.capacity(spark.createDataFrame(rows, "k long, id long, start double, end double"), "k").groupBy("k").count().collect()
+    for r in got:
+        own = [x for x in rows if x[0] == r.k]
+        best = 0
+        for mask in range(1 << len(own)):
+            pick = sorted(x[2:] for i, x in enumerate(own) if mask >> i & 1)
+            if all(a[1] <= b[0] for a, b in zip(pick, pick[1:])):
+                best = max(best, len(pick))
+        assert r["count"] == best
+
+
+def test_windows_move_into_shots(spark):
+    cases = {1: (8.0, 13.0, [0.0, 10.0, 20.0, 30.0]), 2: (2.0, 10.0, [0.0, 3.0, 6.0, 9.0, 12.0])}
+    w = spark.createDataFrame([(k, 1, a, b) for k, (a, b, _) in cases.items()], "k long, id long, start double, end double")
+    s = spark.createDataFrame([(k, a, b) for k, (_, _, c) in cases.items() for a, b in zip(c, c[1:])], "k long, start double, end double")
+    got = {r.k: r for r in intervals.align_to_segments(w, s, "k").collect()}
+    assert got[1].held and got[1].moved and any(a <= got[1].new_start and got[1].new_start + 5 <= b for a, b in [(0, 10), (10, 20), (20, 30)])
+    assert (got[2].new_start, got[2].held) == (2.0, False)
+
+
+def test_summary_denominators(spark):
+    rows = spark.createDataFrame([("a", True, 0.2, 24, False), ("b", False, None, 5, False), ("c", None, 9.0, -1, True)], "id string, bad boolean, cost double, n long, failed boolean")
+    r = evaluation.summary(rows, F.col("failed"), ["bad"], ["cost"], ["n"]).first()
+    assert (r.n_cases, r.n_ok, r.n_failed, r.bad_count, r.bad_observed, r.bad_rate) == (3, 2, 1, 1, 2, 0.5)
+    assert (r.cost_mean, r.cost_observed, r.n_total) == (0.2, 1, 29)
+
+
+def test_pending_decisions_are_not_complete(spark):
+    rows = spark.createDataFrame([(1, "needs_decision", 100.0, 0.0, None)], "id long, st string, w double, p double, speed double")
+    r = state.queue_metrics(rows, "st", "w", "p", "id", "speed").first()
+    assert (r.n_needs_decision, r.n_completed) == (1, 0) and r.percent < 100
+
+
+def test_events_without_key_change_nothing(spark):
+    e = spark.createDataFrame([(1, "a", "analyzing", 37.5), (2, "a", None, None), (3, None, "done", 1.0)], "seq long, k string, s string, p double")
+    got = state.fold(e, "k", ["seq"], {"status": F.col("s"), "percent": F.col("p")}).collect()
+    assert [tuple(r) for r in got] == [("a", "analyzing", 37.5)]
+
+
+def test_globs_and_features(spark):
+    assert catalogs.glob_pattern("core/**/x?.py") == r"^core/(?:.*/)?x.\.py$"
+    paths = spark.createDataFrame([("docs/a.md",), ("core/b.py",)], "p string")
+    rules = [("docs/*", ["docs"]), ("core/*", ["lint", "unit"])]
+    assert catalogs.required_features(paths, "p", rules, ["all"]).first().features == ["docs", "lint", "unit"]
+    assert catalogs.required_features(paths.limit(0), "p", rules, ["b", "a"]).first().features == ["a", "b"]
+    t = spark.createDataFrame([("{a} and {b} {a}",)], "t string")
+    assert t.select(catalogs.placeholders(F.col("t")).alias("x")).first().x == ["a", "b"]
