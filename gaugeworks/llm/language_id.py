@@ -72,11 +72,12 @@ class LanguageModel:
         return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[str], dim: int = 16, epochs: int = 8, rate: float = 0.5, max_error: float = 0.01, seed: int = 7) -> LanguageModel:
+def train(texts: list[str], labels: list[str], dim: int = 16, steps: int = 20_000, rate: float = 0.5, max_error: float = 0.01, max_loss: float = 0.001, seed: int = 7) -> LanguageModel:
     """Fit on four fifths of the rows and calibrate on the rest.
 
     ``max_error``: the threshold is the least at which the answers kept on the
-    calibration rows are wrong no more often than this.
+    calibration rows are wrong no more often than this; but it never rejects more than
+    ``max_loss`` of the right ones.
     """
     languages = sorted(set(labels))
     table_size = len(SIZES) << BITS
@@ -97,6 +98,7 @@ def train(texts: list[str], labels: list[str], dim: int = 16, epochs: int = 8, r
     held, fit = order[: len(rows) // 5], order[len(rows) // 5 :]
     if not len(held):
         held = fit
+    epochs = max(6, -(-steps // max(1, len(fit))))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in rng.permutation(fit):
@@ -119,7 +121,9 @@ def train(texts: list[str], labels: list[str], dim: int = 16, epochs: int = 8, r
         return e / e.sum(axis=1, keepdims=True)
 
     scales = np.geomspace(0.05, 5, 60)
-    loss = [-np.log(np.maximum(softmax(s)[np.arange(len(held)), target[held]], 1e-9)).mean() for s in scales]
+    doubt = 1 / (len(held) + 2)  # no more sure than so many rows can tell
+    told = [np.clip(softmax(s)[np.arange(len(held)), target[held]], 1e-9, 1 - 1e-9) for s in scales]
+    loss = [-((1 - doubt) * np.log(p) + doubt * np.log(1 - p)).mean() for p in told]
     temperature = float(scales[int(np.argmin(loss))])
     p = softmax(temperature)
     top, right = p.max(axis=1), p.argmax(axis=1) == target[held]
@@ -130,6 +134,7 @@ def train(texts: list[str], labels: list[str], dim: int = 16, epochs: int = 8, r
         reject = 0.0  # all answers together are right often enough
     else:
         reject = float(top[rank[fine[-1]]]) if len(fine) else 1.0
+        reject = min(reject, float(np.quantile(top[right], max_loss, method="lower")) if right.any() else reject)
     return LanguageModel(languages, table.astype(np.float32), bias, temperature, reject)
 
 

@@ -59,8 +59,10 @@ def test_language_of_held_out_rows_and_awkward_ones(spark):
 def test_calibrated_rejection():
     rng = random.Random(2)
     texts = [speak(rng, "aa", 20) for _ in range(200)]
-    noisy = L.train(texts, [rng.choice(["aa", "bb"]) for _ in texts])
+    noisy = L.train(texts, [rng.choice(["aa", "bb"]) for _ in texts], max_loss=1.0)
     assert noisy.reject_below > 0.5
+    careful = L.train(texts, [rng.choice(["aa", "bb"]) for _ in texts])
+    assert careful.reject_below <= noisy.reject_below
     rows = corpus()
     assert L.train([t for _, t, _ in rows], [x for _, _, x in rows]).reject_below < 0.9
 

@@ -55,7 +55,7 @@ def test_links_and_classes_equal_brute_force(spark):
 
 
 def test_chunks_give_the_same(spark, monkeypatch):
-    monkeypatch.setattr(J, "CHUNK", 1500)
+    monkeypatch.setattr(J, "MEMBERS", 2)
     rows = cases()
     got = J.near_copies(frame(spark, rows))
     assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got.collect()), key=str) == brute(rows)
