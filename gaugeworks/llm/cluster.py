@@ -52,7 +52,19 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     ends there, and lost executors cost nothing that was written."""
     path = new_folder(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`written` that no later result reads."""
+    for df in tables:
+        path = getattr(df, "written_to", None)
+        if path:
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def filesystem(uri: str):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.cluster import written
+from gaugeworks.llm.cluster import discard, written
 
 MOST_ROUNDS = 60
 
@@ -25,6 +25,7 @@ def connected_components(links: DataFrame, u: str = "u", v: str = "v") -> DataFr
     no nodes.  No links, no rows."""
     now = links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where(f"`{u}` is not null and `{v}` is not null").distinct()
     now = written(now, "links")
+    given = now
     loops = now.where("u = v").select(F.col("u").alias("node"), F.col("v").alias("root"))
     now = now.where("u <> v")
     before = _signature(now)
@@ -36,7 +37,8 @@ def connected_components(links: DataFrame, u: str = "u", v: str = "v") -> DataFr
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        last, now = now, written(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(last)
         after = _signature(now)
         if after == before:
             break
@@ -44,4 +46,7 @@ def connected_components(links: DataFrame, u: str = "u", v: str = "v") -> DataFr
     else:
         raise RuntimeError(f"components not settled after {MOST_ROUNDS} rounds")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return stars.unionByName(stars.select("root", "root").toDF("node", "root")).unionByName(loops).groupBy("node").agg(F.min("root").alias("root"))
+    rooted = stars.unionByName(stars.select("root", "root").toDF("node", "root")).unionByName(loops).groupBy("node").agg(F.min("root").alias("root"))
+    out = written(rooted, "components")
+    discard(now, given)
+    return out

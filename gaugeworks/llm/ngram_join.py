@@ -24,16 +24,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.arrowtext import column_bytes, pieces, shingles, span_hashes, words
-from gaugeworks.llm.cluster import ready, written
+from gaugeworks.llm.cluster import discard, ready, written
 from gaugeworks.llm.components import connected_components
 
 N = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 MOST_HASHES = 192
-#: n-grams of one chunk of a component, with some more for each text.
-CHUNK = 1 << 20
-EACH = 512
+#: Texts of one chunk of a component; a task verifies one chunk or a pair of them.
+MEMBERS = 128
 #: Classes up to this number are sent to all executors (32 bytes each).
 BROADCAST_ROWS = 1_000_000
 
@@ -119,7 +118,7 @@ def candidate_links(classes: DataFrame) -> DataFrame:
 
 
 def text_sets(docs: DataFrame, members: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """(comp, id, copies, n_grams, grams) of the candidates, one row a class."""
+    """(comp, id, copies, n_chunks, grams) of the candidates, one row a class."""
     body = docs[f"`{text}`"]
     source = docs.select(docs[f"`{key}`"].cast("long").alias("key"), F.unhex(F.md5(body.cast("binary"))).alias("hash"), body.alias("text"))
     bounded = members.count() <= BROADCAST_ROWS
@@ -127,14 +126,14 @@ def text_sets(docs: DataFrame, members: DataFrame, key: str, text: str, n: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, at = column_bytes(batch.column(3))
+            raw, at = column_bytes(batch.column(4))
             for i, j in pieces(at, 2 << 20):
                 found, found_at = ngram_sets(raw[at[i] : at[j]], at[i : j + 1] - at[i], n)
                 lists = pa.ListArray.from_arrays(pa.array(found_at.astype(np.int32)), pa.array(found.view(np.int64)))
                 own = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), pa.array(np.diff(found_at)), lists], names=["comp", "id", "copies", "n_grams", "grams"])
+                yield pa.RecordBatch.from_arrays([*(own.column(k) for k in range(4)), lists], names=["comp", "id", "copies", "n_chunks", "grams"])
 
-    return joined.select("comp", "id", "copies", "text").mapInArrow(run, "comp long, id long, copies long, n_grams long, grams array<long>")
+    return joined.select("comp", "id", "copies", "n_chunks", "text").mapInArrow(run, "comp long, id long, copies long, n_chunks int, grams array<long>")
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray] | None) -> Iterator[tuple[int, np.ndarray]]:
@@ -217,12 +216,15 @@ def near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recal
     classes = worded.groupBy("hash").agg(F.min(F.struct(F.col("key").isNotNull().alias("known"), "key")).alias("low"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     classes = classes.select("hash", F.col("low.key").alias("rep_key"), "copies", "bands", F.monotonically_increasing_id().alias("id"))
     classes = written(classes, "classes")
-    parts = written(connected_components(candidate_links(classes)).select(F.col("node").alias("id"), F.col("root").alias("comp")), "parts")
+    found = connected_components(candidate_links(classes))
+    parts = found.select(F.col("node").alias("id"), F.col("root").alias("comp"))
 
-    members = classes.join(parts, "id").select("hash", "rep_key", "copies", "id", "comp")
+    sizes = parts.groupBy("comp").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("n_chunks"))
+    sizes = written(sizes, "sizes")
+    sized = parts.join(sizes, "comp")
+    members = classes.join(sized, "id").select("hash", "rep_key", "copies", "id", "comp", "n_chunks")
     sets = written(text_sets(docs, members, key, text, n).dropDuplicates(["id"]), "gram-sets")
-    weight = sets.groupBy("comp").agg(F.sum(F.col("n_grams") + EACH).alias("weight")).select("comp", F.ceil(F.col("weight") / CHUNK).cast("int").alias("n_chunks"))
-    placed = sets.join(weight, "comp").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("n_chunks")).cast("int"))
+    placed = sets.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("n_chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1))
     paired = placed.select("comp", "id", "copies", "grams", "chunk", "n_chunks", other.alias("x"))
     paired = paired.select("comp", "id", "copies", "grams", "chunk", "n_chunks", F.least("chunk", "x").alias("i"), F.greatest("chunk", "x").alias("j"))
@@ -239,6 +241,7 @@ def near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recal
         return pa.table({"id": names, "root": names[root], "links": links, "n_chunks": group.column("n_chunks").cast(pa.int32())})
 
     checked = written(paired.groupBy("comp", "i", "j").applyInArrow(run, "id long, root long, links long, n_chunks int"), "checked")
+    discard(sets)
     single = checked.where("n_chunks = 1").select("id", "root")
     several = checked.where("n_chunks > 1")
     roots = single
@@ -251,13 +254,15 @@ def near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recal
     named = known.join(low, "root").select("hash", "rep_key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     alone = each.where("bands is null or size(bands) = 0").select("key", "hash", F.col("key").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("key").alias("rep_key"))
     linked = each.where("size(bands) > 0").select("key", "hash").join(named, "hash").select("key", "hash", "class_id", "n_links", "rep_key")
-    return linked.unionByName(alone).withColumnRenamed("key", key)
+    out = written(linked.unionByName(alone).withColumnRenamed("key", key), "near-copies")
+    discard(each, classes, found, sizes, checked)
+    return out
 
 
 def drop_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` with one row of each class of near copies: the one of
     least key (any one of those if rows of equal key and text repeat)."""
-    found = written(near_copies(docs, n, threshold, recall, text, key), "near-copies")
+    found = near_copies(docs, n, threshold, recall, text, key)
     hashed = docs.withColumn("__hash", F.unhex(F.md5(docs[f"`{text}`"].cast("binary"))))
     gone = found.where(~F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("__key"), F.col("hash").alias("__gone")).distinct()
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.arrowtext import column_bytes, eights, mixed, pieces, span_hashes
-from gaugeworks.llm.cluster import ready, written
+from gaugeworks.llm.cluster import discard, ready, written
 
 LENGTH = 200
 RUN = 32
@@ -323,15 +323,15 @@ def told_apart_by_window(bodies: DataFrame, length: int) -> DataFrame:
     return places.mapInArrow(join, "anchor long, seg long, runs binary")
 
 
-def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
+def repeated_spans(texts: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]:
     """(hash, spans): for each text with repeats its segments' places and the runs of
-    repeated windows in them (null: all windows)."""
+    repeated windows in them (null: all windows); and the tables it still reads."""
     found = written(all_segments(texts, length), "segments")
     counted = found.groupBy("anchor").agg(F.sum(F.octet_length("firsts") / 4 * F.col("copies")).alias("n"), F.min("seg").alias("low"), F.max("seg").alias("high"))
     repeated = written(counted.where("n > 1").select("anchor", (F.col("low") == F.col("high")).alias("one")), "anchors")
     near = maybe_repeated(found, repeated).join(repeated, "anchor")
     near = written(near, "near")
-
+    discard(found, repeated)
     whole = near.where("one").select("hash", "firsts", "n_windows", F.lit(None).cast("binary").alias("runs"))
     mixed_ = near.where("not one")
     kinds = mixed_.groupBy("anchor", "seg").agg(F.sum(F.octet_length("firsts") / 4 * F.col("copies")).alias("n"), F.min(F.struct("hash", "firsts", "n_windows")).alias("low"))
@@ -353,7 +353,7 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     runs = runs.unionByName(kinds.where("n > 1").select("anchor", "seg", F.lit(None).cast("binary").alias("runs")))
     runs = written(runs.groupBy("anchor", "seg").agg(F.max(F.col("runs").isNull()).alias("all"), F.first("runs", ignorenulls=True).alias("runs")), "runs")
     parts = mixed_.join(runs, ["anchor", "seg"]).select("hash", "firsts", "n_windows", F.when(~F.col("all"), F.col("runs")).alias("runs"))
-    return whole.unionByName(parts).groupBy("hash").agg(F.collect_list(F.struct("firsts", "n_windows", "runs")).alias("spans"))
+    return whole.unionByName(parts).groupBy("hash").agg(F.collect_list(F.struct("firsts", "n_windows", "runs")).alias("spans")), [near, kinds, runs]
 
 
 def _first_place(packed: str):
@@ -379,7 +379,7 @@ def cut_texts(docs: DataFrame, text: str = "text", length: int = LENGTH, with_te
     spark = ready(docs.sparkSession)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts, name = distinct_texts(docs, text, partitions)
-    spans = repeated_spans(texts, length)
+    spans, held = repeated_spans(texts, length)
     joined = texts.select("hash", "body", "copies").join(spans, "hash", "left").select("hash", "body", "copies", "spans")
     fields = "hash binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
 
@@ -406,6 +406,7 @@ def cut_texts(docs: DataFrame, text: str = "text", length: int = LENGTH, with_te
 
     result = written(joined.mapInArrow(run, fields), "cut-texts")
     spark.sql(f"drop table {name}")
+    discard(*held)
     return result
 
 
