@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, decontaminate, language_id, media, ngram_join, quality, separators, suffix_dedup, token_files, toxicity
+from gaugeworks.llm import bpe, decontaminate, language_id, media, ngram_join, oracles, quality, separators, suffix_dedup, token_files, toxicity
 from gaugeworks.llm.sampling import bucket_of
 
 #: The operators' vocabularies; another folder with the same files may be named.
@@ -91,4 +91,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
