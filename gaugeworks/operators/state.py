@@ -53,3 +53,25 @@ def saved_bytes(rows: DataFrame, source: str, predicted: str) -> DataFrame:
     """One row: bytes saved over the rows that have an estimate; null without one."""
     gain = F.when((F.col(source) > 0) & (F.col(predicted) > 0), F.greatest(F.lit(0), F.col(source) - F.col(predicted)))
     return rows.agg(F.sum(gain).alias("saved"), F.count(gain).alias("n"))
+
+
+def initial(plan: DataFrame, skip_reason: str, smart: Column) -> DataFrame:
+    """First states of planned rows: skipped, waiting for analysis, or waiting."""
+    status = F.when(F.col(skip_reason).isNotNull(), "skipped").when(smart, "waiting_analysis").otherwise("waiting")
+    return plan.withColumn("status", status)
+
+
+# Which states an action applies to, and the state it leads to.
+ACTIONS = {"skip": (("needs_decision",), "skipped"), "retry": (("failed", "cancelled", "skipped", "needs_decision"), "waiting"), "accept": (("needs_decision",), "completed"), "discard": (("needs_decision",), "failed"), "cancel": (("waiting", "running"), "cancelled")}
+
+
+def apply_actions(rows: DataFrame, actions: DataFrame, key: str, order: str) -> DataFrame:
+    """``rows`` after the last action of each key (key, order, action), where its state
+    allows it; ``applied`` says so.  Other rows and unknown actions change nothing."""
+    last = actions.groupBy(key).agg(F.max_by("action", order).alias("__a"))
+    joined = rows.join(last, key, "left")
+    allowed, to = F.lit(False), F.col("status")
+    for name, (states, new) in ACTIONS.items():
+        hit = (F.col("__a") == name) & F.col("status").isin(list(states))
+        allowed, to = allowed | F.coalesce(hit, F.lit(False)), F.when(hit, new).otherwise(to)
+    return joined.withColumns({"applied": allowed, "status": to}).drop("__a")

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.expr import classify_line
+
 RECEIPT = "fingerprint string, schema_version int, source string, windows array<struct<pool:string,start:double,size:double>>, candidates array<struct<rate:long,minimum:double,scores:array<double>>>"
 
 
@@ -96,3 +98,21 @@ def copy_reasons(skipped: DataFrame) -> DataFrame:
     """Whether a skipped source can be copied, and why not."""
     reason = F.when(~F.col("source_exists"), "source missing").when(F.col("source") == F.col("target"), "same path").when(F.col("target_exists") & ~F.col("overwrite"), "target exists")
     return skipped.withColumn("reason", reason).withColumn("copied", F.col("reason").isNull())
+
+
+def delete_receipts(spark: SparkSession, folder: str, fingerprint: str | None = None) -> int:
+    """K2: delete one receipt, or all; how many there were."""
+    where = f"{folder}/fingerprint={fingerprint}" if fingerprint else folder
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return 0
+    n = 1 if fingerprint else sum("fingerprint=" in s.getPath().getName() for s in files.listStatus(path))
+    files.delete(path, True)
+    return n
+
+
+def export_lines(lines: DataFrame, folder: str, text: str = "value", kind: str | None = None) -> None:
+    """K9: the log lines of a kind (or all) as text."""
+    rows = lines if kind is None else lines.where(classify_line(F.col(text)) == kind)
+    rows.select(F.col(text).alias("value")).write.mode("overwrite").text(folder)

@@ -3,9 +3,11 @@
 import duckdb
 import pytest
 
-from gaugeworks.plans import folds
+from gaugeworks.plans import folds, rules
 from gaugeworks.plans import queries as plans
 
+assert rules
+
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -111,3 +111,44 @@ def test_outputs(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).columns == ["note", "first"]
     out = spark.createDataFrame([("p", 5, 10), ("q", 11, 10)], "path string, n long, most long")
     assert [(r.accepted, r.to == r.path) for r in K.publish_split(out, "most", "n", "path").collect()] == [(True, True), (False, False)]
+
+
+def test_presets_and_settings(spark, tmp_path):
+    from gaugeworks.sources import presets
+
+    folder = str(tmp_path / "p")
+    presets.save_preset(folder, "a.b", {"rate": 5, "name": ""})
+    assert presets.list_presets(folder) == ["a.b"]
+    assert presets.load_preset(folder, "a.b", {"rate": 1, "name": "x", "more": True}) == {"rate": 5, "name": None, "more": True}
+    for bad in ("../x", "", "a/b"):
+        try:
+            presets.save_preset(folder, bad, {})
+            raise AssertionError(bad)
+        except ValueError:
+            pass
+    assert presets.delete_preset(folder, "a.b") and not presets.delete_preset(folder, "a.b")
+    path = str(tmp_path / "c.json")
+    presets.update_settings(path, {"n": 1}, lambda d: d | {"n": d["n"] + 1})
+    assert presets.update_settings(path, {"n": 1, "m": 0}, lambda d: d | {"n": d["n"] + 1}) == {"n": 3, "m": 0}
+
+
+def test_deleting_receipts_and_exporting_lines(spark, tmp_path):
+    folder = str(tmp_path / "r")
+    w = [("search", 0.0, 5.0)]
+    K.save_receipts(spark.createDataFrame([("a" * 64, 5, "s", w, []), ("b" * 64, 5, "s", w, [])], K.RECEIPT), folder)
+    assert K.delete_receipts(spark, folder, "a" * 64) == 1 and K.delete_receipts(spark, folder, "a" * 64) == 0
+    assert [r.fingerprint for r in K.load_receipts(spark, folder).collect()] == ["b" * 64]
+    assert K.delete_receipts(spark, folder) == 1
+    K.export_lines(lines(spark, "$ run", "it failed", "fine"), str(tmp_path / "t"), kind="error")
+    assert [r.value for r in spark.read.text(str(tmp_path / "t")).collect()] == ["it failed"]
+
+
+def test_actions_apply_where_the_state_allows(spark):
+    from gaugeworks.operators import state
+
+    rows = spark.createDataFrame([("a", "needs_decision"), ("b", "completed"), ("c", "waiting")], "k string, status string")
+    acts = spark.createDataFrame([("a", 1, "skip"), ("a", 2, "accept"), ("b", 1, "retry"), ("z", 1, "skip")], "k string, n long, action string")
+    got = {r.k: (r.status, r.applied) for r in state.apply_actions(rows, acts, "k", "n").collect()}
+    assert got == {"a": ("completed", True), "b": ("completed", False), "c": ("waiting", False)}
+    plan = spark.createDataFrame([("x", True), (None, True), (None, False)], "skip string, smart boolean")
+    assert [r.status for r in state.initial(plan, "skip", F.col("smart")).collect()] == ["skipped", "waiting_analysis", "waiting"]
