@@ -154,3 +154,22 @@ def bit_depth(pixel_format: Column) -> Column:
 def classify_line(text: Column) -> Column:
     """``command``, ``error`` or ``process``."""
     return F.when(text.startswith("$ "), "command").when(F.lower(text).rlike("error|failed|traceback|cancelled"), "error").otherwise("process")
+
+
+def output_path(source: Column, root: Column, codec: str, container: str) -> Column:
+    """Where an output goes: the source's name under ``root``, codec and container added."""
+    stem = F.regexp_replace(F.regexp_extract(source, r"([^/]+)$", 1), r"\.[^.]+$", "")
+    return F.concat(F.regexp_replace(root, "/+$", ""), F.lit("/"), stem, F.lit(f".{codec}.{container}"))
+
+
+def first_line(text: Column) -> Column:
+    """The first line that is not blank, trimmed; null if there is none."""
+    return F.try_element_at(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""), F.lit(1))
+
+
+def merged_context(*layers: Column) -> Column:
+    """Maps laid over each other; later keys win."""
+    out = layers[0]
+    for layer in layers[1:]:
+        out = F.map_concat(F.map_filter(out, lambda k, _, layer=layer: ~F.map_contains_key(layer, k)), layer)
+    return out

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,13 +25,19 @@ def midrank(df: DataFrame, metric: str, key: Sequence[str] = (), out: str = "mid
     return df.withColumn(out, F.when(n == 1, 0.5).otherwise((low + ties / F.lit(2.0)) / (n - 1)))
 
 
+def _ranged(df: DataFrame, parts: int, order: Sequence[str]) -> DataFrame:
+    """``df`` dealt into ranges, with the range as ``__p``.  Both readers must see the
+    same bounds, which are sampled, so the ranges are kept on disk once dealt."""
+    return df.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+
+
 def global_midrank(df: DataFrame, metric: str, out: str = "midrank", parts: int | None = None) -> DataFrame:
     """The same over the whole table: counts by value, running sums inside ranges of
     values, and one offset a range (as many rows as ranges)."""
     spark = df.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = df.groupBy(F.col(metric).alias("__v")).agg(F.count("*").alias("__c"))
-    ranged = counts.repartitionByRange(parts, "__v").withColumn("__p", F.spark_partition_id())
+    ranged = _ranged(counts, parts, ["__v"])
     totals = ranged.groupBy("__p").agg(F.sum("__c").alias("__t"))
     offsets = totals.select("__p", (F.sum("__t").over(Window.orderBy("__p")) - F.col("__t")).alias("__o"), F.sum("__t").over(Window.partitionBy()).alias("__n"))
     inner = F.sum("__c").over(Window.partitionBy("__p").orderBy("__v")) - F.col("__c")
@@ -94,7 +101,7 @@ def round_robin(df: DataFrame, order: Sequence[str], lanes: int, parts: int | No
     """``lane``: the place of a row in the whole order modulo ``lanes``, by running
     numbers inside ranges and one offset a range."""
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id())
+    ranged = _ranged(df, parts, order)
     totals = ranged.groupBy("__p").agg(F.count("*").alias("__t"))
     offsets = totals.select("__p", (F.sum("__t").over(Window.orderBy("__p")) - F.col("__t")).alias("__o"))
     place = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1

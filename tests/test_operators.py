@@ -162,3 +162,11 @@ def test_globs_and_features(spark):
     assert catalogs.required_features(paths.limit(0), "p", rules, ["b", "a"]).first().features == ["a", "b"]
     t = spark.createDataFrame([("{a} and {b} {a}",)], "t string")
     assert t.select(catalogs.placeholders(F.col("t")).alias("x")).first().x == ["a", "b"]
+
+
+def test_paths_lines_and_contexts(spark):
+    assert one(spark, X.output_path(F.col("t"), F.lit("/out/"), "hevc", "mp4"), t="/a/b.c.mkv") == "/out/b.c.hevc.mp4"
+    assert one(spark, X.first_line(F.col("t")), t="\n  \n hello \nx") == "hello"
+    assert one(spark, X.first_line(F.col("t")), t=" \n") is None
+    maps = [F.create_map(F.lit("a"), F.col("t")), F.create_map(F.lit("a"), F.lit("2"), F.lit("b"), F.lit("3"))]
+    assert one(spark, X.merged_context(*maps), t="1") == {"a": "2", "b": "3"}
