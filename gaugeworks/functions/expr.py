@@ -6,6 +6,8 @@ even (``bround``), arithmetic on doubles is explicit, and malformed text is null
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -169,7 +171,8 @@ def first_line(text: Column) -> Column:
 
 def merged_context(*layers: Column) -> Column:
     """Maps laid over each other; later keys win."""
-    out = layers[0]
-    for layer in layers[1:]:
-        out = F.map_concat(F.map_filter(out, lambda k, _, layer=layer: ~F.map_contains_key(layer, k)), layer)
-    return out
+
+    def over(below: Column, above: Column) -> Column:
+        return F.map_concat(F.map_filter(below, lambda k, _: ~F.map_contains_key(above, k)), above)
+
+    return reduce(over, layers)
