@@ -17,6 +17,7 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator, Sequence
 from functools import cache
 
@@ -29,6 +30,10 @@ from gaugeworks.llm.cluster import ready
 from gaugeworks.llm.pretokens import Known, Split
 
 
+#: Bytes of text encoded at a time.
+PIECE = 2 << 20
+
+
 @cache
 def byte_letters() -> list[str]:
     """The letter that stands for each byte: itself if printable Latin-1, else the
@@ -97,12 +102,9 @@ class WordEndBpe:
                     heapq.heappush(queue, (found[0], h, found[1], symbol[h], whole))
         return [s for s in symbol if s >= 0]
 
-    def _words(self, words: list[str]) -> list[tuple[str, str, int]]:
-        out = []
-        for word in words:
-            ids = self.merged(word)
-            out.append((" ".join(map(str, ids)), self.decode(ids), len(ids)))
-        return out
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, packed: what a worker keeps."""
+        return [array("I", self.merged(word)).tobytes() for word in words]
 
     def decode(self, ids: Sequence[int]) -> str:
         """The vocabulary strings one after the other, a blank between them (the
@@ -125,8 +127,9 @@ class WordEndBpe:
         flat = [p for parts in plain for p in parts]
         split = Split(flat, spaces_attach=False)
         values, place = self.known.of(split)
-        ids, strings = [v[0] for v in values], [v[1] for v in values]
-        sizes = np.fromiter((v[2] for v in values), np.int64, len(values))
+        packed = [array("I", v) for v in values]
+        ids, strings = [" ".join(map(str, v)) for v in packed], [self.decode(v) for v in packed]
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed))
         total = np.concatenate([[0], np.cumsum(sizes[place])])
         order, at = place.tolist(), split.at.tolist()
         all_ids, all_strings = list(map(ids.__getitem__, order)), list(map(strings.__getitem__, order))
@@ -172,7 +175,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, text: str = "text", outputs
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             _, at = column_bytes(texts)
-            for i, j in pieces(at):
+            for i, j in pieces(at, PIECE):
                 found = bpe.encode_texts([t or "" for t in texts.slice(i, j - i).to_pylist()])
                 made = {
                     "n_tokens": lambda: pa.array([f[2] for f in found], pa.int64()),

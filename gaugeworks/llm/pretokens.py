@@ -60,11 +60,11 @@ class Split:
         keep = kind[where] != BETWEEN
         if not spaces_attach:
             keep &= kind[where] != SPACE
-        width = np.ones(len(char), np.int64)
-        width += char >= 0x80
-        width += char >= 0x800
-        width += char >= 0x10000
-        byte = np.concatenate([[0], np.cumsum(width)])
+        width = np.ones(len(char), np.uint8)
+        for least in (0x80, 0x800, 0x10000):
+            width += char >= least
+        byte = np.zeros(len(char) + 1, np.int64)
+        np.cumsum(width, out=byte[1:])
         ends = np.append(where[1:], len(char))
         self.raw = np.frombuffer(joined.encode(), np.uint8)
         first = where[keep]

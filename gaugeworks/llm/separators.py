@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.arrowtext import column_bytes, pieces
+from gaugeworks.llm.bpe import PIECE
 from gaugeworks.llm.byte_tokens import tokens_of
 from gaugeworks.llm.cluster import filesystem, new_folder, put, ready, written
 
@@ -59,7 +60,7 @@ def write_flat_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
 
         for batch in batches:
             _, at = column_bytes(batch.column(1))
-            for i, j in pieces(at):
+            for i, j in pieces(at, PIECE):
                 texts = [t or "" for t in batch.column(1).slice(i, j - i).to_pylist()]
                 keys += batch.column(0).slice(i, j - i).to_pylist()
                 for found in tokens.encode_texts(texts):

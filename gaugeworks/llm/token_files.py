@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.arrowtext import column_bytes, pieces
+from gaugeworks.llm.bpe import PIECE
 from gaugeworks.llm.byte_tokens import tokens_of
 from gaugeworks.llm.cluster import filesystem, new_folder, put, ready, written
 from gaugeworks.llm.eliasfano import EliasFano
@@ -94,7 +95,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
         manifest = pa.schema([("path", pa.string()), ("seq", pa.int32()), ("least", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())])
         for batch in batches:
             _, at = column_bytes(batch.column(1))
-            for i, j in pieces(at):
+            for i, j in pieces(at, PIECE):
                 texts = [t or "" for t in batch.column(1).slice(i, j - i).to_pylist()]
                 for k, found in zip(batch.column(0).slice(i, j - i).to_pylist(), tokens.encode_texts(texts), strict=True):
                     keys += [] if k is None else [k]
