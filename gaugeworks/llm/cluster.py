@@ -26,9 +26,9 @@ def ready(spark: SparkSession) -> SparkSession:
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if PACKAGE_ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *filter(None, paths)])
-        # workers give freed arrays back instead of keeping them for later tasks
-        env.setdefault("MALLOC_MMAP_THRESHOLD_", str(1 << 20))
-        env.setdefault("MALLOC_TRIM_THRESHOLD_", str(8 << 20))
+        # workers give large freed arrays back instead of keeping them for later tasks
+        env.setdefault("MALLOC_MMAP_THRESHOLD_", str(8 << 20))
+        env.setdefault("MALLOC_TRIM_THRESHOLD_", str(64 << 20))
     return spark
 
 

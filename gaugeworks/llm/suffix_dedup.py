@@ -181,7 +181,7 @@ def merged_repeats(shards: list[Transform], length: int = LENGTH) -> list[np.nda
     return [s.suffix[np.sort(interleave[owner == k] - base[k])] for k, s in enumerate(shards)]
 
 
-def repeated_windows(texts: list[bytes], length: int = LENGTH, shard_bytes: int = 256 << 10) -> list[np.ndarray]:
+def repeated_windows(texts: list[bytes], length: int = LENGTH, shard_bytes: int = 64 << 10) -> list[np.ndarray]:
     """For each string the places where a string of ``length`` bytes begins that also
     begins elsewhere in ``texts``."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -196,7 +196,7 @@ def repeated_windows(texts: list[bytes], length: int = LENGTH, shard_bytes: int
 
 #: Segment bytes that meet in one bucket, and beyond which one anchor's segments are
 #: told apart window by window instead.
-BUCKET_BYTES = 1 << 20
+BUCKET_BYTES = 128 << 10
 MOST_BYTES = 8 << 20
 #: Bits of the map of repeated anchors, whatever the input: 8 MB.
 MAP_BITS = 26
@@ -220,7 +220,7 @@ def all_segments(texts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = column_bytes(batch.column(2))
-            for i, j in pieces(at, 1 << 20):
+            for i, j in pieces(at, 512 << 10):
                 text, anchor, name, n, offset, first = segments(raw[at[i] : at[j]], at[i : j + 1] - at[i], length)
                 take = pa.array(text + i)
                 firsts = pa.Array.from_buffers(pa.binary(), len(text), [None, pa.py_buffer((offset * 4).astype(np.int32)), pa.py_buffer(first.astype("<u4"))])
