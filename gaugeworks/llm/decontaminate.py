@@ -8,25 +8,31 @@ from the postings of their rarest term in the shard and intersect the
 offset-adjusted lists of the other terms, rarest first.  Neither postings nor
 matches are shuffled; a common term costs only the shards it stands in.
 
-The benchmark is the stated query set.  It goes to the shards in blocks of a bounded
-number of words, so what is broadcast doesn't grow with it.
+The benchmark is the stated query set.  Tasks cut it into blocks of bounded size and
+store them in the shared folder; a shard loads one block after the other, so neither
+the driver nor a task holds more than one, however large the benchmark.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import pickle
+import uuid
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from gaugeworks.llm.arrowtext import by_text, column_bytes, pieces, shingles, span_hashes, words
-from gaugeworks.llm.cluster import ready, written
+from gaugeworks.llm.cluster import filesystem, new_folder, put, ready, written
 
 WINDOW = 13
-BLOCK_WORDS = 1_000_000
+#: Text of one block of the benchmark, and occurrences of terms followed at a time.
+BLOCK_BYTES = 1 << 20
+FOLLOWED = 1 << 20
 SHARD_BYTES = 4 << 20
 INDEX = "keys binary, nulls binary, word_at binary, terms binary, term_at binary, positions binary"
 HIGH = np.uint64(32)
@@ -57,7 +63,7 @@ class Windows:
         size = np.minimum(np.diff(word_at)[own[first]], window)
         terms = np.unique(hashes)
         place = np.append(np.searchsorted(terms, hashes), np.full(window, -1))
-        parts = place[begin[:, None] + np.arange(window)]
+        parts = place.astype(np.int32)[begin[:, None] + np.arange(window)]
         parts[np.arange(window) >= size[:, None]] = -1
         return cls(items, terms, parts, size, np.append(owner_at, pairs.shape[1]), pairs[1].astype(np.int64))
 
@@ -100,18 +106,32 @@ class Shard:
         length = np.diff(self.term_at.astype(np.int64))
         rarity = np.argsort(np.where(parts >= 0, length[parts], np.iinfo(np.int64).max), axis=1, kind="stable")
         lead = rarity[:, 0]
-        lead_term = parts[np.arange(len(live)), lead]
-        count = length[lead_term]
-        row = np.repeat(np.arange(len(live)), count)
+        count = np.cumsum(length[parts[np.arange(len(live)), lead]])
+        keys = (np.repeat(np.arange(len(self.terms)), length).astype(np.uint64) << HIGH) | self.positions.astype(np.uint64)
+        cuts, first = [], 0
+        while first < len(live):  # windows whose rarest terms occur FOLLOWED times in all, or one window
+            last = max(first + 1, int(np.searchsorted(count, (count[first - 1] if first else 0) + FOLLOWED, "right")))
+            part = slice(first, last)
+            row, begin = self._followed(parts[part], rarity[part], query.size[live[part]], keys, slop)
+            cuts.append((live[part][row], begin))
+            first = last
+        return np.concatenate([w for w, _ in cuts]), np.concatenate([b for _, b in cuts])
+
+    def _followed(self, parts: np.ndarray, rarity: np.ndarray, size: np.ndarray, keys: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row of ``parts``, first word) where windows occur.  ``keys`` are all
+        postings as term and position."""
+        lead = rarity[:, 0]
+        lead_term = parts[np.arange(len(parts)), lead]
+        count = np.diff(self.term_at.astype(np.int64))[lead_term]
+        row = np.repeat(np.arange(len(parts)), count)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
         at = self.positions[self.term_at[lead_term][row] + nth].astype(np.int64)
         begin = at - lead[row]
         doc = np.searchsorted(self.word_at, at, "right") - 1
         low, high = self.word_at[doc].astype(np.int64), self.word_at[doc + 1].astype(np.int64)
-        good = (begin >= low - slop) & (begin + query.size[live][row] <= high + slop)
+        good = (begin >= low - slop) & (begin + size[row] <= high + slop)
         row, begin, low, high = row[good], begin[good], low[good], high[good]
-        keys = (np.repeat(np.arange(len(self.terms)), length).astype(np.uint64) << HIGH) | self.positions.astype(np.uint64)
-        for k in range(1, query.parts.shape[1]):
+        for k in range(1, parts.shape[1]):
             if not len(row):
                 break
             offset = rarity[row, k]
@@ -127,7 +147,7 @@ class Shard:
             good = np.ones(len(row), bool)
             good[test[~fits]] = False
             row, begin, low, high = row[good], begin[good], low[good], high[good]
-        return live[row], begin
+        return row, begin
 
     def judged(self, query: Windows) -> tuple[np.ndarray, list[np.ndarray]]:
         """Which words stand in an occurrence, and each document's items (sorted places)."""
@@ -168,31 +188,51 @@ def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     return written(rows.mapInArrow(run, INDEX), "postings")
 
 
-def query_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[Windows]:
-    """The benchmark's windows in blocks of at most about ``block_words`` bytes of
-    word text; the driver holds one block and one partition of the benchmark."""
-    items, texts, held = [], [], 0
+def store_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list[str]:
+    """Write the benchmark's windows to files of the shared folder, a block of about
+    ``block_bytes`` of text each, and return the files' places."""
+    spark = ready(benchmark.sparkSession)
+    folder = new_folder(spark, "benchmark")
     rows = benchmark.select(benchmark[f"`{item}`"].cast("string").alias("item"), benchmark[f"`{text}`"].alias("text")).where("item is not null and text is not null")
-    for r in rows.toLocalIterator():
-        items.append(r.item)
-        texts.append(r.text)
-        held += len(r.text)
-        if held >= block_words * 6:
-            yield Windows.of(items, texts, window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, texts, held = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal items, texts, held
+            uri = f"{folder}/{uuid.uuid4().hex}.windows"
+            put(uri, pickle.dumps(Windows.of(items, texts, window)))
             items, texts, held = [], [], 0
-    if items:
-        yield Windows.of(items, texts, window)
+            return pa.RecordBatch.from_arrays([pa.array([uri])], names=["uri"])
+
+        for batch in batches:
+            for name, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                items.append(name)
+                texts.append(body)
+                held += len(body)
+                if held >= block_bytes:
+                    yield flush()
+        if items:
+            yield flush()
+
+    return sorted(r.uri for r in rows.mapInArrow(run, "uri string").collect())
+
+
+@lru_cache(maxsize=1)
+def stored_block(uri: str) -> Windows:
+    where, path = filesystem(uri)
+    with where.open_input_stream(path) as f:
+        return pickle.loads(f.read())
 
 
 def items_digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-def search_index(index: DataFrame, blocks: list[Windows], key: str = "doc_id") -> DataFrame:
-    """One row a document: words, words hit, number and digest of the items with
-    occurring windows, ``contaminated``, and the ``items``."""
-    spark = ready(index.sparkSession)
-    shipped = [spark.sparkContext.broadcast(b) for b in blocks]
+def search_index(index: DataFrame, blocks: list[str], key: str = "doc_id") -> DataFrame:
+    """One row a document: words, words hit, number and digest of the items of the
+    stored ``blocks`` with occurring windows, ``contaminated``, and the ``items``."""
+    ready(index.sparkSession)
     names = [key, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"]
     empty = items_digest([])
 
@@ -201,7 +241,7 @@ def search_index(index: DataFrame, blocks: list[Windows], key: str = "doc_id") -
             for k in range(batch.num_rows):
                 keys, nulls, *blobs = (batch.column(c)[k].as_py() for c in range(batch.num_columns))
                 shard = Shard.from_blobs(*blobs)
-                n_words, n_hit, found = verdicts(shard, [s.value for s in shipped])
+                n_words, n_hit, found = verdicts(shard, map(stored_block, blocks))
                 doc_ids = pa.array(np.frombuffer(keys, np.int64), mask=np.frombuffer(nulls, np.uint8).astype(bool))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -220,7 +260,7 @@ def search_index(index: DataFrame, blocks: list[Windows], key: str = "doc_id") -
     return index.mapInArrow(run, out)
 
 
-def verdicts(shard: Shard, blocks: list[Windows]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+def verdicts(shard: Shard, blocks: Iterable[Windows]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
     """Words, words hit and items of each document of a shard, over all blocks."""
     hit = np.zeros(int(shard.word_at[-1]), bool)
     found: list[list[str]] = [[] for _ in range(len(shard.word_at) - 1)]
@@ -240,22 +280,20 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, text: str = "t
     ones too; with an empty benchmark all documents are clean.  Items without words
     have no windows, items with a null id or text are no items.
     """
-    return search_index(build_index(docs, text, key), list(query_blocks(benchmark, item, item_text)), key)
+    return search_index(build_index(docs, text, key), store_blocks(benchmark, item, item_text), key)
 
 
-def phrase_matches(index: DataFrame, blocks: list[Windows], slop: int = 0, key: str = "doc_id") -> DataFrame:
+def phrase_matches(index: DataFrame, blocks: list[str], slop: int = 0, key: str = "doc_id") -> DataFrame:
     """(key, item, first_word, exact): where windows of the items occur, word by word
     (``slop`` 0) or with every word within ``slop`` places of its own."""
-    spark = ready(index.sparkSession)
-    shipped = [spark.sparkContext.broadcast(b) for b in blocks]
+    ready(index.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 keys, nulls, *blobs = (batch.column(c)[k].as_py() for c in range(batch.num_columns))
                 shard, doc_ids, rows = Shard.from_blobs(*blobs), np.frombuffer(keys, np.int64), []
-                for s in shipped:
-                    query = s.value
+                for query in map(stored_block, blocks):
                     exact = set(zip(*(x.tolist() for x in shard.find(query)), strict=True))
                     for w, begin in zip(*(x.tolist() for x in shard.find(query, slop)), strict=True):
                         doc = int(np.searchsorted(shard.word_at, max(begin, 0), "right")) - 1
@@ -271,15 +309,15 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     """The rows of ``docs`` that are not contaminated, all columns as they are.  Each
     task indexes its own rows, so the verdict falls on the row itself whatever ids
     repeat, and no text is shuffled."""
-    spark = ready(docs.sparkSession)
-    shipped = [spark.sparkContext.broadcast(b) for b in query_blocks(benchmark, item, item_text)]
+    ready(docs.sparkSession)
+    blocks = store_blocks(benchmark, item, item_text)
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = column_bytes(batch.column(place))
             for i, j in pieces(at, SHARD_BYTES):
-                n_words, n_hit, _ = verdicts(Shard.of(raw[at[i] : at[j]], at[i : j + 1] - at[i]), [s.value for s in shipped])
+                n_words, n_hit, _ = verdicts(Shard.of(raw[at[i] : at[j]], at[i : j + 1] - at[i]), map(stored_block, blocks))
                 yield batch.slice(i, j - i).filter(pa.array(~((n_hit > 0) & (20 * n_hit >= n_words))))
 
     return docs.mapInArrow(run, docs.schema)

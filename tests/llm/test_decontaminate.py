@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from gaugeworks.llm import decontaminate as D
@@ -53,12 +54,25 @@ def test_blocks_of_the_benchmark_add_up(spark):
     docs, items = cases()
     bench = spark.createDataFrame(items, "item_id long, text string")
     index = D.build_index(frame(spark, docs))
-    blocks = list(D.query_blocks(bench, block_words=20))
+    blocks = D.store_blocks(bench.coalesce(1), block_bytes=120)
     assert len(blocks) > 3
     got = D.search_index(index, blocks).drop("items")
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(docs, items)
 
 
+def test_windows_followed_in_slices():
+    docs, items = cases()
+    texts = [t for _, t in docs]
+    raw, at = D.column_bytes(D.pa.array(texts, D.pa.string()))
+    query = D.Windows.of([str(k) for k, _ in items], [t for _, t in items])
+    shard = D.Shard.of(raw, at)
+    whole = sorted(zip(*(x.tolist() for x in shard.find(query, 1)), strict=True))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(D, "FOLLOWED", 7)
+        assert sorted(zip(*(x.tolist() for x in shard.find(query, 1)), strict=True)) == whole
+    assert len(whole) > 50
+
+
 def test_empty_tables_and_nulls(spark):
     docs, items = cases()
     none = spark.createDataFrame([], "item_id long, text string")
@@ -83,5 +97,5 @@ def test_proximity(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "x alpha beta gamma delta"), (2, "alpha beta oh gamma delta"), (3, "alpha beta oh my dear me gamma delta")], "doc_id long, text string")
     index = D.build_index(docs)
-    got = D.phrase_matches(index, list(D.query_blocks(bench)), slop=1)
+    got = D.phrase_matches(index, D.store_blocks(bench), slop=1)
     assert {(r.doc_id, r.exact) for r in got.collect()} == {(1, True), (2, False)}
