@@ -1,8 +1,9 @@
 """Operator 10: token ids in binary files with Elias-Fano document boundaries.
 
-The rows are dealt out by ranges of ``doc_id`` and sorted within each (one shuffle
-of the texts, no total order in one place); each task encodes its texts and writes
-files of bounded size.  A file is::
+The rows are dealt out by ranges of ``doc_id``, then of a text hash and the row's place
+in the input, so that even rows of one id spread over many tasks, and sorted so within
+each (one shuffle of the texts, no total order in one place): a repeated task writes the
+same files.  Each task encodes its texts and writes files of bounded size.  A file is::
 
     magic, id width in bytes, rows with a null doc_id, least doc_id     (header)
     Elias-Fano of doc_id - least                                        (ascending)
@@ -65,13 +66,15 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
     """Write the files and return their manifest, one row a file.
 
     A null text counts as empty and has the end id alone.  Rows with a null key
-    come first.  Rows with equal keys stand together, in no defined order.
+    come first.  Rows with equal keys stand together, by the hash of their texts.
     Other columns are not read.  An empty table writes nothing.
     """
     spark = ready(docs.sparkSession)
     folder = folder or new_folder(spark, "token-files")
     rows = docs.select(docs[f"`{key}`"].cast("long").alias("key"), docs[f"`{text}`"].alias("text"))
-    dealt = rows.repartitionByRange("key").sortWithinPartitions("key")
+    order = ["key", "hash", "place"]
+    rows = rows.select("key", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place"))
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

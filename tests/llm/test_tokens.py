@@ -101,6 +101,19 @@ def test_token_files(spark, monkeypatch):
     assert token_files.read_token_files(spark, empty).count() == 0
 
 
+def test_rows_of_one_key_spread_over_files(spark):
+    rows = [(7, f"text {k % 50}") for k in range(400)] + [(9, "last"), (None, "first")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = token_files.write_token_files(frame(spark, rows).repartition(3), BYTES)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert manifest.where("least = 7").count() > 2
+    got = sorted(token_files.read_token_files(spark, manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, *[7] * 400, 9]
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got]).tolist()[:-1]]
+
+
 def test_one_file_by_select():
     rows = [[5, 6, 0], [0], [7, 0]]
     file = token_files.TokenFile(token_files.packed(np.array([-3, 9]), 1, np.array([3, 1, 2]), np.array(sum(rows, []), "<u2").tobytes(), 2))
