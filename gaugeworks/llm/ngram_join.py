@@ -270,6 +270,6 @@ def drop_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
     same = found.where(F.col("n_links") > 0).groupBy(key, "hash").count().where("count > 1")
     if not same.isEmpty():
         repeated = F.row_number().over(Window.partitionBy(key, "__hash").orderBy(F.lit(0)))
-        worded = F.coalesce(F.col(text).rlike("[0-9A-Za-z\\u0080-\\uffff]"), F.lit(False))
+        worded = F.coalesce(F.col(text).rlike("[0-9A-Za-z]|[^\\x00-\\x7f]"), F.lit(False))
         kept = kept.withColumn("__nth", repeated).where((F.col("__nth") == 1) | ~worded)
     return kept.select(*[kept[f"`{c}`"] for c in docs.columns])

@@ -71,6 +71,11 @@ def test_one_of_each_class_stays(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([*classes, *wordless], key=str)
 
 
+def test_repeated_rows_in_any_script(spark):
+    rows = [(1, "\U0001f600 \U0001f601"), (1, "\U0001f600 \U0001f601"), (2, "漢字"), (2, "漢字"), (3, "?"), (3, "?")]
+    assert sorted(r.doc_id for r in J.drop_near_copies(frame(spark, rows)).collect()) == [1, 2, 3, 3]
+
+
 def test_empty(spark):
     assert J.near_copies(frame(spark, [])).count() == 0
     assert J.drop_near_copies(frame(spark, [])).count() == 0
