@@ -4,11 +4,12 @@ pretoken of a worker instead of once for each occurrence."""
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Sequence
 
 import numpy as np
 
-from gaugeworks.llm.bpe import WordEndBpe
+from gaugeworks.llm.bpe import WordEndBpe, byte_letters
 from gaugeworks.llm.pretokens import Known, Split
 
 
@@ -31,10 +32,16 @@ class ByteTokens:
         self.special = [] if special_is_text else [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.type = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.word_ends = self.library.normalizer is not None
-        self.known = Known(self._encoded)
+        self.model, self.letters = self.library.model, dict(enumerate(byte_letters()))
+        self.known = Known(self._pretokens)
 
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.type).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _pretokens(self, pretokens: list[str]) -> list[bytes]:
+        """The model alone is asked, as a pretoken is not split further."""
+        ids, letters, kind = self.model.tokenize, self.letters, "HI"[self.type.itemsize // 4]
+        return [array(kind, [t.id for t in ids(p.encode().decode("latin-1").translate(letters))]).tobytes() for p in pretokens]
+
+    def _encoded(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.type).tobytes()
 
     def encode_texts(self, texts: Sequence[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of ``self.type``."""
@@ -48,7 +55,7 @@ class ByteTokens:
         at = split.at.tolist()
         out = [b"".join(flat[a:b]) for a, b in zip(at, at[1:])]
         for i in whole:
-            out[i] = self._encoded([texts[i]])[0]
+            out[i] = self._encoded(texts[i])
         return out
 
 

@@ -28,7 +28,8 @@ WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 def classes() -> np.ndarray:
     """Class of every code point."""
     kinds = {"L": LETTER, "N": NUMBER}
-    out = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
+    out = np.full(sys.maxunicode + 1, OTHER, np.uint8)  # no letters or numbers from U+40000 on
+    out[:0x40000] = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x40000)), np.uint8, 0x40000)
     out[WHITE_SPACE] = SPACE
     return out
 
@@ -66,7 +67,8 @@ class Split:
         byte = np.zeros(len(char) + 1, np.int64)
         np.cumsum(width, out=byte[1:])
         ends = np.append(where[1:], len(char))
-        self.raw = np.frombuffer(joined.encode(), np.uint8)
+        self.data = joined.encode()
+        self.raw = np.frombuffer(self.data, np.uint8)
         first = where[keep]
         self.start, self.end = byte[first], byte[ends[keep]]
         self.at = np.concatenate([[0], np.searchsorted(first, stop)])
@@ -88,7 +90,7 @@ class Split:
         return span_hashes(self.raw, self.start, self.end)
 
     def text(self, i: int) -> str:
-        return self.raw[self.start[i] : self.end[i]].tobytes().decode()
+        return self.data[self.start[i] : self.end[i]].decode()
 
 
 class Known:
@@ -107,6 +109,7 @@ class Known:
         held = self.held
         new = [i for i, k in enumerate(keys) if k not in held]
         if new:
-            for i, value in zip(new, self.compute([split.text(first[i]) for i in new]), strict=True):
+            start, end = split.start[first].tolist(), split.end[first].tolist()
+            for i, value in zip(new, self.compute([split.data[start[i] : end[i]].decode() for i in new]), strict=True):
                 held[keys[i]] = value
         return [held[k] for k in keys], place.reshape(-1)
