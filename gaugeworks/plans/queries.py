@@ -199,11 +199,23 @@ def strata_top1(t):
     select k, p::double as start, lead(p) over (partition by k order by p)::double as "end" from cuts qualify "end" is not null""")
 def segments(t):
     """Parts between sorted cuts, bounds included."""
-    keys = t("customer").where("c_custkey < 50").select(F.col("c_custkey").alias("k"))
-    points = keys.join(t("orders").select(F.col("o_custkey").alias("k"), seconds("o_orderdate").alias("p")), "k", "left")
+    return _segments(t, "c_custkey < 50")
+
+
+def _segments(t, customers="true", orders="true"):
+    keys = t("customer").where(customers).select(F.col("c_custkey").alias("k"))
+    points = keys.join(t("orders").where(orders).select(F.col("o_custkey").alias("k"), seconds("o_orderdate").alias("p")), "k", "left")
     return ranks.segments(points, "k", "p", F.lit(6e8), F.lit(1.2e9))
 
 
+@query(f"""
+    with cuts as (select o_custkey k, {ODATE} p from orders where {ODATE} > 6e8 and {ODATE} < 1.2e9 and o_custkey in (select c_custkey from customer) union select c_custkey, 6e8 from customer union select c_custkey, 1.2e9 from customer)
+    select k, p::double as start, lead(p) over (partition by k order by p)::double as "end" from cuts qualify "end" is not null""")
+def segments_whole(t):
+    """W7 for every customer."""
+    return _segments(t)
+
+
 @query("""
     select o_orderkey, i as nth, round(case when n = 1 then o_totalprice / 2 else i * o_totalprice / (n - 1) end, 6) as start
     from (select o_orderkey, o_totalprice, 1 + o_orderkey % 5 as n, unnest(range(0, (1 + o_orderkey % 5)::bigint)) i from orders)""")
@@ -304,13 +316,26 @@ def capacity(t):
     from w left join (select * from f qualify row_number() over (partition by k, id order by abs(goal - start), goal) = 1) b on b.k = w.k and b.id = w.id""")
 def shot_align(t):
     """Windows moved into the nearest segment that holds them."""
-    keys = t("customer").where("c_custkey < 60").select(F.col("c_custkey").alias("k"))
-    points = keys.join(t("orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k"), seconds("o_orderdate").alias("p")), "k", "left")
-    parts = ranks.segments(points, "k", "p", F.lit(6e8), F.lit(1.2e9))
-    out = intervals.align_to_segments(_windows(t, 20, "o_custkey < 60"), parts, "k")
+    return _aligned(t, "c_custkey < 60", "o_custkey < 60")
+
+
+def _aligned(t, customers="true", orders="true"):
+    out = intervals.align_to_segments(_windows(t, 20, orders), _segments(t, customers, "o_orderstatus = 'F'"), "k")
     return out.select("k", "id", F.round("new_start", 3).alias("new_start"), "moved", "held")
 
 
+@query(f"""
+    with w as (select o_custkey k, o_orderkey id, {ODATE} as start, {ODATE} + 20 * 86400.0 as "end" from orders),
+    cuts as (select o_custkey k, {ODATE} p from orders where o_orderstatus = 'F' and {ODATE} > 6e8 and {ODATE} < 1.2e9 and o_custkey in (select c_custkey from customer) union select c_custkey, 6e8 from customer union select c_custkey, 1.2e9 from customer),
+    s as (select k, p as s, lead(p) over (partition by k order by p) as e from cuts qualify e is not null),
+    f as (select w.k, w.id, w.start, least(greatest(w.start, s.s), s.e - (w."end" - w.start)) as goal from w join s on s.k = w.k and s.e - s.s >= w."end" - w.start - 1e-9)
+    select w.k, w.id, round(coalesce(b.goal, w.start), 3) as new_start, abs(coalesce(b.goal, w.start) - w.start) > 1e-9 as moved, b.id is not null as held
+    from w left join (select * from f qualify row_number() over (partition by k, id order by abs(goal - start), goal) = 1) b on b.k = w.k and b.id = w.id""")
+def shot_align_whole(t):
+    """G5, W7 for every customer."""
+    return _aligned(t)
+
+
 @query("""
     select s.s_suppkey, round(coalesce((select min(abs(a.s_acctbal - s.s_acctbal)) from supplier a where a.s_nationkey = s.s_nationkey and a.s_suppkey % 2 = 1), 10000.0), 6) as distance
     from supplier s where s.s_suppkey % 2 = 0""")

@@ -149,9 +149,19 @@ def step_down(t):
 @query("select o_orderkey, o_totalprice as start, o_orderpriority as why, o_orderkey % 3 = 0 as fine from orders where o_orderkey < 2000")
 def payload_round_trip(t):
     """records through JSON and back, nested numbers checked."""
+    return _round_trip(t("orders").where("o_orderkey < 2000"))
+
+
+def _round_trip(orders):
     packed = F.to_json(F.struct(F.struct(F.col("o_totalprice").alias("start"), F.array("o_orderpriority").alias("reasons")).alias("window"), F.array(F.when(F.col("o_orderkey") % 3 == 0, 1.0).otherwise(float("nan"))).alias("scores")))
     back = F.from_json(packed, "window struct<start:double,reasons:array<string>>, scores array<double>", {"allowNonNumericNumbers": "true"})
-    return t("orders").where("o_orderkey < 2000").select("o_orderkey", back.window.start.alias("start"), back.window.reasons[0].alias("why"), F.forall(back.scores, lambda s: ~F.isnan(s)).alias("fine"))
+    return orders.select("o_orderkey", back.window.start.alias("start"), back.window.reasons[0].alias("why"), F.forall(back.scores, lambda s: ~F.isnan(s)).alias("fine"))
+
+
+@query("select o_orderkey, o_totalprice as start, o_orderpriority as why, o_orderkey % 3 = 0 as fine from orders")
+def payload_round_trip_whole(t):
+    """F27, F24 for every order."""
+    return _round_trip(t("orders"))
 
 
 @query("select c_custkey, case when c_custkey % 4 = 0 then 'decision' when c_nationkey % 2 = 0 then 'measurement' else 'measure' end as source from customer")
@@ -207,7 +217,15 @@ def exit_codes(t):
     select distinct k, n, least(0.30, greatest(0.05, 0.03 + 0.14 / sqrt(n)))::double as unsure from w where k < 100""")
 def base_uncertainty(t):
     """The uncertainty a number of samples leaves, clamped."""
-    counts = t("orders").where("o_custkey < 100").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"))
+    return _uncertainty(t("orders").where("o_custkey < 100"))
+
+
+def _uncertainty(orders):
+    counts = orders.groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"))
     return counts.select("k", "n", X.clamp(0.03 + 0.14 / F.sqrt("n"), 0.05, 0.30).alias("unsure"))
 
 
+@query("select o_custkey k, count(*) n, least(0.30, greatest(0.05, 0.03 + 0.14 / sqrt(count(*))))::double as unsure from orders group by o_custkey")
+def base_uncertainty_whole(t):
+    """A7 for every customer with orders."""
+    return _uncertainty(t("orders"))
