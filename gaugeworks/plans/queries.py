@@ -247,12 +247,21 @@ def running_percent(t):
 @query("select vec_id, i - 1 as pos, row_number() over (partition by vec_id order by (i - 1) <> arg, i) as rank from (select vec_id, unnest(range(1, 9)) i, list_position(embedding[1:8], list_min(embedding[1:8])) - 1 arg from embeddings)")
 def hardest_first(t):
     """The least score first, the others in order."""
-    rows = t("embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("s"))
+    return _hardest(t("embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("s")))
+
+
+def _hardest(rows):
     each = rows.select("vec_id", F.array_position("s", F.array_min("s")).alias("arg"), F.posexplode("s").alias("pos", "v"))
     place = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.col("pos") != F.col("arg") - 1, "pos"))
     return each.select("vec_id", F.col("pos").cast("long").alias("pos"), place.cast("long").alias("rank"))
 
 
+@query("select vec_id, i - 1 as pos, row_number() over (partition by vec_id order by (i - 1) <> arg, i) as rank from (select vec_id, unnest(range(1, len(embedding) + 1)) i, list_position(embedding, list_min(embedding)) - 1 arg from embeddings)")
+def hardest_first_whole(t):
+    """T8 over all places of an array."""
+    return _hardest(t("embeddings").select("vec_id", F.col("embedding").alias("s")))
+
+
 @query("select distinct lang, (row_number() over (order by lang <> 'en', lang))::bigint as place from (select distinct lang from documents where lang is not null)")
 def english_first(t):
     """Languages with English first (as many rows as languages)."""

@@ -43,3 +43,11 @@ def test_windows_go_to_the_nearest_segment_that_fits(spark):
     plan = joined._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in plan
     assert sorted(map(tuple, joined.collect())) == sorted((k, n, *brute(k, a, b)) for k, n, a, b in windows)
+
+
+def test_the_least_score_may_lie_at_any_place(spark):
+    vectors = {r.vec_id: r.embedding for r in plans.table(spark, DATA, "embeddings").collect()}
+    rows = plans.QUERIES["hardest_first_whole"](spark, DATA).collect()
+    first = {r.vec_id: r.pos for r in rows if r["rank"] == 1}
+    assert len(rows) == sum(map(len, vectors.values()))
+    assert first == {k: v.index(min(v)) for k, v in vectors.items()} and max(first.values()) >= 8
