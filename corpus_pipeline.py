@@ -12,8 +12,11 @@ from gaugeworks.llm.queries import fit_languages, table, tokenizer_path
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the language model rejects go: null texts, texts without a letter,
-    answers below its calibrated threshold."""
-    return language_id.identify(docs, fit_languages(docs)).where("not rejected").select(*docs.columns)
+    answers below its calibrated threshold.  Columns have other names meanwhile, so that
+    none is taken for one of the model's."""
+    own = [c if c == "text" else f"__{k}" for k, c in enumerate(docs.columns)]
+    kept = language_id.identify(docs.toDF(*own), fit_languages(docs)).where("not rejected")
+    return kept.select(*own).toDF(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

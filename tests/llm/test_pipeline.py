@@ -28,3 +28,12 @@ def test_empty_documents(spark):
     for name, stage in C.STAGES:
         docs = C.written(stage(spark, docs, DATA), name)
     assert docs.count() == 0
+
+
+def test_columns_named_like_the_models_keep_their_values(spark):
+    docs = table(spark, DATA, "documents")
+    docs = docs.withColumn("Score", F.concat(F.lit("s"), "doc_id")).withColumn("rejected", F.col("doc_id") * 2).withColumn("lang_pred", F.lit(True))
+    kept = C.identify_language(spark, docs, DATA)
+    assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
+    rows = kept.collect()
+    assert rows and all(r.Score == f"s{r.doc_id}" and r.rejected == 2 * r.doc_id and r.lang_pred is True for r in rows)
