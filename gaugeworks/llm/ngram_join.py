@@ -199,7 +199,7 @@ def verified(ids: list[int], copies: np.ndarray, sets: list[np.ndarray], chunk:
     return links, np.array([top(x) for x in range(n)], np.int64)
 
 
-def near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, text: str = "text", key: str = "doc_id", survivors: bool = False) -> DataFrame:
     """One row a row of ``docs``: ``key``, ``hash`` (of the exact text), ``class_id``
     (least key among the documents connected by links, own one included),
     ``n_links`` (other rows whose n-gram set is at least ``threshold`` alike, exact
@@ -209,6 +209,10 @@ def near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recal
     Null texts and texts without words have no links and stand alone.  Rows of equal
     key and text are copies of one another.  Rows with a null key come before all
     keys.  An empty table gives an empty one.
+
+    With ``survivors`` also ``stays``: whether the row has the key and text of the one
+    of its class with the least key, then the least hash.  Rows that are equal in key
+    and text stay together, rows that stand alone stay.
     """
     bands, rows = bands_for(threshold, recall)
     each = written(signatures(docs, key, text, n, bands, rows), "signatures")
@@ -250,10 +254,16 @@ def near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recal
     links = checked.groupBy("id").agg(F.sum("links").alias("links"))
     known = classes.select("hash", "rep_key", "copies", "id").join(roots, "id", "left").join(links, "id", "left")
     known = known.withColumn("root", F.coalesce("root", "id"))
-    low = known.groupBy("root").agg(F.min(F.struct(F.col("rep_key").isNotNull().alias("known"), "rep_key")).alias("low")).select("root", F.col("low.rep_key").alias("class_id"))
-    named = known.join(low, "root").select("hash", "rep_key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    least = [F.col("rep_key").isNotNull().alias("known"), "rep_key", *(["hash"] if survivors else [])]
+    low = known.groupBy("root").agg(F.min(F.struct(*least)).alias("low"))
+    low = low.select("root", F.col("low.rep_key").alias("class_id"), *([F.col("low.hash").alias("class_hash")] if survivors else []))
+    extra = ["class_hash"] if survivors else []
+    named = known.join(low, "root").select("hash", "rep_key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), *extra)
     alone = each.where("bands is null or size(bands) = 0").select("key", "hash", F.col("key").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("key").alias("rep_key"))
-    linked = each.where("size(bands) > 0").select("key", "hash").join(named, "hash").select("key", "hash", "class_id", "n_links", "rep_key")
+    linked = each.where("size(bands) > 0").select("key", "hash").join(named, "hash").select("key", "hash", "class_id", "n_links", "rep_key", *extra)
+    if survivors:
+        stays = F.col("key").eqNullSafe(F.col("class_id")) & (F.col("hash") == F.col("class_hash"))
+        linked, alone = linked.withColumn("stays", stays).drop("class_hash"), alone.withColumn("stays", F.lit(True))
     out = written(linked.unionByName(alone).withColumnRenamed("key", key), "near-copies")
     discard(each, classes, found, sizes, checked)
     return out
@@ -261,10 +271,11 @@ def near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recal
 
 def drop_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` with one row of each class of near copies: the one of
-    least key (any one of those if rows of equal key and text repeat)."""
-    found = near_copies(docs, n, threshold, recall, text, key)
+    least key, then least hash of the text (any one of those if rows of equal key and
+    text repeat)."""
+    found = near_copies(docs, n, threshold, recall, text, key, survivors=True)
     hashed = docs.withColumn("__hash", F.unhex(F.md5(docs[f"`{text}`"].cast("binary"))))
-    gone = found.where(~F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("__key"), F.col("hash").alias("__gone")).distinct()
+    gone = found.where("not stays").select(F.col(key).alias("__key"), F.col("hash").alias("__gone")).distinct()
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     kept = hashed.join(gone, F.col(key).cast("long").eqNullSafe(F.col("__key")) & F.col("__hash").eqNullSafe(F.col("__gone")), "left_anti")
     same = found.where(F.col("n_links") > 0).groupBy(key, "hash").count().where("count > 1")

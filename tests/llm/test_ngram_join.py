@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 from collections import defaultdict
@@ -76,6 +77,15 @@ def test_repeated_rows_in_any_script(spark):
     assert sorted(r.doc_id for r in J.drop_near_copies(frame(spark, rows)).collect()) == [1, 2, 3, 3]
 
 
+def test_near_copies_of_one_key_or_none_are_one_class(spark):
+    base = [sentence(random.Random(k), 120).split() for k in range(5)]
+    text = lambda k, n: " ".join([*base[k][:-1], f"end{n}"])
+    rows = [(5, text(0, 1)), (5, text(0, 2)), (5, text(0, 2)), (None, text(1, 1)), (None, text(1, 2)), (None, text(2, 1)), (None, text(2, 2)), (9, text(3, 1)), (None, text(3, 2)), (None, text(3, 3)), (7, text(4, 1)), (7, text(4, 2)), (6, text(4, 3))]
+    kept = sorted(((r.doc_id, r.text) for r in J.drop_near_copies(frame(spark, rows).repartition(3)).collect()), key=str)
+    least = lambda k: min((t for i, t in rows if t.split()[0] == base[k][0] and i == (5 if k == 0 else 6 if k == 4 else None)), key=lambda t: hashlib.md5(t.encode()).digest())
+    assert kept == sorted([(5, least(0)), *((None, least(k)) for k in (1, 2, 3)), (6, least(4))], key=str)
+
+
 def test_empty(spark):
     assert J.near_copies(frame(spark, [])).count() == 0
     assert J.drop_near_copies(frame(spark, [])).count() == 0
