@@ -41,10 +41,9 @@ def search_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 def live_state_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R1 as a stream: the same state as the batch fold."""
     root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    name = "live_" + uuid.uuid4().hex[:12]
     fields = {"last_type": F.col("event_type"), "last_large": F.when(F.col("value") > 50, F.col("value")), "last_event": F.col("event_id")}
     stream = fold.live_fold(fold.read_events(spark, f"{sf_dir}/events.parquet"), "user_id", ["event_id"], fields)
-    return fold.drain(stream, name, f"{root}/{name}")
+    return fold.settled(stream, f"{root}/live_{uuid.uuid4().hex[:12]}")
 
 
 QUERIES = {f.__name__: f for f in (sample_plan, search_trace, live_state_fold)}

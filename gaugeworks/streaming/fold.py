@@ -38,9 +38,22 @@ def error_lines(lines: DataFrame, text: str = "value") -> DataFrame:
     return lines.where(classify_line(F.col(text)) == "error")
 
 
+def settled(stream: DataFrame, folder: str) -> DataFrame:
+    """Run what is there now and return the whole state, which the executors write to
+    Parquet in ``folder``, each batch over the one before."""
+    spark, state = stream.sparkSession, f"{folder}/state"
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(state)
+
+    def put(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(state)
+
+    query = stream.writeStream.foreachBatch(put).outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(state)
+
+
 def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run what is there now into an in-memory table and return it (tests and queries of
-    bounded results)."""
+    """Run what is there now into an in-memory table of the driver and return it (tests)."""
     query: StreamingQuery = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)

@@ -2,9 +2,12 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from gaugeworks.operators import intervals
+from gaugeworks.plans import folds, rules
 from gaugeworks.plans import queries as plans
-from gaugeworks.plans import rules
+from gaugeworks.streaming import fold
 
 DATA = "/root/testdata/sf0.001"
 
@@ -51,3 +54,16 @@ def test_the_least_score_may_lie_at_any_place(spark):
     first = {r.vec_id: r.pos for r in rows if r["rank"] == 1}
     assert len(rows) == sum(map(len, vectors.values()))
     assert first == {k: v.index(min(v)) for k, v in vectors.items()} and max(first.values()) >= 8
+
+
+def test_live_state_lies_in_files_not_in_the_driver(spark, tmp_path):
+    got = folds.live_state_fold(spark, DATA)
+    assert got.inputFiles() and all(f.endswith(".parquet") for f in got.inputFiles())
+    events = plans.table(spark, DATA, "events")
+    assert keys(got, "user_id") == keys(events, "user_id")
+    events.limit(0).write.parquet(f"{tmp_path}/none.parquet")
+    none = fold.read_events(spark, f"{tmp_path}/none.parquet")
+    assert fold.settled(fold.live_fold(none, "user_id", ["event_id"], {"last": F.col("event_id")}), f"{tmp_path}/out").count() == 0
+    events.repartition(3).write.parquet(f"{tmp_path}/some.parquet")
+    some = fold.read_events(spark, f"{tmp_path}/some.parquet", files_per_batch=1)
+    assert keys(fold.settled(fold.live_fold(some, "user_id", ["event_id"], {"last": F.col("event_id")}), f"{tmp_path}/many"), "user_id") == keys(events, "user_id")
