@@ -152,7 +152,10 @@ class ArchiveReader(DataSourceReader):
                         media = member_bytes(shared, m)
                     error = None
                     break
-                except (OSError, ValueError, struct.error) as e:
+                except OSError:  # storage that stays away is the task's failure, not the member's
+                    if attempt == TRIES - 1:
+                        raise
+                except (ValueError, struct.error) as e:
                     error = f"{type(e).__name__}: {e}"
             rows.append((partition.archive, m.header_offset, m.filename, media, error))
             held += len(media or b"")
@@ -211,8 +214,8 @@ def feature(payload: bytes) -> str:
 
 
 def media_features(members: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Digests and features of the members read back.  An unreadable member keeps
-    its row, with nulls and its ``error``."""
+    """Digests and features of the members read back.  A damaged member keeps its row,
+    with nulls and its ``error``; one that storage doesn't give fails the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(key, pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("error", pa.string())])

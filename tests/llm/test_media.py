@@ -49,5 +49,26 @@ def test_a_damaged_member_is_a_row_with_its_error(spark, monkeypatch):
     assert got[1].error and got[1].payload_sha256 is None and got[2].error is None and got[2].n_bytes == 300
 
 
+def test_lost_storage_fails_the_task_and_a_short_gap_does_not(spark, monkeypatch):
+    monkeypatch.setattr(M.time, "sleep", lambda s: None)
+    _, folder = M.write_archives(frame(spark, [(1, "one" * 100)]).coalesce(1))
+    reader, real, calls = M.ArchiveReader({"path": folder}), M.member_bytes, []
+
+    def failing(times):
+        def read(f, m):
+            calls.append(m)
+            if len(calls) <= times:
+                raise OSError("storage is away")
+            return real(f, m)
+
+        calls.clear()
+        monkeypatch.setattr(M, "member_bytes", read)
+        return [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+
+    assert [(r["error"], r["media"] is None) for r in failing(M.TRIES - 1)] == [(None, False)]
+    with pytest.raises(OSError):
+        failing(M.TRIES)
+
+
 def test_empty(spark):
     assert M.media_columns(frame(spark, [])).count() == 0
