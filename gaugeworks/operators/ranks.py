@@ -16,13 +16,7 @@ from pyspark.sql import functions as F
 def midrank(df: DataFrame, metric: str, key: Sequence[str] = (), out: str = "midrank") -> DataFrame:
     """``df`` with the mid-rank of ``metric`` in 0..1 within ``key``: ties share the mean
     of their places; a lone row gets 0.5."""
-    if not key:
-        return global_midrank(df, metric, out)
-    by = Window.partitionBy(*key)
-    low = F.rank().over(by.orderBy(metric)) - 1
-    ties = F.count("*").over(Window.partitionBy(*key, metric)) - 1
-    n = F.count("*").over(by)
-    return df.withColumn(out, F.when(n == 1, 0.5).otherwise((low + ties / F.lit(2.0)) / (n - 1)))
+    return keyed_midrank(df, metric, key, out) if key else global_midrank(df, metric, out)
 
 
 def _ranged(df: DataFrame, parts: int, order: Sequence[str]) -> DataFrame:
@@ -48,6 +42,30 @@ def global_midrank(df: DataFrame, metric: str, out: str = "midrank", parts: int
     return df.join(ranked, F.col(metric).eqNullSafe(F.col("__v"))).drop("__v")
 
 
+def keyed_midrank(df: DataFrame, metric: str, key: Sequence[str], out: str = "midrank", parts: int | None = None) -> DataFrame:
+    """The same within each key, which may be a large part of the table: counts by key
+    and value, running sums inside ranges, and one offset a key and range."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [f"__k{i}" for i in range(len(key))]
+    counts = df.groupBy(*[F.col(k).alias(n) for k, n in zip(key, names)], F.col(metric).alias("__v")).agg(F.count("*").alias("__c"))
+    ranged = _ranged(counts, parts, [*names, "__v"])
+    totals = ranged.groupBy("__p", *names).agg(F.sum("__c").alias("__t"))
+    before = F.sum("__t").over(Window.partitionBy(*names).orderBy("__p")) - F.col("__t")
+    offsets = totals.select(F.col("__p").alias("__q"), *[F.col(n).alias(f"{n}o") for n in names], before.alias("__o"), F.sum("__t").over(Window.partitionBy(*names)).alias("__n"))
+    inner = F.sum("__c").over(Window.partitionBy("__p", *names).orderBy("__v")) - F.col("__c")
+    same = F.col("__p") == F.col("__q")
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(f"{n}o"))
+    placed = ranged.withColumn("__i", inner).join(offsets, same)
+    low = F.col("__o") + F.col("__i")
+    rank = F.when(F.col("__n") == 1, 0.5).otherwise((low + (F.col("__c") - 1) / F.lit(2.0)) / (F.col("__n") - 1))
+    ranked = placed.select(*names, "__v", rank.alias(out))
+    of = F.col(metric).eqNullSafe(F.col("__v"))
+    for k, n in zip(key, names):
+        of = of & F.col(k).eqNullSafe(F.col(n))
+    return df.join(ranked, of).drop("__v", *names)
+
+
 def risk(raw: Column, rank: Column, scale: float) -> Column:
     """0.55 of the value on its scale and 0.45 of its rank."""
     return 0.55 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw / scale)) + 0.45 * rank

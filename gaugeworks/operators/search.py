@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 STEP = 1000
 LIMIT = 8
@@ -63,23 +64,33 @@ def search(measure: Callable[[int], float], least: int, budget: int, ceiling: in
     return p, None, None
 
 
+def by_step(measured: DataFrame, key: str, setting: str, quality: str) -> DataFrame:
+    """(key, step, x0, y0, x1, y1): the first and last measured row of every ``STEP``.  A
+    search tries multiples of ``STEP`` only, so it needs no other rows."""
+    first, last = F.min(F.struct(F.col(setting).alias("x"), F.col(quality).alias("y"))), F.max(F.struct(F.col(setting).alias("x"), F.col(quality).alias("y")))
+    rows = measured.groupBy(key, F.ceil(F.col(setting) / STEP).alias("step")).agg(first.alias("first"), last.alias("last"))
+    return rows.select(key, "step", F.col("first.x").alias("x0"), F.col("first.y").alias("y0"), F.col("last.x").alias("x1"), F.col("last.y").alias("y1"))
+
+
 def search_measured(measured: DataFrame, key: str, setting: str, quality: str, target: float, tolerance: int = STEP) -> DataFrame:
     """The searches of many sources over curves already measured: between two measured
-    settings the lower one's quality holds.  (key, tries, selected, required); a source
-    has a handful of settings."""
+    settings the lower one's quality holds.  (key, tries, selected, required); a fold
+    holds a row a ``STEP`` of its source's settings, however many were measured."""
     kind = measured.schema[key].dataType.simpleString()
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([setting, quality])
-        x, y = rows[setting].to_numpy(), rows[quality].to_numpy()
+        rows = rows.sort_values("step")
+        steps, y = rows["step"].to_numpy(), rows["y1"].to_numpy()
+        low, high = int(rows["x0"].iloc[0]), int(rows["x1"].iloc[-1])
 
         def at(value: int) -> float:
-            return float(y[max(0, int(x.searchsorted(value, "right")) - 1)])
+            place = int(steps.searchsorted(value // STEP, "right")) - 1
+            return float(y[place] if place >= 0 else rows["y0"].iloc[0])
 
-        p, selected, required = search(at, int(x[0]), int((x[0] + x[-1]) // 2), int(x[-1]) + STEP, target, tolerance)
+        p, selected, required = search(at, low, (low + high) // 2, high + STEP, target, tolerance)
         return pd.DataFrame({key: [rows[key].iloc[0]], "tries": [len(p.tried)], "selected": pd.array([selected], "Int64"), "required": pd.array([required], "Int64")})
 
-    return measured.groupBy(key).applyInPandas(run, f"{key} {kind}, tries long, selected long, required long")
+    return by_step(measured, key, setting, quality).groupBy(key).applyInPandas(run, f"{key} {kind}, tries long, selected long, required long")
 
 
 def verify_rounds(select: Callable[[set], int | None], holdouts: Callable[[int], set], most: int = 4) -> tuple[int | None, set, int]:

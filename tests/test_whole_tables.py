@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from gaugeworks.operators import intervals
+from gaugeworks.operators import intervals, ranks, robust, search
 from gaugeworks.plans import folds, rules
 from gaugeworks.plans import queries as plans
 from gaugeworks.streaming import fold
@@ -67,3 +69,42 @@ def test_live_state_lies_in_files_not_in_the_driver(spark, tmp_path):
     events.repartition(3).write.parquet(f"{tmp_path}/some.parquet")
     some = fold.read_events(spark, f"{tmp_path}/some.parquet", files_per_batch=1)
     assert keys(fold.settled(fold.live_fold(some, "user_id", ["event_id"], {"last": F.col("event_id")}), f"{tmp_path}/many"), "user_id") == keys(events, "user_id")
+
+
+def test_ranks_of_a_hot_key_need_no_window_over_its_rows(spark):
+    rng = random.Random(2)
+    rows = [(n, "hot" if n % 10 else rng.choice(["a", None]), rng.choice([None, *map(float, range(40))])) for n in range(400)] + [(400, "lone", 1.0)]
+    ranked = ranks.midrank(spark.createDataFrame(rows, "n long, k string, v double"), "v", ["k"])
+    assert "rank(" not in ranked._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.n: r.midrank for r in ranked.collect()}
+    for n, k, v in rows:
+        own = [-1.0 if w is None else w for _, j, w in rows if j == k]
+        at = -1.0 if v is None else v
+        low, ties = sum(w < at for w in own), own.count(at) - 1
+        assert got[n] == pytest.approx(0.5 if len(own) == 1 else (low + ties / 2) / (len(own) - 1))
+    assert len(got) == len(rows)
+
+
+def test_searches_hold_a_row_a_step_and_find_the_same(spark):
+    rng = random.Random(6)
+    rows = [(k, rng.randint(1, 9000 * (k % 5 + 1)), float(rng.randint(0, 60))) for k in range(12) for _ in range(rng.choice([1, 2, 9, 900]))]
+    measured = spark.createDataFrame(rows, "k long, x long, y double")
+    assert search.by_step(measured, "k", "x", "y").groupBy("k").count().agg(F.max("count")).first()[0] <= 45
+    got = {r.k: (r.tries, r.selected, r.required) for r in search.search_measured(measured, "k", "x", "y", 40.0).collect()}
+    for k in range(12):
+        own = sorted((x, y) for j, x, y in rows if j == k)
+        at = lambda v: ([y for x, y in own if x <= v] or [own[0][1]])[-1]
+        p, selected, required = search.search(at, own[0][0], (own[0][0] + own[-1][0]) // 2, own[-1][0] + search.STEP, 40.0)
+        assert got[k] == (len(p.tried), selected, required)
+
+
+@pytest.mark.parametrize("n", [2, 3, 60, 61, 63])
+def test_middle_slopes_from_counts_equal_the_median(n, monkeypatch):
+    rng = np.random.default_rng(n)
+    x, y = rng.permutation(n).astype(float), rng.integers(-9, 9, n) * rng.choice([1.0, 1e-7, 1e9])
+    want = robust.slopes_median(x, y)
+    monkeypatch.setattr(robust, "HELD", 0)
+    assert robust.slopes_median(x, y) == want
+    assert robust.slopes_median(np.ones(n), y) is None
+    monkeypatch.setattr(robust, "HELD", 100)
+    assert robust.slopes_median(x, y) == want and max(map(len, robust.slope_blocks(x, y, 1e-9))) < 100 + n
