@@ -24,9 +24,10 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import LongType, StringType
 
 from gaugeworks.llm.arrowtext import column_bytes, pieces
-from gaugeworks.llm.cluster import ready
+from gaugeworks.llm.cluster import carried, fields, ready
 from gaugeworks.llm.pretokens import Known, Split
 
 
@@ -161,23 +162,21 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, text: str = "text", outputs
     (decimal, blank-joined), ``decoded``, ``ids_sha256``, ``decoded_sha256``.
 
     A null text counts as empty: no ids, an empty decoded text.  An output whose
-    name ``docs`` already has replaces that column.  Texts are encoded whole,
-    however long; repeated rows give repeated rows; an empty table an empty one.
+    name ``docs`` already has, in any case, replaces that column.  Texts are encoded
+    whole, however long; repeated rows give repeated rows; an empty table an empty one.
     """
-    types = {"n_tokens": "long", "ids": "string", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
-    kept = [f for f in docs.schema.fields if f.name not in outputs]
-    carried = [f.name for f in kept]
-    source = docs.select(*[docs[f"`{c}`"] for c in carried], docs[f"`{text}`"].alias("__text"))
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"`{o}` {types[o]}" for o in outputs)])
+    made = fields(**{o: LongType() if o == "n_tokens" else StringType() for o in outputs})
+    source, schema, kept = carried(docs, made, text)
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(tokenizer_path)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(kept)
             _, at = column_bytes(texts)
             for i, j in pieces(at, PIECE):
                 found = bpe.encode_texts([t or "" for t in texts.slice(i, j - i).to_pylist()])
-                made = {
+                outcome = {
                     "n_tokens": lambda: pa.array([f[2] for f in found], pa.int64()),
                     "ids": lambda: pa.array([f[0] for f in found], pa.string()),
                     "decoded": lambda: pa.array([f[1] for f in found], pa.string()),
@@ -185,7 +184,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, text: str = "text", outputs
                     "decoded_sha256": lambda: pa.array([hashlib.sha256(f[1].encode()).hexdigest() for f in found], pa.string()),
                 }
                 own = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*(own.column(k) for k in range(len(carried))), *(made[o]() for o in outputs)], names=[*carried, *outputs])
+                yield pa.RecordBatch.from_arrays([*(own.column(k) for k in range(kept)), *(outcome[o]() for o in outputs)], names=names)
 
     ready(docs.sparkSession)
-    return source.mapInArrow(run, fields)
+    return source.mapInArrow(run, schema)

@@ -10,12 +10,17 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StructField, StructType
 
 PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
 
 #: Rows and bytes of one Arrow batch: what a Python worker holds at a time.
 BATCH_ROWS = 2000
 BATCH_BYTES = 8 << 20
+#: A key is hot above so many rows and above this share of all; that bounds the hot ones.
+HOT_ROWS = 1000
+HOT_KEYS = 50_000
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -70,6 +75,43 @@ def discard(*tables: DataFrame) -> None:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def carried(docs: DataFrame, made: StructType, text: str) -> tuple[DataFrame, StructType, int]:
+    """What a map over ``docs`` reads and returns: the columns that no made one replaces
+    (names are compared without case, as Spark does) and the text as the last one; the
+    schema of those columns and the made ones; how many columns are kept."""
+    names = [f.name.lower() for f in docs.schema.fields]
+    taken = {f.name.lower() for f in made.fields}
+    kept = [k for k, n in enumerate(names) if n not in taken]
+    own = docs.toDF(*(f"c{k}" for k in range(len(names))))
+    at = docs.columns.index(text) if text in docs.columns else names.index(text.lower())
+    source = own.select(*(f"c{k}" for k in kept), F.col(f"c{at}").alias("t"))
+    return source, StructType([*(docs.schema.fields[k] for k in kept), *made.fields]), len(kept)
+
+
+def fields(**types: object) -> StructType:
+    return StructType([StructField(name, kind) for name, kind in types.items()])
+
+
+def whole_key(docs: DataFrame, key: str):
+    """The key column as a long.  Keys are integers (or all null); others are refused
+    before any work, as their order and their place in files are not defined."""
+    kind = docs.select(docs[f"`{key}`"]).schema[0].dataType
+    if not isinstance(kind, IntegralType) and kind.typeName() != "void":
+        raise ValueError(f"{key} is {kind.simpleString()}; integers are needed")
+    return docs[f"`{key}`"].cast("long")
+
+
+def join_with_hot(rows: DataFrame, named: DataFrame, key: list[str], weight: str, total: int) -> DataFrame:
+    """``rows`` joined with ``named`` (one row a key, ``weight`` rows of ``rows`` each, of
+    ``total`` in all), where a few keys may hold most rows.  Keys above a ``HOT_KEYS``-th of
+    ``total`` are fewer than ``HOT_KEYS``, whatever the input: those are broadcast and
+    their rows stay where they are; the others meet by a shuffle."""
+    least = max(HOT_ROWS, total // HOT_KEYS)
+    hot, rest = named.where(F.col(weight) > least), named.where(F.col(weight) <= least)
+    marked = F.broadcast(hot.select(*key))
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(marked, key, "left_anti").join(rest, key))
+
+
 def filesystem(uri: str):
     """pyarrow filesystem and path of a URI, usable in a task."""
     from pyarrow import fs

@@ -15,11 +15,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType
 
 from gaugeworks.llm.arrowtext import IS_WORD, LOWER, by_text, column_bytes, pieces
-from gaugeworks.llm.cluster import ready
+from gaugeworks.llm.cluster import carried, fields, ready
 from gaugeworks.llm.hashed import Sparse, logistic, word_counts
-from gaugeworks.llm.sampling import per_class
+from gaugeworks.llm.sampling import example_texts, first_rows, per_class
 
 BITS = 18
 BINS = 12
@@ -130,32 +131,34 @@ def train(texts: Sequence[str], target: Sequence[int], epochs: int = 6, rate: fl
 
 def fit_quality(docs: DataFrame, labels: DataFrame, each: int = 2500, text: str = "text", label: str = "quality", key: str = "doc_id") -> FactorMachine:
     """Train on about ``each`` labelled documents of either label (at most four times
-    as many in all).  Null labels and texts are no examples."""
+    as many in all, of texts up to ``sampling.MOST_BYTES``).  Null labels and texts are
+    no examples; repeated rows are one example."""
     rows = labels.select(labels[f"`{key}`"].alias("key"), labels[f"`{label}`"].cast("int").alias("label")).where("label in (0, 1)")
-    chosen = per_class(rows, "key", "label", each)
-    sample = docs.select(docs[f"`{key}`"].alias("key"), docs[f"`{text}`"].alias("text")).where("text is not null").join(F.broadcast(chosen), "key").limit(4 * each).collect()
+    found = example_texts(docs, text, key).join(F.broadcast(per_class(rows, "label", each)), "key")
+    sample = first_rows(found, 4 * each).collect()
     sample.sort(key=lambda r: (str(r.key), r.text))
     return train([r.text for r in sample], [r.label for r in sample])
 
 
 def score_quality(docs: DataFrame, model: FactorMachine, text: str = "text") -> DataFrame:
     """All columns of ``docs``, ``score`` (0 to 1) and ``predicted`` (1 from 0.7 on).
-    Null texts count as empty and are scored like any text."""
-    made = ["score", "predicted"]
-    kept = [f for f in docs.schema.fields if f.name not in made]
-    spark = ready(docs.sparkSession)
-    shipped = spark.sparkContext.broadcast(model)
-    source = docs.select(*[docs[f"`{f.name}`"] for f in kept], docs[f"`{text}`"].alias("__text"))
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "score double, predicted int"])
+
+    Null texts count as empty and are scored like any text; long texts are scored
+    whole; repeated rows give repeated rows, an empty table an empty one.  Columns of
+    these names, in any case, are replaced."""
+    made = fields(score=DoubleType(), predicted=IntegerType())
+    shipped = ready(docs.sparkSession).sparkContext.broadcast(model)
+    source, schema, kept = carried(docs, made, text)
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = shipped.value
         for batch in batches:
-            raw, at = column_bytes(batch.column(len(kept)))
+            raw, at = column_bytes(batch.column(kept))
             for i, j in pieces(at, 2 << 20):
                 rows, _ = features(raw[at[i] : at[j]], at[i : j + 1] - at[i], machine.edges)
                 score = machine.scores(rows)
                 own = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*(own.column(k) for k in range(len(kept))), pa.array(score), pa.array((score >= PASS).astype(np.int32))], names=[*(f.name for f in kept), *made])
+                yield pa.RecordBatch.from_arrays([*(own.column(k) for k in range(kept)), pa.array(score), pa.array((score >= PASS).astype(np.int32))], names=names)
 
-    return source.mapInArrow(run, fields)
+    return source.mapInArrow(run, schema)

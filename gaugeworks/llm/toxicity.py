@@ -15,11 +15,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType
 
 from gaugeworks.llm.arrowtext import column_bytes, pieces
-from gaugeworks.llm.cluster import ready
+from gaugeworks.llm.cluster import carried, fields, ready
 from gaugeworks.llm.hashed import Sparse, logistic, word_counts
-from gaugeworks.llm.sampling import per_class
+from gaugeworks.llm.sampling import example_texts, first_rows, per_class
 
 BITS = 20
 FOLDS = 4
@@ -128,13 +129,14 @@ def best_threshold(score: np.ndarray, target: np.ndarray) -> float:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, categories: Sequence[str], each: int = 1500, text: str = "text", key: str = "doc_id") -> ToxicityChain:
     """Train on about ``each`` labelled documents of every combination of the 0/1
-    label columns ``categories`` (at most ``2 * each`` times the combinations).  Rows
-    with a null label are no examples."""
+    label columns ``categories`` (at most ``2 * each`` times the combinations, of texts
+    up to ``sampling.MOST_BYTES``).  Rows with a null label are no examples; repeated
+    rows are one example."""
     rows = labels.select(labels[f"`{key}`"].alias("key"), *(labels[f"`{c}`"].cast("int").alias(f"y{i}") for i, c in enumerate(categories))).dropna()
     rows = rows.withColumn("combined", F.concat_ws("", *(F.col(f"y{i}").cast("string") for i in range(len(categories)))))
-    chosen = per_class(rows, "key", "combined", each).drop("combined")
-    bound = 2 * each * 2 ** len(categories)
-    sample = docs.select(docs[f"`{key}`"].alias("key"), docs[f"`{text}`"].alias("text")).where("text is not null").join(F.broadcast(chosen), "key").limit(bound).collect()
+    chosen = per_class(rows, "combined", each).drop("combined")
+    found = example_texts(docs, text, key).join(F.broadcast(chosen), "key")
+    sample = first_rows(found, 2 * each * 2 ** len(categories)).collect()
     sample.sort(key=lambda r: (str(r.key), r.text))
     targets = np.array([[r[f"y{i}"] for i in range(len(categories))] for r in sample]).reshape(-1, len(categories))
     return train_chain([r.text for r in sample], targets, categories)
@@ -143,24 +145,24 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, categories: Sequence[str],
 def score_toxicity(docs: DataFrame, chain: ToxicityChain, text: str = "text", threshold: float | None = None) -> DataFrame:
     """All columns of ``docs``, a probability ``p_<category>`` for each category and
     ``toxic``: the last category's probability is at least ``threshold`` (by default
-    the chain's own, set on training rows scored unseen).  Null and
-    empty texts are scored as texts without words; the columns replace others of
-    their names."""
-    made = [*(f"p_{c}" for c in chain.categories), "toxic"]
-    kept = [f for f in docs.schema.fields if f.name not in made]
-    spark = ready(docs.sparkSession)
-    shipped = spark.sparkContext.broadcast(chain)
-    source = docs.select(*[docs[f"`{f.name}`"] for f in kept], docs[f"`{text}`"].alias("__text"))
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"`{c}` double" for c in made[:-1]), "toxic boolean"])
+    the chain's own, set on training rows scored unseen).
+
+    Null and empty texts are scored as texts without words; long texts are scored
+    whole; repeated rows give repeated rows, an empty table an empty one.  Columns of
+    these names, in any case, are replaced."""
+    made = fields(**{f"p_{c}": DoubleType() for c in chain.categories}, toxic=BooleanType())
+    shipped = ready(docs.sparkSession).sparkContext.broadcast(chain)
+    source, schema, kept = carried(docs, made, text)
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
         least = model.threshold if threshold is None else threshold
         for batch in batches:
-            raw, at = column_bytes(batch.column(len(kept)))
+            raw, at = column_bytes(batch.column(kept))
             for i, j in pieces(at):
                 p = model.probabilities(presence(raw[at[i] : at[j]], at[i : j + 1] - at[i]))
                 own = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*(own.column(k) for k in range(len(kept))), *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(p[:, -1] >= least)], names=[*(f.name for f in kept), *made])
+                yield pa.RecordBatch.from_arrays([*(own.column(k) for k in range(kept)), *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(p[:, -1] >= least)], names=names)
 
-    return source.mapInArrow(run, fields)
+    return source.mapInArrow(run, schema)
