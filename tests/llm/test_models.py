@@ -119,8 +119,91 @@ def test_chain_learns_from_unseen_probabilities(spark):
 
 def test_samples_are_bounded_and_repeatable(spark):
     rows = spark.range(5000).select("id", F.when(F.col("id") < 4000, "a").when(F.col("id") < 4990, "b").alias("y"))
-    got = sampling.per_class(rows, "id", "y", 100)
+    got = sampling.per_class(rows, "y", 100)
     counts = {r.y: r["count"] for r in got.groupBy("y").count().collect()}
     assert counts[None] == 10 and 60 < counts["a"] < 150 and 60 < counts["b"] < 150
-    assert sorted(r.id for r in got.collect()) == sorted(r.id for r in sampling.per_class(rows.repartition(7), "id", "y", 100).collect())
-    assert sampling.per_class(rows.limit(0), "id", "y", 100).count() == 0
+    assert sorted(r.id for r in got.collect()) == sorted(r.id for r in sampling.per_class(rows.repartition(7), "y", 100).collect())
+    assert sampling.per_class(rows.limit(0), "y", 100).count() == 0
+
+
+def test_no_class_is_left_out_and_repeats_count_once(spark, monkeypatch):
+    rows = spark.range(6000).select((F.col("id") % 3000).alias("id"), (F.col("id") % 600).cast("string").alias("y"))
+    counts = sampling.per_class(rows, "y", 50).groupBy("y").count().collect()
+    assert len(counts) == 600 and {r["count"] for r in counts} == {5}
+    monkeypatch.setattr(sampling, "MOST_CLASSES", 599)
+    with pytest.raises(ValueError):
+        sampling.per_class(rows, "y", 50)
+
+
+def test_text_of_an_untaught_language_is_rejected(spark):
+    docs = queries.table(spark, DATA, "documents")
+    model = queries.fit_languages(docs)
+    strange = ["これは日本語の文章です。とても長い文ではありません。", "Это предложение написано на русском языке и довольно короткое.", "αυτό είναι ελληνικά και μάλλον άγνωστο", "Bu cümle Türkçe yazılmıştır ve model bunu bilmiyor", "qwzx vkjq xzzq wvvk qqxz jjkw zxqv wkjx qzvx"]
+    frame_ = spark.createDataFrame(list(enumerate(strange)), "doc_id long, text string")
+    assert [r.rejected for r in L.identify(frame_, model).orderBy("doc_id").collect()] == [True] * len(strange)
+    held = L.identify(docs.where(sampling.bucket_of(F.col("doc_id"), 3) == 1).where("text rlike '\\\\p{L}'"), model)
+    assert held.where("rejected").count() <= 0.001 * held.count() + 1
+
+
+def test_columns_of_any_name_and_type_are_carried(spark):
+    model = L.train([t for _, t, _ in corpus(60)], [x for _, _, x in corpus(60)])
+    machine = Q.train(["good words here"] * 20 + ["!!! ***"] * 20, [1] * 20 + [0] * 20)
+    chain = T.train_chain(["fine words"] * 20 + ["foul idiot"] * 20, np.repeat([[0], [1]], 20, axis=0), ["foul"])
+    docs = frame(spark, awkward()).select("*", F.struct(F.lit(1).alias("a b")).alias("odd name"), F.lit("x").alias("SCORE"), F.lit(2).alias("Rejected"), F.lit(3).alias("TOXIC"), F.lit(4).alias("t"))
+    for found, gone in ((L.identify(docs, model), {"score", "rejected"}), (Q.score_quality(docs, machine), {"score"}), (T.score_toxicity(docs, chain), {"toxic"})):
+        kept = [c for c in docs.columns if c.lower() not in gone]
+        assert found.columns[: len(kept)] == kept and len({c.lower() for c in found.columns}) == len(found.columns)
+        assert found.select("`odd name`.`a b`", "t").distinct().collect() == [(1, 4)] and found.count() == docs.count()
+
+
+def test_chain_equals_a_plain_loop():
+    rng = random.Random(8)
+    texts = [speak(rng, "aa", 12) + (" idiot" if k % 3 == 0 else "") for k in range(60)]
+    targets = np.array([[k % 2, k % 3 == 0] for k in range(60)], int)
+    chain = T.train_chain(texts, targets, ["loud", "foul"])
+    raw, at = column_bytes(pa.array(texts))
+    got = chain.probabilities(T.presence(raw, at))
+    for i, t in enumerate(texts):
+        alone = T.presence(*column_bytes(pa.array([t])))
+        earlier = []
+        for k, model in enumerate(chain.models):
+            weight = dict(zip(model.index.tolist(), model.weight.tolist()))
+            z = model.bias + sum(weight.get(j, 0.0) for j in alone.row(0)[0].tolist()) + sum(w * p for w, p in zip(model.chain, earlier))
+            earlier.append(1 / (1 + math.exp(-z)))
+            assert got[i, k] == pytest.approx(earlier[k], abs=1e-5)
+
+
+def test_linear_training_equals_a_plain_loop():
+    """The regularised leader weight by weight, without arrays."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("a b c d e f".split()) for _ in range(rng.randint(0, 6))) for _ in range(20)]
+    rows = T.presence(*column_bytes(pa.array(texts)))
+    target, earlier, use = np.array([k % 2 for k in range(20)], float), np.random.default_rng(1).random((20, 1)), np.arange(3, 20)
+    model = T.fit_linear(rows, earlier, target, use, epochs=2)
+    z, n, penalty = {}, {}, min(T.MOST_SPARSITY, T.SPARSITY * len(use))
+
+    def weight(j):
+        a, most = z.get(j, 0.0), 0.0 if isinstance(j, str) else penalty
+        return 0.0 if abs(a) <= most else -(a - math.copysign(most, a)) / ((1 + math.sqrt(n.get(j, 0.0))) / 0.3 + 0.1)
+
+    order = np.random.default_rng(5)
+    for _ in range(2):
+        for i in order.permutation(use):
+            x = {**{j: 1.0 for j in rows.row(i)[0].tolist()}, "chain": earlier[i, 0], "bias": 1.0}
+            held = {j: weight(j) for j in x}
+            off = 1 / (1 + math.exp(-sum(held[j] * v for j, v in x.items()))) - target[i]
+            for j, v in x.items():
+                g = off * v
+                s = (math.sqrt(n.get(j, 0.0) + g * g) - math.sqrt(n.get(j, 0.0))) / 0.3
+                z[j], n[j] = z.get(j, 0.0) + g - s * held[j], n.get(j, 0.0) + g * g
+    assert model.bias == pytest.approx(weight("bias")) and model.chain[0] == pytest.approx(weight("chain"))
+    assert dict(zip(model.index.tolist(), model.weight.tolist())) == pytest.approx({j: weight(j) for j in z if not isinstance(j, str) and weight(j)}, abs=1e-5)
+
+
+def test_toxicity_on_the_tables(spark):
+    found = queries.op1_toxicity(spark, DATA)
+    assert found.count() == 1000 and found.columns == ["doc_id", "held_out", "p_poor", "p_toxicity", "toxic"]
+    rows = found.withColumnRenamed("toxic", "said").join(queries.table(spark, DATA, "labels"), "doc_id").collect()
+    clean = [r.said for r in rows if r.toxic == 0]
+    bad = [r.said for r in rows if r.toxic == 1]
+    assert sum(clean) <= 0.03 * len(clean) and sum(bad) >= 0.7 * len(bad)  # 51 bad ones, of which some 40 are learned from
