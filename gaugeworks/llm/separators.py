@@ -9,22 +9,22 @@ blocks before, which stitches documents that cross blocks.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
 from gaugeworks.llm.arrowtext import column_bytes, pieces
 from gaugeworks.llm.bpe import PIECE
 from gaugeworks.llm.byte_tokens import tokens_of
-from gaugeworks.llm.cluster import filesystem, new_folder, put, ready, written
+from gaugeworks.llm.cluster import fields, filesystem, new_folder, put, ready, written
 
 FILE_BYTES = 64 << 20
 BLOCK_BYTES = 2 << 20
-#: Byte-level files of the tokenizers library have 16-bit ids in files.
-WIDTH = 2
 
 
 def write_flat_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, str]:
@@ -33,52 +33,54 @@ def write_flat_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
     file, (file, ordinal, key), and the folder.
 
     A null text counts as empty.  Strings of special tokens are ordinary text, so
-    the end id never stands inside a document.
+    the end id never stands inside a document.  Every attempt of a task has file names
+    of its own, and only those of the attempt that counts are returned.
     """
     spark = ready(docs.sparkSession)
     folder = folder or new_folder(spark, "flat-tokens")
-    rows = docs.select(docs[f"`{key}`"].cast("long").alias("key"), docs[f"`{text}`"].alias("text"))
+    rows = docs.select(docs[f"`{key}`"].alias("key"), docs[f"`{text}`"].alias("text"))
+    kind = rows.schema["key"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq, attempt = TaskContext.get().partitionId(), 0, uuid.uuid4().hex[:8]
         tokens = tokens_of(tokenizer_path, special_is_text=True)
-        if tokens.type.itemsize != WIDTH:
-            raise ValueError("ids over 16 bits")
         end = np.array([end_id], tokens.type).tobytes()
-        keys, ids, held = [], [], 0
+        width = tokens.type.itemsize
+        keys, ids, held, n = [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal keys, ids, held, seq
-            name = f"part-{part:06d}-{seq:04d}.ids"
+            nonlocal keys, ids, held, n, seq
+            name = f"part-{part:06d}-{seq:04d}-{attempt}.ids{8 * width}"
             put(f"{folder}/{name}", b"".join(ids))
-            n = len(keys)
-            out = pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(np.arange(n)), pa.array(keys, pa.int64()), pa.array([held] * n, pa.int64())], names=["file", "ordinal", "key", "n_bytes"])
-            keys, ids, held, seq = [], [], 0, seq + 1
+            out = pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(np.arange(n)), pa.concat_arrays(keys), pa.array([held] * n, pa.int64())], names=["file", "ordinal", "key", "n_bytes"])
+            keys, ids, held, n, seq = [], [], 0, 0, seq + 1
             return out
 
         for batch in batches:
             _, at = column_bytes(batch.column(1))
             for i, j in pieces(at, PIECE):
                 texts = [t or "" for t in batch.column(1).slice(i, j - i).to_pylist()]
-                keys += batch.column(0).slice(i, j - i).to_pylist()
+                keys.append(batch.column(0).slice(i, j - i))
+                n += j - i
                 for found in tokens.encode_texts(texts):
                     ids += [found, end]
-                    held += len(found) + WIDTH
+                    held += len(found) + width
                 if held >= FILE_BYTES:
                     yield flush()
         if keys:
             yield flush()
 
-    placed = rows.mapInArrow(run, "file string, ordinal long, key long, n_bytes long")
+    placed = rows.mapInArrow(run, fields(file=StringType(), ordinal=LongType(), key=kind, n_bytes=LongType()))
     return written(placed, "flat-places"), folder
 
 
 def scan_flat_files(spark: SparkSession, files: DataFrame, folder: str, end_id: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(file, ordinal, n_tokens) of every document of the flat ``files`` (file,
     n_bytes); the end id is not counted.  Ids after a file's last end id belong to
-    no document."""
+    no document.  A file's name ends in the bits of its ids; blocks are whole ids
+    (a multiple of four bytes, or of two for 16-bit files)."""
     ready(spark)
     blocks = files.select("file", "n_bytes", F.explode(F.sequence(F.lit(0), F.col("n_bytes") - 1, F.lit(block_bytes))).alias("offset")).where("n_bytes > 0")
     blocks = blocks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file", "offset")
@@ -88,7 +90,8 @@ def scan_flat_files(spark: SparkSession, files: DataFrame, folder: str, end_id:
             for name, total, offset in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 where, path = filesystem(f"{folder}/{name}")
                 with where.open_input_file(path) as f:
-                    ids = np.frombuffer(f.read_at(min(block_bytes, total - offset), offset), f"<u{WIDTH}")
+                    width = int(name.rpartition(".ids")[2]) // 8
+                    ids = np.frombuffer(f.read_at(min(block_bytes, total - offset), offset), f"<u{width}")
                 ends = np.flatnonzero(ids == end_id)
                 inner = np.diff(ends) - 1
                 yield pa.RecordBatch.from_arrays(
@@ -117,10 +120,14 @@ def scan_flat_files(spark: SparkSession, files: DataFrame, folder: str, end_id:
 
 def token_counts(docs: DataFrame, tokenizer_path: str, end_id: int, text: str = "text", key: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(key, n_tokens) of every row of ``docs``, counted by writing flat token files
-    and scanning them.  A null or empty text has 0 tokens; repeated rows are counted
-    each; an empty table gives an empty one."""
+    and scanning them.  A null or empty text has 0 tokens; texts of any length are
+    counted whole, across blocks; repeated rows are counted each; keys of any type may
+    be null or repeat; other columns are not read; an empty table gives an empty one.
+
+    Counts and keys meet by file and ordinal in a shuffle of these few numbers: as many
+    rows as documents on either side, so neither is broadcast."""
     spark = docs.sparkSession
     placed, folder = write_flat_files(docs, tokenizer_path, end_id, text=text, key=key)
     files = placed.where("ordinal = 0").select("file", "n_bytes")
-    found = scan_flat_files(spark, files, folder, end_id, block_bytes)
+    found = scan_flat_files(spark, files, folder, end_id, block_bytes).hint("merge")
     return placed.select("file", "ordinal", "key").join(found, ["file", "ordinal"]).select(F.col("key").alias(key), "n_tokens")
