@@ -14,17 +14,21 @@ import hashlib
 import io
 import struct
 import time
+import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import LongType, StringType
 
 from gaugeworks.llm.arrowtext import column_bytes
-from gaugeworks.llm.cluster import filesystem, new_folder, put, ready, written
+from gaugeworks.llm.cluster import fields, filesystem, new_folder, put, ready, written
 
 ROW = 192
 ARCHIVE_BYTES = 16 << 20
@@ -72,7 +76,8 @@ def from_image(media: bytes) -> tuple[bytes, int]:
 
 def write_archives(docs: DataFrame, folder: str | None = None, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, str]:
     """Store each text as an image in the task's archives.  Returns the manifest
-    (archive, n_members, n_bytes) and the folder.  A null text counts as empty."""
+    (archive, n_members, n_bytes) and the folder.  A null text counts as empty.  Every
+    attempt of a task has archives of its own; the manifest names those that count."""
     spark = ready(docs.sparkSession)
     folder = folder or new_folder(spark, "media")
     rows = docs.select(docs[f"`{key}`"].cast("string").alias("key"), docs[f"`{text}`"].alias("text"))
@@ -80,14 +85,14 @@ def write_archives(docs: DataFrame, folder: str | None = None, text: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seq, members = TaskContext.get().partitionId(), 0, 0
+        part, seq, members, attempt = TaskContext.get().partitionId(), 0, 0, uuid.uuid4().hex[:8]
         buffer = io.BytesIO()
         archive = zipfile.ZipFile(buffer, "w", zipfile.ZIP_STORED)
 
         def flush() -> pa.RecordBatch:
             nonlocal buffer, archive, members, seq
             archive.close()
-            name = f"part-{part:06d}-{seq:04d}.zip"
+            name = f"part-{part:06d}-{seq:04d}-{attempt}.zip"
             size = put(f"{folder}/{name}", buffer.getbuffer())
             out = pa.RecordBatch.from_pylist([{"archive": name, "n_members": members, "n_bytes": size}])
             buffer, members, seq = io.BytesIO(), 0, seq + 1
@@ -99,7 +104,7 @@ def write_archives(docs: DataFrame, folder: str | None = None, text: str = "text
             raw, at = column_bytes(batch.column(1))
             for i, doc in enumerate(keys):
                 own = raw[at[i] : at[i + 1]].tobytes()
-                entry = zipfile.ZipInfo(f"{members:08d}/{'' if doc is None else doc}.png")
+                entry = zipfile.ZipInfo(f"{members:08d}/{'' if doc is None else quote('k' + doc, safe='-')}.png")
                 archive.writestr(entry, as_image(padded(own), len(own)))
                 members += 1
                 if buffer.tell() >= ARCHIVE_BYTES:
@@ -121,14 +126,22 @@ class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
         self.folder = options["path"]
         self.range_bytes = int(options.get("rangebytes", RANGE_BYTES))
+        self.manifest = options.get("manifest")
 
     def partitions(self) -> list[ByteRange]:
-        """Byte ranges over the archives: their sizes are all that is asked for."""
-        from pyarrow import fs
+        """Byte ranges over the archives: their names and sizes are all that is asked
+        for.  With a manifest they are its archives, else all in the directory."""
+        from pyarrow import dataset, fs
 
         where, path = filesystem(self.folder)
-        found = where.get_file_info(fs.FileSelector(path, recursive=True, allow_not_found=True))
-        sizes = sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and f.path.endswith(".zip"))
+        if self.manifest:
+            held, name = filesystem(self.manifest)
+            files = [f.path for f in held.get_file_info(fs.FileSelector(name, allow_not_found=True)) if f.path.endswith(".parquet")]
+            rows = dataset.dataset(files, filesystem=held, format="parquet").to_table(columns=["archive", "n_bytes"]) if files else None
+            sizes = sorted((f"{path}/{a}", n) for a, n in zip(rows["archive"].to_pylist(), rows["n_bytes"].to_pylist())) if files else []
+        else:
+            found = where.get_file_info(fs.FileSelector(path, recursive=True, allow_not_found=True))
+            sizes = sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and f.path.endswith(".zip"))
         return [ByteRange(p, a, min(a + self.range_bytes, n)) for p, n in sizes for a in range(0, n, self.range_bytes)] or [ByteRange("", 0, 0)]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
@@ -180,7 +193,8 @@ def member_bytes(f, m: zipfile.ZipInfo) -> bytes:
 
 
 class ArchiveSource(DataSource):
-    """``spark.read.format("media-archives").load(folder)``."""
+    """``spark.read.format("media-archives").load(folder)``; options ``rangebytes`` and
+    ``manifest``, a Parquet table (archive, n_bytes) of the archives that count."""
 
     @classmethod
     def name(cls) -> str:
@@ -193,9 +207,11 @@ class ArchiveSource(DataSource):
         return ArchiveReader(self.options)
 
 
-def read_archives(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def read_archives(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES, manifest: DataFrame | None = None) -> DataFrame:
+    """The members of the archives of ``folder``: those of ``manifest`` if given, else all."""
     ready(spark).dataSource.register(ArchiveSource)
-    return spark.read.format("media-archives").option("rangebytes", range_bytes).load(folder)
+    reader = spark.read.format("media-archives").option("rangebytes", range_bytes)
+    return (reader.option("manifest", manifest.written_to) if manifest is not None else reader).load(folder)
 
 
 def feature(payload: bytes) -> str:
@@ -213,30 +229,37 @@ def feature(payload: bytes) -> str:
     return f"mean={mean:.4f};std={spread:.4f};entropy={max(0.0, float(-(share * np.log2(share)).sum())):.4f};hash={bits}"
 
 
-def media_features(members: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Digests and features of the members read back.  A damaged member keeps its row,
-    with nulls and its ``error``; one that storage doesn't give fails the task."""
+def media_features(members: DataFrame, key: str = "doc_id", kind="long") -> DataFrame:
+    """Digests and features of the members read back, the key as ``kind``.  A damaged
+    member keeps its row, with nulls and its ``error``; one that storage doesn't give
+    fails the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(key, pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("error", pa.string())])
+        schema = pa.schema([(key, pa.string()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("error", pa.string())])
         for batch in batches:
             rows = []
             for name, media, error in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), strict=True):
-                stem = name.rpartition("/")[2].removesuffix(".png")
-                row = {key: int(stem) if stem else None, "error": error}
+                stem = unquote(name.partition("/")[2].removesuffix(".png"))
+                row = {key: stem[1:] if stem else None, "error": error}
                 if media is not None:
                     payload, n_bytes = from_image(media)
                     row |= {"n_bytes": n_bytes, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature(payload)}
                 rows.append(row)
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    out = f"`{key}` long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
-    return members.select("name", "media", "error").mapInArrow(run, out)
+    text, number = StringType(), LongType()
+    out = fields(**{key: text, "n_bytes": number, "payload_bytes": number, "payload_sha256": text, "tail_crc32": number, "media_bytes": number, "media_sha256": text, "feature": text, "error": text})
+    found = members.select("name", "media", "error").mapInArrow(run, out)
+    return found.withColumn(key, F.col(f"`{key}`").cast(kind))
 
 
 def media_columns(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Write every text of ``docs`` to archives, read them back by the data source
-    and compute the features.  Null texts count as empty, null keys stay null,
-    repeated rows stay repeated, an empty table gives an empty one."""
-    _, folder = write_archives(docs, text=text, key=key)
-    return media_features(read_archives(docs.sparkSession, folder), key)
+    and compute the features.
+
+    Null texts count as empty; a long text is one member, whole; null keys stay null
+    and other keys keep their (atomic) type; repeated rows stay repeated; other columns
+    are not read; an empty table gives an empty one."""
+    manifest, folder = write_archives(docs, text=text, key=key)
+    kind = docs.select(docs[f"`{key}`"]).schema[0].dataType
+    return media_features(read_archives(docs.sparkSession, folder, manifest=manifest), key, kind)

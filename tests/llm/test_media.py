@@ -1,6 +1,8 @@
 import hashlib
+import math
 import zipfile
 import zlib
+from pathlib import Path
 
 import pytest
 
@@ -39,7 +41,7 @@ def test_a_damaged_member_is_a_row_with_its_error(spark, monkeypatch):
     monkeypatch.setattr(M, "TRIES", 2)
     _, folder = M.write_archives(frame(spark, [(1, "one" * 100), (2, "two" * 100)]).coalesce(1))
     where, path = filesystem(folder)
-    name = path + "/part-000000-0000.zip"
+    (name,) = map(str, Path(path).glob("*.zip"))
     data = bytearray(open(name, "rb").read())
     with zipfile.ZipFile(name) as z:
         at = z.infolist()[0].header_offset + 60
@@ -72,3 +74,48 @@ def test_lost_storage_fails_the_task_and_a_short_gap_does_not(spark, monkeypatch
 
 def test_empty(spark):
     assert M.media_columns(frame(spark, [])).count() == 0
+
+
+def test_only_archives_of_the_manifest_count(spark):
+    """What a lost attempt of a task leaves behind is not read, and keys keep their type."""
+    docs = spark.createDataFrame([("a/1", "one", 5), (None, "two", 6), ("ü x", None, 7)], "doc_id string, text string, n_bytes int")
+    manifest, folder = M.write_archives(docs)
+    where, path = filesystem(folder)
+    for archive in list(Path(path).glob("*.zip")):
+        (archive.parent / f"{archive.stem}-lost.zip").write_bytes(archive.read_bytes())
+    assert M.read_archives(spark, folder).count() == 6
+    got = M.media_features(M.read_archives(spark, folder, manifest=manifest), kind="string").collect()
+    assert sorted((str(r.doc_id), r.n_bytes) for r in got) == [("None", 3), ("a/1", 3), ("ü x", 0)]
+    assert dict(M.media_columns(docs).dtypes)["doc_id"] == "string"
+
+
+def plain_feature(payload):
+    mean = sum(payload) / len(payload)
+    std = math.sqrt(sum((b - mean) ** 2 for b in payload) / len(payload))
+    share = [payload.count(b) / len(payload) for b in set(payload)]
+    bits = ""
+    for k in range(64):
+        part = payload[k * len(payload) // 64 : (k + 1) * len(payload) // 64]
+        bits += "1" if sum(part) / len(part) > mean else "0"
+    return mean, std, -sum(s * math.log2(s) for s in share), f"{int(bits, 2):016x}"
+
+
+def plain_image(payload, n_bytes):
+    """The stored form, chunk by chunk."""
+    chunk = lambda kind, data: len(data).to_bytes(4, "big") + kind + data + zlib.crc32(kind + data).to_bytes(4, "big")
+    head = (192).to_bytes(4, "big") + (len(payload) // 192).to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])
+    rows = b"".join(b"\0" + payload[i : i + 192] for i in range(0, len(payload), 192))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"tEXt", b"n_bytes\0" + str(n_bytes).encode()) + chunk(b"IDAT", zlib.compress(rows, 6)) + chunk(b"IEND", b"")
+
+
+def test_stored_form_and_feature_recomputed(spark):
+    rows = [(k, t) for k, t in awkward(n=12) if k is not None and k != 3]
+    got = {r.doc_id: r for r in M.media_columns(frame(spark, rows)).collect()}
+    for key, text in rows:
+        raw = (text or "").encode()
+        payload = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        image = plain_image(payload, len(raw))
+        assert got[key].media_sha256 == hashlib.sha256(image).hexdigest() and got[key].media_bytes == len(image)
+        mean, std, entropy, bits = plain_feature(payload)
+        found = dict(p.split("=") for p in got[key].feature.split(";"))
+        assert [float(found[k]) for k in ("mean", "std", "entropy")] == pytest.approx([mean, std, entropy], abs=6e-5) and found["hash"] == bits
