@@ -83,6 +83,22 @@ def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return out
 
 
+def same_spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray, as_start: np.ndarray, as_end: np.ndarray) -> np.ndarray:
+    """Whether each byte span equals the other one, byte by byte."""
+    size = end - start
+    same = size == as_end - as_start
+    view, step, live = eights(raw), 0, np.flatnonzero(same)
+    while len(live):
+        left = np.minimum(size[live] - step, 8).astype(np.uint64)
+        unlike = view[start[live] + step] ^ view[as_start[live] + step]
+        part = left < 8
+        unlike[part] &= (np.uint64(1) << (left[part] * np.uint64(8))) - np.uint64(1)
+        same[live[unlike != 0]] = False
+        step += 8
+        live = live[(size[live] > step) & (unlike == 0)]
+    return same
+
+
 def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(lower-cased bytes, word starts, word ends, n+1 word offsets of the texts)."""
     low = LOWER[raw]

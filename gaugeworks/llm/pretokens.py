@@ -17,7 +17,7 @@ from functools import cache
 
 import numpy as np
 
-from gaugeworks.llm.arrowtext import span_hashes
+from gaugeworks.llm.arrowtext import same_spans, span_hashes
 
 LETTER, NUMBER, SPACE, OTHER, BETWEEN = range(5)
 # The code points with the Unicode property White_Space.
@@ -95,7 +95,8 @@ class Split:
 
 class Known:
     """What was computed for distinct pretokens, kept for the next batches of the
-    same worker and forgotten all at once when ``most`` are held."""
+    same worker and forgotten all at once when ``most`` are held.  Pretokens are sorted
+    by a hash and then compared byte by byte, so equal hashes never pass for equal words."""
 
     def __init__(self, compute: Callable[[list[str]], list], most: int = 400_000):
         self.compute, self.most, self.held = compute, most, {}
@@ -103,13 +104,19 @@ class Known:
     def of(self, split: Split) -> tuple[list, np.ndarray]:
         """The values of the distinct pretokens, and for each pretoken its place there."""
         distinct, first, place = np.unique(split.hashes(), return_index=True, return_inverse=True)
-        keys = distinct.tolist()
+        place = place.reshape(-1)
+        lead = first[place]
+        other = np.flatnonzero(~same_spans(split.raw, split.start, split.end, split.start[lead], split.end[lead]))
+        if len(other):  # another word of the same hash stands for itself
+            place = place.copy()
+            place[other] = len(first) + np.arange(len(other))
+            first = np.concatenate([first, other])
+        start, end = split.start[first].tolist(), split.end[first].tolist()
+        words = [split.data[a:b] for a, b in zip(start, end)]
         if len(self.held) > self.most:
             self.held.clear()
         held = self.held
-        new = [i for i, k in enumerate(keys) if k not in held]
+        new = [w for w in dict.fromkeys(words) if w not in held]
         if new:
-            start, end = split.start[first].tolist(), split.end[first].tolist()
-            for i, value in zip(new, self.compute([split.data[start[i] : end[i]].decode() for i in new]), strict=True):
-                held[keys[i]] = value
-        return [held[k] for k in keys], place.reshape(-1)
+            held.update(zip(new, self.compute([w.decode() for w in new]), strict=True))
+        return [held[w] for w in words], place

@@ -73,8 +73,10 @@ def test_elias_fano_round_trip(values):
     values.sort()
     code = EliasFano.of(np.array(values, np.uint64))
     back, end = EliasFano.frombytes(b"xx" + code.tobytes(), 2)
-    assert end == 2 + len(code.tobytes()) and back.all().tolist() == values
+    assert end == 2 + len(code.tobytes()) and back.select_range(0, len(values)).tolist() == values
     assert [back.select(i) for i in range(len(values))] == values
+    assert all(back.select_range(i, j).tolist() == values[i:j] for i in range(0, len(values), 37) for j in range(i, len(values), 53))
+    assert all(back.last_at_most(v + d) == sum(x <= v + d for x in values) for v in values[::29] for d in (-1, 0, 1) if v + d >= 0)
 
 
 def test_elias_fano_is_small():
@@ -116,9 +118,32 @@ def test_rows_of_one_key_spread_over_files(spark):
 
 def test_one_file_by_select():
     rows = [[5, 6, 0], [0], [7, 0]]
-    file = token_files.TokenFile(token_files.packed(np.array([-3, 9]), 1, np.array([3, 1, 2]), np.array(sum(rows, []), "<u2").tobytes(), 2))
+    file = token_files.TokenFile.of(token_files.packed(np.array([-3, 9]), 1, np.array([3, 1, 2]), np.array(sum(rows, []), "<u2").tobytes(), 2))
     assert [file.document(i).tolist() for i in range(3)] == rows and file.n_null == 1
-    assert [file.docs.select(i) + file.least for i in range(2)] == [-3, 9]
+    assert file.doc_ids(0, 3) == [None, -3, 9] and file.doc_ids(2, 3) == [9]
+    assert [list(file.places(k)) for k in (-4, -3, 0, 9, 10)] == [[], [1], [], [2], []]
+    assert list(file.runs(1)) == [(0, 1), (1, 2), (2, 3)] and list(file.runs(1 << 20)) == [(0, 3)]
+
+
+def test_a_document_is_read_without_its_file():
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(1, 4000, 20_000)
+    ids = rng.integers(0, 50_000, int(sizes.sum())).astype("<u2")
+    keys = np.cumsum(rng.integers(0, 3, len(sizes)))
+    data, fetched = token_files.packed(keys, 0, sizes, ids.tobytes(), 2), []
+
+    def read_at(size, offset):
+        fetched.append(size)
+        return data[offset : offset + size]
+
+    file = token_files.TokenFile(read_at)
+    opened, cut = sum(fetched), np.concatenate([[0], np.cumsum(sizes)])
+    for i in (0, 1, 777, len(sizes) - 1):
+        del fetched[:]
+        assert file.document(i).tolist() == ids[cut[i] : cut[i + 1]].tolist()
+        assert sum(fetched) == 2 * sizes[i]
+        assert i in file.places(int(keys[i])) and {int(keys[k]) for k in file.places(int(keys[i]))} == {int(keys[i])}
+    assert opened < len(data) // 500
 
 
 @pytest.mark.parametrize("block", [2, 6, 64, 1 << 20])
@@ -133,3 +158,38 @@ def test_separators_across_blocks(spark, block):
 
 def test_no_separators_without_rows(spark):
     assert separators.token_counts(frame(spark, []), WORDS, 49407).count() == 0
+
+
+def test_keys_of_any_type_and_repeated_attempts(spark):
+    docs = spark.createDataFrame([("b", "one two", 1), (None, "three", 2), ("b", None, 3)], "doc_id string, text string, n_tokens int").repartition(2)
+    placed, folder = separators.write_flat_files(docs, WORDS, 49407)
+    again, _ = separators.write_flat_files(docs, WORDS, 49407, folder=folder)
+    files = placed.select("file").distinct().collect()
+    assert not {r.file for r in files} & {r.file for r in again.select("file").distinct().collect()}
+    got = separators.token_counts(docs, WORDS, 49407)
+    assert sorted(map(str, got.collect())) == sorted(["Row(doc_id='b', n_tokens=0)", "Row(doc_id='b', n_tokens=2)", "Row(doc_id=None, n_tokens=1)"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    with pytest.raises(ValueError):
+        token_files.write_token_files(docs, BYTES)
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    from gaugeworks.llm import pretokens
+
+    monkeypatch.setattr(pretokens, "span_hashes", lambda raw, start, end: (end - start).astype(np.uint64))
+    lib, own = tokenizers.Tokenizer.from_file(BYTES), ByteTokens(BYTES)
+    texts = odd_texts(200, 5)
+    for text, ids in zip(texts, own.encode_texts(texts), strict=True):
+        assert np.frombuffer(ids, own.type).tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
+def test_a_text_of_tens_of_megabytes(spark):
+    """Encoded whole; a worker holds some forty bytes a character while it does."""
+    word = "stone and ring over the water "
+    text = word * (24_000_000 // len(word))
+    lib = tokenizers.Tokenizer.from_file(WORDS)
+    each = len(lib.encode(word, add_special_tokens=False).ids)
+    docs = spark.createDataFrame([(1, "x"), (2, text)], "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in separators.token_counts(docs, WORDS, 49407).collect()}
+    assert got == {1: 1, 2: each * (len(text) // len(word))}
