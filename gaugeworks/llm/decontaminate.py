@@ -9,8 +9,12 @@ offset-adjusted lists of the other terms, rarest first.  Neither postings nor
 matches are shuffled; a common term costs only the shards it stands in.
 
 The benchmark is the stated query set.  Tasks cut it into blocks of bounded size and
-store them in the shared folder; a shard loads one block after the other, so neither
-the driver nor a task holds more than one, however large the benchmark.
+store them in the shared folder.  A task takes some shards at a time and loads one block
+after the other for all of them, so neither the driver nor a task holds more than a few
+blocks, however large the benchmark, and each is read once for ``SHARDS`` shards.
+
+Words are compared by 64-bit hashes: a false hit needs another word of the same hash
+where the other words of the window agree.
 """
 
 from __future__ import annotations
@@ -18,22 +22,26 @@ from __future__ import annotations
 import hashlib
 import pickle
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from gaugeworks.llm.arrowtext import by_text, column_bytes, pieces, shingles, span_hashes, words
-from gaugeworks.llm.cluster import filesystem, new_folder, put, ready, written
+from gaugeworks.llm.cluster import filesystem, new_folder, put, ready, whole_key, written
 
 WINDOW = 13
 #: Text of one block of the benchmark, and occurrences of terms followed at a time.
 BLOCK_BYTES = 1 << 20
 FOLLOWED = 1 << 20
 SHARD_BYTES = 4 << 20
+#: Shards that are judged in one pass over the blocks.
+SHARDS = 12
 INDEX = "keys binary, nulls binary, word_at binary, terms binary, term_at binary, positions binary"
 HIGH = np.uint64(32)
 
@@ -174,7 +182,7 @@ def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     """The stored index: a row a shard of some megabytes of text.  Documents keep
     their order inside a shard; a null text has no words."""
     spark = ready(docs.sparkSession)
-    rows = docs.select(docs[f"`{key}`"].cast("long").alias("key"), docs[f"`{text}`"].alias("text"))
+    rows = docs.select(whole_key(docs, key).alias("key"), docs[f"`{text}`"].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,7 +226,7 @@ def store_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text"
     return sorted(r.uri for r in rows.mapInArrow(run, "uri string").collect())
 
 
-@lru_cache(maxsize=1)
+@lru_cache(maxsize=2)
 def stored_block(uri: str) -> Windows:
     where, path = filesystem(uri)
     with where.open_input_stream(path) as f:
@@ -236,49 +244,71 @@ def search_index(index: DataFrame, blocks: list[str], key: str = "doc_id") -> Da
     names = [key, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"]
     empty = items_digest([])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Shard]]:
         for batch in batches:
             for k in range(batch.num_rows):
                 keys, nulls, *blobs = (batch.column(c)[k].as_py() for c in range(batch.num_columns))
-                shard = Shard.from_blobs(*blobs)
-                n_words, n_hit, found = verdicts(shard, map(stored_block, blocks))
-                doc_ids = pa.array(np.frombuffer(keys, np.int64), mask=np.frombuffer(nulls, np.uint8).astype(bool))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        doc_ids,
-                        pa.array(n_words),
-                        pa.array(n_hit),
-                        pa.array([len(f) for f in found], pa.int64()),
-                        pa.array([items_digest(f) if f else empty for f in found]),
-                        pa.array((n_hit > 0) & (20 * n_hit >= n_words)),
-                        pa.array(found, pa.list_(pa.string())),
-                    ],
-                    names=names,
-                )
+                yield pa.array(np.frombuffer(keys, np.int64), mask=np.frombuffer(nulls, np.uint8).astype(bool)), Shard.from_blobs(*blobs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_ids, (n_words, n_hit, found) in judged_together(shards(batches), blocks):
+            yield pa.RecordBatch.from_arrays(
+                [
+                    doc_ids,
+                    pa.array(n_words),
+                    pa.array(n_hit),
+                    pa.array([len(f) for f in found], pa.int64()),
+                    pa.array([items_digest(f) if f else empty for f in found]),
+                    pa.array((n_hit > 0) & (20 * n_hit >= n_words)),
+                    pa.array(found, pa.list_(pa.string())),
+                ],
+                names=names,
+            )
 
     out = f"`{key}` long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
     return index.mapInArrow(run, out)
 
 
-def verdicts(shard: Shard, blocks: Iterable[Windows]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-    """Words, words hit and items of each document of a shard, over all blocks."""
-    hit = np.zeros(int(shard.word_at[-1]), bool)
-    found: list[list[str]] = [[] for _ in range(len(shard.word_at) - 1)]
-    for query in blocks:
-        own, items = shard.judged(query)
-        hit |= own
+class Verdict:
+    """Words hit and items found of a shard's documents, over the blocks so far."""
+
+    def __init__(self, shard: Shard):
+        self.shard = shard
+        self.hit = np.zeros(int(shard.word_at[-1]), bool)
+        self.found: list[list[str]] = [[] for _ in range(len(shard.word_at) - 1)]
+
+    def add(self, query: Windows) -> None:
+        own, items = self.shard.judged(query)
+        self.hit |= own
         for d, places in enumerate(items):
-            found[d] += [query.items[p] for p in places.tolist()]
-    at = shard.word_at.astype(np.int64)
-    return np.diff(at), by_text(hit.astype(np.int64), at), [sorted(set(f)) if f else f for f in found]
+            self.found[d] += [query.items[p] for p in places.tolist()]
+
+    def result(self) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+        """Words, words hit and items of each document."""
+        at = self.shard.word_at.astype(np.int64)
+        return np.diff(at), by_text(self.hit.astype(np.int64), at), [sorted(set(f)) if f else f for f in self.found]
+
+
+def judged_together(shards: Iterable[tuple[Any, Shard]], blocks: list[str], load: Callable[[str], Windows] = stored_block, most: int = SHARDS) -> Iterator[tuple[Any, tuple]]:
+    """(what came with a shard, its verdict): ``most`` shards in each pass over the blocks."""
+    shards = iter(shards)
+    while held := [(what, Verdict(shard)) for what, shard in islice(shards, most)]:
+        for block in blocks:
+            query = load(block)
+            for _, verdict in held:
+                verdict.add(query)
+        for what, verdict in held:
+            yield what, verdict.result()
 
 
 def decontamination_report(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """Store the index of ``docs`` and judge every document against ``benchmark``.
 
-    Null texts have no words and are clean; rows are judged one by one, repeated
-    ones too; with an empty benchmark all documents are clean.  Items without words
-    have no windows, items with a null id or text are no items.
+    Null texts have no words and are clean; long texts are judged whole; rows are
+    judged one by one, repeated ones too; with an empty benchmark all documents are
+    clean.  Items without words have no windows, items with a null id or text are no
+    items.  Keys must be integers or null; other columns are not read; an empty table
+    gives an empty one.
     """
     return search_index(build_index(docs, text, key), store_blocks(benchmark, item, item_text), key)
 
@@ -308,16 +338,20 @@ def phrase_matches(index: DataFrame, blocks: list[str], slop: int = 0, key: str
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not contaminated, all columns as they are.  Each
     task indexes its own rows, so the verdict falls on the row itself whatever ids
-    repeat, and no text is shuffled."""
+    repeat, and no text is shuffled.  Null, empty and wordless texts stay; an empty
+    benchmark keeps all rows."""
     ready(docs.sparkSession)
     blocks = store_blocks(benchmark, item, item_text)
     place = docs.columns.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Shard]]:
         for batch in batches:
             raw, at = column_bytes(batch.column(place))
             for i, j in pieces(at, SHARD_BYTES):
-                n_words, n_hit, _ = verdicts(Shard.of(raw[at[i] : at[j]], at[i : j + 1] - at[i]), map(stored_block, blocks))
-                yield batch.slice(i, j - i).filter(pa.array(~((n_hit > 0) & (20 * n_hit >= n_words))))
+                yield batch.slice(i, j - i), Shard.of(raw[at[i] : at[j]], at[i : j + 1] - at[i])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, (n_words, n_hit, _) in judged_together(shards(batches), blocks):
+            yield rows.filter(pa.array(~((n_hit > 0) & (20 * n_hit >= n_words))))
 
     return docs.mapInArrow(run, docs.schema)

@@ -99,3 +99,17 @@ def test_proximity(spark):
     index = D.build_index(docs)
     got = D.phrase_matches(index, D.store_blocks(bench), slop=1)
     assert {(r.doc_id, r.exact) for r in got.collect()} == {(1, True), (2, False)}
+
+
+def test_a_pass_over_the_blocks_serves_several_shards():
+    docs, items = cases()
+    shards, loads = [], []
+    for _, t in docs:
+        raw, at = D.column_bytes(D.pa.array([t], D.pa.string()))
+        shards.append((len(shards), D.Shard.of(raw, at)))
+    blocks = {str(k): D.Windows.of([str(i) for i, _ in items[k::3]], [q for _, q in items[k::3]]) for k in range(3)}
+    found = list(D.judged_together(shards, sorted(blocks), lambda b: loads.append(b) or blocks[b], most=10))
+    assert [what for what, _ in found] == list(range(len(docs)))
+    assert len(loads) == 3 * -(-len(docs) // 10)
+    got = [(docs[k][0], int(w[0]), int(h[0]), len(f[0]), D.items_digest(f[0]), bool(h[0] and 20 * h[0] >= w[0])) for k, (w, h, f) in found]
+    assert sorted(got, key=str) == brute(docs, items)
