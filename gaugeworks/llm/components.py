@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.cluster import discard, written
+from gaugeworks.llm.cluster import discard, join_with_hot, written
 
 MOST_ROUNDS = 60
 
@@ -19,10 +19,19 @@ def _signature(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
+def _least_neighbour(links: DataFrame, u: str, v: str) -> DataFrame:
+    """(u, m, n): the least neighbour of every node and its number of links."""
+    return links.groupBy(u).agg(F.min(v).alias("m"), F.count("*").alias("n"))
+
+
 def connected_components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, root) for every node of a link; root is the least node it is connected
     with.  Links may repeat, run either way or join a node with itself; nulls are
-    no nodes.  No links, no rows."""
+    no nodes.  No links, no rows.
+
+    A node with very many links, the centre of a star, gets its least neighbour by an
+    aggregation that combines before it shuffles and gives it to its links where they
+    are (``join_with_hot``), so no task takes all of them."""
     now = links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where(f"`{u}` is not null and `{v}` is not null").distinct()
     now = written(now, "links")
     given = now
@@ -33,12 +42,13 @@ def connected_components(links: DataFrame, u: str = "u", v: str = "v") -> DataFr
         if not before[0]:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        last, now = now, written(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
-        discard(last)
+        least = written(_least_neighbour(both, "u", "v").select("u", F.least("u", "m").alias("m"), "n"), "least")
+        large = join_with_hot(both.where("v > u"), least, ["u"], "n", 2 * before[0])
+        large = written(large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        few = written(_least_neighbour(large, "u", "v"), "least")
+        moved = join_with_hot(large, few, ["u"], "n", before[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        last, now = now, written(moved.unionByName(few.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(last, least, large, few)
         after = _signature(now)
         if after == before:
             break

@@ -6,10 +6,12 @@
 2. Exact copies become one class; the classes shuffle on the band hashes, and the
    least class of a bucket is linked with the others (a star: as many links as
    members).  Components of these links hold every pair that shares a bucket.
-3. Inside a component every pair is verified on the full n-gram sets.  A large
-   component is cut into chunks and each pair of chunks is a task of its own, so the
-   work of one task is bounded; a task returns counts and a spanning forest of the
-   links, never the links.
+3. Inside a component every pair that can be alike is verified on the full n-gram
+   sets.  A large component is cut by set size into
+   steps of the threshold, as sets of sizes further apart than one step are never
+   alike, and a step into chunks; each pair of chunks of one step or of neighbours is a
+   group of its own, so the work of one is bounded.  A group returns counts and a
+   spanning forest of the links, never the links.
 4. Components of the verified links are the classes of near copies.
 """
 
@@ -24,15 +26,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.arrowtext import column_bytes, pieces, shingles, span_hashes, words
-from gaugeworks.llm.cluster import discard, ready, written
+from gaugeworks.llm.cluster import discard, join_with_hot, ready, whole_key, written
 from gaugeworks.llm.components import connected_components
 
 N = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 MOST_HASHES = 192
-#: Texts of one chunk of a component; a task verifies one chunk or a pair of them.
-MEMBERS = 128
+#: Texts of one chunk of a component and n-grams of their sets (or one text): a group
+#: verifies one chunk or a pair of them.
+MEMBERS = 512
+CHUNK_GRAMS = 1 << 20
 #: Classes up to this number are sent to all executors (32 bytes each).
 BROADCAST_ROWS = 1_000_000
 
@@ -90,35 +94,64 @@ def band_hashes(raw: np.ndarray, at: np.ndarray, n: int, bands: int, rows: int)
 
 
 def signatures(docs: DataFrame, key: str, text: str, n: int, bands: int, rows: int) -> DataFrame:
-    """(key, hash, bands) of every row; ``hash`` names the exact text, ``bands`` is
-    null for texts without words."""
+    """(key, hash, n_grams, bands) of every row; ``hash`` names the exact text,
+    ``n_grams`` is the size of its set, ``bands`` is empty for texts without words."""
     spark = ready(docs.sparkSession)
     body = docs[f"`{text}`"]
-    source = docs.select(docs[f"`{key}`"].cast("long").alias("key"), F.unhex(F.md5(body.cast("binary"))).alias("hash"), body.alias("text"))
+    source = docs.select(whole_key(docs, key).alias("key"), F.unhex(F.md5(body.cast("binary"))).alias("hash"), body.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = column_bytes(batch.column(2))
             for i, j in pieces(at, 1 << 20):
-                full, found = band_hashes(raw[at[i] : at[j]], at[i : j + 1] - at[i], n, bands, rows)
+                part, own_at = raw[at[i] : at[j]], at[i : j + 1] - at[i]
+                full, found = band_hashes(part, own_at, n, bands, rows)
                 has = np.zeros(j - i, np.int64)
                 has[full] = bands
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has)]).astype(np.int32)), pa.array(found.view(np.int64).reshape(-1)))
+                size = np.diff(ngram_sets(part, own_at, n)[1]).astype(np.int32)
                 own = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), lists], names=["key", "hash", "bands"])
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(size), lists], names=["key", "hash", "n_grams", "bands"])
 
-    return source.mapInArrow(run, "key long, hash binary, bands array<long>")
+    return source.mapInArrow(run, "key long, hash binary, n_grams int, bands array<long>")
 
 
-def candidate_links(classes: DataFrame) -> DataFrame:
-    """Stars over the buckets: (u, v) of class ids that share a band hash with v."""
+def candidate_links(classes: DataFrame, total: int) -> DataFrame:
+    """Stars over the buckets: (u, v) of class ids that share a band hash with v.
+    ``total`` is the number of classes and bands, of which a bucket may hold a large part."""
     spread = classes.select("id", F.explode("bands").alias("band"))
-    least = spread.groupBy("band").agg(F.min("id").alias("v"), F.count("*").alias("n")).where("n > 1").select("band", "v")
-    return spread.join(least, "band").where("id <> v").select(F.col("id").alias("u"), "v").distinct()
+    least = written(spread.groupBy("band").agg(F.min("id").alias("v"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    return join_with_hot(spread, least, ["band"], "n", total).where("id <> v").select(F.col("id").alias("u"), "v").distinct()
+
+
+def chunked(members: DataFrame, threshold: float) -> DataFrame:
+    """``members`` (comp, n_grams, ...) with ``step``, how many chunks that step of
+    their component has (``own``) and those below and above it (``below``, ``above``), and
+    ``whole``: the component is one chunk."""
+    width = -np.log(threshold) * (1 + 1e-9)
+    sized = members.withColumn("step", F.floor(F.log(F.col("n_grams").cast("double")) / width).cast("int"))
+    each = sized.groupBy("comp", "step").agg(F.count("*").alias("n"), F.sum("n_grams").alias("grams"))
+    by = Window.partitionBy("comp")
+    next_to = by.orderBy("step")
+
+    def chunks(n: str, grams: str):
+        return F.ceil(F.greatest(F.col(n) / MEMBERS, F.col(grams) / CHUNK_GRAMS)).cast("int")
+
+    each = each.withColumn("whole", (F.sum("n").over(by) <= MEMBERS) & (F.sum("grams").over(by) <= CHUNK_GRAMS)).withColumn("own", chunks("n", "grams"))
+
+    def beside(off: int):
+        near = F.when(F.lag("step", off).over(next_to) == F.col("step") - off, F.lag("own", off).over(next_to))
+        return F.coalesce(near, F.lit(0))
+
+    each = written(each.select("comp", "step", "whole", "own", beside(1).alias("below"), beside(-1).alias("above"), "n"), "steps")
+    total = each.agg(F.sum("n")).first()[0] or 0
+    return join_with_hot(sized, each, ["comp", "step"], "n", total)
 
 
 def text_sets(docs: DataFrame, members: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """(comp, id, copies, n_chunks, grams) of the candidates, one row a class."""
+    """(comp, id, copies, whole, step, own, below, above, grams) of the candidates, one
+    row a class."""
+    kept = ["comp", "id", "copies", "whole", "step", "own", "below", "above"]
     body = docs[f"`{text}`"]
     source = docs.select(docs[f"`{key}`"].cast("long").alias("key"), F.unhex(F.md5(body.cast("binary"))).alias("hash"), body.alias("text"))
     bounded = members.count() <= BROADCAST_ROWS
@@ -126,14 +159,34 @@ def text_sets(docs: DataFrame, members: DataFrame, key: str, text: str, n: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, at = column_bytes(batch.column(4))
+            raw, at = column_bytes(batch.column(len(kept)))
             for i, j in pieces(at, 2 << 20):
                 found, found_at = ngram_sets(raw[at[i] : at[j]], at[i : j + 1] - at[i], n)
                 lists = pa.ListArray.from_arrays(pa.array(found_at.astype(np.int32)), pa.array(found.view(np.int64)))
                 own = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*(own.column(k) for k in range(4)), lists], names=["comp", "id", "copies", "n_chunks", "grams"])
+                yield pa.RecordBatch.from_arrays([*(own.column(k) for k in range(len(kept))), lists], names=[*kept, "grams"])
 
-    return joined.select("comp", "id", "copies", "n_chunks", "text").mapInArrow(run, "comp long, id long, copies long, n_chunks int, grams array<long>")
+    return joined.select(*kept, "text").mapInArrow(run, "comp long, id long, copies long, whole boolean, step int, own int, below int, above int, grams array<long>")
+
+
+def paired_chunks(sets: DataFrame) -> DataFrame:
+    """Every set in each group that compares it: ``chunk`` is its own, ``i`` and ``j`` the
+    two of the group, numbered by step and place."""
+    wide = 1 << 32
+
+    def number(off: int, place):
+        return (F.col("step").cast("long") + off) * wide + place
+
+    def numbers(count: str, off: int):
+        places = F.when(F.col(count) > 0, F.sequence(F.lit(0), F.col(count) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda place: number(off, place))
+
+    mine = number(0, F.pmod(F.xxhash64("id"), F.col("own")))
+    placed = sets.withColumn("chunk", F.when(F.col("whole"), F.lit(0).cast("long")).otherwise(mine))
+    others = F.concat(numbers("below", -1), numbers("own", 0), numbers("above", 1))
+    others = F.when(F.col("whole"), F.array(F.lit(0).cast("long"))).otherwise(others)
+    met = placed.select("comp", "id", "copies", "grams", "whole", "chunk", F.explode(others).alias("x"))
+    return met.select("comp", "id", "copies", "grams", "whole", "chunk", F.least("chunk", "x").alias("i"), F.greatest("chunk", "x").alias("j"))
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray] | None) -> Iterator[tuple[int, np.ndarray]]:
@@ -165,10 +218,10 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray] | None) -> Ite
         yield r, total
 
 
-def verified(ids: list[int], copies: np.ndarray, sets: list[np.ndarray], chunk: np.ndarray, i: int, j: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def verified(copies: np.ndarray, sets: list[np.ndarray], chunk: np.ndarray, i: int, j: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(documents linked with each member, a root of each member's links) among the
     pairs of chunk ``i`` with chunk ``j``, or within one chunk."""
-    n = len(ids)
+    n = len(sets)
     size = np.fromiter(map(len, sets), np.int64, n)
     rows = np.flatnonzero(chunk == i)
     columns = rows if i == j else np.flatnonzero(chunk == j)
@@ -205,10 +258,11 @@ def near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recal
     ``n_links`` (other rows whose n-gram set is at least ``threshold`` alike, exact
     copies included) and ``rep_key`` (least key among exact copies).
 
-    Texts of fewer than ``n`` words, but not none, have one n-gram, all their words.
-    Null texts and texts without words have no links and stand alone.  Rows of equal
-    key and text are copies of one another.  Rows with a null key come before all
-    keys.  An empty table gives an empty one.
+    Texts of fewer than ``n`` words, but not none, have one n-gram, all their words; long
+    texts have all of theirs.  Null texts and texts without words have no links and stand
+    alone.  Rows of equal key and text are copies of one another.  Keys must be integers;
+    rows with a null key come before all keys.  Other columns are not read.  An empty
+    table gives an empty one.
 
     With ``survivors`` also ``stays``: whether the row has the key and text of the one
     of its class with the least key, then the least hash.  Rows that are equal in key
@@ -216,71 +270,75 @@ def near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recal
     """
     bands, rows = bands_for(threshold, recall)
     each = written(signatures(docs, key, text, n, bands, rows), "signatures")
-    worded = each.where("size(bands) > 0")
-    classes = worded.groupBy("hash").agg(F.min(F.struct(F.col("key").isNotNull().alias("known"), "key")).alias("low"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    classes = classes.select("hash", F.col("low.key").alias("rep_key"), "copies", "bands", F.monotonically_increasing_id().alias("id"))
+    worded = each.where("n_grams > 0")
+    classes = worded.groupBy("hash").agg(F.min(F.struct(F.col("key").isNotNull().alias("known"), "key")).alias("low"), F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
+    classes = classes.select("hash", F.col("low.key").alias("rep_key"), "copies", "n_grams", "bands", F.monotonically_increasing_id().alias("id"))
     classes = written(classes, "classes")
-    found = connected_components(candidate_links(classes))
+    found = connected_components(candidate_links(classes, bands * classes.count()))
     parts = found.select(F.col("node").alias("id"), F.col("root").alias("comp"))
 
-    sizes = parts.groupBy("comp").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("n_chunks"))
-    sizes = written(sizes, "sizes")
-    sized = parts.join(sizes, "comp")
-    members = classes.join(sized, "id").select("hash", "rep_key", "copies", "id", "comp", "n_chunks")
+    members = written(chunked(classes.select("hash", "rep_key", "copies", "n_grams", "id").join(parts, "id"), threshold).drop("n", "n_grams"), "members")
     sets = written(text_sets(docs, members, key, text, n).dropDuplicates(["id"]), "gram-sets")
-    placed = sets.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("n_chunks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1))
-    paired = placed.select("comp", "id", "copies", "grams", "chunk", "n_chunks", other.alias("x"))
-    paired = paired.select("comp", "id", "copies", "grams", "chunk", "n_chunks", F.least("chunk", "x").alias("i"), F.greatest("chunk", "x").alias("j"))
+    paired = paired_chunks(sets)
 
     def run(group: pa.Table) -> pa.Table:
-        ids = group.column("id").to_pylist()
+        ids = group.column("id").to_numpy()
         grams = group.column("grams").combine_chunks()
         grams = pa.concat_arrays(grams.chunks) if isinstance(grams, pa.ChunkedArray) else grams
         at, flat = grams.offsets.to_numpy(), grams.values.to_numpy(zero_copy_only=False)
         own = [flat[a:b] for a, b in zip(at, at[1:])]
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        links, root = verified(ids, group.column("copies").to_numpy().astype(np.int64), own, group.column("chunk").to_numpy(), i, j, threshold)
-        names = np.array(ids, np.int64)
-        return pa.table({"id": names, "root": names[root], "links": links, "n_chunks": group.column("n_chunks").cast(pa.int32())})
-
-    checked = written(paired.groupBy("comp", "i", "j").applyInArrow(run, "id long, root long, links long, n_chunks int"), "checked")
-    discard(sets)
-    single = checked.where("n_chunks = 1").select("id", "root")
-    several = checked.where("n_chunks > 1")
+        links, root = verified(group.column("copies").to_numpy().astype(np.int64), own, group.column("chunk").to_numpy(), i, j, threshold)
+        return pa.table({"id": ids, "root": ids[root], "links": links, "whole": group.column("whole")})
+
+    checked = written(paired.groupBy("comp", "i", "j").applyInArrow(run, "id long, root long, links long, whole boolean"), "checked")
+    discard(sets, members)
+    single = checked.where("whole").select("id", "root")
+    several = checked.where("not whole")
     roots = single
     if not several.isEmpty():
         roots = single.unionByName(connected_components(several.select(F.col("id").alias("u"), F.col("root").alias("v"))).toDF("id", "root"))
     links = checked.groupBy("id").agg(F.sum("links").alias("links"))
     known = classes.select("hash", "rep_key", "copies", "id").join(roots, "id", "left").join(links, "id", "left")
-    known = known.withColumn("root", F.coalesce("root", "id"))
+    known = written(known.withColumn("root", F.coalesce("root", "id")), "known")
     least = [F.col("rep_key").isNotNull().alias("known"), "rep_key", *(["hash"] if survivors else [])]
-    low = known.groupBy("root").agg(F.min(F.struct(*least)).alias("low"))
-    low = low.select("root", F.col("low.rep_key").alias("class_id"), *([F.col("low.hash").alias("class_hash")] if survivors else []))
+    low = written(known.groupBy("root").agg(F.min(F.struct(*least)).alias("low"), F.count("*").alias("n")), "least")
+    low_columns = [F.col("low.rep_key").alias("class_id"), *([F.col("low.hash").alias("class_hash")] if survivors else [])]
     extra = ["class_hash"] if survivors else []
-    named = known.join(low, "root").select("hash", "rep_key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), *extra)
-    alone = each.where("bands is null or size(bands) = 0").select("key", "hash", F.col("key").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("key").alias("rep_key"))
-    linked = each.where("size(bands) > 0").select("key", "hash").join(named, "hash").select("key", "hash", "class_id", "n_links", "rep_key", *extra)
+    named = join_with_hot(known, low.select("root", "n", *low_columns), ["root"], "n", classes.count())
+    named = named.select("hash", "rep_key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies", *extra)
+    named = written(named, "named")
+    alone = each.where("n_grams = 0").select("key", "hash", F.col("key").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("key").alias("rep_key"))
+    linked = join_with_hot(worded.select("key", "hash"), named, ["hash"], "copies", each.count()).select("key", "hash", "class_id", "n_links", "rep_key", *extra)
     if survivors:
         stays = F.col("key").eqNullSafe(F.col("class_id")) & (F.col("hash") == F.col("class_hash"))
         linked, alone = linked.withColumn("stays", stays).drop("class_hash"), alone.withColumn("stays", F.lit(True))
     out = written(linked.unionByName(alone).withColumnRenamed("key", key), "near-copies")
-    discard(each, classes, found, sizes, checked)
+    discard(each, classes, found, checked, known, low, named)
     return out
 
 
 def drop_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` with one row of each class of near copies: the one of
     least key, then least hash of the text (any one of those if rows of equal key and
-    text repeat)."""
+    text repeat).  Rows whose text is null or has no word all stay.  All columns stay as
+    they are."""
     found = near_copies(docs, n, threshold, recall, text, key, survivors=True)
-    hashed = docs.withColumn("__hash", F.unhex(F.md5(docs[f"`{text}`"].cast("binary"))))
-    gone = found.where("not stays").select(F.col(key).alias("__key"), F.col("hash").alias("__gone")).distinct()
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    kept = hashed.join(gone, F.col(key).cast("long").eqNullSafe(F.col("__key")) & F.col("__hash").eqNullSafe(F.col("__gone")), "left_anti")
-    same = found.where(F.col("n_links") > 0).groupBy(key, "hash").count().where("count > 1")
-    if not same.isEmpty():
-        repeated = F.row_number().over(Window.partitionBy(key, "__hash").orderBy(F.lit(0)))
-        worded = F.coalesce(F.col(text).rlike("[0-9A-Za-z]|[^\\x00-\\x7f]"), F.lit(False))
-        kept = kept.withColumn("__nth", repeated).where((F.col("__nth") == 1) | ~worded)
-    return kept.select(*[kept[f"`{c}`"] for c in docs.columns])
+    own = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    at = dict(zip(docs.columns, own.columns))
+    hashed = own.withColumn("hash", F.unhex(F.md5(F.col(at[text]).cast("binary"))))
+    this = F.col(at[key]).cast("long")
+
+    def of(rows: DataFrame) -> DataFrame:
+        named = rows.select(F.col(key).alias("key"), F.col("hash").alias("other"))
+        return F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
+
+    gone = of(found.where("not stays").select(key, "hash").distinct())
+    same = this.eqNullSafe(F.col("key")) & F.col("hash").eqNullSafe(F.col("other"))
+    kept = hashed.join(gone, same, "left_anti")
+    repeated = found.where(F.col("stays") & (F.col("n_links") > 0)).groupBy(key, "hash").count().where("count > 1")
+    if not repeated.isEmpty():  # rows of equal key and text: copies combine before they shuffle
+        several = of(repeated)
+        one = kept.join(several, same, "left_semi").dropDuplicates([at[key], "hash"])
+        kept = kept.join(several, same, "left_anti").unionByName(one)
+    return kept.select(*own.columns).toDF(*docs.columns)

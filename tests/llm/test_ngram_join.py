@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from gaugeworks.llm import cluster as C
 from gaugeworks.llm import ngram_join as J
 from gaugeworks.llm.components import connected_components
 
@@ -57,6 +58,8 @@ def test_links_and_classes_equal_brute_force(spark):
 
 def test_chunks_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(J, "MEMBERS", 2)
+    monkeypatch.setattr(C, "HOT_ROWS", 3)
+    monkeypatch.setattr(C, "HOT_KEYS", 20)
     rows = cases()
     got = J.near_copies(frame(spark, rows))
     assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got.collect()), key=str) == brute(rows)
