@@ -12,7 +12,9 @@ transforms.
    The round in which two neighbours part is their common prefix; neighbours that
    stay together through 200 bytes are repeated intervals.  The suffixes of the
    bucket are not sorted again.
-4. Repeated windows go back to their texts as spans; a last pass cuts them out.
+4. An anchor with very many different segments, of a passage in many texts, is not left
+   to one bucket: its segments are cut again at anchors of another hash, and so on.
+5. Repeated windows go back to their texts as spans; a last pass cuts them out.
 """
 
 from __future__ import annotations
@@ -27,16 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.arrowtext import column_bytes, eights, mixed, pieces, span_hashes
-from gaugeworks.llm.cluster import discard, ready, written
+from gaugeworks.llm.cluster import discard, join_with_hot, ready, written
 
 LENGTH = 200
 RUN = 32
 FAR = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def anchors(raw: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(raw: np.ndarray, at: np.ndarray, length: int = LENGTH, level: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor hash, first window, number of windows) of every segment, in order.
-    Windows lie within their texts."""
+    Windows lie within their texts.  Each level hashes the runs in another way."""
     n = len(raw)
     if n < length:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -48,7 +50,7 @@ def anchors(raw: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.n
         h = h[: len(h) - run] * np.uint64(0xD6E8FEB86659FD93) + h[run:]
         h ^= h >> np.uint64(29)
         run *= 2
-    h = mixed(h)
+    h = mixed(h + np.uint64(level * 0xA24BAED4963EE407 & 0xFFFFFFFFFFFFFFFF))
     least = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
     # sliding minimum over the runs of a window, in blocks: a suffix of one and a prefix of the next
     wide = length - RUN + 1
@@ -72,10 +74,10 @@ def anchors(raw: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.n
     return h[where[first].astype(np.int64)], windows[first], np.diff(np.append(first, len(windows)))
 
 
-def segments(raw: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+def segments(raw: np.ndarray, at: np.ndarray, length: int = LENGTH, level: int = 0) -> tuple[np.ndarray, ...]:
     """(text, anchor, segment hash, number of windows, offsets, first windows): equal
     segments of one text stand together, as a list of the places they begin."""
-    anchor, first, n = anchors(raw, at, length)
+    anchor, first, n = anchors(raw, at, length, level)
     name = span_hashes(raw, first, first + n + length - 1)
     text = np.searchsorted(at, first, "right") - 1
     order = np.lexsort((first, name, anchor, text))
@@ -151,9 +153,11 @@ class Transform:
         return rank
 
 
-def merged_repeats(shards: list[Transform], length: int = LENGTH) -> list[np.ndarray]:
+def merged_repeats(shards: list[Transform], length: int = LENGTH) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each shard the suffixes whose first ``length`` bytes (even) another suffix
-    of any shard shares.
+    of any shard shares, in order of their places, and the repeated interval of each:
+    suffixes of one interval have a common prefix of ``length`` bytes or more, those of
+    different ones a shorter one, and intervals are numbered in the order of their strings.
 
     The interleave of the shards' rows is refined: if it is in order by ``2 k`` bytes,
     a stable distribution by the pair before each row puts the rows led by those pairs
@@ -172,13 +176,17 @@ def merged_repeats(shards: list[Transform], length: int = LENGTH) -> list[np.nda
         order = np.argsort(lead, kind="stable")
         lead, interleave, block = lead[order], led[order], block[order]
         if len(interleave) < 2:
-            return [np.zeros(0, np.int64) for _ in shards]
+            return [(np.zeros(0, np.int64), np.zeros(0, np.int32)) for _ in shards]
         parts = (lead[1:] != lead[:-1]) | (block[1:] != block[:-1])
         alone = np.append(True, parts) & np.append(parts, True)
         block = np.append(np.int32(0), np.cumsum(parts, dtype=np.int32))[~alone]
         interleave = interleave[~alone]
-    owner = np.searchsorted(base, interleave, "right") - 1
-    return [s.suffix[np.sort(interleave[owner == k] - base[k])] for k, s in enumerate(shards)]
+    owner, out = np.searchsorted(base, interleave, "right") - 1, []
+    for k, s in enumerate(shards):
+        place = s.suffix[interleave[owner == k] - base[k]]
+        order = np.argsort(place)
+        out.append((place[order], block[owner == k][order]))
+    return out
 
 
 def repeated_windows(texts: list[bytes], length: int = LENGTH, shard_bytes: int = 64 << 10) -> list[np.ndarray]:
@@ -189,15 +197,18 @@ def repeated_windows(texts: list[bytes], length: int = LENGTH, shard_bytes: int
     raw = np.frombuffer(b"".join(texts), np.uint8)
     cuts = list(pieces(at, shard_bytes))
     shards = [Transform(raw[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in cuts]
-    places = np.sort(np.concatenate([found + at[i] for found, (i, _) in zip(merged_repeats(shards, length), cuts)])) if cuts else np.zeros(0, np.int64)
+    places = np.concatenate([found + at[i] for (found, _), (i, _) in zip(merged_repeats(shards, length), cuts)]) if cuts else np.zeros(0, np.int64)
     cut = np.searchsorted(places, at)
     return [places[a:b] - s for a, b, s in zip(cut[:-1], cut[1:], at[:-1])]
 
 
-#: Segment bytes that meet in one bucket, and beyond which one anchor's segments are
-#: told apart window by window instead.
+#: Segment bytes that meet in one bucket.  The segments of an anchor with more than
+#: ``SPLIT_BYTES`` are cut at the anchors of the next level; what ``LEVELS`` of them leave
+#: above ``MOST_BYTES`` in one place is told apart window by window.
 BUCKET_BYTES = 128 << 10
+SPLIT_BYTES = 1 << 20
 MOST_BYTES = 8 << 20
+LEVELS = 3
 #: Bits of the map of repeated anchors, whatever the input: 8 MB.
 MAP_BITS = 26
 
@@ -214,14 +225,14 @@ def distinct_texts(docs: DataFrame, text: str, partitions: int) -> tuple[DataFra
     return spark.table(name), name
 
 
-def all_segments(texts: DataFrame, length: int) -> DataFrame:
+def all_segments(texts: DataFrame, length: int, level: int) -> DataFrame:
     """(hash, copies, anchor, seg, n_windows, firsts): 32-bit places packed in bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = column_bytes(batch.column(2))
             for i, j in pieces(at, 512 << 10):
-                text, anchor, name, n, offset, first = segments(raw[at[i] : at[j]], at[i : j + 1] - at[i], length)
+                text, anchor, name, n, offset, first = segments(raw[at[i] : at[j]], at[i : j + 1] - at[i], length, level)
                 take = pa.array(text + i)
                 firsts = pa.Array.from_buffers(pa.binary(), len(text), [None, pa.py_buffer((offset * 4).astype(np.int32)), pa.py_buffer(first.astype("<u4"))])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(anchor.view(np.int64)), pa.array(name.view(np.int64)), pa.array(n.astype(np.int32)), firsts], names=["hash", "copies", "anchor", "seg", "n_windows", "firsts"])
@@ -250,9 +261,9 @@ def maybe_repeated(found: DataFrame, anchors_: DataFrame) -> DataFrame:
 
 
 def cut_out(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of the wanted segments (hash, anchor, seg, first, n_windows), which
-    are gathered by text; ``bucket`` goes along."""
-    gathered = wanted.groupBy("hash").agg(F.collect_list(F.struct("anchor", "seg", "bucket", "first", "n_windows")).alias("want"))
+    """The bytes of the wanted segments (hash, anchor, seg, several, first, n_windows),
+    which are gathered by text; ``bucket`` goes along."""
+    gathered = wanted.groupBy("hash").agg(F.collect_list(F.struct("anchor", "seg", "bucket", "first", "n_windows", "several")).alias("want"))
     joined = texts.select("hash", "body").join(gathered, "hash").select("body", "want")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +272,7 @@ def cut_out(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             lists = batch.column(1)
             own = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
             want = lists.flatten()
-            anchor, seg, bucket, first, n = (want.field(k) for k in range(5))
+            anchor, seg, bucket, first, n, several = (want.field(k) for k in range(6))
             begin = at[:-1][own] + first.to_numpy()
             size = n.to_numpy() + length - 1
             for a in range(0, len(own), 20000):
@@ -269,9 +280,9 @@ def cut_out(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 cut = np.concatenate([[0], np.cumsum(size[a:b])])
                 index = np.repeat(begin[a:b] - cut[:-1], size[a:b]) + np.arange(cut[-1])
                 body = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw[index]))])
-                yield pa.RecordBatch.from_arrays([bucket.slice(a, b - a), anchor.slice(a, b - a), seg.slice(a, b - a), body], names=["bucket", "anchor", "seg", "body"])
+                yield pa.RecordBatch.from_arrays([*(x.slice(a, b - a) for x in (bucket, anchor, seg, several)), body], names=["bucket", "anchor", "seg", "several", "body"])
 
-    return joined.mapInArrow(run, "bucket long, anchor long, seg long, body binary")
+    return joined.mapInArrow(run, "bucket long, anchor long, seg long, several boolean, body binary")
 
 
 def _runs(places: np.ndarray) -> bytes:
@@ -283,12 +294,13 @@ def _runs(places: np.ndarray) -> bytes:
 
 
 def merged_in_buckets(bodies: DataFrame, length: int) -> DataFrame:
-    """(anchor, seg, runs) of the segments with repeated windows, by merged transforms."""
+    """(anchor, seg, runs) of the segments with repeated windows, by merged transforms.
+    Those that are repeated as a whole (``several``) meet the others but have no row."""
 
     def run(group: pa.Table) -> pa.Table:
         found = [_runs(places) for places in repeated_windows(group.column("body").to_pylist(), length)]
         out = pa.table({"anchor": group.column("anchor"), "seg": group.column("seg"), "runs": pa.array(found, pa.binary())})
-        return out.filter(pa.array([bool(f) for f in found]))
+        return out.filter(pa.array([bool(f) and not s for f, s in zip(found, group.column("several").to_pylist())], pa.bool_()))
 
     return bodies.groupBy("bucket").applyInArrow(run, "anchor long, seg long, runs binary")
 
@@ -299,7 +311,7 @@ def told_apart_by_window(bodies: DataFrame, length: int) -> DataFrame:
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, at = column_bytes(batch.column(3))
+            raw, at = column_bytes(batch.column(4))
             n = np.diff(at) - length + 1
             own = np.repeat(np.arange(len(n)), n)
             place = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
@@ -308,12 +320,12 @@ def told_apart_by_window(bodies: DataFrame, length: int) -> DataFrame:
                 part = slice(a, a + 50000)
                 h = [span_hashes(raw, begin[part], begin[part] + length).view(np.int64), span_hashes(raw[::-1].copy(), len(raw) - begin[part] - length, len(raw) - begin[part]).view(np.int64)]
                 take = pa.array(own[part])
-                yield pa.RecordBatch.from_arrays([batch.column(1).take(take), batch.column(2).take(take), pa.array(place[part].astype(np.int32)), pa.array(h[0]), pa.array(h[1])], names=["anchor", "seg", "place", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in (1, 2, 3)), pa.array(place[part].astype(np.int32)), pa.array(h[0]), pa.array(h[1])], names=["anchor", "seg", "several", "place", "h1", "h2"])
 
-    windows = bodies.mapInArrow(spread, "anchor long, seg long, place int, h1 long, h2 long")
+    windows = bodies.mapInArrow(spread, "anchor long, seg long, several boolean, place int, h1 long, h2 long")
     windows = written(windows, "windows")
     several = written(windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "several")
-    places = windows.join(several, ["h1", "h2"]).groupBy("anchor", "seg").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    places = windows.where("not several").join(several, ["h1", "h2"]).groupBy("anchor", "seg").agg(F.array_sort(F.collect_list("place")).alias("places"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -323,37 +335,58 @@ def told_apart_by_window(bodies: DataFrame, length: int) -> DataFrame:
     return places.mapInArrow(join, "anchor long, seg long, runs binary")
 
 
-def repeated_spans(texts: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]:
+def repeated_spans(texts: DataFrame, length: int, level: int = 0) -> tuple[DataFrame, list[DataFrame]]:
     """(hash, spans): for each text with repeats its segments' places and the runs of
     repeated windows in them (null: all windows); and the tables it still reads."""
-    found = written(all_segments(texts, length), "segments")
-    counted = found.groupBy("anchor").agg(F.sum(F.octet_length("firsts") / 4 * F.col("copies")).alias("n"), F.min("seg").alias("low"), F.max("seg").alias("high"))
-    repeated = written(counted.where("n > 1").select("anchor", (F.col("low") == F.col("high")).alias("one")), "anchors")
-    near = maybe_repeated(found, repeated).join(repeated, "anchor")
-    near = written(near, "near")
+    found = written(all_segments(texts, length, level), "segments")
+    counted = found.groupBy("anchor").agg(F.sum(F.octet_length("firsts") / 4 * F.col("copies")).alias("n"), F.count("*").alias("rows"), F.min("seg").alias("low"), F.max("seg").alias("high"))
+    repeated = written(counted.where("n > 1").select("anchor", "rows", (F.col("low") == F.col("high")).alias("one")), "anchors")
+    near = join_with_hot(maybe_repeated(found, repeated), repeated, ["anchor"], "rows", found.count())
+    near = written(near.drop("rows"), "near")
     discard(found, repeated)
     whole = near.where("one").select("hash", "firsts", "n_windows", F.lit(None).cast("binary").alias("runs"))
     mixed_ = near.where("not one")
-    kinds = mixed_.groupBy("anchor", "seg").agg(F.sum(F.octet_length("firsts") / 4 * F.col("copies")).alias("n"), F.min(F.struct("hash", "firsts", "n_windows")).alias("low"))
-    kinds = kinds.select("anchor", "seg", "n", "low.hash", "low.firsts", "low.n_windows")
+    kinds = mixed_.groupBy("anchor", "seg").agg(F.sum(F.octet_length("firsts") / 4 * F.col("copies")).alias("n"), F.count("*").alias("rows"), F.min(F.struct("hash", "firsts", "n_windows")).alias("low"))
+    kinds = kinds.select("anchor", "seg", (F.col("n") > 1).alias("several"), "rows", "low.hash", "low.firsts", "low.n_windows")
     kinds = written(kinds, "kinds")
-    size = F.col("n_windows") + length - 1
-    weight = kinds.groupBy("anchor").agg(F.sum(size).alias("bytes"))
-    total, most = weight.agg(F.sum("bytes"), F.max("bytes")).first()
+    weight = kinds.groupBy("anchor").agg(F.sum(F.col("n_windows") + length - 1).alias("bytes"), F.sum("rows").alias("rows"))
+    total, most, n_rows = weight.agg(F.sum("bytes"), F.max("bytes"), F.sum("rows")).first()
     buckets = max(1, -(-(total or 0) // BUCKET_BYTES))
-    wanted = kinds.select("anchor", "seg", "hash", "n_windows", _first_place("firsts").alias("first"), F.pmod(F.xxhash64("anchor"), F.lit(buckets)).cast("long").alias("bucket"))
-    bodies = cut_out(texts, wanted, length)
-    if (most or 0) <= MOST_BYTES:
+    wanted = kinds.select("anchor", "seg", "several", "hash", "n_windows", _first_place("firsts").alias("first"), F.pmod(F.xxhash64("anchor"), F.lit(buckets)).cast("long").alias("bucket"))
+    bodies, held = cut_out(texts, wanted, length), [near, kinds]
+    limit = SPLIT_BYTES if level + 1 < LEVELS else MOST_BYTES
+    if (most or 0) <= limit:
         runs = merged_in_buckets(bodies, length)
     else:
         bodies = written(bodies, "bodies")
-        large = written(weight.where(F.col("bytes") > MOST_BYTES).select("anchor"), "large")
+        large = written(weight.where(F.col("bytes") > limit).select("anchor"), "large")
         rest = bodies.join(large, "anchor", "left_anti").select(*bodies.columns)
-        runs = merged_in_buckets(rest, length).unionByName(told_apart_by_window(bodies.join(large, "anchor", "left_semi").select(*bodies.columns), length))
-    runs = runs.unionByName(kinds.where("n > 1").select("anchor", "seg", F.lit(None).cast("binary").alias("runs")))
-    runs = written(runs.groupBy("anchor", "seg").agg(F.max(F.col("runs").isNull()).alias("all"), F.first("runs", ignorenulls=True).alias("runs")), "runs")
-    parts = mixed_.join(runs, ["anchor", "seg"]).select("hash", "firsts", "n_windows", F.when(~F.col("all"), F.col("runs")).alias("runs"))
-    return whole.unionByName(parts).groupBy("hash").agg(F.collect_list(F.struct("firsts", "n_windows", "runs")).alias("spans")), [near, kinds, runs]
+        hot = bodies.join(large, "anchor", "left_semi").select(*bodies.columns)
+        split = split_again(hot, length, level + 1, held) if level + 1 < LEVELS else told_apart_by_window(hot, length)
+        runs = merged_in_buckets(rest, length).unionByName(split)
+        held += [bodies, large]
+    runs = runs.select("anchor", "seg", F.lit(1).cast("long").alias("rows"), "runs").unionByName(kinds.where("several").select("anchor", "seg", "rows", F.lit(None).cast("binary").alias("runs")))
+    runs = written(runs, "runs")
+    parts = join_with_hot(mixed_, runs, ["anchor", "seg"], "rows", n_rows or 0).select("hash", "firsts", "n_windows", "runs")
+    return whole.unionByName(parts).groupBy("hash").agg(F.collect_list(F.struct("firsts", "n_windows", "runs")).alias("spans")), [*held, runs]
+
+
+def split_again(bodies: DataFrame, length: int, level: int, held: list[DataFrame]) -> DataFrame:
+    """(anchor, seg, runs) of segments of hot anchors: each is a text of its own, cut at
+    the anchors of the next level.  Equal windows have equal anchors at every level, so a
+    window of another anchor can't be its repeat."""
+    named = bodies.withColumn("hash", F.unhex(F.concat(F.lpad(F.hex("anchor"), 16, "0"), F.lpad(F.hex("seg"), 16, "0"))))
+    texts = written(named.select("hash", "body", F.lit(1).cast("long").alias("copies"), "anchor", "seg", "several"), "hot")
+    spans, more = repeated_spans(texts.select("hash", "body", "copies"), length, level)
+    held += [texts, *more]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_runs(np.flatnonzero(inside(n, spans_))) for n, spans_ in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["anchor", "seg", "runs"])
+
+    whole = texts.where("not several").select("hash", "anchor", "seg", (F.octet_length("body") - (length - 1)).alias("n"))
+    return whole.join(spans, "hash").select("anchor", "seg", "n", "spans").mapInArrow(run, "anchor long, seg long, runs binary")
 
 
 def _first_place(packed: str):
@@ -363,14 +396,14 @@ def _first_place(packed: str):
     return F.conv(turned, 16, 10).cast("long")
 
 
-def covered(n: int, spans, length: int) -> np.ndarray:
-    """Which of a text's ``n`` bytes lie in a repeated string."""
+def inside(n: int, spans, reach: int = 1) -> np.ndarray:
+    """Which of ``n`` places lie in a repeated window's first ``reach`` bytes."""
     edge = np.zeros(n + 1, np.int32)
     for span in spans or ():
         first = np.frombuffer(span["firsts"], "<u4").astype(np.int64)
         runs = np.array([[0, span["n_windows"]]]) if span["runs"] is None else np.frombuffer(span["runs"], "<u4").astype(np.int64).reshape(-1, 2)
         np.add.at(edge, (first[:, None] + runs[:, 0]).reshape(-1), 1)
-        np.add.at(edge, (first[:, None] + runs[:, 1] + length - 1).reshape(-1), -1)
+        np.add.at(edge, (first[:, None] + runs[:, 1] + reach - 1).reshape(-1), -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -391,7 +424,7 @@ def cut_texts(docs: DataFrame, text: str = "text", length: int = LENGTH, with_te
                 if copies > 1 and n >= length:
                     gone = np.ones(n, bool)
                 elif spans_:
-                    gone = covered(n, spans_, length)
+                    gone = inside(n, spans_, length)
                 else:
                     gone = None
                 if gone is None or not gone.any():
@@ -415,8 +448,9 @@ def dedup_report(docs: DataFrame, text: str = "text", key: str = "doc_id", lengt
 
     Every byte covered by a string of ``length`` bytes that begins anywhere else too,
     in the same text included, is removed.  Null texts count as empty; texts shorter
-    than ``length`` keep all; copies of a longer text lose all; rows with null or
-    repeated keys are told apart by their text only; an empty table gives an empty one.
+    than ``length`` keep all; copies of a longer text lose all; long texts are treated
+    whole; rows with null or repeated keys are told apart by their text only; other
+    columns are not read, whatever their names; an empty table gives an empty one.
     """
     cut = cut_texts(docs, text, length)
     rows = docs.select(docs[f"`{key}`"].alias(key), F.unhex(F.md5(F.coalesce(docs[f"`{text}`"].cast("binary"), F.lit(b"")))).alias("hash"))

@@ -41,6 +41,7 @@ def test_report_equals_brute_force(spark):
 
 def test_windows_instead_of_buckets_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(S, "MOST_BYTES", 600)
+    monkeypatch.setattr(S, "LEVELS", 1)
     rows = cases(9)
     got = S.dedup_report(frame(spark, rows))
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows)
@@ -72,3 +73,28 @@ def test_merged_transforms_equal_counting():
             count = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
             want = [[i for i in range(len(t) - length + 1) if count[t[i : i + length]] > 1] for t in texts]
             assert [x.tolist() for x in S.repeated_windows(texts, length, rng.choice([60, 200, 10000]))] == want
+
+
+def test_hot_anchors_are_cut_again(spark, monkeypatch):
+    monkeypatch.setattr(S, "SPLIT_BYTES", 600)
+    rows = cases(11)
+    got = S.dedup_report(frame(spark, rows))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows)
+
+
+def test_repeated_intervals_have_the_common_prefix():
+    rng = random.Random(6)
+    for length in (2, 6, 12):
+        texts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 60))) for _ in range(5)]
+        shards, raws = [], [b"".join(texts[:2]), b"".join(texts[2:])]
+        for part, raw in ((texts[:2], raws[0]), (texts[2:], raws[1])):
+            at = S.np.concatenate([[0], S.np.cumsum([len(t) for t in part])])
+            shards.append((S.Transform(S.np.frombuffer(raw, S.np.uint8), at), at))
+        named, strings = {}, []
+        for (_, at), raw, (places, interval) in zip(shards, raws, S.merged_repeats([t for t, _ in shards], length)):
+            for p, k in zip(places.tolist(), interval.tolist()):
+                assert p + length <= at[S.np.searchsorted(at, p, "right")]
+                named.setdefault(k, set()).add(raw[p : p + length])
+        assert all(len(v) == 1 for v in named.values())
+        strings = [next(iter(named[k])) for k in sorted(named)]
+        assert strings == sorted(strings) and len(set(strings)) == len(strings)
