@@ -35,7 +35,7 @@ RECALL = 0.9999
 MOST_HASHES = 192
 #: Texts of one chunk of a component and n-grams of their sets (or one text): a group
 #: verifies one chunk or a pair of them.
-MEMBERS = 512
+MEMBERS = 256
 CHUNK_GRAMS = 1 << 20
 #: Classes up to this number are sent to all executors (32 bytes each).
 BROADCAST_ROWS = 1_000_000
