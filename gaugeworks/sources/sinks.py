@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+import uuid
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, FloatType, MapType, StringType, StructField, StructType
 
-from gaugeworks.functions.expr import classify_line
+from gaugeworks.functions.expr import classify_line, file_name, parent, stem, suffix
 
 RECEIPT = "fingerprint string, schema_version int, source string, windows array<struct<pool:string,start:double,size:double>>, candidates array<struct<rate:long,minimum:double,scores:array<double>>>"
 
@@ -17,9 +21,37 @@ def fingerprint(columns: Sequence[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
 
 
+FINGERPRINT = r"[0-9a-f]{64}"
+
+
+def finite(df: DataFrame) -> Column:
+    """whether no number anywhere in a row, in arrays, structs and maps too, is NaN
+    or infinite."""
+
+    def check(column: Column, kind: DataType) -> Column | None:
+        if isinstance(kind, (DoubleType, FloatType)):
+            return F.coalesce(~F.isnan(column) & (F.abs(column) < float("inf")), F.lit(True))
+        if isinstance(kind, StructType):
+            parts = [c for f in kind.fields if (c := check(column[f.name], f.dataType)) is not None]
+            return reduce(lambda a, b: a & b, parts) if parts else None
+        if isinstance(kind, ArrayType):
+            inner = check(F.lit(None).cast(kind.elementType), kind.elementType)
+            return None if inner is None else F.coalesce(F.forall(column, lambda x: check(x, kind.elementType)), F.lit(True))
+        if isinstance(kind, MapType):
+            return check(F.map_values(column), ArrayType(kind.valueType))
+        return None
+
+    found = [c for f in df.schema.fields if (c := check(F.col(f"`{f.name}`"), f.dataType)) is not None]
+    return reduce(lambda a, b: a & b, found) if found else F.lit(True)
+
+
 def save_receipts(receipts: DataFrame, folder: str) -> None:
-    """K1: one partition a fingerprint, replaced as a whole; other receipts stay."""
-    receipts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("fingerprint").json(folder)
+    """K1: one partition a fingerprint, replaced as a whole; other receipts stay.  A
+    receipt with a malformed fingerprint or a number that is not finite fails the write
+    before anything is replaced.  Fields are written in name order."""
+    good = F.coalesce(F.col("fingerprint").rlike(f"^{FINGERPRINT}$"), F.lit(False)) & finite(receipts)
+    checked = receipts.withColumn("fingerprint", F.when(good, F.col("fingerprint")).otherwise(F.raise_error(F.lit("not a valid receipt"))))
+    checked.select(*sorted(receipts.columns)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("fingerprint").json(folder)
 
 
 def valid_receipt(version: int = 5) -> Column:
@@ -71,10 +103,26 @@ def write_table_text(rows: DataFrame, folder: str, columns: Mapping[str, str]) -
 
 
 def summary_text(row: DataFrame) -> DataFrame:
-    """One JSON text with the fields in name order."""
+    """One JSON text with the fields in name order, nulls kept."""
     return row.select(F.to_json(F.struct(*sorted(row.columns)), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def write_summary(row: DataFrame, path: str) -> None:
+    """K5: the JSON text of a one-row summary as one file, renamed into place when it is
+    whole.  The row is an aggregate: it alone passes through the driver."""
+    spark = row.sparkSession
+    (text,) = (r.value for r in summary_text(row.limit(1)).collect())
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    to, part = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    files = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(part, False)
+    out.write((text + "\n").encode())
+    out.close()
+    files.delete(to, False)
+    if not files.rename(part, to):
+        raise OSError(f"cannot rename to {path}")
+
+
 def output_lines(row: DataFrame) -> DataFrame:
     """``name=value`` lines of one row, with ``%`` and line ends escaped and lists as
     compact JSON."""
@@ -87,29 +135,149 @@ def output_lines(row: DataFrame) -> DataFrame:
 
 
 def publish_split(outputs: DataFrame, limit: str, size: str, path: str) -> DataFrame:
-    """K6: where each output goes: its own path if small enough and free, else a
-    ``size-miss`` name beside it."""
+    """K6: where each output goes: its own path if small enough, else a ``size-miss`` name
+    of eight hex digits beside it.  An own path that exists by now (``target_exists``, if
+    such a column is there) is refused: ``to`` is null."""
     token = F.substring(F.sha2(F.concat_ws("|", path, F.col(size).cast("string")), 256), 1, 8)
     fits = F.col(limit).isNull() | (F.col(size) <= F.col(limit))
-    return outputs.withColumn("accepted", fits).withColumn("to", F.when(fits, F.col(path)).otherwise(F.concat(F.col(path), F.lit(".size-miss-"), token)))
+    free = ~F.coalesce(F.col("target_exists"), F.lit(False)) if "target_exists" in outputs.columns else F.lit(True)
+    own = F.when(free, F.col(path))
+    return outputs.withColumn("accepted", fits & free).withColumn("to", F.when(fits, own).otherwise(F.concat(F.col(path), F.lit(".size-miss-"), token)))
 
 
 def copy_reasons(skipped: DataFrame) -> DataFrame:
-    """Whether a skipped source can be copied, and why not."""
-    reason = F.when(~F.col("source_exists"), "source missing").when(F.col("source") == F.col("target"), "same path").when(F.col("target_exists") & ~F.col("overwrite"), "target exists")
+    """Whether a skipped source can be copied, and why not, the first reason that
+    holds: it is missing, its target exists and may not be overwritten, or is the source."""
+    reason = F.when(~F.col("source_exists"), "source is missing").when(F.col("target_exists") & ~F.col("overwrite"), "output exists").when(F.col("source") == F.col("target"), "source and output are the same file")
     return skipped.withColumn("reason", reason).withColumn("copied", F.col("reason").isNull())
 
 
-def delete_receipts(spark: SparkSession, folder: str, fingerprint: str | None = None) -> int:
-    """K2: delete one receipt, or all; how many there were."""
-    where = f"{folder}/fingerprint={fingerprint}" if fingerprint else folder
-    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+def eligible_skips(rows: DataFrame) -> Column:
+    """Skipped, with no decision pending and no reason from planning, and there."""
+    return F.col("skipped") & ~F.col("needs_decision") & (F.coalesce(F.col("skip_reason"), F.lit("")) == "") & F.col("source_exists")
+
+
+def plan_reason(two_pass: Column, supports_two_pass: Column) -> Column:
+    """Why a planned row is not valid, else null."""
+    reason = F.when(F.col("source") == F.col("target"), "output is the source").when(F.col("target_exists") & ~F.col("overwrite"), "output exists")
+    return reason.when(two_pass & ~supports_two_pass, "two passes are not supported")
+
+
+def sidecar_targets(pairs: DataFrame) -> DataFrame:
+    """K8: (source, sidecar, target) with the sidecar's new path ``to``: what follows the
+    source's stem in its name follows the target's, or else its suffix does."""
+    name, stem_, at = file_name(F.col("sidecar")), stem(F.col("source")), stem(F.col("target"))
+    rest = F.when(name.startswith(stem_), F.nullif(F.substr(name, F.length(stem_) + 1), F.lit("")))
+    return pairs.withColumn("to", F.concat(parent(F.col("target")), F.lit("/"), at, F.coalesce(rest, suffix(F.col("sidecar")))))
+
+
+def copy_files(rows: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
+    """K7, K8: copy each file from ``source`` to ``target`` in the tasks, by blocks and
+    renamed into place, and return the rows with ``copied`` and ``reason``: null, or why
+    it was refused or failed.  Folders of targets are made.  A target that exists is
+    replaced only if ``overwrite`` is true (or there is no such column)."""
+    kept = [f for f in rows.schema.fields if f.name not in ("copied", "reason")]
+    schema = StructType([*kept, StructField("copied", BooleanType()), StructField("reason", StringType())])
+    may = F.coalesce(F.col("overwrite"), F.lit(False)) if "overwrite" in rows.columns else F.lit(True)
+    asked = rows.select(*(f"`{f.name}`" for f in kept), F.col(source).alias("__from"), F.col(target).alias("__to"), may.alias("__may"))
+
+    def place(uri: str):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else uri.replace("file:", "file://", 1))
+
+    def one(came: str, to: str, may_replace: bool) -> str | None:
+        from pyarrow import fs
+
+        if came is None or to is None:
+            return "no path"
+        if came == to:
+            return "source and output are the same file"
+        (files, path), (others, goal) = place(came), place(to)
+        if files.get_file_info(path).type != fs.FileType.File:
+            return "source is missing"
+        if not may_replace and others.get_file_info(goal).type != fs.FileType.NotFound:
+            return "output exists"
+        others.create_dir(goal.rpartition("/")[0], recursive=True)
+        part = f"{goal}.{uuid.uuid4().hex}.tmp"
+        with files.open_input_stream(path) as read, others.open_output_stream(part) as write:
+            while block := read.read(8 << 20):
+                write.write(block)
+        others.move(part, goal)
+        return None
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            why = []
+            for came, to, may_replace in zip(*(batch.column(len(kept) + k).to_pylist() for k in range(3)), strict=True):
+                try:
+                    why.append(one(came, to, may_replace))
+                except OSError as e:
+                    why.append(str(e))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(kept))), pa.array([w is None for w in why]), pa.array(why, pa.string())], names=schema.names)
+
+    return asked.mapInArrow(run, schema)
+
+
+def delete_receipts(spark: SparkSession, folder: str, fingerprint: str) -> bool:
+    """K2: delete one receipt; whether there was one.  What is not 64 hex digits names no
+    receipt and is an error."""
+    if not re.fullmatch(FINGERPRINT, fingerprint or ""):
+        raise ValueError(f"not a fingerprint: {fingerprint!r}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/fingerprint={fingerprint}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear_receipts(spark: SparkSession, folder: str) -> int:
+    """K2: delete all receipts of a folder, and nothing else there; how many there were."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.exists(path):
         return 0
-    n = 1 if fingerprint else sum("fingerprint=" in s.getPath().getName() for s in files.listStatus(path))
-    files.delete(path, True)
-    return n
+    found = [s.getPath() for s in files.listStatus(path) if re.fullmatch(f"fingerprint={FINGERPRINT}", s.getPath().getName())]
+    return sum(files.delete(p, True) for p in found)
+
+
+# The fields of a measurement's key besides those of its settings, and what
+# the key of a decision adds.
+MEASURED_BY = ["source", "ffmpeg", "codec", "encoder", "backend", "preset", "pix_fmt", "two_pass", "maxrate_factor", "bufsize_factor", "sample_scheme_version"]
+MEASURED_SETTINGS = ["whole_video_max_sec", "scout_duration_sec", "scout_multiplier", "scout_max_windows", "sample_duration_sec", "sample_count_under_10m", "sample_count_10_to_60m", "sample_count_60_to_180m", "sample_count_over_180m", "holdout_window_count", "holdout_window_count_over_180m", "search_min_windows", "search_max_windows", "holdout_target_min", "holdout_target_max", "reserve_window_count", "max_refinement_rounds"]
+MEASURED_MEDIA = ["source_width", "source_height", "source_fps", "source_pix_fmt", "source_bit_depth", "candidate_encode_width", "candidate_encode_height", "candidate_encode_bit_depth"]
+MEASURED_WITH = ["vmaf_generation", "vmaf_resolution_mode", "viewing_context", "vmaf_pooling", "temporal_drop_tolerance", "risk_vector_version", "adaptive_planner_version", "size_prediction_version", "vmaf_model", "vmaf_hfr", "vmaf_display_width", "vmaf_display_height", "vmaf_measurement_pix_fmt", "vmaf_measurement_bit_depth", "vmaf_measurement_pipeline_version", "vmaf_scale_algorithm", "vmaf_aspect_policy", "vmaf_subsample", "vmaf_backend", "analysis_algorithm_version"]
+DECIDED_BY = ["measurement_fingerprint", "min_vmaf", "max_output_ratio", "audio_mode", "audio_bitrate", "min_video_kbps", "max_video_kbps", "container", "coarse_max_candidates", "exact_max_candidates", "coarse_vmaf_subsample", "exact_vmaf_subsample", "min_search_tolerance_bps", "search_tolerance_ratio", "preferred_vmaf_margin", "analysis_algorithm_version"]
+
+
+def measurement_key() -> Column:
+    """The key of everything that changes a measurement: the same key, the same
+    measurement.  Policies are not in it."""
+    return fingerprint([*MEASURED_BY, *MEASURED_SETTINGS, *MEASURED_MEDIA, *MEASURED_WITH])
+
+
+def decision_key() -> Column:
+    """The measurement's key (``measurement_fingerprint``) and the policies, so that a
+    changed policy finds the same measurement."""
+    return fingerprint(DECIDED_BY)
+
+
+def receipt_rows(measured: DataFrame, version: int = 5) -> DataFrame:
+    """A receipt a row of ``measured`` (source, measurement fields, search, holdout
+    and reserve windows as arrays of ``start, size``, candidates), as ``save_receipts``
+    writes it."""
+    pools = [_pool(pool) for pool in ("search", "holdout", "reserve")]
+    return measured.select(
+        measurement_key().alias("fingerprint"),
+        F.lit(version).alias("schema_version"),
+        F.col("source").cast("string").alias("source"),
+        F.concat(*pools).alias("windows"),
+        F.transform("candidates", lambda c: F.struct(c["rate"].alias("rate"), F.array_min(c["scores"]).alias("minimum"), c["scores"].alias("scores"))).alias("candidates"),
+    )
+
+
+def _pool(pool: str) -> Column:
+    empty = F.array().cast("array<struct<start:double,size:double>>")
+    return F.transform(F.coalesce(F.col(pool), empty), lambda w: F.struct(F.lit(pool).alias("pool"), w["start"].cast("double").alias("start"), w["size"].cast("double").alias("size")))
 
 
 def export_lines(lines: DataFrame, folder: str, text: str = "value", kind: str | None = None) -> None:
