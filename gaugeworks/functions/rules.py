@@ -35,8 +35,12 @@ def actions(choices: Sequence[tuple[Column, str]]) -> Column:
 
 
 def retry_kbps(selected: Column, allowed: Column, actual: Column, cap: Column) -> Column:
-    """The rate that makes up for a miss, in thousands, at 98 percent and under a cap."""
-    return F.least(cap.cast("long"), F.floor(F.greatest(F.lit(1000).cast("long"), F.floor(selected * allowed / actual * 0.98)) / 1000).cast("long"))
+    """P20: the rate that makes up for a miss, in thousands, at 98 percent, at least 1 and
+    under a cap if there is one (above 0).  Null where a size or the rate is not positive."""
+    rate = F.greatest(F.lit(1000).cast("long"), F.floor(selected * allowed / actual * 0.98).cast("long"))
+    kbps = F.greatest(F.lit(1).cast("long"), F.floor(rate / 1000).cast("long"))
+    capped = F.when(cap > 0, F.least(cap.cast("long"), kbps)).otherwise(kbps)
+    return F.when((actual > 0) & (selected > 0) & allowed.isNotNull(), capped)
 
 
 def mapped(x: Column, to: Mapping[str, str], otherwise) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fcntl
 import json
 import os
 import re
@@ -10,6 +11,7 @@ from collections.abc import Callable, Mapping
 from pathlib import Path
 from typing import Any
 
+# Fixed value: what the name of a preset may be.
 NAME = re.compile(r"[A-Za-z0-9._-]+")
 
 
@@ -37,13 +39,47 @@ def save_preset(folder: str, name: str, options: Mapping[str, Any]) -> Path:
     return path
 
 
-def load_preset(folder: str, name: str, defaults: Mapping[str, Any]) -> dict[str, Any]:
-    """A preset with missing keys from ``defaults``; blank text counts as null."""
+# The names that options may have.
+CHOICES = {
+    "codec": ("hevc", "av1"),
+    "compression_mode": ("smart", "fixed_bitrate"),
+    "size_blocked_policy": ("relax_size", "relax_quality", "ask"),
+    "quality_unreachable_policy": ("skip", "ask"),
+    "skipped_output_policy": ("copy", "ask", "ignore"),
+    "analysis_profile": ("fast", "balance", "precise"),
+    "backend": ("auto", "cpu", "nvenc", "qsv", "amf", "videotoolbox"),
+    "parallel_backends": ("auto", "cpu", "nvenc", "qsv", "amf", "videotoolbox"),
+    "decode_acceleration": ("software", "videotoolbox"),
+    "audio_mode": ("copy", "aac"),
+    "container": ("mkv", "mp4"),
+    "viewing_context": ("high_fidelity", "standard_display"),
+}
+
+
+def check_options(options: Mapping[str, Any], choices: Mapping[str, tuple[str, ...]] = CHOICES) -> None:
+    """P25: names must be known ones, ``ratio`` positive, ``min_vmaf`` above 0 and up to
+    100, ``max_output_ratio`` above 0 and up to 1; what is null or absent is not checked."""
+    for key, known in choices.items():
+        value = options.get(key)
+        for one in value if isinstance(value, list) else [value]:
+            if one is not None and one not in known:
+                raise ValueError(f"{key}: {one!r} is none of {known}")
+    for key, high in (("ratio", float("inf")), ("min_vmaf", 100.0), ("max_output_ratio", 1.0)):
+        value = options.get(key)
+        if value is not None and not 0 < float(value) <= high:
+            raise ValueError(f"{key} is out of range: {value!r}")
+
+
+def load_preset(folder: str, name: str, defaults: Mapping[str, Any], choices: Mapping[str, tuple[str, ...]] = CHOICES) -> dict[str, Any]:
+    """A preset with missing keys from ``defaults``; blank text counts as null.  Unknown
+    keys and options that don't pass :func:`check_options` are errors."""
     held = json.loads(_place(folder, name).read_text(encoding="utf-8"))
     unknown = set(held) - set(defaults)
     if unknown:
         raise ValueError(f"unknown keys: {sorted(unknown)}")
-    return {k: None if v == "" else v for k, v in {**defaults, **held}.items()}
+    options = {k: None if isinstance(v, str) and not v.strip() else v for k, v in {**defaults, **held}.items()}
+    check_options(options, choices)
+    return options
 
 
 def delete_preset(folder: str, name: str) -> bool:
@@ -53,10 +89,17 @@ def delete_preset(folder: str, name: str) -> bool:
     return found
 
 
-def update_settings(path: str, defaults: Mapping[str, Any], change: Callable[[dict[str, Any]], dict[str, Any]]) -> dict[str, Any]:
-    """Read, change and write settings in one replace; missing keys get defaults."""
+def update_settings(path: str, defaults: Mapping[str, Any], change: Callable[[dict[str, Any]], dict[str, Any] | None]) -> dict[str, Any]:
+    """Read, change and write settings in one replace; missing keys get defaults.
+    ``change`` returns new settings or changes those it is given.  A lock on a file beside
+    them keeps others out from the read to the write, so no change is lost."""
     place = Path(path)
-    held = json.loads(place.read_text(encoding="utf-8")) if place.exists() else {}
-    new = change({**defaults, **held})
-    _replace(place, new)
+    place.parent.mkdir(parents=True, exist_ok=True)
+    with open(place.with_name(place.name + ".lock"), "w") as lock:
+        fcntl.flock(lock, fcntl.LOCK_EX)
+        held = json.loads(place.read_text(encoding="utf-8")) if place.exists() else {}
+        own = {**defaults, **held}
+        new = change(own)
+        new = own if new is None else new
+        _replace(place, new)
     return new

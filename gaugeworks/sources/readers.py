@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from gaugeworks.functions import expr as X
 
 # Extensions of media and of sidecar files.
-MEDIA = ["mp4", "mkv", "mov", "avi", "wmv", "flv", "webm", "m4v", "mpg", "mpeg", "ts", "m2ts", "mts", "3gp", "vob"]
-SIDECARS = ["srt", "ass", "ssa", "sub", "idx", "vtt", "sup", "smi", "ttml", "dfxp", "sbv", "lrc"]
+MEDIA = ["mp4", "mkv", "avi", "mov", "wmv", "flv", "webm", "m4v", "ts", "m2ts", "mts", "mpg", "mpeg", "3gp", "ogv"]
+SIDECARS = ["srt", "ass", "ssa", "vtt", "sub", "idx", "sup", "ttml", "dfxp", "smi", "sami", "usf"]
 
 PROBE = """format struct<duration:string, bit_rate:string, size:string>,
 streams array<struct<codec_type:string, codec_name:string, duration:string, bit_rate:string, width:int, height:int,
-avg_frame_rate:string, r_frame_rate:string, pix_fmt:string, color_transfer:string>>"""
+avg_frame_rate:string, r_frame_rate:string, pix_fmt:string, bits_per_raw_sample:string, color_transfer:string>>"""
 SCORES = "pooled_metrics struct<vmaf:struct<mean:double>>, frames array<struct<frameNum:long, metrics:struct<vmaf:double>>>"
 
 
@@ -25,9 +25,20 @@ def extension(path: Column) -> Column:
 
 def list_files(spark: SparkSession, folder: str, extensions: Sequence[str] = MEDIA, recursive: bool = True) -> DataFrame:
     """(path, rel, length, modified) of the files with these extensions, contents
-    unread, in order of the lower-cased relative path."""
+    unread, in order of the lower-cased relative path.  A path that is not there is an
+    error, and so is a single file with another extension."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        raise FileNotFoundError(folder)
+    status = files.getFileStatus(root)
+    base = status.getPath().toString()
+    if status.isFile():
+        if base.rpartition(".")[2].lower() not in extensions or "." not in base.rpartition("/")[2]:
+            raise ValueError(f"not such a file: {folder}")
+        base = base.rpartition("/")[0]
     found = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder)
-    rel = F.regexp_replace(F.col("path"), r"^.*?" + folder.rstrip("/").replace(".", r"\.") + "/", "")
+    rel = F.substr("path", F.lit(len(base.rstrip("/")) + 2))
     kept = found.select("path", rel.alias("rel"), "length", F.col("modificationTime").alias("modified"))
     return kept.where(extension(F.col("path")).isin(list(extensions))).orderBy(F.lower("rel"), "rel")
 
@@ -47,23 +58,37 @@ def sidecars(media: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def media_rows(probes: DataFrame, text: str = "value", size: str = "size") -> DataFrame:
-    """One media row a probe.  Fallbacks: container before stream
-    duration; rates from the size where there are none; null fields where a text is
-    not such a probe."""
+    """One media row a probe, with a ``reason`` where it is none: no
+    video, or no positive duration.  Duration: container, else video stream, zeros passed
+    over.  Total rate: as given, else from the size.  Video rate: as given, else the total
+    less all audio, else 0.85 of the total and at least 300,000.  Bits: as given, else by
+    the pixel format."""
     parsed = probes.withColumn("__p", F.from_json(text, PROBE))
     streams = F.coalesce(F.col("__p.streams"), F.array())
     video = F.try_element_at(F.filter(streams, lambda s: s.codec_type == "video"), F.lit(1))
     audio = F.filter(streams, lambda s: s.codec_type == "audio")
     form = F.col("__p.format")
-    duration = F.coalesce(form.duration.try_cast("double"), video.duration.try_cast("double"))
-    total = F.coalesce(F.nullif(X.lenient_long(form.bit_rate), F.lit(0)), F.greatest(F.lit(1).cast("long"), X.whole(F.col(size) * 8 / duration)))
+    duration = F.coalesce(F.nullif(form.duration.try_cast("double"), F.lit(0.0)), F.nullif(video.duration.try_cast("double"), F.lit(0.0)))
+    given = X.lenient_long(form.bit_rate)
+    total = F.when(given > 0, given).otherwise(F.greatest(F.lit(1).cast("long"), X.whole(F.col(size) * 8 / duration)))
     sound = F.aggregate(audio, F.lit(0).cast("long"), lambda acc, s: acc + X.lenient_long(s.bit_rate))
-    rows = parsed.withColumns({"duration": duration, "rate": total, "audio_rate": sound, "audio_streams": F.size(audio)})
+    reason = F.when(video.isNull(), "no video stream").when(~F.coalesce(duration > 0, F.lit(False)), "no duration")
+    rows = parsed.withColumns({"duration": duration, "rate": total, "audio_rate": sound, "audio_streams": F.size(audio), "reason": reason})
     estimated = F.greatest(F.lit(300_000).cast("long"), X.whole(F.col("rate") * 0.85))
-    left = F.col("rate") - F.col("audio_rate")
-    picture = F.coalesce(F.nullif(X.lenient_long(video.bit_rate), F.lit(0)), F.when((F.col("audio_rate") > 0) & (left > 0), left), estimated)
+    left, own = F.col("rate") - F.col("audio_rate"), X.lenient_long(video.bit_rate)
+    picture = F.when(own > 0, own).when(left > 0, left).otherwise(estimated)
     fps = F.coalesce(X.parse_fraction(video.avg_frame_rate), X.parse_fraction(video.r_frame_rate))
-    out = {"video_rate": picture, "width": video.width, "height": video.height, "codec": video.codec_name, "fps": fps, "bits": X.bit_depth(video.pix_fmt), "hdr": F.coalesce(F.lower(video.color_transfer).isin("smpte2084", "arib-std-b67"), F.lit(False))}
+    bits = X.lenient_long(video.bits_per_raw_sample)
+    out = {
+        "video_rate": picture,
+        "width": video.width,
+        "height": video.height,
+        "codec": F.coalesce(F.nullif(video.codec_name, F.lit("")), F.lit("unknown")),
+        "audio_codec": F.try_element_at(audio, F.lit(1)).codec_name,
+        "fps": fps,
+        "bits": F.when(bits > 0, bits.cast("int")).otherwise(X.bit_depth(video.pix_fmt)),
+        "hdr": F.coalesce(F.lower(video.color_transfer).isin("smpte2084", "arib-std-b67"), F.lit(False)),
+    }
     return rows.withColumns(out).drop("__p")
 
 
@@ -94,13 +119,16 @@ def frame_scores(texts: DataFrame, key: str, text: str = "value") -> DataFrame:
 
 def manifest_cases(spark: SparkSession, path: str) -> DataFrame:
     """Cases of a versioned manifest with a ``reason`` where one is unfit: wrong
-    version, unsafe or repeated id, not exactly one of command and measurement."""
+    version, unsafe or repeated id, not exactly one of command and measurement.  A relative
+    source is taken from the manifest's folder."""
     shape = "schema_version int, cases array<struct<id:string, source:string, command:array<string>, measurement:string>>"
     cases = spark.read.schema(shape).option("multiLine", True).json(path).select("schema_version", F.inline("cases"))
     twice = F.count("*").over(Window.partitionBy("id")) > 1
     both = F.col("command").isNotNull() == F.col("measurement").isNotNull()
     reason = F.when(~F.col("schema_version").eqNullSafe(F.lit(1)), "version").when(F.col("id").isNull() | ~F.col("id").rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]*$"), "id").when(twice, "repeated").when(both, "measurement")
-    return cases.withColumn("reason", reason)
+    folder = F.lit(path.rpartition("/")[0])
+    whole = F.when(F.col("source").rlike("^(/|[a-z][a-z0-9+.-]*:)"), F.col("source")).otherwise(F.concat(folder, F.lit("/"), F.regexp_replace("source", r"^(\./)+", "")))
+    return cases.withColumn("reason", reason).withColumn("source", whole)
 
 
 def resume_records(lines: DataFrame, order: str, text: str = "value") -> DataFrame:
@@ -119,12 +147,14 @@ def tool_names(lines: DataFrame, pattern: str, text: str = "value") -> DataFrame
 
 
 def progress(lines: DataFrame, duration: float, text: str = "value") -> DataFrame:
-    """(kind, percent, speed, frame) of encoder lines; others are ``log`` lines."""
-    at = X.parse_clock(F.regexp_extract(text, r"time=\s*(\d+:\d+:\d+(?:\.\d+)?)", 1))
-    speed = X.parse_speed(F.regexp_extract(text, r"speed=\s*([0-9.]+x)", 1))
-    frame = F.nullif(F.regexp_extract(text, r"frame=\s*(\d+)", 1), F.lit("")).try_cast("long")
-    percent = X.clamp(at / duration * 100, 0.0, 100.0)
-    return lines.select(text, F.when(at.isNotNull(), "progress").otherwise("log").alias("kind"), F.when(at.isNotNull(), percent).alias("percent"), speed.alias("speed"), frame.alias("frame"))
+    """(kind, percent, elapsed, speed, frame) of encoder lines: those with ``time=`` or
+    ``speed=`` tell progress, as far as their numbers can be read; others are ``log`` lines."""
+    tells = F.col(text).contains("time=") | F.col(text).contains("speed=")
+    at = F.when(tells, X.parse_clock(F.regexp_extract(text, r"time=(\d+:\d+:\d+(?:\.\d+)?)", 1)))
+    speed = F.when(tells, F.nullif(F.regexp_extract(text, r"speed=\s*([0-9.]+x)", 1), F.lit("")))
+    frame = F.when(tells, F.nullif(F.regexp_extract(text, r"frame=\s*(\d+)", 1), F.lit("")).try_cast("long"))
+    percent = F.when(at.isNotNull(), X.clamp(at / duration * 100, 0.0, 100.0)) if duration and duration > 0 else F.lit(None).cast("double")
+    return lines.select(text, F.when(tells, "progress").otherwise("log").alias("kind"), percent.alias("percent"), at.alias("elapsed"), X.parse_speed(speed).alias("speed"), frame.alias("frame"))
 
 
 def first_found(candidates: DataFrame, key: str, priority: str, value: str, usable: Column) -> DataFrame:

@@ -4,7 +4,9 @@ import io
 import json
 import tarfile
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 
+import pytest
 from pyspark.sql import functions as F
 
 from gaugeworks.sources import readers as R
@@ -28,13 +30,35 @@ def test_listing_and_sidecars(spark, tmp_path):
 
 
 def test_media_rows(spark):
-    full = {"format": {"duration": "10.0", "bit_rate": "1000000"}, "streams": [{"codec_type": "audio", "bit_rate": "128000"}, {"codec_type": "video", "codec_name": "h264", "width": 1920, "height": 1080, "avg_frame_rate": "0/0", "r_frame_rate": "30000/1001", "pix_fmt": "yuv420p", "color_transfer": "SMPTE2084"}]}
-    bare = {"format": {}, "streams": [{"codec_type": "video", "duration": "8"}]}
-    rows = spark.createDataFrame([(json.dumps(full), 999), (json.dumps(bare), 1_000_000), ("garbage", 5)], "value string, size long")
-    a, b, c = R.media_rows(rows).collect()
-    assert (a.duration, a.rate, a.audio_rate, a.video_rate, a.bits, a.hdr) == (10.0, 1_000_000, 128_000, 872_000, 8, True) and abs(a.fps - 29.97) < 0.01
-    assert (b.duration, b.rate, b.video_rate, b.audio_streams) == (8.0, 1_000_000, 850_000, 0)
-    assert c.duration is None and c.codec is None
+    full = {"format": {"duration": "10.0", "bit_rate": "1000000"}, "streams": [{"codec_type": "audio", "bit_rate": "128000", "codec_name": "aac"}, {"codec_type": "video", "codec_name": "h264", "width": 1920, "height": 1080, "avg_frame_rate": "0/0", "r_frame_rate": "30000/1001", "pix_fmt": "yuv420p", "bits_per_raw_sample": "10", "color_transfer": "SMPTE2084"}]}
+    bare = {"format": {"duration": "0"}, "streams": [{"codec_type": "video", "duration": "8"}]}
+    loud = {"format": {"duration": "8", "bit_rate": "100000"}, "streams": [{"codec_type": "video"}, {"codec_type": "audio", "bit_rate": "200000"}]}
+    still = {"format": {"duration": "8"}, "streams": [{"codec_type": "audio"}]}
+    rows = spark.createDataFrame([(json.dumps(full), 999), (json.dumps(bare), 1_000_000), (json.dumps(loud), 5), (json.dumps(still), 5), ("garbage", 5)], "value string, size long")
+    a, b, c, d, e = R.media_rows(rows).collect()
+    assert (a.duration, a.rate, a.audio_rate, a.video_rate, a.bits, a.hdr, a.audio_codec, a.reason) == (10.0, 1_000_000, 128_000, 872_000, 10, True, "aac", None) and abs(a.fps - 29.97) < 0.01
+    assert (b.duration, b.rate, b.video_rate, b.audio_streams, b.codec, b.audio_codec) == (8.0, 1_000_000, 1_000_000, 0, "unknown", None)  # no audio: the whole rate
+    assert c.video_rate == 300_000 and c.audio_rate == 200_000  # nothing left beside the audio
+    assert d.reason == e.reason == "no video stream" and e.duration is None
+
+
+def test_listing_is_by_fixed_sets_and_whole_paths(spark, tmp_path):
+    assert sorted(R.MEDIA) == sorted("mp4 mkv avi mov wmv flv webm m4v ts m2ts mts mpg mpeg 3gp ogv".split()) and len(R.SIDECARS) == 12 and {"sami", "usf"} <= set(R.SIDECARS)
+    odd = tmp_path / "a+b(1)" / "a+b(1)"
+    odd.mkdir(parents=True)
+    (odd / "x.ogv").write_bytes(b"x")
+    (odd / "x.vob").write_bytes(b"x")
+    assert [r.rel for r in R.list_files(spark, str(tmp_path / "a+b(1)")).collect()] == ["a+b(1)/x.ogv"]
+    assert [r.rel for r in R.list_files(spark, str(odd / "x.ogv")).collect()] == ["x.ogv"]
+    with pytest.raises(ValueError):
+        R.list_files(spark, str(odd / "x.vob"))
+    with pytest.raises(FileNotFoundError):
+        R.list_files(spark, str(tmp_path / "none"))
+
+
+def test_progress_lines(spark):
+    got = R.progress(lines(spark, "frame=  12 time=00:00:05.00 speed=1.5x", "speed=2x", "time=N/A", "hello frame=3", "time=00:01:00"), 20.0).collect()
+    assert [(r.kind, r.percent, r.speed, r.frame) for r in got] == [("progress", 25.0, 1.5, 12), ("progress", None, 2.0, None), ("progress", None, None, None), ("log", None, None, None), ("progress", 100.0, None, None)]
 
 
 def test_frame_text(spark):
@@ -136,19 +160,92 @@ def test_deleting_receipts_and_exporting_lines(spark, tmp_path):
     folder = str(tmp_path / "r")
     w = [("search", 0.0, 5.0)]
     K.save_receipts(spark.createDataFrame([("a" * 64, 5, "s", w, []), ("b" * 64, 5, "s", w, [])], K.RECEIPT), folder)
-    assert K.delete_receipts(spark, folder, "a" * 64) == 1 and K.delete_receipts(spark, folder, "a" * 64) == 0
+    (tmp_path / "beside").mkdir()
+    for bad in ("", "../..", "../../..", "A" * 64, "a" * 63, None):
+        with pytest.raises(ValueError):
+            K.delete_receipts(spark, folder, bad)
+    assert K.delete_receipts(spark, folder, "a" * 64) and not K.delete_receipts(spark, folder, "a" * 64)
     assert [r.fingerprint for r in K.load_receipts(spark, folder).collect()] == ["b" * 64]
-    assert K.delete_receipts(spark, folder) == 1
+    (tmp_path / "r" / "notes").mkdir()
+    assert K.clear_receipts(spark, folder) == 1 and K.clear_receipts(spark, folder) == 0 and (tmp_path / "r" / "notes").is_dir()
+    assert K.clear_receipts(spark, str(tmp_path / "nothing")) == 0 and (tmp_path / "beside").is_dir()
+    for bad in ([("a" * 64, 5, "s", [("search", float("nan"), 5.0)], [])], [("a" * 63, 5, "s", w, [])]):
+        with pytest.raises(Exception, match="not a valid receipt"):
+            K.save_receipts(spark.createDataFrame(bad, K.RECEIPT), folder)
     K.export_lines(lines(spark, "$ run", "it failed", "fine"), str(tmp_path / "t"), kind="error")
     assert [r.value for r in spark.read.text(str(tmp_path / "t")).collect()] == ["it failed"]
 
 
+def test_settings_are_not_lost_and_options_are_checked(tmp_path):
+    from gaugeworks.sources import presets
+
+    path = str(tmp_path / "c.json")
+
+    def add(_):
+        for _ in range(25):
+            presets.update_settings(path, {"n": 0}, lambda d: d.update(n=d["n"] + 1))
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(add, range(4)))
+    assert presets.update_settings(path, {"n": 0}, lambda d: None) == {"n": 100}
+    folder = str(tmp_path / "p")
+    for bad in ({"codec": "vp9"}, {"parallel_backends": ["cpu", "gpu"]}, {"ratio": 0}, {"min_vmaf": 101}, {"max_output_ratio": 1.5}):
+        presets.save_preset(folder, "x", bad)
+        with pytest.raises(ValueError):
+            presets.load_preset(folder, "x", {k: None for k in bad})
+    presets.save_preset(folder, "x", {"codec": "av1", "preset": "  "})
+    assert presets.load_preset(folder, "x", {"codec": "hevc", "preset": "slow", "ratio": 0.5}) == {"codec": "av1", "preset": None, "ratio": 0.5}
+
+
+def test_files_are_copied_or_refused_with_a_reason(spark, tmp_path):
+    (tmp_path / "a.mkv").write_bytes(b"a" * 100_000)
+    (tmp_path / "a.en.srt").write_text("one")
+    (tmp_path / "old.mkv").write_text("old")
+    at = lambda name: f"file://{tmp_path}/{name}"
+    asked = [(1, at("a.mkv"), at("out/deep/b.mkv"), False), (2, at("none.mkv"), at("x.mkv"), True), (3, at("a.mkv"), at("old.mkv"), False), (4, at("a.mkv"), at("a.mkv"), True), (5, None, at("y"), True)]
+    got = {r.k: (r.copied, r.reason) for r in K.copy_files(spark.createDataFrame(asked, "k int, source string, target string, overwrite boolean")).collect()}
+    assert got == {1: (True, None), 2: (False, "source is missing"), 3: (False, "output exists"), 4: (False, "source and output are the same file"), 5: (False, "no path")}
+    assert (tmp_path / "out/deep/b.mkv").read_bytes() == b"a" * 100_000 and (tmp_path / "old.mkv").read_text() == "old"
+    side = spark.createDataFrame([(at("a.mkv"), at("a.en.srt"), at("out/deep/b.mkv"))], "source string, sidecar string, target string")
+    assert [r.copied for r in K.copy_files(K.sidecar_targets(side), "sidecar", "to").collect()] == [True] and (tmp_path / "out/deep/b.en.srt").read_text() == "one"
+
+
+def test_summary_is_one_file_with_sorted_keys(spark, tmp_path):
+    row = spark.createDataFrame([(2, None, 1.5)], "b int, a string, c double")
+    for _ in range(2):
+        K.write_summary(row, str(tmp_path / "s.json"))
+    assert (tmp_path / "s.json").read_text() == '{"a":null,"b":2,"c":1.5}\n' and not [p for p in tmp_path.iterdir() if "tmp" in p.name]
+
+
+def test_keys_and_receipts(spark, tmp_path):
+    names = [*K.MEASURED_BY, *K.MEASURED_SETTINGS, *K.MEASURED_MEDIA, *K.MEASURED_WITH]
+    assert len(names) == len(set(names)) == 56
+    decided = [c for c in K.DECIDED_BY if c not in names and c != "measurement_fingerprint"]
+    rows = spark.createDataFrame([tuple(range(len(names) + len(decided)))], [*names, *decided])
+    keyed = lambda df: df.withColumn("measurement_fingerprint", K.measurement_key()).select("measurement_fingerprint", K.decision_key().alias("d")).first()
+    base, policy, media = keyed(rows), keyed(rows.withColumn("min_vmaf", F.lit(-1))), keyed(rows.withColumn("source_fps", F.lit(-1)))
+    assert policy[0] == base[0] != media[0] and len({base.d, policy.d, media.d}) == 3
+    full = rows.withColumns({"search": F.expr("array(named_struct('start', 0, 'size', 5))"), "holdout": F.expr("array(named_struct('start', 5, 'size', 5))"), "reserve": F.lit(None).cast("array<struct<start:double,size:double>>"), "candidates": F.expr("array(named_struct('rate', 1000L, 'scores', array(95.5D)))")})
+    K.save_receipts(K.receipt_rows(full), str(tmp_path / "r"))
+    (held,) = K.load_receipts(spark, str(tmp_path / "r")).collect()
+    assert held.fingerprint == base[0] and [w.pool for w in held.windows] == ["search", "holdout"] and held.candidates[0].minimum == 95.5
+
+
 def test_actions_apply_where_the_state_allows(spark):
     from gaugeworks.operators import state
 
-    rows = spark.createDataFrame([("a", "needs_decision"), ("b", "completed"), ("c", "waiting")], "k string, status string")
-    acts = spark.createDataFrame([("a", 1, "skip"), ("a", 2, "accept"), ("b", 1, "retry"), ("z", 1, "skip")], "k string, n long, action string")
+    rows = spark.createDataFrame([("a", "needs_decision", True), ("b", "done", True), ("c", "queued", True), ("d", "failed", True), ("e", "cancelled", False)], "k string, status string, smart boolean")
+    acts = spark.createDataFrame([("a", 1, "skip"), ("a", 2, "accept"), ("b", 1, "retry"), ("d", 1, "retry"), ("d", 2, "cancel"), ("d", 3, "skip"), ("e", 1, "retry"), ("e", 2, "no such"), ("z", 1, "skip")], "k string, n long, action string")
     got = {r.k: (r.status, r.applied) for r in state.apply_actions(rows, acts, "k", "n").collect()}
-    assert got == {"a": ("completed", True), "b": ("completed", False), "c": ("waiting", False)}
+    assert got == {"a": ("skipped", 1), "b": ("done", 0), "c": ("queued", 0), "d": ("cancelled", 2), "e": ("queued", 1)}
     plan = spark.createDataFrame([("x", True), (None, True), (None, False)], "skip string, smart boolean")
-    assert [r.status for r in state.initial(plan, "skip", F.col("smart")).collect()] == ["skipped", "waiting_analysis", "waiting"]
+    assert [(r.status, r.file_percent, r.total_passes) for r in state.initial(plan, "skip", F.col("smart"), ~F.col("smart")).collect()] == [("skipped", 100.0, 1), ("waiting_analysis", 0.0, 1), ("queued", 0.0, 2)]
+
+
+def test_events_say_what_they_say(spark):
+    from gaugeworks.operators import state
+
+    rows = [("analyzing", 2, 37.5, "", None), ("running_pass", None, 150.0, "1.5x", "hm"), ("finished_file", None, 5.0, None, None), ("failed_file", None, None, None, "  it   broke ")]
+    e = spark.createDataFrame(rows, "state string, candidate int, percent double, speed string, message string")
+    got = e.select(*(c.alias(k) for k, c in state.event_fields(F.col("state"), **{k: F.col(k) for k in ("candidate", "percent", "speed", "message")}).items())).collect()
+    assert [tuple(r) for r in got] == [("analyzing", 2, 37.5, None, None), ("encoding", None, 100.0, "1.5x", None), (None, None, None, None, None), (None, None, None, None, "it broke")]
