@@ -16,6 +16,13 @@ def false_pass(passed: Column, truth: Column) -> Column:
     return F.when(passed.isNotNull() & truth.isNotNull(), passed & ~truth)
 
 
+def false_block(blocked: Column, actual: Column, most: Column) -> Column:
+    """A10: blocked for its size although the whole output fits; null if one of the three
+    is missing or a size is not positive."""
+    seen = blocked.isNotNull() & (actual > 0) & (most > 0)
+    return F.when(seen, blocked & (actual <= most))
+
+
 def regret(selected: Column, best: Column) -> tuple[Column, Column]:
     """Absolute regret, and relative where the best is positive."""
     gap = selected - best

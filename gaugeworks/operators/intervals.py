@@ -71,15 +71,18 @@ def capacity(df: DataFrame, key: str) -> DataFrame:
 
 
 def align_to_segments(windows: DataFrame, parts: DataFrame, key: str) -> DataFrame:
-    """Move each window (key, id, start, end) into the nearest segment that can hold it;
-    (key, id, new_start, moved, held): ``held`` is false where none can.
+    """Move each window (key, id, start, end) into the nearest segment that can hold it;
+    (key, id, new_start, moved, held): ``held`` is false where none can.  Where windows have
+    a column ``fixed``, those that are (a transition is looked for there) never move, and
+    ``held`` says whether they lie within a segment as they are.
 
     Segments of a key don't overlap, so the nearest one is the last that begins at or
     before the window or the first that begins after it, among those of sufficient size:
     one sorted pass each way over a key and size."""
     from pyspark.sql import Window
 
-    sized = windows.select(key, "id", "start", (F.col("end") - F.col("start")).alias("__size"))
+    fixed = F.coalesce(F.col("fixed"), F.lit(False)) if "fixed" in windows.columns else F.lit(False)
+    sized = windows.select(key, "id", "start", (F.col("end") - F.col("start")).alias("__size"), fixed.alias("__fixed"))
     s = parts.select(F.col(key), F.col("start").alias("s"), F.col("end").alias("e"))
     fits = s.join(sized.select(key, "__size").distinct(), key).where(F.col("e") - F.col("s") >= F.col("__size") - EPS)
     segment = F.struct("s", "e").alias("__segment")
@@ -87,15 +90,16 @@ def align_to_segments(windows: DataFrame, parts: DataFrame, key: str) -> DataFra
     by = Window.partitionBy(key, "__size")
     below = F.max("__segment").over(by.orderBy("start").rangeBetween(Window.unboundedPreceding, 0))
     above = F.min("__segment").over(by.orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0))
-    seen = both.select(key, "id", "start", "__size", "__segment", below.alias("__below"), above.alias("__above")).where("__segment is null")
+    seen = both.select(key, "id", "start", "__size", "__fixed", "__segment", below.alias("__below"), above.alias("__above")).where("__segment is null")
 
     def choice(near: str):
         to = F.least(F.greatest(F.col("start"), F.col(near)["s"]), F.col(near)["e"] - F.col("__size"))
         return F.when(F.col(near).isNotNull(), F.struct(F.abs(to - F.col("start")).alias("d"), to.alias("to")))
 
     best = seen.withColumn("best", F.least(choice("__below"), choice("__above")))
-    new = F.coalesce(F.col("best.to"), F.col("start"))
-    return best.select(key, "id", new.alias("new_start"), (F.abs(new - F.col("start")) > EPS).alias("moved"), F.col("best").isNotNull().alias("held"))
+    new = F.when(F.col("__fixed"), F.col("start")).otherwise(F.coalesce(F.col("best.to"), F.col("start")))
+    within = F.coalesce((F.col("best.d") <= EPS) | ~F.col("__fixed"), F.lit(False)) & F.col("best").isNotNull()
+    return best.select(key, "id", new.alias("new_start"), (F.abs(new - F.col("start")) > EPS).alias("moved"), within.alias("held"))
 
 
 def nearest_distance(candidates: DataFrame, anchors: DataFrame, key: str, at: str, default) -> DataFrame:

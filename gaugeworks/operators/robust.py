@@ -1,16 +1,13 @@
-"""Robust fits: Theil-Sen lines and size predictions from few samples a source."""
+"""Robust fits: Theil-Sen lines."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-SLOPE = 0.75
-
-
 #: Slopes held at a time.
 HELD = 1 << 20
 
@@ -76,30 +73,3 @@ def theil_sen(df: DataFrame, key: str, x: str, y: str, most: float | None = None
         return pa.table({key: group.column(key)[:1], "slope": [slope], "intercept": [float(np.median(ys - slope * xs))], "n": pa.array([len(xs)], pa.int64())})
 
     return rows.groupBy(key).applyInArrow(fit, f"{key} {kind}, slope double, intercept double, n long")
-
-
-def predict_size(requested: float, observed: Sequence[float], duration: float, audio: float, source_bytes: float | None, risks: Sequence[float] = (), timeline: Sequence[float] = ()) -> dict:
-    """The rate and size a source will have, from the rates its samples got.
-
-    With a risk for each sample, a clamped Theil-Sen line over the ratios of observed
-    and requested rate is averaged over the timeline's risks, else the median ratio
-    holds; the spread of the residuals and of the timeline give the uncertainty."""
-    ratios = np.clip(np.asarray(observed, float) / requested, 0.0001, 4.0)
-    n = len(ratios)
-    fitted = len(risks) == n and len(timeline) > 0 and len(set(np.round(risks, 9))) > 1
-    if fitted:
-        r = np.asarray(risks, float)
-        slope = float(np.clip(slopes_median(r, ratios) or 0.0, -SLOPE, SLOPE))
-        base = float(np.median(ratios - slope * r))
-        ratio = float(np.mean(np.clip(base + slope * np.asarray(timeline, float), 0.0001, 4.0)))
-        left = ratios - (base + slope * r)
-    else:
-        ratio = float(np.median(ratios))
-        left = ratios - ratio
-    mad = float(np.median(np.abs(left - np.median(left))))
-    spread = float(np.std(timeline)) if len(timeline) else 0.0
-    unsure = float(np.clip(0.03 + 0.14 / np.sqrt(n) + 1.5 * mad + 0.20 * spread, 0.05, 0.30))
-    mean = max(1, round(requested * ratio))
-    upper = max(mean, round(mean * (1 + unsure)))
-    size = int(np.ceil((upper + audio) * duration / 8 / 0.98))
-    return {"mean_rate": mean, "upper_rate": upper, "bytes": size, "ratio": size / source_bytes if source_bytes else None, "uncertainty": unsure, "method": "risk_distribution_clipped_theil_sen" if fitted else "median_ratio"}

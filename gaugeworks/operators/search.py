@@ -1,109 +1,129 @@
-"""Bracketed search for the cheapest setting that passes, and the rounds around it."""
+"""Bracketed search for the cheapest setting that passes."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 STEP = 1000
 LIMIT = 8
 
 
 class Probes:
-    """Settings tried so far, each once and at most ``limit``."""
+    """Settings tried so far, each once and at most ``limit``; ``known`` ones are free."""
 
-    def __init__(self, measure: Callable[[int], float], target: float, limit: int = LIMIT):
-        self.measure, self.target, self.limit = measure, target, limit
-        self.tried: dict[int, float] = {}
+    def __init__(self, measure: Callable[[int], float], target: float, limit: int = LIMIT, known: Mapping[int, float] | None = None):
+        self.measure, self.target, self.left = measure, target, max(0, min(limit, LIMIT))
+        self.tried: dict[int, float] = dict(known or {})
+        self.spent = 0
 
     def passes(self, setting: int) -> bool | None:
         """Whether a setting passes; null if no try is left for it."""
+        setting = max(STEP, setting // STEP * STEP)
         if setting not in self.tried:
-            if len(self.tried) >= self.limit:
+            if self.spent >= self.left:
                 return None
             self.tried[setting] = self.measure(setting)
+            self.spent += 1
         return self.tried[setting] >= self.target
 
     def narrow(self, fails: int, holds: int, tolerance: int) -> None:
         """Halve the gap between one that fails and one that passes."""
-        while holds - fails > tolerance:
+        while holds - fails > tolerance and self.spent < self.left:
             middle = max(STEP, (fails + holds) // 2 // STEP * STEP)
-            if middle in self.tried or (good := self.passes(middle)) is None:
+            if middle in self.tried:
                 return
-            fails, holds = (fails, middle) if good else (middle, holds)
-
-    def cheapest(self) -> int | None:
-        return min((s for s, q in self.tried.items() if q >= self.target), default=None)
-
-
-def search(measure: Callable[[int], float], least: int, budget: int, ceiling: int, target: float, tolerance: int = STEP, first: int | None = None, spare: float = 0.8) -> tuple[Probes, int | None, int | None]:
-    """(probes, selected, required).  The budget is tried first: if it passes, the search
-    goes down to ``least``, else up to ``ceiling``, where what passes is required but over
-    the budget.  A ``first`` guess that passes ends the search, after one try below it if
-    it has ``spare`` quality."""
-    p = Probes(measure, target)
-    least = max(STEP, -(-least // STEP) * STEP)
-    budget, tolerance = max(STEP, budget // STEP * STEP), max(STEP, tolerance)
-    ceiling = max(budget, ceiling // STEP * STEP)
+            if self.passes(middle):
+                holds = middle
+            else:
+                fails = middle
+
+    def cheapest(self, fits: Callable[[int], bool] | None = None) -> int | None:
+        return min((s for s, q in self.tried.items() if q >= self.target and (fits is None or fits(s))), default=None)
+
+
+def search(
+    measure: Callable[[int], float],
+    least: int,
+    budget: int,
+    ceiling: int,
+    target: float,
+    tolerance: int = STEP,
+    first: int | None = None,
+    spare: float = 0.8,
+    limit: int = LIMIT,
+    known: Mapping[int, float] | None = None,
+    fits: Callable[[int], bool] | None = None,
+) -> tuple[Probes, int | None, int | None]:
+    """(probes, selected, required): the cheapest tried that passes and ``fits``, and the
+    cheapest that passes.
+
+    The budget is tried first: if it passes, the search goes down to ``least``, else up to
+    ``ceiling``; without a size to fit, what is found up there is over the budget and only
+    required.  A ``first`` guess that passes ends the search, after one try below it if it
+    has ``spare`` quality.  At most ``limit`` settings are tried, those ``known`` before
+    not counted."""
+    p = Probes(measure, target, limit, known)
+    low = max(STEP, -(-least // STEP) * STEP)
+    high = max(STEP, budget // STEP * STEP)
+    top = max(high, ceiling // STEP * STEP)
+    tolerance = max(STEP, tolerance)
     if first is not None:
-        guess = min(max(least, first // STEP * STEP), ceiling)
+        guess = min(max(low, first // STEP * STEP), top)
         if p.passes(guess):
-            if p.tried[guess] >= target + spare:
-                p.passes(max(least, guess - max(tolerance, (guess - least) // 3)) // STEP * STEP)
-            return p, p.cheapest(), p.cheapest()
-    if p.passes(budget):
-        if not p.passes(least):
-            p.narrow(least, budget, tolerance)
-        return p, p.cheapest(), p.cheapest()
-    if ceiling > budget and p.passes(ceiling):
-        p.narrow(budget, ceiling, tolerance)
-        return p, None, p.cheapest()
-    return p, None, None
+            if p.tried[guess] >= target + spare and p.spent < p.left:
+                p.passes(max(low, guess - max(tolerance, (guess - low) // 3)))
+            return p, p.cheapest(fits), p.cheapest()
+    good = p.passes(high)
+    if good:
+        if p.passes(low) is not True:
+            p.narrow(low, high, tolerance)
+        return p, p.cheapest(fits), p.cheapest()
+    if good is None or top == high or not p.passes(top):
+        return p, None, None
+    p.narrow(high, top, tolerance)
+    return p, p.cheapest(fits) if fits else None, p.cheapest()
 
 
 def by_step(measured: DataFrame, key: str, setting: str, quality: str) -> DataFrame:
-    """(key, step, x0, y0, x1, y1): the first and last measured row of every ``STEP``.  A
-    search tries multiples of ``STEP`` only, so it needs no other rows."""
-    first, last = F.min(F.struct(F.col(setting).alias("x"), F.col(quality).alias("y"))), F.max(F.struct(F.col(setting).alias("x"), F.col(quality).alias("y")))
-    rows = measured.groupBy(key, F.ceil(F.col(setting) / STEP).alias("step")).agg(first.alias("first"), last.alias("last"))
-    return rows.select(key, "step", F.col("first.x").alias("x0"), F.col("first.y").alias("y0"), F.col("last.x").alias("x1"), F.col("last.y").alias("y1"))
+    """(key, low, high, first, steps): one row a source: the least and greatest measured
+    setting, the least one's quality, and the last measured row of every ``STEP`` in order.
+    A search tries multiples of ``STEP`` only, so it needs no other rows."""
+    row = F.struct(F.col(setting).alias("x"), F.col(quality).alias("y"))
+    rows = measured.groupBy(key, F.ceil(F.col(setting) / STEP).alias("step")).agg(F.min(row).alias("first"), F.max(row).alias("last"))
+    ordered = F.array_sort(F.collect_list(F.struct("step", F.col("last.y").alias("y"))))
+    return rows.groupBy(key).agg(F.min("first.x").alias("low"), F.max("last.x").alias("high"), F.min("first")["y"].alias("first"), ordered.alias("steps"))
 
 
 def search_measured(measured: DataFrame, key: str, setting: str, quality: str, target: float, tolerance: int = STEP) -> DataFrame:
-    """The searches of many sources over curves already measured: between two measured
-    settings the lower one's quality holds.  (key, tries, selected, required); a fold
-    holds a row a ``STEP`` of its source's settings, however many were measured."""
-    kind = measured.schema[key].dataType.simpleString()
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("step")
-        steps, y = rows["step"].to_numpy(), rows["y1"].to_numpy()
-        low, high = int(rows["x0"].iloc[0]), int(rows["x1"].iloc[-1])
-
-        def at(value: int) -> float:
-            place = int(steps.searchsorted(value // STEP, "right")) - 1
-            return float(y[place] if place >= 0 else rows["y0"].iloc[0])
-
-        p, selected, required = search(at, low, (low + high) // 2, high + STEP, target, tolerance)
-        return pd.DataFrame({key: [rows[key].iloc[0]], "tries": [len(p.tried)], "selected": pd.array([selected], "Int64"), "required": pd.array([required], "Int64")})
-
-    return by_step(measured, key, setting, quality).groupBy(key).applyInPandas(run, f"{key} {kind}, tries long, selected long, required long")
-
-
-def verify_rounds(select: Callable[[set], int | None], holdouts: Callable[[int], set], most: int = 4) -> tuple[int | None, set, int]:
-    """(selected, windows learned, rounds): windows that fail at the selected setting join
-    the search, which then begins again, at most ``most`` times."""
-    learned: set = set()
-    chosen = select(learned)
-    for n in range(1, most + 1):
-        if chosen is None:
-            return None, learned, n
-        failed = holdouts(chosen) - learned
-        if not failed:
-            return chosen, learned, n
-        learned |= failed
-        chosen = select(learned)
-    return None, learned, most
+    """The searches of many sources over curves already measured: between two measured
+    settings the lower one's quality holds.  (key, tries, selected, required).
+
+    A source is one row with a place for every ``STEP`` of its settings, however many were
+    measured; the tries, at most ``LIMIT``, are look-ups in it, batch by batch."""
+    kind = measured.schema[key].dataType
+    schema = StructType([StructField(key, kind), *(StructField(n, LongType()) for n in ("tries", "selected", "required"))])
+    whole = F.transform("steps", lambda s: s["step"]).alias("at"), F.transform("steps", lambda s: s["y"].cast("double")).alias("y")
+    rows = by_step(measured, key, setting, quality).select(key, F.col("low").cast("long"), F.col("high").cast("long"), F.col("first").cast("double"), *whole)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from bisect import bisect_right
+
+        for batch in batches:
+            out = []
+            for low, high, first, at, y in zip(*(batch.column(k).to_pylist() for k in range(1, 6)), strict=True):
+
+                def quality_at(value: int, at=at, y=y, first=first) -> float:
+                    place = bisect_right(at, value // STEP) - 1
+                    return y[place] if place >= 0 else first
+
+                p, selected, required = search(quality_at, low, (low + high) // 2, high + STEP, target, tolerance)
+                out.append((len(p.tried), selected, required))
+            columns = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=schema.names)
+
+    return rows.mapInArrow(run, schema)

@@ -52,13 +52,68 @@ def number_records(df: DataFrame, key: str, order: Sequence[str], begins: Column
 
 
 def upper_median_gap(df: DataFrame, key: str, order: str) -> DataFrame:
-    """(key, gap): the upper median of the steps of an axis."""
+    """(key, gap): the upper median of the steps of an axis, the one at place
+    ``floor(n / 2)``: of the negated steps the lower median, which is a discrete
+    percentile, so no key's steps are listed."""
     step = F.col(order) - F.lag(order).over(Window.partitionBy(key).orderBy(order))
-    gaps = df.select(key, step.alias("step")).where("step is not null")
-    return gaps.groupBy(key).agg(F.sort_array(F.collect_list("step")).alias("s")).select(key, F.col("s")[F.floor(F.size("s") / 2).cast("int")].alias("gap"))
+    gaps = df.select(key, (-step).alias("back")).where("back is not null")
+    return gaps.groupBy(key).agg((-F.expr("percentile_disc(0.5) within group (order by back)")).alias("gap"))
+
+
+def cadenced_worst(df: DataFrame, key: str, order: str, metric: str, rate: str | None = None, default_rate: float = 30.0) -> DataFrame:
+    """(key, gap, rows, worst): the least mean of the values of one second.  A second
+    has ``min(n, max(1, ceil(rate / gap)))`` values, by the series' own rate (``rate``, a
+    column of one value a key) and the upper median gap of its frame numbers (1 without
+    gaps), so the number of rows differs from key to key: the means come from running sums
+    and the sum so many rows before."""
+    gaps = upper_median_gap(df, key, order)
+    fps = F.max(rate) if rate else F.lit(None).cast("double")
+    sized = df.groupBy(key).agg(F.count("*").alias("n"), fps.alias("__fps")).join(gaps, key, "left")
+    gap = F.greatest(F.lit(1.0), F.coalesce(F.col("gap"), F.lit(1)).cast("double"))
+    wide = F.least(F.col("n"), F.greatest(F.lit(1).cast("long"), F.ceil(F.coalesce("__fps", F.lit(default_rate)) / gap).cast("long")))
+    sized = sized.select(key, gap.alias("gap"), wide.alias("rows"))
+    by = Window.partitionBy(key).orderBy(order)
+    summed = df.select(key, order, F.row_number().over(by).alias("i"), F.sum(metric).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("s")).join(sized, key)
+    ends = summed.where(F.col("i") >= F.col("rows")).select(key, "gap", "rows", F.col("i"), "s", (F.col("i") - F.col("rows")).alias("b"))
+    before = summed.select(F.col(key).alias("__k"), F.col("i").alias("__i"), F.col("s").alias("__s"))
+    joined = ends.join(before, (F.col(key) == F.col("__k")) & (F.col("b") == F.col("__i")), "left")
+    mean = (F.col("s") - F.coalesce("__s", F.lit(0.0))) / F.col("rows")
+    return joined.groupBy(key).agg(F.first("gap").alias("gap"), F.first("rows").alias("rows"), F.min(mean).alias("worst"))
+
+
+def cut_times(df: DataFrame, key: str, time: str, cut: Column) -> DataFrame:
+    """(key, cuts): the sorted distinct times of a series' cuts; an empty array
+    for a series without one."""
+    return df.groupBy(key).agg(F.array_sort(F.collect_set(F.when(cut, F.col(time)))).alias("cuts"))
 
 
 def median_deviation(df: DataFrame, key: str, metric: str) -> DataFrame:
     """(key, median, mad): the median and the median distance from it."""
     mid = df.groupBy(key).agg(F.median(metric).alias("median"))
     return df.select(key, metric).join(mid, key).groupBy(key).agg(F.first("median").alias("median"), F.median(F.abs(F.col(metric) - F.col("median"))).alias("mad"))
+
+
+# What each of the first six dimensions of a risk weighs.
+WEIGHTS = (0.27, 0.30, 0.17, 0.08, 0.08, 0.10)
+HIGH = 0.65
+
+
+def content_statistics(df: DataFrame, key: str, risks: str, cuts: str) -> DataFrame:
+    """A5: (key, n, dispersion, density, high_modes, heterogeneity, uncertainty) of each
+    key's risk vectors, arrays of seven: the mean spread of the dimensions, cuts a row, the
+    share of the first six whose greatest value is high, and what follows.  One row of a
+    key has no dispersion."""
+    spreads = [F.coalesce(F.stddev_pop(F.get(risks, k)), F.lit(0.0)) for k in range(len(WEIGHTS) + 1)]
+    highs = [(F.max(F.get(risks, k)) >= HIGH).cast("int") for k in range(len(WEIGHTS))]
+    mean = F.avg(sum((w * F.get(risks, k) for k, w in enumerate(WEIGHTS)), F.lit(0.0)))
+    out = df.groupBy(key).agg(
+        F.count("*").alias("n"),
+        (sum(spreads[1:], spreads[0]) / len(spreads)).alias("dispersion"),
+        (F.sum(cuts) / F.count("*")).alias("density"),
+        (sum(highs[1:], highs[0]) / len(highs)).alias("high_modes"),
+        mean.alias("__mean"),
+    )
+    varied = F.least(F.lit(1.0), 2.2 * F.col("dispersion") + 0.12 * F.col("density") + 0.25 * F.col("high_modes"))
+    out = out.withColumn("heterogeneity", varied)
+    unsure = F.least(F.lit(1.0), 0.55 * F.col("heterogeneity") + 0.30 * F.col("__mean") + 0.15 / F.sqrt("n"))
+    return out.withColumn("uncertainty", unsure).drop("__mean")

@@ -6,30 +6,48 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.operators import sampling_plan, search
+from gaugeworks.functions.expr import predicted_size
+from gaugeworks.operators import intervals, ranks, rounds, sampling_plan, search, sizes
 from gaugeworks.plans.queries import SQL as PLAN_SQL
 from gaugeworks.plans.queries import table
+from gaugeworks.plans.shared import settled
 from gaugeworks.streaming import fold
 
 
-def sample_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A plan for every customer's orders as scouted windows."""
-    o = table(spark, sf_dir, "orders")
-    scouts = o.select(
-        F.col("o_custkey").alias("source"),
-        F.col("o_orderkey").cast("string").alias("id"),
-        (F.col("o_orderkey") % 600).cast("double").alias("centre"),
-        F.lit(600.0).alias("duration"),
-        (F.col("o_totalprice") / 5000).alias("spatial"),
-        (F.col("o_orderkey") % 50).cast("double").alias("motion"),
-        F.when(F.col("o_orderstatus") == "P", 20.0).otherwise(0.0).alias("transition"),
-        *(F.lit(0.2).alias(c) for c in ("dark", "flat", "noise")),
-        F.when(F.col("o_orderstatus") == "P", 1).otherwise(0).alias("cuts"),
+def scout_grid(orders: DataFrame, slots: int = 32, length: float = 600.0) -> DataFrame:
+    """Orders as measured frames of their customers' timelines, gathered into at most
+    ``slots`` evenly spaced scouted windows a customer, however many orders there are."""
+    at = (F.col("o_orderkey") % int(length)).cast("double")
+    slot = F.floor(at * slots / length).cast("int")
+    cut = F.col("o_orderstatus") == "P"
+    seen = orders.groupBy(F.col("o_custkey").alias("source"), slot.alias("slot")).agg(
+        F.max(F.col("o_totalprice") / 5000).alias("spatial"), F.max((F.col("o_orderkey") % 50).cast("double")).alias("motion"), F.max(F.when(cut, 20.0).otherwise(0.0)).alias("transition"), F.count_if(cut).alias("cuts")
     )
-    return sampling_plan.sample_plan(scouts, "source", "duration")
+    named = [F.format_string("scout-%03d", F.col("slot") + 1).alias("id"), ((F.col("slot") + 0.5) * (length / slots)).alias("centre"), F.lit(length).alias("duration")]
+    return seen.select("source", *named, "spatial", "motion", "transition", *(F.lit(0.2).alias(c) for c in ("dark", "flat", "noise")), "cuts")
+
+
+def sample_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan for every customer's timeline."""
+    return sampling_plan.sample_plan(scout_grid(table(spark, sf_dir, "orders")), "source", "duration")
+
+
+def aligned_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plans with their windows moved off the cuts, where there is room;
+    windows that look for a transition stay."""
+    orders = table(spark, sf_dir, "orders")
+    plans = settled(sampling_plan.sample_plan(scout_grid(orders), "source", "duration"))
+    size = sampling_plan.PlanSettings().sample_sec
+    cuts = orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("source"), (F.col("o_orderkey") % 600).cast("double").alias("p"))
+    points = plans.where("scout_id is not null").select("source").distinct().join(cuts, "source", "left")
+    shots = ranks.segments(points, "source", "p", F.lit(0.0), F.lit(600.0))
+    windows = plans.where("scout_id is not null").select("source", F.col("scout_id").alias("id"), F.col("start_sec").alias("start"), (F.col("start_sec") + size).alias("end"), F.col("reasons").contains(sampling_plan.TRANSITION).alias("fixed"))
+    moved = intervals.align_to_segments(windows, shots, "source")
+    moved = moved.select("source", F.col("id").alias("scout_id"), "new_start", (~F.col("held")).alias("crosses"))
+    return sampling_plan.aligned_plans(plans, moved, "source", size)
 
 
 def search_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +56,49 @@ def search_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_measured(rows, "o_custkey", "rate", "quality", 40.0)
 
 
+def curves(lineitem: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(measured, windows, sources): the lines of an order as windows, each measured at
+    eight rates; better rates are mostly better, harder parts need more."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    rows = lineitem.select(F.col("l_orderkey").alias("source"), F.row_number().over(order).alias("window"), "l_partkey", "l_shipdate", "l_quantity")
+    pool = F.when(F.col("window") <= 2, "search").when(F.col("window") <= 4, "holdout").otherwise("reserve")
+    windows = rows.select("source", "window", pool.alias("pool"), (F.col("l_partkey") % 600).cast("double").alias("start"), (F.col("l_partkey") % 3 + 1).alias("reasons"))
+    rate = F.explode(F.sequence(F.lit(1), F.lit(8)))
+    hard = (F.col("l_partkey") % 17) / 17.0
+    each = rows.select("source", "window", "l_partkey", hard.alias("hard"), rate.alias("rate"))
+    dip = F.when((F.col("l_partkey") + F.col("rate")) % 11 == 0, 3.0).otherwise(0.0)
+    measured = each.select("source", "window", (F.col("rate") * 1000).cast("long").alias("rate"), (84.0 + F.col("rate") * 1.9 - F.col("hard") * 4 - dip).alias("quality"))
+    sources = rows.groupBy("source").agg(F.lit(92.0).alias("target"), (F.max(F.col("l_partkey") % 4) * 1000 + 5000).cast("long").alias("most"))
+    return measured, windows, sources
+
+
+def verified_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selections held against windows they were not chosen
+    on, over every order's measured curves."""
+    measured, windows, sources = (settled(df) for df in curves(table(spark, sf_dir, "lineitem")))
+    again = rounds.scored(measured, windows, "source").withColumn("quality", F.col("quality") + 0.25)
+    return rounds.verified(measured, windows, sources, "source", settled, repeated=again)
+
+
+def calibrated_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates whose size fits only without its uncertainty are measured
+    in two more windows, those of the middle risk, and predicted anew."""
+    line = table(spark, sf_dir, "lineitem")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    rows = line.select(F.col("l_orderkey").alias("source"), F.row_number().over(order).alias("window"), (F.col("l_quantity") / 50).alias("risk"), F.col("l_extendedprice").cast("long").alias("rate"), (F.col("l_partkey") % 600).cast("double").alias("centre"))
+    search = rows.where("window <= 2").groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("window", "rate"))), lambda r: r["rate"]).alias("observed"))
+    base = search.withColumns({"asked": F.lit(30000), "duration": F.lit(60.0), "audio": F.lit(0), "bytes": F.lit(None).cast("long"), "most": (F.element_at("observed", 1) * 8.5).cast("long")})
+    first = sizes.predicted_sizes(base, "asked", "observed", "duration", "audio", "bytes")
+    first = settled(first.withColumn("central", predicted_size(F.col("mean_rate"), F.col("audio"), F.col("duration"))))
+    close = first.where(rounds.near_boundary("central", "predicted_bytes", "most")).select("source")
+    middle = rows.groupBy("source").agg(F.sort_array(F.collect_list("risk")).alias("r")).select("source", F.get("r", F.floor(F.size("r") / 2).cast("int")).alias("middle"))
+    reserves = rows.where("window > 2").join(close, "source", "left_semi").join(middle, "source").withColumn("half", F.lit(300.0))
+    chosen = rounds.size_representatives(reserves, "source", "risk", "middle", "centre", "half")
+    again = rounds.calibrated(first.select("source", "observed", "asked", "duration", "audio", "bytes", "most"), chosen, "source", "observed", "rate")
+    out = sizes.predicted_sizes(again, "asked", "observed", "duration", "audio", "bytes")
+    return out.select("source", F.size("observed").alias("windows"), "mean_rate", "upper_rate", "predicted_bytes", (F.col("predicted_bytes") <= F.col("most")).alias("fits"))
+
+
 def live_state_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R1 as a stream: the same state as the batch fold."""
     root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
@@ -46,5 +107,5 @@ def live_state_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.settled(stream, f"{root}/live_{uuid.uuid4().hex[:12]}")
 
 
-QUERIES = {f.__name__: f for f in (sample_plan, search_trace, live_state_fold)}
+QUERIES = {f.__name__: f for f in (sample_plan, aligned_plan, search_trace, verified_rounds, calibrated_sizes, live_state_fold)}
 SQL = {"live_state_fold": PLAN_SQL["state_fold"]}

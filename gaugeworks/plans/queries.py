@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import expr as X
-from gaugeworks.operators import catalogs, evaluation, intervals, ranks, robust, selection, series, state
+from gaugeworks.operators import catalogs, evaluation, intervals, ranks, robust, selection, series, sizes, state
+from gaugeworks.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -62,14 +63,18 @@ def eval_summary(t):
 
 @query("""
     select c_custkey, round(sum(o_totalprice), 2) as selected, round(sum(o_totalprice) - c_acctbal, 2) as regret,
-           case when c_acctbal > 0 then round((sum(o_totalprice) - c_acctbal) / c_acctbal, 4) end as relative_regret
-    from customer join orders on c_custkey = o_custkey group by c_custkey, c_acctbal""")
+           case when c_acctbal > 0 then round((sum(o_totalprice) - c_acctbal) / c_acctbal, 4) end as relative_regret,
+           case when c_acctbal > 0 and c_nationkey <> 3 then c_custkey % 2 = 0 and count(*) <= c_acctbal / 500 end as false_block
+    from customer join orders on c_custkey = o_custkey group by c_custkey, c_acctbal, c_nationkey""")
 def case_regret(t):
-    """A10: absolute and relative regret, null where the best is not positive."""
-    spent = t("orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("selected"))
+    """A10: absolute and relative regret, null where the best is not positive; sources
+    blocked for a size that the whole output keeps, null where something is missing."""
+    spent = t("orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("selected"), F.count("*").alias("size"))
     rows = t("customer").join(spent, F.col("c_custkey") == F.col("o_custkey"))
     gap, share = evaluation.regret(F.col("selected"), F.col("c_acctbal"))
-    return rows.select("c_custkey", F.round("selected", 2).alias("selected"), F.round(gap, 2).alias("regret"), F.round(share, 4).alias("relative_regret"))
+    blocked = F.when(F.col("c_nationkey") != 3, F.col("c_custkey") % 2 == 0)
+    wrong = evaluation.false_block(blocked, F.col("size"), F.col("c_acctbal") / 500)
+    return rows.select("c_custkey", F.round("selected", 2).alias("selected"), F.round(gap, 2).alias("regret"), F.round(share, 4).alias("relative_regret"), wrong.alias("false_block"))
 
 
 # --- series
@@ -121,15 +126,42 @@ def median_deviation(t):
 
 
 @query("""
-    with x as (select label, unnest(range(1, len(embedding) + 1)) pos, unnest(embedding)::double v from embeddings),
-         d as (select label, pos, stddev_pop(v) sd, max(v) mx from x group by label, pos)
-    select label, round(avg(sd), 6) dispersion, round(avg((mx >= 0.25)::int), 6) high_modes, round(least(1.0, 2.2 * avg(sd) + 0.25 * avg((mx >= 0.25)::int)), 6) heterogeneity from d group by label""")
+    with v as (select label, vec_id % 3 cuts, [least(1.0::double, abs(x::double) * 4) for x in embedding[1:7]] r from embeddings),
+         x as (select label, i, r[i] v from v, unnest(range(1, 8)) u(i)),
+         d as (select label, i, stddev_pop(v) sd, max(v) mx from x group by label, i),
+         m as (select label, avg(sd) dispersion, sum((i <= 6 and mx >= 0.65)::int) / 6.0::double high from d group by label),
+         g as (select label, count(*) n, sum(cuts) / count(*)::double density, avg(0.27 * r[1] + 0.30 * r[2] + 0.17 * r[3] + 0.08 * r[4] + 0.08 * r[5] + 0.10 * r[6]) mean from v group by label),
+         h as (select *, least(1.0, 2.2 * dispersion + 0.12 * density + 0.25 * high) het from m join g using (label))
+    select label, round(dispersion, 6) dispersion, round(density, 6) density, round(high, 6) high_modes, round(het, 6) heterogeneity, round(least(1.0, 0.55 * het + 0.30 * mean + 0.15 / sqrt(n)), 6) uncertainty from h""")
 def content_statistics(t):
-    """A5: dispersion over dimensions, share of high ones, combined and clamped."""
-    each = t("embeddings").select("label", F.posexplode("embedding").alias("pos", "v"))
-    by_dimension = each.groupBy("label", "pos").agg(F.stddev_pop(F.col("v").cast("double")).alias("sd"), F.max("v").alias("mx"))
-    high = F.avg((F.col("mx") >= 0.25).cast("int"))
-    return by_dimension.groupBy("label").agg(F.round(F.avg("sd"), 6).alias("dispersion"), F.round(high, 6).alias("high_modes"), F.round(F.least(F.lit(1.0), 2.2 * F.avg("sd") + 0.25 * high), 6).alias("heterogeneity"))
+    """A5: dispersion over seven dimensions, cuts a window, share of high ones among the
+    first six, and what they leave unsure."""
+    risks = F.transform(F.slice("embedding", 1, 7), lambda x: F.least(F.lit(1.0), F.abs(x.cast("double")) * 4))
+    rows = t("embeddings").select("label", (F.col("vec_id") % 3).alias("cuts"), risks.alias("risks"))
+    out = series.content_statistics(rows, "label", "risks", "cuts")
+    return out.select("label", *(F.round(c, 6).alias(c) for c in ("dispersion", "density", "high_modes", "heterogeneity", "uncertainty")))
+
+
+@query("""
+    with f as (select user_id k, event_id n, value v, 20 + user_id % 30 as fps from events),
+         g as (select k, n - lag(n) over (partition by k order by n) as gap from f),
+         c as (select k, list_sort(list(gap)) l from g where gap is not null group by k),
+         w as (select f.k, count(*) cnt, max(fps) fps, coalesce(max(l[len(l) // 2 + 1]), 1) gap from f left join c using (k) group by f.k),
+         z as (select k, gap, least(cnt, greatest(1, ceil(fps / gap::double)::bigint)) as rows from w),
+         p as (select f.k, f.v, row_number() over (partition by f.k order by n) i, gap, rows from f join z using (k)),
+         m as (select a.k, a.i, any_value(a.gap) gap, any_value(a.rows) rows, avg(b.v) mean from p a join p b on a.k = b.k and b.i > a.i - a.rows and b.i <= a.i where a.i >= a.rows group by a.k, a.i)
+    select k, any_value(gap)::double gap, any_value(rows) as rows, round(min(mean), 6) worst from m group by k""")
+def worst_second(t):
+    """The worst mean of one second, its rows by rate and cadence of each series."""
+    frames = t("events").select(F.col("user_id").alias("k"), F.col("event_id").alias("n"), "value", (20 + F.col("user_id") % 30).cast("double").alias("fps"))
+    out = series.cadenced_worst(frames, "k", "n", "value", "fps")
+    return out.select("k", "gap", "rows", F.round("worst", 6).alias("worst"))
+
+
+@query("select user_id, list_sort(coalesce(list(distinct event_id) filter (event_type = 'error'), [])) as cuts from events group by user_id")
+def cut_times(t):
+    """The sorted distinct times of a series' cuts."""
+    return series.cut_times(t("events"), "user_id", "event_id", F.col("event_type") == "error")
 
 
 @query("""
@@ -194,16 +226,8 @@ def strata_top1(t):
     return best.select("bin", "r.*")
 
 
-@query(f"""
-    with cuts as (select o_custkey k, {ODATE} p from orders where o_custkey < 50 union select c_custkey, 6e8 from customer where c_custkey < 50 union select c_custkey, 1.2e9 from customer where c_custkey < 50)
-    select k, p::double as start, lead(p) over (partition by k order by p)::double as "end" from cuts qualify "end" is not null""")
-def segments(t):
-    """Parts between sorted cuts, bounds included."""
-    return _segments(t, "c_custkey < 50")
-
-
-def _segments(t, customers="true", orders="true"):
-    keys = t("customer").where(customers).select(F.col("c_custkey").alias("k"))
+def _segments(t, orders="true"):
+    keys = t("customer").select(F.col("c_custkey").alias("k"))
     points = keys.join(t("orders").where(orders).select(F.col("o_custkey").alias("k"), seconds("o_orderdate").alias("p")), "k", "left")
     return ranks.segments(points, "k", "p", F.lit(6e8), F.lit(1.2e9))
 
@@ -211,8 +235,8 @@ def _segments(t, customers="true", orders="true"):
 @query(f"""
     with cuts as (select o_custkey k, {ODATE} p from orders where {ODATE} > 6e8 and {ODATE} < 1.2e9 and o_custkey in (select c_custkey from customer) union select c_custkey, 6e8 from customer union select c_custkey, 1.2e9 from customer)
     select k, p::double as start, lead(p) over (partition by k order by p)::double as "end" from cuts qualify "end" is not null""")
-def segments_whole(t):
-    """W7 for every customer."""
+def segments(t):
+    """Parts between sorted cuts, bounds included."""
     return _segments(t)
 
 
@@ -244,12 +268,6 @@ def running_percent(t):
     return t("conversations").select("conv_id", "turn", F.round(F.row_number().over(by.orderBy("turn")) * 100.0 / F.count("*").over(by), 6).alias("percent"))
 
 
-@query("select vec_id, i - 1 as pos, row_number() over (partition by vec_id order by (i - 1) <> arg, i) as rank from (select vec_id, unnest(range(1, 9)) i, list_position(embedding[1:8], list_min(embedding[1:8])) - 1 arg from embeddings)")
-def hardest_first(t):
-    """The least score first, the others in order."""
-    return _hardest(t("embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("s")))
-
-
 def _hardest(rows):
     each = rows.select("vec_id", F.array_position("s", F.array_min("s")).alias("arg"), F.posexplode("s").alias("pos", "v"))
     place = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.col("pos") != F.col("arg") - 1, "pos"))
@@ -257,8 +275,8 @@ def _hardest(rows):
 
 
 @query("select vec_id, i - 1 as pos, row_number() over (partition by vec_id order by (i - 1) <> arg, i) as rank from (select vec_id, unnest(range(1, len(embedding) + 1)) i, list_position(embedding, list_min(embedding)) - 1 arg from embeddings)")
-def hardest_first_whole(t):
-    """T8 over all places of an array."""
+def hardest_first(t):
+    """The least score first, the others in order."""
     return _hardest(t("embeddings").select("vec_id", F.col("embedding").alias("s")))
 
 
@@ -316,20 +334,8 @@ def capacity(t):
     return intervals.capacity(_windows(t, 90), "k").select("k", "id")
 
 
-@query(f"""
-    with w as (select o_custkey k, o_orderkey id, {ODATE} as start, {ODATE} + 20 * 86400.0 as "end" from orders where o_custkey < 60),
-    cuts as (select o_custkey k, {ODATE} p from orders where o_orderstatus = 'F' and o_custkey < 60 union select c_custkey, 6e8 from customer where c_custkey < 60 union select c_custkey, 1.2e9 from customer where c_custkey < 60),
-    s as (select k, p as s, lead(p) over (partition by k order by p) as e from cuts qualify e is not null),
-    f as (select w.k, w.id, w.start, least(greatest(w.start, s.s), s.e - (w."end" - w.start)) as goal from w join s on s.k = w.k and s.e - s.s >= w."end" - w.start - 1e-9)
-    select w.k, w.id, round(coalesce(b.goal, w.start), 3) as new_start, abs(coalesce(b.goal, w.start) - w.start) > 1e-9 as moved, b.id is not null as held
-    from w left join (select * from f qualify row_number() over (partition by k, id order by abs(goal - start), goal) = 1) b on b.k = w.k and b.id = w.id""")
-def shot_align(t):
-    """Windows moved into the nearest segment that holds them."""
-    return _aligned(t, "c_custkey < 60", "o_custkey < 60")
-
-
-def _aligned(t, customers="true", orders="true"):
-    out = intervals.align_to_segments(_windows(t, 20, orders), _segments(t, customers, "o_orderstatus = 'F'"), "k")
+def _aligned(t):
+    out = intervals.align_to_segments(_windows(t, 20), _segments(t, "o_orderstatus = 'F'"), "k")
     return out.select("k", "id", F.round("new_start", 3).alias("new_start"), "moved", "held")
 
 
@@ -340,8 +346,8 @@ def _aligned(t, customers="true", orders="true"):
     f as (select w.k, w.id, w.start, least(greatest(w.start, s.s), s.e - (w."end" - w.start)) as goal from w join s on s.k = w.k and s.e - s.s >= w."end" - w.start - 1e-9)
     select w.k, w.id, round(coalesce(b.goal, w.start), 3) as new_start, abs(coalesce(b.goal, w.start) - w.start) > 1e-9 as moved, b.id is not null as held
     from w left join (select * from f qualify row_number() over (partition by k, id order by abs(goal - start), goal) = 1) b on b.k = w.k and b.id = w.id""")
-def shot_align_whole(t):
-    """G5, W7 for every customer."""
+def shot_align(t):
+    """Windows moved into the nearest segment that holds them."""
     return _aligned(t)
 
 
@@ -470,27 +476,52 @@ def state_fold(t):
     return state.fold(t("events"), "user_id", ["event_id"], fields)
 
 
-QUEUE = "select event_id, value, case event_type when 'purchase' then 'completed' when 'signup' then 'skipped' when 'click' then 'running' when 'view' then 'needs_decision' else 'failed' end st from events"
+QUEUE = "select event_id id, user_id, value dur, event_id % 130 - 10 pct, 1 + event_id % 2 passes, case when event_id % 3 = 0 then value || 'x' when event_id % 3 = 1 then 'n/a' end sp, case event_id % 9 when 0 then 'queued' when 1 then 'waiting_analysis' when 2 then 'analyzing' when 3 then 'encoding' when 4 then 'failed' when 5 then 'needs_decision' when 6 then 'done' when 7 then 'skipped' else 'cancelled' end st from events"
 
 
 @query(f"""
-    with q as ({QUEUE}), m as (select count(*) n, count(*) filter (st = 'completed') n_completed, count(*) filter (st = 'skipped') n_skipped, count(*) filter (st = 'needs_decision') n_needs_decision, count(*) filter (st = 'running') n_running, count(*) filter (st = 'failed') n_failed,
-        sum(value) total, sum(value * case when st in ('completed', 'skipped') then 1.0 when st = 'needs_decision' then 0.99 else least(100.0, value) / 100 end) finished, arg_max(value, event_id) filter (st = 'running') speed from q)
-    select n, n_completed, n_skipped, n_needs_decision, n_running, n_failed, round(total, 3) total, round(finished, 3) finished, round(speed, 3) speed, round(finished * 100 / total, 6) percent, round((total - finished) / speed, 3) eta from m""")
+    with q as ({QUEUE}), w as (select *, greatest(0, dur) * greatest(passes, 1) weight, case when st in ('done', 'skipped') then 1.0 when st = 'needs_decision' then 0.99 else greatest(0, least(100, pct)) / 100.0 end share from q),
+    last as (select * from w where st in ('analyzing', 'encoding') order by id desc limit 1),
+    m as (select count(*) n, count(*) filter (st in ('queued', 'waiting_analysis')) n_queued, count(*) filter (st in ('analyzing', 'encoding')) n_running, count(*) filter (st = 'failed') n_failed, count(*) filter (st = 'needs_decision') n_needs_decision,
+          count(*) filter (st = 'done') n_done, count(*) filter (st = 'skipped') n_skipped, count(*) filter (st = 'cancelled') n_cancelled, sum(dur) filter (dur > 0) duration, sum(weight) total, sum(weight * share) finished from w)
+    select n, n_queued, n_running, n_failed, n_needs_decision, n_done, n_skipped, n_cancelled, n_done + n_skipped as n_completed, n_queued as n_ready, round(m.duration, 3) duration, round(total, 3) total, round(finished, 3) finished,
+           last.sp as speed, last.id as current, last.pct::double as current_percent, last.dur as current_duration, last.user_id as current_name,
+           round(greatest(0.0, least(100.0, finished / total * 100)), 6) percent,
+           round((total - finished) / nullif(try_cast(regexp_extract(last.sp, '^([0-9]+([.][0-9]+)?)x$', 1) as double), 0), 3) eta
+    from m, last""")
 def queue_metrics(t):
     """One row of queue metrics."""
-    e = F.col("event_type")
-    status = F.when(e == "purchase", "completed").when(e == "signup", "skipped").when(e == "click", "running").when(e == "view", "needs_decision").otherwise("failed")
-    rows = t("events").select("event_id", "value", status.alias("st"))
-    out = state.queue_metrics(rows, "st", "value", "value", "event_id", "value")
-    return out.withColumns({c: F.round(c, 3) for c in ("total", "finished", "speed", "eta")} | {"percent": F.round("percent", 6)})
+    n = F.col("event_id")
+    states = ["queued", "waiting_analysis", "analyzing", "encoding", "failed", "needs_decision", "done", "skipped", "cancelled"]
+    status = F.element_at(F.array(*(F.lit(s) for s in states)), (n % 9 + 1).cast("int"))
+    speed = F.when(n % 3 == 0, F.concat(F.col("value").cast("string"), F.lit("x"))).when(n % 3 == 1, "n/a")
+    rows = t("events").select("event_id", "user_id", status.alias("st"), F.col("value").alias("dur"), (n % 130 - 10).cast("double").alias("pct"), (1 + n % 2).alias("passes"), speed.alias("sp"))
+    out = state.queue_metrics(rows, "st", "dur", "pct", "event_id", "sp", "passes", "user_id")
+    return out.withColumns({c: F.round(c, 3) for c in ("duration", "total", "finished", "eta")} | {"percent": F.round("percent", 6)})
 
 
-@query("select round(sum(greatest(0, o_totalprice - c_acctbal)) filter (o_totalprice > 0 and c_acctbal > 0), 2) saved, count(*) filter (o_totalprice > 0 and c_acctbal > 0) n from orders join customer on c_custkey = o_custkey")
+@query("select round(sum(o_totalprice - c_acctbal * 40) filter (o_totalprice > 0 and c_acctbal > 0), 2) saved, count(*) filter (o_totalprice > 0 and c_acctbal > 0) n from orders join customer on c_custkey = o_custkey")
 def saved_bytes(t):
-    """Savings over rows with an estimate."""
-    rows = t("orders").join(t("customer"), F.col("c_custkey") == F.col("o_custkey"))
-    return state.saved_bytes(rows, "o_totalprice", "c_acctbal").select(F.round("saved", 2).alias("saved"), "n")
+    """Savings over rows with an estimate, losses among them."""
+    rows = t("orders").join(t("customer"), F.col("c_custkey") == F.col("o_custkey")).withColumn("estimate", F.col("c_acctbal") * 40)
+    return state.saved_bytes(rows, "o_totalprice", "estimate").select(F.round("saved", 2).alias("saved"), "n")
+
+
+@query("""
+    with a as (select o_custkey k, arg_max(case o_orderkey % 5 when 0 then 'start' when 1 then 'retry' when 2 then 'cancel' when 3 then 'fail' else 'done' end, o_orderkey) c from orders group by 1),
+    p as (select o_custkey k, arg_max(case o_orderkey % 5 when 0 then 0.0 when 1 then 0.0 else 100.0 end, o_orderkey) filter (o_orderkey % 5 in (0, 1, 4)) pct,
+                 arg_max(case o_orderkey % 5 when 2 then 'because of ' || o_orderkey when 3 then 'because of ' || o_orderkey end, o_orderkey) filter (o_orderkey % 5 in (2, 3)) msg,
+                 max(o_orderkey) filter (o_orderkey % 5 in (0, 1, 4)) cleared, max(o_orderkey) filter (o_orderkey % 5 in (2, 3)) told from orders group by 1)
+    select c_custkey, case a.c when 'start' then case when c_custkey % 2 = 0 then 'waiting_analysis' else 'encoding' end when 'retry' then case when c_custkey % 2 = 0 then 'waiting_analysis' else 'queued' end when 'cancel' then 'cancelled' when 'fail' then 'failed' when 'done' then 'done' else 'queued' end as status,
+           coalesce(p.pct, 7.0)::double as pass_percent, case when p.told > coalesce(p.cleared, -1) then p.msg when p.cleared is not null then null else 'none' end as error
+    from customer left join a on a.k = c_custkey left join p on p.k = c_custkey""")
+def lifecycle(t):
+    """Rows after all commands of their keys."""
+    n = F.col("o_orderkey")
+    names = ["start", "retry", "cancel", "fail", "done"]
+    commands = t("orders").select(F.col("o_custkey").alias("c_custkey"), n.alias("seq"), F.element_at(F.array(*(F.lit(x) for x in names)), (n % 5 + 1).cast("int")).alias("command"), n.cast("double").alias("at"), F.concat(F.lit("because of "), n.cast("string")).alias("message"))
+    rows = t("customer").select("c_custkey", (F.col("c_custkey") % 2 == 0).alias("smart"), F.lit("queued").alias("status"), F.lit(7.0).alias("pass_percent"), F.lit("none").alias("error"))
+    return state.transition(rows, commands, "c_custkey", "seq").select("c_custkey", "status", "pass_percent", "error")
 
 
 @query("select event_id, case when event_type = 'view' then 'needs_decision' when event_type = 'signup' then 'skipped' when value > 40 then 'completed' else 'failed' end as outcome, round(least(100.0, greatest(0.0, (event_id % 2 + least(100.0, value) / 100) / 2 * 100)), 6) as percent from events")
@@ -549,26 +580,32 @@ def rate_budget(t):
     return t("orders").select("o_orderkey", X.rate_budget(F.col("o_totalprice"), 1 + F.col("o_orderkey") % 100, F.lit(128000), 0.7).alias("budget"), X.search_tolerance(F.col("o_totalprice"), 5000, 0.02).alias("tolerance"))
 
 
-@query("select case when n_chars < 600 then 3 when n_chars < 3600 then 4 when n_chars < 10801 then 5 else 6 end as windows, count(*) n from documents group by 1")
+@query("select case when n_chars < 600 then 3 when n_chars < 3600 then 4 when n_chars <= 10800 then 5 else 6 end as windows, count(*) n from documents group by 1")
 def duration_bucket(t):
     """Configured counts by length."""
-    return t("documents").groupBy(X.by_limits(F.col("n_chars"), [(600, 3), (3600, 4), (10801, 5)], 6).alias("windows")).agg(F.count("*").alias("n"))
+    return t("documents").groupBy(X.by_limits(F.col("n_chars"), [(600, 3), (3600, 4), (10800, 5)], 6, closed=1).alias("windows")).agg(F.count("*").alias("n"))
 
 
-@query(r"select page_id, case when s = '' then 'item' else s end || '_' || substr(sha1(url), 1, 10) as token from (select page_id, url, regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') s from pages)")
+@query(r"""
+    with n as (select page_id, url, regexp_replace(regexp_extract(url, '([^/]*)/*$', 1), '^(.+)\.[^.]+$', '\1') stem from pages),
+         s as (select page_id, url, stem, regexp_replace(regexp_replace(stem, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') safe from n)
+    select page_id, case when safe = '' then 'item' else safe end || '_' || substr(sha1(url), 1, 10) as token, '/w/logs/' || case when safe = '' then 'item' else safe end || '_' || substr(sha1(url), 1, 10) || '_encode.log' as log,
+           '/w/preview/' || case when safe = '' then 'item' else safe end || '_' || substr(sha1(url), 1, 10) || '/' || stem || '_hevc_preview.mkv' as sample from s""")
 def safe_token(t):
-    """stable names."""
-    return t("pages").select("page_id", X.source_token(F.col("url")).alias("token"))
+    """stable names and the paths made of them."""
+    paths = X.work_paths(F.lit("/w"), F.col("url"), "hevc", "mkv", "encode")
+    return t("pages").select("page_id", X.source_token(F.col("url")).alias("token"), paths["log"].alias("log"), paths["encoded_sample"].alias("sample"))
 
 
-@query(r"select doc_id, case when length(f) <= 40 then f else rtrim(substr(f, 1, 37), ' ') || '...' end as short from (select doc_id, trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')) f from documents where text is not null)")
+@query(r"select doc_id, case when length(f) <= 40 then f else rtrim(substr(f, 1, 37), ' ') || '...' end as short from (select doc_id, coalesce(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')), '') f from documents)")
 def short_text(t):
     """shortened text."""
-    return t("documents").where("text is not null").select("doc_id", X.shorten(F.col("text"), 40).alias("short"))
+    return t("documents").select("doc_id", X.shorten(F.col("text"), 40).alias("short"))
 
 
 @query("""
     select p_partkey, case when p_size % 4 = 3 then null else round_even(p_size * case p_size % 4 when 0 then 1000 when 1 then 1000000 else 1 end, 0)::bigint end as rate,
+           case p_size % 4 when 0 then floor((p_size + 0.98765::double) * 1000)::bigint when 1 then 0 when 2 then p_size::bigint * 1000000000 end as rate_down,
            p_size + 0.5::double as speed, p_size * 3600 + 120 + 3.5::double as clock, p_size / 1001.0::double as fraction, case when p_size % 2 = 0 then p_size else 0 end::bigint as lenient from part where p_size > 0""")
 def parse_units(t):
     """Numbers in text."""
@@ -577,6 +614,7 @@ def parse_units(t):
     return t("part").where("p_size > 0").select(
         "p_partkey",
         X.parse_rate(F.concat(s, unit)).alias("rate"),
+        X.parse_rate_down(F.when(n % 4 == 0, F.concat(s, F.lit(".98765K "))).when(n % 4 == 1, "0m").when(n % 4 == 2, F.concat(s, F.lit("g"))).otherwise(F.concat(s, F.lit("q")))).alias("rate_down"),
         X.parse_speed(F.concat(s, F.lit(".5x"))).alias("speed"),
         X.parse_clock(F.concat(s, F.lit(":2:3.50"))).alias("clock"),
         X.parse_fraction(F.concat(s, F.lit("/1001"))).alias("fraction"),
@@ -584,10 +622,17 @@ def parse_units(t):
     )
 
 
-@query("select doc_id, case when n_chars < 1024 then n_chars || ' B' when n_chars < 1048576 then printf('%.1f KiB', n_chars / 1024.0::double) else printf('%.1f MiB', n_chars / 1048576.0::double) end as size, case when n_chars < 3600 then printf('%d:%02d', n_chars // 60, n_chars % 60) else printf('%d:%02d:%02d', n_chars // 3600, n_chars // 60 % 60, n_chars % 60) end as duration from documents")
+@query("""
+    with d as (select doc_id, case when doc_id % 10 = 9 then null else (n_chars - 300) * 37 end b, case when doc_id % 10 = 8 then null when doc_id % 10 = 7 then 0.0 else n_chars * 1.7::double end s from documents)
+    select doc_id, case when b is null then 'n/a' else case when b < 0 then '-' else '' end || case when abs(b) < 1024 then printf('%.2f B', abs(b)::double) when abs(b) < 1048576 then printf('%.2f KiB', abs(b) / 1024.0::double) else printf('%.2f MiB', abs(b) / 1048576.0::double) end end as size,
+           case when coalesce(s, 0) = 0 then 'n/a' when round_even(s, 0) < 3600 then printf('%d:%02d', round_even(s, 0)::bigint // 60, round_even(s, 0)::bigint % 60) else printf('%d:%02d:%02d', round_even(s, 0)::bigint // 3600, round_even(s, 0)::bigint // 60 % 60, round_even(s, 0)::bigint % 60) end as duration,
+           case when doc_id % 3 = 0 then '-' else n_chars || 'x' || doc_id end as geometry from d join documents using (doc_id)""")
 def human_labels(t):
-    """sizes and durations in words."""
-    return t("documents").select("doc_id", X.human_size(F.col("n_chars")).alias("size"), X.human_duration(F.col("n_chars")).alias("duration"))
+    """sizes, durations and geometry in words, what is missing too."""
+    n, m = F.col("doc_id"), F.col("n_chars")
+    size = F.when(n % 10 != 9, (m - 300) * 37)
+    seconds = F.when(n % 10 == 7, 0.0).when(n % 10 != 8, m * 1.7)
+    return t("documents").select("doc_id", X.human_size(size).alias("size"), X.human_duration(seconds).alias("duration"), X.geometry_label(F.when(n % 3 != 0, m), n).alias("geometry"))
 
 
 @query(r"select event_id, case when starts_with(l, '$ ') then 'command' when regexp_matches(lower(l), 'error|failed|traceback|cancelled') then 'error' else 'process' end as kind from (select event_id, case when event_id % 5 = 0 then '$ ' else '' end || event_type || ' ' || props as l from events)")
@@ -597,11 +642,12 @@ def classify_lines(t):
     return t("events").select("event_id", X.classify_line(line).alias("kind"))
 
 
-@query("select p_partkey, case when p_size in (1, 2) then 8 when p_size = 3 then 10 when p_size in (9, 10, 12, 14, 16) then p_size end as bits from part")
+@query("""
+    select p_partkey, case p_size % 12 when 0 then 8 when 1 then 8 when 2 then 10 when 3 then 10 when 4 then 8 when 5 then 10 when 6 then 12 when 7 then null when 8 then 16 when 9 then null when 10 then null else 14 end::int as bits from part""")
 def bit_depths(t):
     """depth from a format name."""
-    n = F.col("p_size")
-    name = F.when(n == 1, "yuv420p").when(n == 2, "NV12").when(n == 3, "p010le").otherwise(F.concat(F.lit("yuv444p"), n.cast("string"), F.lit("le")))
+    names = [" YUV420P", "yuvj444p", "p210le", "p010", "bgr24", "yuv422p10be", "yuv420p12", "rgb48le", "gray16le", "gray", "yuv444p11le", "gbrp14"]
+    name = F.element_at(F.array(*(F.lit(x) for x in names)), (F.col("p_size") % 12 + 1).cast("int"))
     return t("part").select("p_partkey", X.bit_depth(name).cast("int").alias("bits"))
 
 
@@ -630,3 +676,42 @@ def consistency(t):
 def observed_rates(t):
     """Observed rates and sample ratios, 0 without a sample."""
     return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.ceil(F.col("l_extendedprice") * 8 / F.col("l_quantity")).cast("long").alias("observed"), F.when(F.col("l_discount") == 0, 0.0).otherwise(F.round(F.col("l_tax") / F.col("l_discount"), 6)).alias("ratio"))
+
+
+@query("""
+    with c as (select c_custkey i, 1000000 + c_custkey * 10 size, c_custkey % 2 = 0 has_rate, c_custkey % 3 sound, c_custkey % 5 = 0 has_video, c_custkey % 7 format_seconds, c_custkey % 4 own_seconds from customer),
+    d as (select *, case when format_seconds > 0 then format_seconds * 10.5::double when own_seconds > 0 then own_seconds * 7.0::double end dur, case sound when 0 then 0 when 1 then 128000 else 2256000 end audio from c),
+    r as (select *, case when has_rate then 900000 + i else greatest(1, round_even(size * 8 / dur, 0)::bigint) end rate from d)
+    select i as id, dur as duration, rate::bigint as rate, audio::bigint as audio_rate, sound::int as audio_streams, case when has_video then 777000 when rate - audio > 0 then rate - audio else greatest(300000, round_even(rate * 0.85::double, 0)::bigint) end::bigint as video_rate,
+           case when i % 6 = 0 then 12 else 10 end as bits, case when sound > 0 then 'aac' end as audio_codec, case when dur is null then 'no duration' end as reason from r""")
+def media_rows(t):
+    """Media rows with all their fallbacks."""
+    n = F.col("c_custkey")
+    text = lambda value: F.when(value > 0, value.cast("string"))
+    tone = lambda rate: F.struct(F.lit("audio").alias("codec_type"), F.lit("aac").alias("codec_name"), F.lit(None).cast("string").alias("duration"), F.lit(rate).alias("bit_rate"), *(F.lit(None).cast("string").alias(c) for c in ("pix_fmt", "bits_per_raw_sample")))
+    own = F.when(n % 4 > 0, (n % 4 * 7.0).cast("string")).otherwise("0.0")
+    picture = F.struct(F.lit("video").alias("codec_type"), F.lit("h264").alias("codec_name"), own.alias("duration"), F.when(n % 5 == 0, "777000").otherwise("N/A").alias("bit_rate"), F.lit("yuv420p10le").alias("pix_fmt"), F.when(n % 6 == 0, "12").alias("bits_per_raw_sample"))
+    sounds = F.when(n % 3 == 0, F.array(picture)).when(n % 3 == 1, F.array(tone("128000"), picture)).otherwise(F.array(tone("256000"), picture, tone("2000000.9")))
+    form = F.struct(text(n % 7 * 10.5).alias("duration"), F.when(n % 2 == 0, (900000 + n).cast("string")).otherwise("0").alias("bit_rate"))
+    probes = t("customer").select(n.alias("id"), F.to_json(F.struct(form.alias("format"), sounds.alias("streams"))).alias("value"), (1000000 + n * 10).alias("size"))
+    return readers.media_rows(probes).select("id", "duration", "rate", "audio_rate", "audio_streams", "video_rate", "bits", "audio_codec", "reason")
+
+
+@query("""
+    with w as (select l_orderkey k, least(4.0, greatest(0.0001, l_extendedprice / 40000)) y, l_quantity / 50 x, l_tax t from lineitem),
+    u as (select k, y, x, t, row_number() over (partition by k order by x, y, t) i from w),
+    s as (select a.k, median((b.y - a.y) / (b.x - a.x)) slope from u a join u b on a.k = b.k and a.i < b.i and abs(b.x - a.x) > 1e-9 group by a.k),
+    z as (select k, any_value(case when slope is null then 0.0 else least(0.75, greatest(-0.75, slope)) end) slope from u left join s using (k) group by k),
+    l as (select k, any_value(slope) slope, median(y - slope * x) low, case when count(*) > 1 then stddev_pop(t) else 0 end varied, count(*) n from u join z using (k) group by k),
+    f as (select k, avg(least(4.0, greatest(0.0001, low + slope * t))) central, median(abs(y - least(4.0, greatest(0.0001, low + slope * x)))) mad, any_value(varied) varied, any_value(n) n from u join l using (k) group by k),
+    e as (select *, least(0.30, greatest(0.05, 0.03 + 0.14 / sqrt(n) + 1.5 * mad + 0.20 * varied)) unsure, greatest(1, round_even(40000 * central, 0)::bigint) mean from f)
+    select k, mean as mean_rate, greatest(mean, round_even(mean * (1 + round(unsure, 9)), 0)::bigint) as upper_rate, round(unsure, 6) as uncertainty from e""")
+def size_predictions(t):
+    """Rates of sources from those of their windows, by a robust line over
+    the windows' risks."""
+    window = F.struct((F.col("l_quantity") / 50).alias("x"), F.col("l_extendedprice").alias("y"), F.col("l_tax").alias("t"))
+    rows = t("lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(window)).alias("w"))
+    rows = rows.select("k", *(F.col(f"w.{c}").alias(c) for c in ("x", "y", "t")), F.lit(40000).alias("asked"), F.lit(60.0).alias("duration"), F.lit(0).alias("audio"), F.lit(None).cast("long").alias("source"))
+    out = sizes.predicted_sizes(rows, "asked", "y", "duration", "audio", "source", "x", "t")
+    upper = F.greatest(F.col("mean_rate"), X.whole(F.col("mean_rate") * (1 + F.round("uncertainty", 9))))
+    return out.select("k", "mean_rate", upper.alias("upper_rate"), F.round("uncertainty", 6).alias("uncertainty"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import expr as X
 from gaugeworks.functions import rules as R
+from gaugeworks.functions import settings
+from gaugeworks.operators import state as S
 from gaugeworks.plans.queries import query
 from gaugeworks.sources import sinks
 
@@ -45,11 +47,11 @@ def settings_clamp(t):
 
 @query("""
     select o_orderkey, concat_ws(',', case when o_totalprice > 200000 then 'raise_size_limit' end, case when o_orderkey % 100 < 60 then 'lower_target' end, 'skip') as options,
-           least(case when o_orderstatus = 'P' then 100 else 1000000 end, greatest(1000, floor(o_totalprice * 0.7 / (1 + o_orderkey % 3) * 0.98)::bigint) // 1000) as retry_kbps from orders""")
+           case when o_orderstatus = 'P' then least(100, greatest(1, greatest(1000, floor(o_totalprice * 0.7 / (1 + o_orderkey % 3) * 0.98)::bigint) // 1000)) else greatest(1, greatest(1000, floor(o_totalprice * 0.7 / (1 + o_orderkey % 3) * 0.98)::bigint) // 1000) end as retry_kbps from orders""")
 def decision_options(t):
     """Actions that apply, and the retry rate after a miss."""
     options = R.actions([(F.col("o_totalprice") > 200000, "raise_size_limit"), (F.col("o_orderkey") % 100 < 60, "lower_target"), (F.lit(True), "skip")])
-    cap = F.when(F.col("o_orderstatus") == "P", 100).otherwise(1_000_000)
+    cap = F.when(F.col("o_orderstatus") == "P", 100).otherwise(0)
     return t("orders").select("o_orderkey", F.array_join(options, ",").alias("options"), R.retry_kbps(F.col("o_totalprice"), F.lit(0.7), 1 + F.col("o_orderkey") % 3, cap).alias("retry_kbps"))
 
 
@@ -146,12 +148,6 @@ def step_down(t):
     return t("orders").select("o_orderkey", R.mapped(F.col("o_orderpriority"), steps, F.col("o_orderpriority")).alias("faster"), state.alias("state"))
 
 
-@query("select o_orderkey, o_totalprice as start, o_orderpriority as why, o_orderkey % 3 = 0 as fine from orders where o_orderkey < 2000")
-def payload_round_trip(t):
-    """records through JSON and back, nested numbers checked."""
-    return _round_trip(t("orders").where("o_orderkey < 2000"))
-
-
 def _round_trip(orders):
     packed = F.to_json(F.struct(F.struct(F.col("o_totalprice").alias("start"), F.array("o_orderpriority").alias("reasons")).alias("window"), F.array(F.when(F.col("o_orderkey") % 3 == 0, 1.0).otherwise(float("nan"))).alias("scores")))
     back = F.from_json(packed, "window struct<start:double,reasons:array<string>>, scores array<double>", {"allowNonNumericNumbers": "true"})
@@ -159,8 +155,8 @@ def _round_trip(orders):
 
 
 @query("select o_orderkey, o_totalprice as start, o_orderpriority as why, o_orderkey % 3 = 0 as fine from orders")
-def payload_round_trip_whole(t):
-    """F27, F24 for every order."""
+def payload_round_trip(t):
+    """records through JSON and back, nested numbers checked."""
     return _round_trip(t("orders"))
 
 
@@ -180,7 +176,7 @@ def identity_match(t):
     return rows.select("s_suppkey", same.alias("same"))
 
 
-@query("select o_orderkey, o_totalprice <= 200000 as accepted, case when o_orderstatus = 'P' then 'source missing' when o_orderkey % 10 = 0 then 'same path' when o_orderkey % 7 = 0 and o_orderkey % 2 = 0 then 'target exists' end as reason from orders")
+@query("select o_orderkey, o_totalprice <= 200000 and o_orderkey % 7 <> 0 as accepted, case when o_orderstatus = 'P' then 'source is missing' when o_orderkey % 7 = 0 and o_orderkey % 2 = 0 then 'output exists' when o_orderkey % 10 = 0 then 'source and output are the same file' end as reason from orders")
 def publish_reasons(t):
     """Accepted outputs, and why a source isn't copied."""
     key = F.col("o_orderkey")
@@ -188,6 +184,53 @@ def publish_reasons(t):
     return sinks.copy_reasons(sinks.publish_split(rows, "most", "size", "path")).select("o_orderkey", "accepted", "reason")
 
 
+@query("""
+    with raw as (select p_partkey, p_size - 5 i, (p_size - 5) / 10.0::double d from part where p_size is not null)
+    select p_partkey, greatest(1.0, d) whole_video_max_sec, greatest(0.5, d) scout_duration_sec, least(10, greatest(1, i)) scout_multiplier, least(128, greatest(1, i)) scout_max_windows, greatest(1.0, d) sample_duration_sec,
+      least(16, greatest(1, i)) sample_count_under_10m, least(16, greatest(1, i)) sample_count_10_to_60m, least(16, greatest(1, i)) sample_count_60_to_180m, least(16, greatest(1, i)) sample_count_over_180m,
+      least(8, greatest(0, i)) holdout_window_count, least(8, greatest(0, i)) holdout_window_count_over_180m, least(8, greatest(1, i)) coarse_max_candidates, least(8, greatest(2, i)) exact_max_candidates,
+      greatest(1, i) - (greatest(1, i) + 1) % 2 coarse_vmaf_subsample, greatest(1, i) - (greatest(1, i) + 1) % 2 exact_vmaf_subsample, greatest(1000, i) min_search_tolerance_bps, least(0.25, greatest(0.005, d)) search_tolerance_ratio,
+      least(4, greatest(0, i)) max_refinement_rounds, least(5.0, greatest(0.0, d)) preferred_vmaf_margin, least(16, greatest(1, i)) search_min_windows, least(16, greatest(i, i)) search_max_windows,
+      least(8, greatest(0, i)) holdout_target_min, least(8, greatest(i, i)) holdout_target_max, least(8, greatest(0, i)) reserve_window_count, least(2.0, greatest(0.1, d)) quality_confidence_band from raw""")
+def settings_ranges(t):
+    """All settings within their ranges."""
+    n = F.col("p_size") - 5
+    given = {name: n / 10.0 if isinstance(values[0], float) else n for name, values in settings.SETTINGS.items()}
+    return t("part").where("p_size is not null").select("p_partkey", *(c.alias(k) for k, c in settings.clamped(given).items()))
+
+
+@query("""
+    with p as (select * from (values ('fast', 12.0::double, 12, 4.0::double, 3, 1, 0.06::double, 2, 4, 1), ('balance', 20.0, 32, 5.0, 4, 2, 0.03, 3, 6, 2), ('precise', 30.0, 64, 6.0, 6, 3, 0.015, 4, 10, 4)) v(name, whole_video_max_sec, scout_max_windows, sample_duration_sec, sample_count_under_10m, holdout_window_count, search_tolerance_ratio, search_min_windows, search_max_windows, reserve_window_count))
+    select c_custkey, p.* exclude (name) from (select c_custkey, case c_custkey % 4 when 0 then 'fast' when 1 then 'precise' else 'balance' end n from customer) join p on name = n""")
+def profile_settings(t):
+    """Settings of a named profile; an unknown name counts as balance."""
+    n = F.col("c_custkey") % 4
+    rows = t("customer").select("c_custkey", F.when(n == 0, "fast").when(n == 1, "precise").when(n == 2, "no such profile").alias("profile_name"))
+    return settings.bound(rows, "profile_name").select("c_custkey", "whole_video_max_sec", "scout_max_windows", "sample_duration_sec", "sample_count_under_10m", "holdout_window_count", "search_tolerance_ratio", "search_min_windows", "search_max_windows", "reserve_window_count")
+
+
+@query("""
+    select page_id, case when page_id % 3 = 0 then '/out/a' || page_id || '.en.srt' when page_id % 3 = 1 then '/out/a' || page_id || '.srt' else '/out/a' || page_id || '.ass' end as target from pages""")
+def sidecar_targets(t):
+    """New paths of sidecar files."""
+    n = F.col("page_id").cast("string")
+    side = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("/in/m"), n, F.lit(".en.srt"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("/in/m"), n, F.lit(".srt"))).otherwise(F.lit("/in/x.y.ass"))
+    rows = t("pages").select("page_id", F.concat(F.lit("/in/m"), n, F.lit(".mkv")).alias("source"), side.alias("sidecar"), F.concat(F.lit("/out/a"), n, F.lit(".mp4")).alias("target"))
+    return sinks.sidecar_targets(rows).select("page_id", F.col("to").alias("target"))
+
+
+@query("""
+    select o_custkey, case when bool_or(o_orderkey % 7 in (1, 2)) then 'running' when bool_or(o_orderkey % 7 = 3) then 'decision_pending' else 'idle' end as state,
+           count(*) filter (o_orderkey % 7 in (0)) executable, count(*) filter (o_orderkey % 7 not in (1, 2)) removable, count(*) filter (o_orderkey % 7 = 4) retryable, count(*) filter (o_orderkey % 7 in (5, 6)) completed from orders group by o_custkey""")
+def queue_states(t):
+    """What may be done with the rows of a queue, and where it stands."""
+    names = ["queued", "analyzing", "encoding", "needs_decision", "failed", "done", "skipped"]
+    status = F.element_at(F.array(*(F.lit(x) for x in names)), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    rows = t("orders").select("o_custkey", status.alias("status"))
+    that = S.rows_that(F.col("status"))
+    return rows.groupBy("o_custkey").agg(S.end_state(F.col("status")).alias("state"), *(F.count_if(c).alias(k) for k, c in that.items()))
+
+
 @query("select o_orderkey, row_number() over (partition by o_custkey order by o_orderkey <> first, o_orderkey) as place from (select *, max(o_orderkey) over (partition by o_custkey) first from orders)")
 def move_to_front(t):
     """One row moved to the front, the others in order."""
@@ -212,20 +255,12 @@ def exit_codes(t):
     return rows.groupBy("k").agg(F.when(F.bool_or(F.col("o") == "needs"), 3).when(F.bool_and(F.col("o").isin("done", "skipped")), 0).otherwise(2).alias("code"))
 
 
-@query("""
-    with w as (select o_custkey k, o_totalprice v, count(*) over (partition by o_custkey) n from orders)
-    select distinct k, n, least(0.30, greatest(0.05, 0.03 + 0.14 / sqrt(n)))::double as unsure from w where k < 100""")
-def base_uncertainty(t):
-    """The uncertainty a number of samples leaves, clamped."""
-    return _uncertainty(t("orders").where("o_custkey < 100"))
-
-
 def _uncertainty(orders):
     counts = orders.groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"))
     return counts.select("k", "n", X.clamp(0.03 + 0.14 / F.sqrt("n"), 0.05, 0.30).alias("unsure"))
 
 
 @query("select o_custkey k, count(*) n, least(0.30, greatest(0.05, 0.03 + 0.14 / sqrt(count(*))))::double as unsure from orders group by o_custkey")
-def base_uncertainty_whole(t):
-    """A7 for every customer with orders."""
+def base_uncertainty(t):
+    """The uncertainty a number of samples leaves, clamped."""
     return _uncertainty(t("orders"))

@@ -24,12 +24,12 @@ def test_every_customer_and_order_has_its_rows(spark):
     customers = keys(plans.table(spark, DATA, "customer"), "c_custkey")
     orders = plans.table(spark, DATA, "orders")
     ids, buyers = keys(orders, "o_orderkey"), keys(orders, "o_custkey")
-    whole = {name: plans.QUERIES[name](spark, DATA) for name in ("segments_whole", "shot_align_whole", "payload_round_trip_whole", "base_uncertainty_whole")}
+    whole = {name: plans.QUERIES[name](spark, DATA) for name in ("segments", "shot_align", "payload_round_trip", "base_uncertainty")}
     assert max(customers) >= 100 and max(ids) >= 1000
-    assert keys(whole["segments_whole"], "k") == customers
-    assert keys(whole["shot_align_whole"], "id") == ids
-    assert keys(whole["payload_round_trip_whole"], "o_orderkey") == ids
-    assert keys(whole["base_uncertainty_whole"], "k") == buyers
+    assert keys(whole["segments"], "k") == customers
+    assert keys(whole["shot_align"], "id") == ids
+    assert keys(whole["payload_round_trip"], "o_orderkey") == ids
+    assert keys(whole["base_uncertainty"], "k") == buyers
 
 
 def test_windows_go_to_the_nearest_segment_that_fits(spark):
@@ -52,7 +52,7 @@ def test_windows_go_to_the_nearest_segment_that_fits(spark):
 
 def test_the_least_score_may_lie_at_any_place(spark):
     vectors = {r.vec_id: r.embedding for r in plans.table(spark, DATA, "embeddings").collect()}
-    rows = plans.QUERIES["hardest_first_whole"](spark, DATA).collect()
+    rows = plans.QUERIES["hardest_first"](spark, DATA).collect()
     first = {r.vec_id: r.pos for r in rows if r["rank"] == 1}
     assert len(rows) == sum(map(len, vectors.values()))
     assert first == {k: v.index(min(v)) for k, v in vectors.items()} and max(first.values()) >= 8
