@@ -460,17 +460,19 @@ def dedup_report(docs: DataFrame, text: str = "text", key: str = "doc_id", lengt
 def remove_repeats(docs: DataFrame, text: str = "text", size: str | None = "n_chars", length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated strings cut out of ``text``; bytes of a character cut
     in two go with it.  Where a text changes, ``size`` (if such a column is there) gets
-    its new number of characters.  Null texts stay null; all rows and columns stay."""
-    cut = cut_texts(docs, text, length, with_text=True).where("n_removed > 0").select(F.col("hash").alias("__hash"), F.col("kept").alias("__kept"))
-    hashed = docs.withColumn("__own", F.unhex(F.md5(docs[f"`{text}`"].cast("binary"))))
-    joined = hashed.join(cut, F.col("__own") == F.col("__hash"), "left")
-    changed = F.col("__hash").isNotNull()
-    out = []
-    for f in docs.schema.fields:
-        column = F.col(f"`{f.name}`")
+    its new number of characters.  Null texts stay null; long texts are treated whole;
+    equal texts of ``length`` bytes or more become empty; all rows and columns stay,
+    whatever the columns are called; an empty table gives an empty one."""
+    cut = cut_texts(docs, text, length, with_text=True).where("n_removed > 0").select(F.col("hash").alias("cut_hash"), "kept")
+    own = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    body = F.col(f"c{docs.columns.index(text)}")
+    joined = own.withColumn("own_hash", F.unhex(F.md5(body.cast("binary")))).join(cut, F.col("own_hash") == F.col("cut_hash"), "left")
+    changed, out = F.col("cut_hash").isNotNull(), []
+    for k, f in enumerate(docs.schema.fields):
+        column = F.col(f"c{k}")
         if f.name == text:
-            column = F.when(changed, F.col("__kept")).otherwise(column)
+            column = F.when(changed, F.col("kept")).otherwise(column)
         elif f.name == size:
-            column = F.when(changed, F.length("__kept").cast(f.dataType)).otherwise(column)
+            column = F.when(changed, F.length("kept").cast(f.dataType)).otherwise(column)
         out.append(column.alias(f.name))
     return joined.select(*out)
