@@ -185,7 +185,7 @@ def test_words_of_one_hash_are_told_apart(monkeypatch):
 
 
 def test_a_text_of_tens_of_megabytes(spark):
-    """Encoded whole; a worker holds some forty bytes a character while it does."""
+    """Encoded whole."""
     word = "stone and ring over the water "
     text = word * (24_000_000 // len(word))
     lib = tokenizers.Tokenizer.from_file(WORDS)
