@@ -87,3 +87,45 @@ def last_score(text: Column, pattern: str) -> Column:
     return F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), 1), F.lit(-1)).try_cast("double")
 
 
+# Presets of encoders that list none when asked, in their order.
+FIXED_PRESETS = {
+    "libx265": ["ultrafast", "superfast", "veryfast", "faster", "fast", "medium", "slow", "slower", "veryslow", "placebo"],
+    "hevc_nvenc": ["p1", "p2", "p3", "p4", "p5", "p6", "p7"],
+    "av1_nvenc": ["p1", "p2", "p3", "p4", "p5", "p6", "p7"],
+    "hevc_qsv": ["veryfast", "faster", "fast", "medium", "slow", "slower", "veryslow"],
+    "av1_qsv": ["veryfast", "faster", "fast", "medium", "slow", "slower", "veryslow"],
+}
+# The preset an encoder takes when none is asked for.
+DEFAULT_PRESETS = {"libx265": "slow", "libsvtav1": "5", "hevc_nvenc": "p6", "av1_nvenc": "p6", "hevc_qsv": "slow", "av1_qsv": "slow"}
+
+
+def preset_choices(encoder: Column, listed: Column) -> Column:
+    """The presets an encoder listed when asked, blanks passed over, else its fixed
+    ones, else none.  Encoders of the ``_videotoolbox`` kind have none."""
+    held = F.filter(F.coalesce(listed, F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit("")) != "")
+    fixed = F.array().cast("array<string>")
+    for name, values in FIXED_PRESETS.items():
+        fixed = F.when(encoder == name, F.array(*(F.lit(v) for v in values))).otherwise(fixed)
+    none = F.array().cast("array<string>")
+    return F.when(F.coalesce(encoder.endswith("_videotoolbox"), F.lit(False)), none).when(F.size(held) > 0, held).otherwise(fixed)
+
+
+def chosen_preset(encoder: Column, asked: Column, choices: Column) -> Column:
+    """The preset asked for, else the encoder's default if it has no choices or is one
+    of them; the default of the ``_amf`` kind is its first choice named after quality."""
+    best = F.try_element_at(F.filter(choices, lambda x: F.lower(x).contains("quality")), F.lit(1))
+    default = F.when(encoder.isin("hevc_amf", "av1_amf"), best).otherwise(mapped(encoder, DEFAULT_PRESETS, F.lit(None).cast("string")))
+    return F.coalesce(asked, F.when((F.size(choices) == 0) | F.array_contains(choices, default), default))
+
+
+def needs_analysis(skip_reason: Column, mode: Column, smart: str = "smart") -> Column:
+    """No reason to skip, and the mode is the smart one."""
+    return skip_reason.isNull() & F.coalesce(mode == smart, F.lit(False))
+
+
+def encoder_mismatch(bound: Column, bound_backend: Column, measured: Column, measured_backend: Column) -> Column:
+    """Why a measurement does not belong to a row's encoder, else null."""
+    other = ~measured.eqNullSafe(bound) | ~measured_backend.eqNullSafe(bound_backend)
+    text = lambda x: F.coalesce(x.cast("string"), F.lit("none"))
+    names = F.concat(F.lit("measured by "), text(measured), F.lit("/"), text(measured_backend), F.lit(", expected "), text(bound), F.lit("/"), text(bound_backend))
+    return F.when(bound.isNull(), "no bound encoder").when(other, names)

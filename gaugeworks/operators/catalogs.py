@@ -63,8 +63,8 @@ def required_features(paths: DataFrame, path: str, rules: Sequence[tuple[str, Se
 
 
 def placeholders(template: Column) -> Column:
-    """The sorted distinct names in braces."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(template, F.lit(r"\{(\w+)\}"), 1)))
+    """The sorted distinct names in braces, whatever format follows a name."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(template, F.lit(r"\{([A-Za-z_][A-Za-z0-9_]*)[^}]*\}"), 1)))
 
 
 def distinct_in_order(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
@@ -77,3 +77,16 @@ def last_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
     """The last row of each key."""
     cols = [c for c in df.columns if c != key]
     return df.groupBy(key).agg(F.max_by(F.struct(*cols), order).alias("__r")).select(key, "__r.*")
+
+
+def first_runnable(candidates: DataFrame, key: str, priority: str, name: str, runnable: str, message: str) -> DataFrame:
+    """(key, name, runnable, error) of each key's candidates, which are few: the first
+    that runs by priority (ties by name), else the last one with what all of them said,
+    ``name: message`` joined in order of priority."""
+    runs, place = F.coalesce(F.col(runnable), F.lit(False)), F.struct(priority, name)
+    said = F.when(~runs & (F.coalesce(message, F.lit("")) != ""), F.struct(priority, name, message))
+    told = F.array_join(F.transform(F.array_sort(F.collect_list(said)), lambda s: F.concat_ws(": ", s[name], s[message])), "; ")
+    found = candidates.groupBy(key).agg(F.min_by(name, F.when(runs, place)).alias("__first"), F.max_by(name, place).alias("__last"), told.alias("__told"))
+    fine = F.col("__first").isNotNull()
+    error = F.when(~fine, F.when(F.col("__told") != "", F.col("__told")).otherwise("no candidate can run"))
+    return found.select(key, F.coalesce("__first", "__last").alias(name), fine.alias("runnable"), error.alias("error"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gaugeworks.functions import expr as X
 from gaugeworks.functions import rules as R
 from gaugeworks.functions import settings
+from gaugeworks.operators import catalogs
 from gaugeworks.operators import state as S
 from gaugeworks.plans.queries import query
 from gaugeworks.sources import sinks
@@ -24,7 +25,7 @@ def model_routing(t):
 @query("""
     select o_orderkey, case when lower(o_orderpriority) in ('1-urgent', '2-high') then 'unsupported: priority' when o_totalprice < 20000 then 'unsupported: small' end as reason from orders""")
 def unsupported_reason(t):
-    """First reason a row can't be used."""
+    """P10: first reason a row can't be used."""
     return t("orders").select("o_orderkey", R.first_reason([(F.lower("o_orderpriority").isin("1-urgent", "2-high"), "unsupported: priority"), (F.col("o_totalprice") < 20000, "unsupported: small")]).alias("reason"))
 
 
@@ -80,7 +81,7 @@ def option_layers(t):
 
 @query("select o_custkey, count(*) = count(distinct o_orderpriority) as all_distinct, list_sort(list(distinct o_orderstatus)) = ['F', 'O', 'P'] as complete from orders group by o_custkey")
 def assertions(t):
-    """No duplicates, and the observed set equals the planned one."""
+    """No duplicates, and the observed set equals the planned one."""
     same = F.array_sort(F.collect_set("o_orderstatus")) == F.array(F.lit("F"), F.lit("O"), F.lit("P"))
     return t("orders").groupBy("o_custkey").agg((F.count("*") == F.count_distinct("o_orderpriority")).alias("all_distinct"), same.alias("complete"))
 
@@ -94,7 +95,7 @@ def picks(t):
 
 @query("select s_nationkey, count(*) filter (s_acctbal > 0) as usable, string_agg(s_suppkey::varchar, ',' order by s_acctbal desc, s_suppkey) filter (s_acctbal > 0) as names from supplier group by s_nationkey")
 def usable_by_priority(t):
-    """Usable names of a group in order of priority."""
+    """Usable names of a group in order of priority."""
     ok = F.col("s_acctbal") > 0
     listed = F.array_sort(F.collect_list(F.when(ok, F.struct((-F.col("s_acctbal")).alias("p"), "s_suppkey"))))
     out = t("supplier").groupBy("s_nationkey").agg(F.count_if(ok).alias("usable"), F.array_join(F.transform(listed, lambda s: s["s_suppkey"].cast("string")), ",").alias("names"))
@@ -122,9 +123,7 @@ def entry_diagnostics(t):
 def template_text(t):
     """Templates filled by name; a missing name stays as it is."""
     template = F.lit("{name} has {n} of {rest}")
-    from gaugeworks.operators.catalogs import placeholders
-
-    return t("customer").select("c_custkey", R.filled(template, {"name": F.col("c_name"), "n": F.col("c_custkey").cast("string")}).alias("text"), placeholders(template)[0].alias("first_name"))
+    return t("customer").select("c_custkey", R.filled(template, {"name": F.col("c_name"), "n": F.col("c_custkey").cast("string")}).alias("text"), catalogs.placeholders(template)[0].alias("first_name"))
 
 
 @query("select doc_id, least(6, 3 + round_even(3 * (0.30 * least(1.0, ln(1 + n_chars / 600.0) / ln(19)) + 0.45 * 0.5 + 0.25 * 0.4), 0)::int) as windows from documents")
@@ -264,3 +263,50 @@ def _uncertainty(orders):
 def base_uncertainty(t):
     """The uncertainty a number of samples leaves, clamped."""
     return _uncertainty(t("orders"))
+
+
+@query("""
+    with l as (select l_orderkey k, l_linenumber p, l_partkey n, l_suppkey s, l_tax > 0.06 runs, case when l_discount > 0.03 then 'discount ' || l_quantity::int end as said from lineitem)
+    select k, coalesce(arg_min(n, (p, n)) filter (runs), arg_max(n, (p, n))) as n, bool_or(runs) as runnable,
+           case when not bool_or(runs) then coalesce(string_agg(n || ': ' || said, '; ' order by p, n, said), 'no candidate can run') end as error from l group by k""")
+def first_runnable(t):
+    """The first candidate that runs, else what all of them said."""
+    said = F.when(F.col("l_discount") > 0.03, F.concat(F.lit("discount "), F.col("l_quantity").cast("int").cast("string")))
+    rows = t("lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("p"), F.col("l_partkey").alias("n"), (F.col("l_tax") > 0.06).alias("runs"), said.alias("said"))
+    return catalogs.first_runnable(rows, "k", "p", "n", "runs", "said")
+
+
+@query("""
+    with e as (select p_partkey, case p_size % 6 when 0 then 'libx265' when 1 then 'hevc_nvenc' when 2 then 'hevc_amf' when 3 then 'hevc_videotoolbox' when 4 then 'libsvtav1' else 'av1_qsv' end as enc, p_size % 4 as l, p_size % 7 = 0 as asked from part where p_size is not null),
+    c as (select *, case when enc = 'hevc_videotoolbox' then [] when l = 1 then ['a', 'HighQuality', 'quality'] when l = 2 then ['slow', '5']
+                    when enc = 'libx265' then ['ultrafast', 'superfast', 'veryfast', 'faster', 'fast', 'medium', 'slow', 'slower', 'veryslow', 'placebo'] when enc = 'hevc_nvenc' then ['p1', 'p2', 'p3', 'p4', 'p5', 'p6', 'p7']
+                    when enc = 'av1_qsv' then ['veryfast', 'faster', 'fast', 'medium', 'slow', 'slower', 'veryslow'] else [] end as choices,
+                 case enc when 'libx265' then 'slow' when 'libsvtav1' then '5' when 'hevc_nvenc' then 'p6' when 'av1_qsv' then 'slow' when 'hevc_amf' then case when l = 1 then 'HighQuality' end end as fit from e)
+    select p_partkey, len(choices)::int as n_choices, case when asked then 'own' when len(choices) = 0 or list_contains(choices, fit) then fit end as preset from c""")
+def preset_choices(t):
+    """Presets listed when asked, else fixed ones, and the one to take."""
+    n = F.col("p_size")
+    names = ["libx265", "hevc_nvenc", "hevc_amf", "hevc_videotoolbox", "libsvtav1", "av1_qsv"]
+    encoder = F.element_at(F.array(*(F.lit(x) for x in names)), (n % 6 + 1).cast("int"))
+    listed = F.when(n % 4 == 1, F.array(F.lit("a"), F.lit("HighQuality"), F.lit(""), F.lit("quality"))).when(n % 4 == 2, F.array(F.lit("slow"), F.lit("5"))).when(n % 4 == 3, F.array(F.lit("")))
+    choices = R.preset_choices(encoder, listed)
+    return t("part").where("p_size is not null").select("p_partkey", F.size(choices).alias("n_choices"), R.chosen_preset(encoder, F.when(n % 7 == 0, "own"), choices).alias("preset"))
+
+
+@query("select o_orderkey, not (o_orderstatus = 'P') and lower(substr(o_orderpriority, 3)) = 'high' as needed from orders")
+def analysis_needed(t):
+    """Rows that are analysed before anything else."""
+    skip = F.when(F.col("o_orderstatus") == "P", "pending")
+    return t("orders").select("o_orderkey", R.needs_analysis(skip, F.lower(F.substring("o_orderpriority", 3, 20)), "high").alias("needed"))
+
+
+@query("""
+    select s_suppkey, case when s_suppkey % 9 = 0 then 'no bound encoder' when s_nationkey <> c_nationkey or s_suppkey % 4 = 0 then
+      'measured by ' || case when s_suppkey % 4 = 0 then 'none' else c_nationkey::varchar end || '/cpu, expected ' || s_nationkey || '/cpu' end as reason
+    from supplier join customer on c_custkey = s_suppkey""")
+def encoder_mismatch(t):
+    """Measurements of another encoder than the one bound to the row."""
+    rows = t("supplier").join(t("customer"), F.col("c_custkey") == F.col("s_suppkey"))
+    n = F.col("s_suppkey")
+    bound, measured = F.when(n % 9 != 0, F.col("s_nationkey")), F.when(n % 4 != 0, F.col("c_nationkey"))
+    return rows.select("s_suppkey", R.encoder_mismatch(bound, F.lit("cpu"), measured, F.lit("cpu")).alias("reason"))

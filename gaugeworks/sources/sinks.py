@@ -171,6 +171,13 @@ def sidecar_targets(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("to", F.concat(parent(F.col("target")), F.lit("/"), at, F.coalesce(rest, suffix(F.col("sidecar")))))
 
 
+def _place(uri: str):
+    """pyarrow filesystem and path of a URI, usable in a task."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else uri.replace("file:", "file://", 1))
+
+
 def copy_files(rows: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
     """K7, K8: copy each file from ``source`` to ``target`` in the tasks, by blocks and
     renamed into place, and return the rows with ``copied`` and ``reason``: null, or why
@@ -181,11 +188,6 @@ def copy_files(rows: DataFrame, source: str = "source", target: str = "target")
     may = F.coalesce(F.col("overwrite"), F.lit(False)) if "overwrite" in rows.columns else F.lit(True)
     asked = rows.select(*(f"`{f.name}`" for f in kept), F.col(source).alias("__from"), F.col(target).alias("__to"), may.alias("__may"))
 
-    def place(uri: str):
-        from pyarrow import fs
-
-        return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else uri.replace("file:", "file://", 1))
-
     def one(came: str, to: str, may_replace: bool) -> str | None:
         from pyarrow import fs
 
@@ -193,7 +195,7 @@ def copy_files(rows: DataFrame, source: str = "source", target: str = "target")
             return "no path"
         if came == to:
             return "source and output are the same file"
-        (files, path), (others, goal) = place(came), place(to)
+        (files, path), (others, goal) = _place(came), _place(to)
         if files.get_file_info(path).type != fs.FileType.File:
             return "source is missing"
         if not may_replace and others.get_file_info(goal).type != fs.FileType.NotFound:
@@ -221,6 +223,56 @@ def copy_files(rows: DataFrame, source: str = "source", target: str = "target")
     return asked.mapInArrow(run, schema)
 
 
+def settle_preserved(rows: DataFrame, action: str = "action") -> DataFrame:
+    """Outputs that were kept aside (``rejected``) are accepted, moved to ``output``, or
+    discarded, deleted, and the result rows (success, skipped, needs_decision, rejected) say
+    so; ``reason`` tells why a row stays as it is: nothing is kept aside or to be decided, the
+    planned output (``planned``) is another one, the action is unknown or storage failed.
+    A move that an earlier attempt of the task made counts as made."""
+    made = ("success", "skipped", "needs_decision", "rejected", "reason")
+    kept = [f for f in rows.schema.fields if f.name not in made]
+    schema = StructType([*kept, *(StructField(n, StringType() if n in ("rejected", "reason") else BooleanType()) for n in made)])
+    act = F.col(action)
+    reason = F.when(~F.coalesce(F.col("needs_decision"), F.lit(False)) | F.col("rejected").isNull(), "nothing kept aside").when(~F.col("output").eqNullSafe(F.col("planned")), "another output").when(~F.coalesce(act.isin("accept", "discard"), F.lit(False)), "unknown action")
+    asked = rows.withColumn("reason", reason).select(*(f"`{f.name}`" for f in kept), *made, act.alias("__act"), F.col("output").alias("__to"))
+
+    def one(act_: str, came: str, to: str) -> str | None:
+        from pyarrow import fs
+
+        files, path = _place(came)
+        there = files.get_file_info(path).type == fs.FileType.File
+        if act_ == "discard":
+            if there:
+                files.delete_file(path)
+            return None
+        goal = _place(to)[1]
+        if there:
+            files.move(path, goal)
+        elif files.get_file_info(goal).type != fs.FileType.File:
+            return "the preserved output is missing"
+        return None
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        n = len(kept)
+        for batch in batches:
+            columns = [batch.column(n + k).to_pylist() for k in range(len(made) + 2)]
+            out = []
+            for success, skipped, needs, rejected, why, act_, to in zip(*columns, strict=True):
+                if why is None:
+                    try:
+                        why = one(act_, rejected, to)
+                    except OSError as e:
+                        why = str(e)
+                    if why is None:
+                        success, skipped, needs, rejected = act_ == "accept", act_ == "discard", False, None
+                out.append((success, skipped, needs, rejected, why))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n)), *(pa.array([r[k] for r in out], pa.string() if k > 2 else pa.bool_()) for k in range(5))], names=schema.names)
+
+    return asked.mapInArrow(run, schema)
+
+
 def delete_receipts(spark: SparkSession, folder: str, fingerprint: str) -> bool:
     """K2: delete one receipt; whether there was one.  What is not 64 hex digits names no
     receipt and is an error."""

@@ -249,3 +249,45 @@ def test_events_say_what_they_say(spark):
     e = spark.createDataFrame(rows, "state string, candidate int, percent double, speed string, message string")
     got = e.select(*(c.alias(k) for k, c in state.event_fields(F.col("state"), **{k: F.col(k) for k in ("candidate", "percent", "speed", "message")}).items())).collect()
     assert [tuple(r) for r in got] == [("analyzing", 2, 37.5, None, None), ("encoding", None, 100.0, "1.5x", None), (None, None, None, None, None), (None, None, None, None, "it broke")]
+
+
+def test_language_packs(spark, tmp_path):
+    from gaugeworks.sources import packs as P
+
+    def packs(name, **files):
+        folder = tmp_path / name
+        folder.mkdir()
+        for file, held in files.items():
+            (folder / f"{file}.json").write_text(held if isinstance(held, str) else json.dumps(held))
+        return P.pack_entries(spark, str(folder))
+
+    en = {"language.name": "English", "a": "{n} of {m:.1f}", "b": "plain"}
+    de = {"language.name": "Deutsch", "a": "{m} zu {n}", "b": "schlicht"}
+    held = P.builtin_packs(packs("good", en=en, de=de, Odd="[]"))
+    assert held.count() == 6
+    for k, (bad, fault) in enumerate([({**de, "c": "x"}, "extra key"), ({"language.name": "D", "a": "{m}{n}"}, "missing key"), ({**de, "a": "{x}"}, "placeholder"), ({**de, "b": 5}, "no text"), ("[1]", "not an object"), ("{", "corrupt"), ({"language.name": "", "a": "{m}{n}", "b": ""}, "language name")]):
+        with pytest.raises(ValueError, match=fault):
+            P.builtin_packs(packs(f"bad{k}", en=en, de=bad))
+    with pytest.raises(ValueError, match="missing base"):
+        P.builtin_packs(packs("baseless", de=de))
+    user = P.override_packs(packs("user", de={"language.name": "D2", "b": "neu", "a": "{n}", "zz": "x"}, fr={"b": "sans nom"}, sv={"language.name": "Svenska", "b": 3}, X={"language.name": "X"}, it="[]", pl="{"), held)
+    got = {(r.locale, r.key): (r.value, r.reason) for r in user.collect()}
+    assert got[("de", "b")] == ("neu", None) and got[("de", "a")][1] == "placeholder mismatch" and got[("de", "zz")][1] == "unknown key" and got[("sv", "b")] == (None, "no text")
+    assert {k[0]: v[1] for k, v in got.items() if k[1] is None} == {"fr": "missing language name", "X": "invalid filename", "it": "root is not an object", "pl": "corrupt JSON"}
+    assert {r.key: r.value for r in P.messages(held, user, "de").collect()} == {"language.name": "D2", "a": "{m} zu {n}", "b": "neu"}
+    assert {r.key: r.value for r in P.messages(held, user, "none").collect()} == en
+
+
+def test_preserved_outputs_are_settled(spark, tmp_path):
+    at = lambda name: f"file://{tmp_path}/{name}"
+    for name in ("a.miss", "b.miss", "c.miss", "f"):
+        (tmp_path / name).write_text(name)
+    rows = [(1, "accept", "a", "a", "a.miss", True), (2, "discard", "b", "b", "b.miss", True), (3, "accept", "c", "other", "c.miss", True), (4, "accept", "d", "d", None, True), (5, "accept", "e", "e", "e.miss", True), (6, "accept", "f", "f", "f.miss", True), (7, "?", "g", "g", "c.miss", True), (8, "discard", "h", "h", "c.miss", False)]
+    rows = [(k, act, at(o), at(p), r and at(r), False, False, n) for k, act, o, p, r, n in rows]
+    df = spark.createDataFrame(rows, "k int, action string, output string, planned string, rejected string, success boolean, skipped boolean, needs_decision boolean")
+    got = {r.k: (r.success, r.skipped, r.needs_decision, r.rejected is None, r.reason) for r in K.settle_preserved(df).collect()}
+    assert got[1] == (True, False, False, True, None) and (tmp_path / "a").read_text() == "a.miss" and not (tmp_path / "a.miss").exists()
+    assert got[2] == (False, True, False, True, None) and not (tmp_path / "b.miss").exists()
+    assert [got[k][4] for k in (3, 4, 5, 7, 8)] == ["another output", "nothing kept aside", "the preserved output is missing", "unknown action", "nothing kept aside"]
+    assert got[3][:4] == (False, False, True, False) and (tmp_path / "c.miss").exists()
+    assert got[6] == (True, False, False, True, None)  # moved by an attempt before
