@@ -149,13 +149,17 @@ def chunked(members: DataFrame, threshold: float) -> DataFrame:
 
 
 def text_sets(docs: DataFrame, members: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """(comp, id, copies, whole, step, own, below, above, grams) of the candidates, one
-    row a class."""
+    """(comp, id, copies, whole, step, own, below, above, grams) of the candidates.  Where
+    they are too many to send to all executors, only those of very many copies are, whose
+    rows stay where they are; rows of equal key and text give equal rows."""
     kept = ["comp", "id", "copies", "whole", "step", "own", "below", "above"]
     body = docs[f"`{text}`"]
     source = docs.select(docs[f"`{key}`"].cast("long").alias("key"), F.unhex(F.md5(body.cast("binary"))).alias("hash"), body.alias("text"))
-    bounded = members.count() <= BROADCAST_ROWS
-    joined = source.join(F.broadcast(members) if bounded else members, "hash").where("key <=> rep_key")
+    if members.count() <= BROADCAST_ROWS:
+        joined = source.join(F.broadcast(members), "hash")
+    else:
+        joined = join_with_hot(source, members, ["hash"], "copies", members.agg(F.sum("copies")).first()[0])
+    joined = joined.where("key <=> rep_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -56,8 +56,10 @@ def test_links_and_classes_equal_brute_force(spark):
     assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got.collect()), key=str) == brute(rows)
 
 
-def test_chunks_give_the_same(spark, monkeypatch):
+@pytest.mark.parametrize("sent", [0, J.BROADCAST_ROWS])
+def test_chunks_give_the_same(spark, monkeypatch, sent):
     monkeypatch.setattr(J, "MEMBERS", 2)
+    monkeypatch.setattr(J, "BROADCAST_ROWS", sent)
     monkeypatch.setattr(C, "HOT_ROWS", 3)
     monkeypatch.setattr(C, "HOT_KEYS", 20)
     rows = cases()
@@ -80,7 +82,9 @@ def test_repeated_rows_in_any_script(spark):
     assert sorted(r.doc_id for r in J.drop_near_copies(frame(spark, rows)).collect()) == [1, 2, 3, 3]
 
 
-def test_near_copies_of_one_key_or_none_are_one_class(spark):
+@pytest.mark.parametrize("sent", [0, J.BROADCAST_ROWS])
+def test_near_copies_of_one_key_or_none_are_one_class(spark, monkeypatch, sent):
+    monkeypatch.setattr(J, "BROADCAST_ROWS", sent)
     base = [sentence(random.Random(k), 120).split() for k in range(5)]
     text = lambda k, n: " ".join([*base[k][:-1], f"end{n}"])
     rows = [(5, text(0, 1)), (5, text(0, 2)), (5, text(0, 2)), (None, text(1, 1)), (None, text(1, 2)), (None, text(2, 1)), (None, text(2, 2)), (9, text(3, 1)), (None, text(3, 2)), (None, text(3, 3)), (7, text(4, 1)), (7, text(4, 2)), (6, text(4, 3))]
