@@ -54,7 +54,7 @@ TS, ODATE = SECONDS.format("ts"), SECONDS.format("o_orderdate")
            coalesce(sum(case when n_chars >= 0 then n_chars end), 0)::bigint n_chars_total
     from m""")
 def eval_summary(t):
-    """Rates and means of a corpus with explicit denominators."""
+    """Rates and means of a corpus with explicit denominators."""
     cases = t("documents").join(t("labels"), "doc_id", "left").select("doc_id", "n_chars", (F.col("quality") == 1).alias("passed"), (F.col("toxic") == 0).alias("truth"), (F.col("n_chars") / 1000.0).alias("analysis"), (F.col("doc_id") % 7).cast("double").alias("final"))
     cases = cases.withColumn("false_pass", evaluation.false_pass(F.col("passed"), F.col("truth"))).withColumn("cost", evaluation.analysis_cost(F.col("analysis"), F.col("final")))
     out = evaluation.summary(cases, F.col("n_chars") < 100, ["false_pass"], ["cost"], ["n_chars"])

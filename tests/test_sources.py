@@ -291,3 +291,24 @@ def test_preserved_outputs_are_settled(spark, tmp_path):
     assert [got[k][4] for k in (3, 4, 5, 7, 8)] == ["another output", "nothing kept aside", "the preserved output is missing", "unknown action", "nothing kept aside"]
     assert got[3][:4] == (False, False, True, False) and (tmp_path / "c.miss").exists()
     assert got[6] == (True, False, False, True, None)  # moved by an attempt before
+
+
+def test_cases_are_measured_by_their_commands(spark, tmp_path):
+    import sys
+
+    from gaugeworks.sources.runner import measured
+
+    (tmp_path / "s.mkv").write_text("12345")
+    write = "import sys, json; json.dump({'size': len(open(sys.argv[1]).read()), 'tool': sys.argv[3], 'case': sys.argv[4]}, open(sys.argv[2], 'w'))"
+    script = tmp_path / "run.py"
+    script.write_text(write)
+    good = ["{python}", str(script), "{source}", "{result_path}", "{ffmpeg}", "{case_id}"]
+    sleepy = tmp_path / "sleep.py"
+    sleepy.write_text("import time; time.sleep(60)")
+    cases = {"a": good, "c": ["{python}", "-c", "raise SystemExit(3)"], "d": ["{nothing}"], "e": ["{python}", "-c", "0"], "f": ["/no/such"], "g": ["{python}", str(sleepy)], "k": ["{"], "l": []}
+    rows = [(k, str(tmp_path / "s.mkv"), c, None, None) for k, c in cases.items()]
+    rows += [("h", str(tmp_path / "none"), good, None, None), ("i", str(tmp_path / "s.mkv"), None, '{"x": 1}', None), ("j", None, good, None, "repeated")]
+    df = spark.createDataFrame(rows, "id string, source string, command array<string>, measurement string, reason string")
+    got = {r.id: (r.measurement and json.loads(r.measurement), r.reason) for r in measured(df, f"file://{tmp_path}/out", {"ffmpeg": "ff", "python": sys.executable}, 4, 5.0).collect()}
+    assert got["a"] == ({"size": 5, "tool": "ff", "case": "a"}, None) and got["i"] == ({"x": 1}, None)
+    assert {k: v[1] for k, v in got.items() if k not in "ai"} == {"c": "exit code 3", "d": "unknown placeholder nothing", "e": "no valid JSON", "f": "cannot run: No such file or directory", "g": "out of time", "h": "source is not a file", "j": "repeated", "k": "malformed command", "l": "no command"}
