@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import expr as X
+from gaugeworks.functions.rules import first_reason
 
 # Extensions of media and of sidecar files.
 MEDIA = ["mp4", "mkv", "avi", "mov", "wmv", "flv", "webm", "m4v", "ts", "m2ts", "mts", "mpg", "mpeg", "3gp", "ogv"]
@@ -163,9 +164,11 @@ def first_found(candidates: DataFrame, key: str, priority: str, value: str, usab
 
 
 def pinned_assets(assets: DataFrame) -> DataFrame:
-    """Assets with a ``reason`` where digest, commit or address is not pinned."""
-    reason = F.when(~F.col("sha256").rlike("^[0-9a-f]{64}$"), "sha256").when(~F.col("commit").rlike("^[0-9a-f]{40}$"), "commit").when(~F.col("url").rlike("^https://"), "url")
-    return assets.withColumn("reason", reason)
+    """Assets with a ``reason`` where digest, commit or address is missing or not
+    pinned."""
+    fixed = {"sha256": "^[0-9a-f]{64}$", "commit": "^[0-9a-f]{40}$", "url": "^https://"}
+    checks = [(~F.coalesce(F.col(name).rlike(pattern), F.lit(False)), name) for name, pattern in fixed.items()]
+    return assets.withColumn("reason", first_reason(checks))
 
 
 def archive_members(spark: SparkSession, folder: str, wanted: Sequence[str]) -> DataFrame:

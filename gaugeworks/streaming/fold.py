@@ -34,8 +34,17 @@ def windowed_counts(events: DataFrame, time: str, key: str, width: str, late: st
     return timed.groupBy(F.window("__t", width), key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), key, "n")
 
 
-def error_lines(lines: DataFrame, text: str = "value") -> DataFrame:
-    return lines.where(classify_line(F.col(text)) == "error")
+def lines_of(lines: DataFrame, kind: str | None = None, text: str = "value") -> DataFrame:
+    """The log lines of a kind, or all."""
+    return lines if kind is None else lines.where(classify_line(F.col(text)) == kind)
+
+
+def flushed_lines(lines: DataFrame, folder: str, checkpoint: str, kind: str | None = None, text: str = "value", every: str | None = "75 milliseconds") -> StreamingQuery:
+    """Write a stream's lines of a kind as text, those that arrived since the last flush
+    together, each line once; without ``every`` what is there now, and then end."""
+    rows = lines_of(lines, kind, text).select(F.col(text).alias("value"))
+    when = {"processingTime": every} if every else {"availableNow": True}
+    return rows.writeStream.format("text").option("path", folder).option("checkpointLocation", checkpoint).trigger(**when).start()
 
 
 def settled(stream: DataFrame, folder: str) -> DataFrame:
