@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, decontaminate, language_id, media, ngram_join, oracles, quality, separators, suffix_dedup, token_files, toxicity
+from gaugeworks.llm import bpe, decontaminate, hard_negatives, language_id, media, near_vectors, ngram_join, oracles, quality, ranked_search, separators, suffix_dedup, token_files, toxicity
 from gaugeworks.llm.sampling import bucket_of
 
 #: The operators' vocabularies; another folder with the same files may be named.
@@ -86,8 +86,25 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, manifest)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the vectors whose id is divisible by 50; every seventh id has its label
+    turned to the next one first."""
+    vectors = table(spark, sf_dir, "embeddings")
+    turned = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.select("vec_id", "embedding", turned.alias("label")), F.col("vec_id") % 50 == 0)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_token_counts, op4_bpe, op5_suffix_dedup, op6_media_columns, op7_quality, op8_decontamination, op9_ngram_join, op10_token_files)}
+    ops = (op1_toxicity, op2_language_id, op3_token_counts, op4_bpe, op5_suffix_dedup, op6_media_columns, op7_quality, op8_decontamination, op9_ngram_join, op10_token_files, op11_hard_negatives, op12_ranked_search, op13_near_vectors)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,7 +11,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_same_rows(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     cursor = con.execute(queries.oracle_sql()[name])
     columns = [d[0] for d in cursor.description]
