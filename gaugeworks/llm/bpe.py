@@ -28,7 +28,7 @@ from pyspark.sql.types import LongType, StringType
 
 from gaugeworks.llm.arrowtext import column_bytes, pieces
 from gaugeworks.llm.cluster import carried, fields, ready
-from gaugeworks.llm.pretokens import Known, Split
+from gaugeworks.llm.pretokens import Known, Split, other_lower
 
 
 #: Bytes of text encoded at a time.
@@ -65,8 +65,13 @@ class WordEndBpe:
 
     @staticmethod
     def normalized(text: str) -> str:
-        # lower-cased letter by letter: no final sigma
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if text.isascii():
+            return text.lower()
+        text = unicodedata.normalize("NFC", text)
+        newer, lower = other_lower()
+        if newer and newer.search(text):
+            text = text.translate(lower)
+        return text.replace("Σ", "σ").lower()  # letter by letter: no final sigma
 
     def merged(self, word: str) -> list[int]:
         """Ids of one word."""

@@ -10,12 +10,13 @@ rest, so the split is array work on the code points of a batch:
 
 from __future__ import annotations
 
+import re
 import sys
-import unicodedata
 from collections.abc import Callable, Sequence
 from functools import cache
 
 import numpy as np
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from gaugeworks.llm.arrowtext import same_spans, span_hashes
 
@@ -24,16 +25,35 @@ LETTER, NUMBER, SPACE, OTHER, BETWEEN = range(5)
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 
+def every_letter() -> str:
+    """The code points that may be letters or numbers: none are from U+40000 on."""
+    return "".join(map(chr, range(0xD800))) + "".join(map(chr, range(0xE000, 0x40000)))
+
+
 @cache
 def classes() -> np.ndarray:
-    """Class of every code point."""
-    kinds = {"L": LETTER, "N": NUMBER}
-    out = np.full(sys.maxunicode + 1, OTHER, np.uint8)  # no letters or numbers from U+40000 on
-    out[:0x40000] = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x40000)), np.uint8, 0x40000)
+    """Class of every code point.  The patterns' engine says which are letters and numbers:
+    its Unicode is newer than Python's and older than that of other modules."""
+    out = np.full(sys.maxunicode + 1, OTHER, np.uint8)
+    for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER)):
+        split = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+        found = "".join(piece for piece, _ in split.pre_tokenize_str(every_letter()))
+        out[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = kind
     out[WHITE_SPACE] = SPACE
     return out
 
 
+@cache
+def other_lower() -> tuple[re.Pattern | None, dict[int, str]]:
+    """Letters that the vocabularies' normalizer lower-cases otherwise than Python, which
+    does not know them yet: a pattern that finds one, and what becomes of each."""
+    letters = every_letter()
+    lower = normalizers.Lowercase().normalize_str
+    blocks = (letters[i : i + 1024] for i in range(0, len(letters), 1024))
+    unlike = {ord(c): lower(c) for block in blocks if lower(block) != block.lower() for c in block if lower(c) != c.lower()}
+    return (re.compile("[" + "".join(map(chr, unlike)) + "]") if unlike else None), unlike
+
+
 class Split:
     """Pretokens of a list of texts: spans of ``raw`` (UTF-8) and, for each text,
     the range of its pretokens."""

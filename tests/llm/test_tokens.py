@@ -45,6 +45,21 @@ def test_byte_tokens_equal_the_library():
     assert 50256 not in np.frombuffer(plain, "<u2")
 
 
+@pytest.mark.parametrize("path,own", [(WORDS, bpe.WordEndBpe), (BYTES, ByteTokens)])
+def test_every_code_point_as_the_library(path, own):
+    """Alone, after a letter, after a blank and after a digit: letters and cases that Python
+    does not know yet come out as the library's."""
+    lib, mine = tokenizers.Tokenizer.from_file(path), own(path)
+    for first in range(0, 0x110000, 1 << 16):
+        texts = [f"{chr(c)} a{chr(c)}b {chr(c)}1{chr(c)}" for c in range(first, first + (1 << 16)) if not 0xD800 <= c < 0xE000]
+        if first > 0x30000:
+            texts = texts[::97]  # planes without letters, private use
+        found = mine.encode_texts(texts)
+        got = [[int(x) for x in f[0].split()] for f in found] if own is bpe.WordEndBpe else [np.frombuffer(f, mine.type).tolist() for f in found]
+        want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+        assert got == want, next(hex(ord(t[0])) for t, a, b in zip(texts, got, want) if a != b)
+
+
 def test_split_covers_the_text():
     for text in odd_texts(500, 3):
         split = Split([text, text], spaces_attach=True)
