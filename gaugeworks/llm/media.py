@@ -71,6 +71,8 @@ def from_image(media: bytes) -> tuple[bytes, int]:
             packed.append(data)
         at += size + 12
     rows = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(-1, width + 1)
+    if not len(rows):
+        raise ValueError("an image without rows")
     return rows[:, 1:].tobytes(), n_bytes
 
 
@@ -231,8 +233,8 @@ def feature(payload: bytes) -> str:
 
 def media_features(members: DataFrame, key: str = "doc_id", kind="long") -> DataFrame:
     """Digests and features of the members read back, the key as ``kind``.  A damaged
-    member keeps its row, with nulls and its ``error``; one that storage doesn't give
-    fails the task."""
+    member, in its archive or inside its image, keeps its row, with nulls and its ``error``;
+    one that storage doesn't give fails the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(key, pa.string()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("error", pa.string())])
@@ -241,8 +243,11 @@ def media_features(members: DataFrame, key: str = "doc_id", kind="long") -> Data
             for name, media, error in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), strict=True):
                 stem = unquote(name.partition("/")[2].removesuffix(".png"))
                 row = {key: stem[1:] if stem else None, "error": error}
-                if media is not None:
-                    payload, n_bytes = from_image(media)
+                try:
+                    payload, n_bytes = (None, None) if media is None else from_image(media)
+                except (ValueError, struct.error, zlib.error) as e:
+                    payload, row["error"] = None, f"{type(e).__name__}: {e}"
+                if payload is not None:
                     row |= {"n_bytes": n_bytes, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature(payload)}
                 rows.append(row)
             yield pa.RecordBatch.from_pylist(rows, schema=schema)

@@ -89,6 +89,18 @@ def test_only_archives_of_the_manifest_count(spark):
     assert dict(M.media_columns(docs).dtypes)["doc_id"] == "string"
 
 
+def test_a_damaged_image_keeps_its_row(spark):
+    """Checksums of the archive are right, the image inside is not: one row is null."""
+    good = M.as_image(b"x" * 192, 5)
+    flipped = bytearray(good)
+    flipped[-20] ^= 1
+    short = plain_image(b"", 0)
+    rows = [("00000000/k1.png", good, None), ("00000001/k2.png", bytes(flipped), None), ("00000002/k3.png", good[:30], None), ("00000003/k4.png", short, None), ("00000004/k5.png", None, "checksum differs"), ("00000005/k6.png", b"", None)]
+    got = {r.doc_id: r for r in M.media_features(spark.createDataFrame(rows, "name string, media binary, error string")).collect()}
+    assert got[1].n_bytes == 5 and got[1].error is None
+    assert all(got[k].payload_sha256 is None and got[k].feature is None and got[k].error for k in (2, 3, 4, 5, 6))
+
+
 def plain_feature(payload):
     mean = sum(payload) / len(payload)
     std = math.sqrt(sum((b - mean) ** 2 for b in payload) / len(payload))
