@@ -116,18 +116,19 @@ def signatures(docs: DataFrame, key: str, text: str, n: int, bands: int, rows: i
     return source.mapInArrow(run, "key long, hash binary, n_grams int, bands array<long>")
 
 
-def candidate_links(classes: DataFrame, total: int) -> DataFrame:
-    """Stars over the buckets: (u, v) of class ids that share a band hash with v.
+def candidate_links(classes: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """Stars over the buckets: (u, v) of class ids that share a band hash with v; and the
+    table of buckets that they read.
     ``total`` is the number of classes and bands, of which a bucket may hold a large part."""
     spread = classes.select("id", F.explode("bands").alias("band"))
     least = written(spread.groupBy("band").agg(F.min("id").alias("v"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    return join_with_hot(spread, least, ["band"], "n", total).where("id <> v").select(F.col("id").alias("u"), "v").distinct()
+    return join_with_hot(spread, least, ["band"], "n", total).where("id <> v").select(F.col("id").alias("u"), "v").distinct(), least
 
 
-def chunked(members: DataFrame, threshold: float) -> DataFrame:
+def chunked(members: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """``members`` (comp, n_grams, ...) with ``step``, how many chunks that step of
     their component has (``own``) and those below and above it (``below``, ``above``), and
-    ``whole``: the component is one chunk."""
+    ``whole``: the component is one chunk; and the table of steps that it reads."""
     width = -np.log(threshold) * (1 + 1e-9)
     sized = members.withColumn("step", F.floor(F.log(F.col("n_grams").cast("double")) / width).cast("int"))
     each = sized.groupBy("comp", "step").agg(F.count("*").alias("n"), F.sum("n_grams").alias("grams"))
@@ -145,7 +146,7 @@ def chunked(members: DataFrame, threshold: float) -> DataFrame:
 
     each = written(each.select("comp", "step", "whole", "own", beside(1).alias("below"), beside(-1).alias("above"), "n"), "steps")
     total = each.agg(F.sum("n")).first()[0] or 0
-    return join_with_hot(sized, each, ["comp", "step"], "n", total)
+    return join_with_hot(sized, each, ["comp", "step"], "n", total), each
 
 
 def text_sets(docs: DataFrame, members: DataFrame, key: str, text: str, n: int) -> DataFrame:
@@ -278,10 +279,13 @@ def near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recal
     classes = worded.groupBy("hash").agg(F.min(F.struct(F.col("key").isNotNull().alias("known"), "key")).alias("low"), F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
     classes = classes.select("hash", F.col("low.key").alias("rep_key"), "copies", "n_grams", "bands", F.monotonically_increasing_id().alias("id"))
     classes = written(classes, "classes")
-    found = connected_components(candidate_links(classes, bands * classes.count()))
+    links, buckets = candidate_links(classes, bands * classes.count())
+    found = connected_components(links)
+    discard(buckets)
     parts = found.select(F.col("node").alias("id"), F.col("root").alias("comp"))
 
-    members = written(chunked(classes.select("hash", "rep_key", "copies", "n_grams", "id").join(parts, "id"), threshold).drop("n", "n_grams"), "members")
+    placed, steps = chunked(classes.select("hash", "rep_key", "copies", "n_grams", "id").join(parts, "id"), threshold)
+    members = written(placed.drop("n", "n_grams"), "members")
     sets = written(text_sets(docs, members, key, text, n).dropDuplicates(["id"]), "gram-sets")
     paired = paired_chunks(sets)
 
@@ -296,7 +300,7 @@ def near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recal
         return pa.table({"id": ids, "root": ids[root], "links": links, "whole": group.column("whole")})
 
     checked = written(paired.groupBy("comp", "i", "j").applyInArrow(run, "id long, root long, links long, whole boolean"), "checked")
-    discard(sets, members)
+    discard(sets, members, steps)
     single = checked.where("whole").select("id", "root")
     several = checked.where("not whole")
     roots = single
