@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.arrowtext import column_bytes, eights, mixed, pieces, span_hashes
-from gaugeworks.llm.cluster import discard, join_with_hot, ready, written
+from gaugeworks.llm.cluster import HOT_KEYS, HOT_ROWS, discard, join_with_hot, ready, written
 
 LENGTH = 200
 RUN = 32
@@ -213,16 +213,15 @@ LEVELS = 3
 MAP_BITS = 26
 
 
-def distinct_texts(docs: DataFrame, text: str, partitions: int) -> tuple[DataFrame, str]:
-    """The table of exact texts (hash, body, copies), in buckets by hash so that later
+def distinct_texts(docs: DataFrame, text: str, partitions: int, name: str) -> DataFrame:
+    """The table ``name`` of exact texts (hash, body, copies), in buckets by hash so that later
     joins on it move no text.  Copies meet as partial aggregates."""
     spark = docs.sparkSession
     body = F.coalesce(docs[f"`{text}`"].cast("binary"), F.lit(b""))
     rows = docs.select(F.unhex(F.md5(body)).alias("hash"), body.alias("body"))
     each = rows.groupBy("hash").agg(F.first("body").alias("body"), F.count("*").alias("copies"))
-    name = "texts_" + uuid.uuid4().hex[:12]
     each.write.bucketBy(partitions, "hash").option("compression", "zstd").saveAsTable(name)
-    return spark.table(name), name
+    return spark.table(name)
 
 
 def all_segments(texts: DataFrame, length: int, level: int) -> DataFrame:
@@ -305,9 +304,10 @@ def merged_in_buckets(bodies: DataFrame, length: int) -> DataFrame:
     return bodies.groupBy("bucket").applyInArrow(run, "anchor long, seg long, runs binary")
 
 
-def told_apart_by_window(bodies: DataFrame, length: int) -> DataFrame:
+def told_apart_by_window(bodies: DataFrame, length: int, held: list[DataFrame]) -> DataFrame:
     """The same for anchors with more segments than one task should hold: every
-    window's hash meets its equals in an aggregation that combines before it shuffles."""
+    window's hash meets its equals in an aggregation that combines before it shuffles, and
+    windows of a hot hash stay where they are."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,8 +324,9 @@ def told_apart_by_window(bodies: DataFrame, length: int) -> DataFrame:
 
     windows = bodies.mapInArrow(spread, "anchor long, seg long, several boolean, place int, h1 long, h2 long")
     windows = written(windows, "windows")
-    several = written(windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "several")
-    places = windows.where("not several").join(several, ["h1", "h2"]).groupBy("anchor", "seg").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    several = written(windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1"), "several")
+    held += [windows, several]
+    places = join_with_hot(windows.where("not several"), several, ["h1", "h2"], "n", windows.count()).groupBy("anchor", "seg").agg(F.array_sort(F.collect_list("place")).alias("places"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -341,9 +342,10 @@ def repeated_spans(texts: DataFrame, length: int, level: int = 0) -> tuple[DataF
     found = written(all_segments(texts, length, level), "segments")
     counted = found.groupBy("anchor").agg(F.sum(F.octet_length("firsts") / 4 * F.col("copies")).alias("n"), F.count("*").alias("rows"), F.min("seg").alias("low"), F.max("seg").alias("high"))
     repeated = written(counted.where("n > 1").select("anchor", "rows", (F.col("low") == F.col("high")).alias("one")), "anchors")
-    near = join_with_hot(maybe_repeated(found, repeated), repeated, ["anchor"], "rows", found.count())
+    maybe = written(maybe_repeated(found, repeated), "maybe")
+    near = join_with_hot(maybe, repeated, ["anchor"], "rows", found.count())
     near = written(near.drop("rows"), "near")
-    discard(found, repeated)
+    discard(found, repeated, maybe)
     whole = near.where("one").select("hash", "firsts", "n_windows", F.lit(None).cast("binary").alias("runs"))
     mixed_ = near.where("not one")
     kinds = mixed_.groupBy("anchor", "seg").agg(F.sum(F.octet_length("firsts") / 4 * F.col("copies")).alias("n"), F.count("*").alias("rows"), F.min(F.struct("hash", "firsts", "n_windows")).alias("low"))
@@ -362,7 +364,7 @@ def repeated_spans(texts: DataFrame, length: int, level: int = 0) -> tuple[DataF
         large = written(weight.where(F.col("bytes") > limit).select("anchor"), "large")
         rest = bodies.join(large, "anchor", "left_anti").select(*bodies.columns)
         hot = bodies.join(large, "anchor", "left_semi").select(*bodies.columns)
-        split = split_again(hot, length, level + 1, held) if level + 1 < LEVELS else told_apart_by_window(hot, length)
+        split = split_again(hot, length, level + 1, held) if level + 1 < LEVELS else told_apart_by_window(hot, length, held)
         runs = merged_in_buckets(rest, length).unionByName(split)
         held += [bodies, large]
     runs = runs.select("anchor", "seg", F.lit(1).cast("long").alias("rows"), "runs").unionByName(kinds.where("several").select("anchor", "seg", "rows", F.lit(None).cast("binary").alias("runs")))
@@ -408,13 +410,10 @@ def inside(n: int, spans, reach: int = 1) -> np.ndarray:
 
 
 def cut_texts(docs: DataFrame, text: str = "text", length: int = LENGTH, with_text: bool = False) -> DataFrame:
-    """(hash, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every exact text."""
+    """(hash, copies, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every exact text."""
     spark = ready(docs.sparkSession)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts, name = distinct_texts(docs, text, partitions)
-    spans, held = repeated_spans(texts, length)
-    joined = texts.select("hash", "body", "copies").join(spans, "hash", "left").select("hash", "body", "copies", "spans")
-    fields = "hash binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
+    fields = "hash binary, copies long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -435,10 +434,16 @@ def cut_texts(docs: DataFrame, text: str = "text", length: int = LENGTH, with_te
                 out.append((*row[:3], hashlib.sha256(row[3]).hexdigest(), *([row[3].decode(errors="ignore")] if with_text else [])))
             columns = list(zip(*out)) or [()] * (4 + with_text)
             types = [pa.int64()] * 3 + [pa.string()] * (1 + with_text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=["hash", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, t) for c, t in zip(columns, types))], names=["hash", "copies", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text])
 
-    result = written(joined.mapInArrow(run, fields), "cut-texts")
-    spark.sql(f"drop table {name}")
+    name = "texts_" + uuid.uuid4().hex[:12]
+    try:
+        texts = distinct_texts(docs, text, partitions, name)
+        spans, held = repeated_spans(texts, length)
+        joined = texts.select("hash", "body", "copies").join(spans, "hash", "left").select("hash", "body", "copies", "spans")
+        result = written(joined.mapInArrow(run, fields), "cut-texts")
+    finally:
+        spark.sql(f"drop table if exists {name}")
     discard(*held)
     return result
 
@@ -453,8 +458,9 @@ def dedup_report(docs: DataFrame, text: str = "text", key: str = "doc_id", lengt
     columns are not read, whatever their names; an empty table gives an empty one.
     """
     cut = cut_texts(docs, text, length)
-    rows = docs.select(docs[f"`{key}`"].alias(key), F.unhex(F.md5(F.coalesce(docs[f"`{text}`"].cast("binary"), F.lit(b"")))).alias("hash"))
-    return rows.join(cut, "hash").select(key, "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    rows = docs.select(docs[f"`{key}`"].alias("own_key"), F.unhex(F.md5(F.coalesce(docs[f"`{text}`"].cast("binary"), F.lit(b"")))).alias("hash"))
+    total = cut.agg(F.sum("copies")).first()[0] or 0
+    return join_with_hot(rows, cut, ["hash"], "copies", total).select(F.col("own_key").alias(key), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", size: str | None = "n_chars", length: int = LENGTH) -> DataFrame:
@@ -463,10 +469,17 @@ def remove_repeats(docs: DataFrame, text: str = "text", size: str | None = "n_ch
     its new number of characters.  Null texts stay null; long texts are treated whole;
     equal texts of ``length`` bytes or more become empty; all rows and columns stay,
     whatever the columns are called; an empty table gives an empty one."""
-    cut = cut_texts(docs, text, length, with_text=True).where("n_removed > 0").select(F.col("hash").alias("cut_hash"), "kept")
+    whole = cut_texts(docs, text, length, with_text=True)
+    least = max(HOT_ROWS, (whole.agg(F.sum("copies")).first()[0] or 0) // HOT_KEYS)
+    cut = whole.where("n_removed > 0").select(F.col("hash").alias("cut_hash"), "kept", "copies")
     own = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
     body = F.col(f"c{docs.columns.index(text)}")
-    joined = own.withColumn("own_hash", F.unhex(F.md5(body.cast("binary")))).join(cut, F.col("own_hash") == F.col("cut_hash"), "left")
+    rows = own.withColumn("own_hash", F.unhex(F.md5(body.cast("binary"))))
+    same = F.col("own_hash") == F.col("cut_hash")
+    # copies lose everything, so what is sent of the hot ones is their hash
+    hot = F.broadcast(cut.where(F.col("copies") > least).select("cut_hash", "kept"))
+    cold = rows.join(hot, same, "left_anti").join(cut.where(F.col("copies") <= least).select("cut_hash", "kept"), same, "left")
+    joined = rows.join(hot, same).unionByName(cold)
     changed, out = F.col("cut_hash").isNotNull(), []
     for k, f in enumerate(docs.schema.fields):
         column = F.col(f"c{k}")
