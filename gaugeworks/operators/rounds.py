@@ -1,47 +1,95 @@
-"""Rounds of verification over measured windows: selected settings are held against
-windows they were not chosen on, and those that fail them are chosen again.
+"""Rounds of verification: settings are searched on some windows of a source, held against
+windows they were not chosen on, and chosen again where those fail them (G10 to G13).
 
-All sources go through a round together, as joins; a round's windows and selections are
-written before the next one.  There are at most as many rounds as the settings allow.
+All sources go through a step together, as joins; only the sources that a step concerns are
+in it.  Nothing is measured beforehand: what a step needs to know is asked of ``measure``,
+a function from rows to rows that runs in tasks.
 
-Tables: ``measured`` (key, window, rate, quality): what each window got at each rate tried;
-``windows`` (key, window, pool, start, reasons): pools ``search``, ``holdout``, ``reserve``
-and how many reasons a window was chosen for; ``sources`` (key, target, most): the quality
-asked for and the greatest rate whose size fits."""
+Tables: ``sources`` (key, ``target`` quality, ``least``, ``budget`` and ``ceiling`` rates,
+``cap`` (a greatest rate, or null), ``most`` bytes, ``tolerance``, ``duration``, ``audio``,
+``middle`` (the middle risk of the timeline)); ``windows`` (key, window, pool, start, reasons,
+risk, centre and what else ``measure`` needs): pools ``search``, ``holdout``, ``reserve`` and
+how many reasons a window was chosen for."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.expr import predicted_size
+from gaugeworks.operators.frontier import FIELDS, TRIED, Evaluate, Settle, exact_bounds, none_tried, search_rounds
+from gaugeworks.operators.sizes import predicted_sizes
+
 AMBIGUOUS = 0.5
 CONFIDENT = 0.7
 
-Settle = Callable[[DataFrame], DataFrame]
+#: From windows with ``rate`` and ``tier`` (coarse, exact, size, holdout, again) to the same
+#: rows with ``quality`` and ``observed`` (the rate the window got; may be absent).
+Measure = Callable[[DataFrame], DataFrame]
+
+
+def sized(rows: DataFrame, observed: str = "observed") -> DataFrame:
+    """``rows`` (rate, ``observed``, duration, audio) with ``central`` and ``bytes``, the sizes
+    without and with the uncertainty of the prediction."""
+    made = predicted_sizes(rows.withColumn("__source", F.lit(None).cast("long")), "rate", observed, "duration", "audio", "__source")
+    made = made.withColumns({"central": predicted_size(F.col("mean_rate"), F.greatest(F.lit(0), F.col("audio")), F.col("duration")), "bytes": F.col("predicted_bytes")})
+    return made.drop("__source", "mean_rate", "upper_rate", "predicted_bytes", "predicted_ratio", "uncertainty", "method")
+
+
+def over_windows(windows: DataFrame, sources: DataFrame, key: str, measure: Measure, tier: str, settle: Settle) -> Evaluate:
+    """Measures rates over the search windows: a rate has the quality of its worst window."""
+    every = F.count("*").over(Window.partitionBy(key))
+    wanted = settle(windows.where("pool = 'search'").withColumn("__n", every).join(sources.select(key, "duration", "audio"), key))
+
+    def evaluate(probes: DataFrame) -> DataFrame:
+        seen = measure(probes.join(wanted, key).withColumn("tier", F.lit(tier)))
+        got = F.col("observed") if "observed" in seen.columns else F.col("rate")
+        rows = F.transform(F.array_sort(F.collect_list(F.when(F.col("quality").isNotNull(), F.struct("window", got.cast("long").alias("o"))))), lambda r: r["o"])
+        each = seen.groupBy(key, "rate").agg(F.min("quality").alias("quality"), rows.alias("observed"), (F.count("quality") == F.max("__n")).alias("complete"), F.max("duration").alias("duration"), F.max("audio").alias("audio"))
+        return sized(each).select(key, *FIELDS)
+
+    return evaluate
 
 
-def scored(measured: DataFrame, windows: DataFrame, key: str) -> DataFrame:
-    """(key, rate, quality): the worst search window of every rate that all of them were
-    measured at."""
-    wanted = windows.where("pool = 'search'").select(key, "window")
-    n = wanted.groupBy(key).agg(F.count("*").alias("__n"))
-    each = measured.join(wanted, [key, "window"]).groupBy(key, "rate").agg(F.min("quality").alias("quality"), F.count("*").alias("__m"))
-    return each.join(n, key).where("__m = __n").select(key, "rate", "quality")
+def reselected(now: DataFrame, margin: float = 0.0) -> DataFrame:
+    """``now`` (sources with ``tried``) with ``outcome``, ``selected``, ``quality`` and
+    ``required``: of the candidates within the rates allowed, the cheapest that passes and
+    fits, first of all one with ``margin`` to spare; else the cheapest that passes."""
+    c = F.col
+    low = (F.ceil(c("least") / 1000) * 1000).cast("long")
+    within = F.filter("tried", lambda t: (t["rate"] >= F.least(c("least"), low)) & (c("cap").isNull() | (c("cap") <= 0) | (t["rate"] <= c("cap"))))
+    out = now.withColumn("__in", within)
+    passing = F.filter("__in", lambda t: F.coalesce(t["quality"] >= c("target"), F.lit(False)))
+    out = out.withColumn("__pass", passing).withColumn("__fit", F.filter("__pass", lambda t: F.coalesce(t["bytes"] <= c("most"), F.lit(False))))
+    spare = F.filter("__fit", lambda t: t["quality"] >= c("target") + margin)
+    cheapest = lambda rows: F.array_min(F.transform(rows, lambda t: F.struct(t["rate"], t["quality"], t["bytes"])))
+    out = out.withColumn("__best", F.coalesce(cheapest(spare), cheapest(c("__fit")))).withColumn("__least", cheapest(c("__pass")))
+    blocked = F.coalesce(c("__least.bytes") > c("most"), F.lit(False))
+    outcome = F.when(c("budget") < c("least"), "budget_too_small").when(c("__best").isNotNull(), "found").when(blocked, "size_blocked").otherwise("unreachable")
+    out = out.withColumn("outcome", outcome)
+    found = c("outcome") == "found"
+    out = out.withColumns({"selected": F.when(found, c("__best.rate")), "quality": F.when(found, c("__best.quality")), "required": F.when(~found, c("__least.rate"))})
+    return out.drop("__in", "__pass", "__fit", "__best", "__least")
 
 
-def selected(candidates: DataFrame, sources: DataFrame, key: str) -> DataFrame:
-    """(key, target, most, least, selected, quality, outcome) of every source: the cheapest
-    rate from ``least`` on that passes and fits, else why there is none."""
-    rows = sources.join(candidates, key, "left").where("rate is null or rate >= least or least is null")
-    passes = F.col("quality") >= F.col("target")
-    fits = passes & (F.col("rate") <= F.col("most"))
-    best = F.min(F.when(fits, F.struct("rate", "quality")))
-    found = rows.groupBy(key).agg(best.alias("__best"), F.min(F.when(passes, F.col("rate"))).alias("__required"))
-    out = sources.join(found, key, "left")
-    outcome = F.when(F.col("__best").isNotNull(), "found").when(F.col("__required").isNotNull(), "size_blocked").otherwise("unreachable")
-    return out.select(key, "target", "most", "least", F.col("__best.rate").alias("selected"), F.col("__best.quality").alias("quality"), outcome.alias("outcome"))
+def complete_or_all(tried: Column) -> Column:
+    """The candidates that were measured in all windows, or all if none was."""
+    whole = F.filter(tried, lambda t: t["complete"])
+    return F.when(F.size(whole) > 0, whole).otherwise(tried)
+
+
+def replaced(tried: Column, new: Column) -> Column:
+    """``tried`` with the candidate of ``new``'s rate replaced; null changes nothing."""
+    return F.when(new.isNull(), tried).otherwise(F.transform(tried, lambda t: F.when(t["rate"] == new["rate"], new).otherwise(t)))
+
+
+def drops(tried: Column) -> Column:
+    """Whether some rate is worse than the next lower one by more than ``AMBIGUOUS``."""
+    ordered = F.array_sort(tried)
+    later = F.slice(ordered, F.lit(2), F.greatest(F.size(ordered) - 1, F.lit(0)))
+    return F.exists(F.arrays_zip(ordered.alias("a"), later.alias("b")), lambda p: F.coalesce(p["b"]["quality"] < p["a"]["quality"] - AMBIGUOUS, F.lit(False)))
 
 
 def first_reserve(windows: DataFrame, keys: DataFrame, key: str, by_reasons: bool) -> DataFrame:
@@ -58,64 +106,104 @@ def moved_to(windows: DataFrame, which: DataFrame, key: str, pool: str) -> DataF
     return joined.withColumn("pool", F.coalesce("__pool", "pool")).select(*windows.columns)
 
 
-def verified(measured: DataFrame, windows: DataFrame, sources: DataFrame, key: str, settle: Settle, rounds: int = 2, band: float = CONFIDENT, repeated: DataFrame | None = None) -> DataFrame:
-    """(key, selected, quality, outcome, rounds, expanded, ambiguous) of
-    every source.
-
-    1. The cheapest rate that passes on the search windows and fits is selected.
-    2. Where it passes by less than ``band``, the reserve with most reasons joins the
-       search, which goes on from the selected rate (G11).
-    3. The selected rate is held against the holdouts.  Those that fail join the search,
-       which goes on upward; with no holdout left the earliest reserve becomes one.  That
-       is repeated at most ``rounds`` times; a source that still fails has the outcome
-       ``limit``, one without an independent window ``exhausted`` (G10).
-    4. Where a higher rate is worse by more than ``AMBIGUOUS``, the candidate nearest the
-       target is measured again (``repeated``: key, rate, quality) and the source selected
-       anew (G13)."""
-    start = sources.select(key, "target", "most", F.lit(None).cast(measured.schema["rate"].dataType).alias("least"))
-    now = settle(selected(scored(measured, windows, key), start, key))
+def calibrated_near(now: DataFrame, windows: DataFrame, key: str, measure: Measure, settle: Settle) -> DataFrame:
+    """(key, candidate) for size-blocked sources whose required candidate fits without
+    its uncertainty only: its sizes predicted anew with up to two reserves more."""
+    at = F.try_element_at(F.filter("tried", lambda t: t["rate"] == F.col("required")), F.lit(1))
+    asked = now.where("outcome = 'size_blocked'").withColumn("c", at)
+    asked = asked.where(near_boundary("c.central", "c.bytes", "most")).select(key, "middle", "duration", "audio", "c")
+    reserves = windows.where("pool = 'reserve'").join(asked, key).withColumns({"half": F.col("duration") / 2, "risk": F.coalesce("risk", F.lit(0.5))})
+    chosen = size_representatives(reserves, key, "risk", "middle", "centre", "half").withColumns({"rate": F.col("c.rate"), "tier": F.lit("size")})
+    seen = measure(chosen)
+    more = F.transform(F.array_sort(F.collect_list(F.struct(F.abs(F.col("risk") - F.col("middle")).alias("r"), F.abs(F.col("centre") - F.col("half")).alias("d"), "window", F.col("observed").cast("long").alias("o")))), lambda r: r["o"])
+    rows = seen.groupBy(key).agg(more.alias("more"), F.first("c").alias("c"), F.max("duration").alias("duration"), F.max("audio").alias("audio"))
+    rows = sized(rows.select(key, "duration", "audio", "c", F.col("c.rate").alias("rate"), F.concat("c.observed", "more").alias("observed")))
+    fields = [F.col(f) if f in ("rate", "central", "bytes", "observed") else F.col(f"c.{f}").alias(f) for f in FIELDS]
+    return settle(rows.select(key, F.struct(*fields).cast(TRIED[6:-1]).alias("candidate")))
+
+
+def verified(sources: DataFrame, windows: DataFrame, key: str, measure: Measure, settle: Settle, coarse: int = 4, exact: int = 3, rounds: int = 2, band: float = CONFIDENT, margin: float = 0.0) -> DataFrame:
+    """(key, selected, quality, outcome, required, rounds, expanded, calibrated, ambiguous,
+    held) of every source; ``held`` is the worst holdout at the selected rate.
+
+    1. A coarse search bounds the exact one, which starts where the coarse one crosses the
+       target (G7, G8).  Sources with ``known`` candidates go straight to the exact search.
+    2. Where only the uncertainty of the size blocks a source, two reserves of about the
+       middle risk are measured at the required rate, and it is selected again (G12).
+    3. Where the quality found passes by less than ``band``, the reserve with most reasons
+       joins the search, which goes on from the selected rate (G11).
+    4. The selected rate is measured on the holdouts.  Those that fail it (or give no
+       result) join the search, which goes on upward; with no holdout left the earliest
+       reserve becomes one.  That is repeated at most ``rounds`` times; a source that still
+       fails has the outcome ``limit``, one without an independent window ``exhausted``, one
+       whose search then finds no quality ``refinement_failed`` (G10).
+    5. Of sources that step 4 has not ended: where the last search found a higher rate worse
+       by more than ``AMBIGUOUS``, the candidate nearest the target is measured again and
+       the source selected anew, whatever its outcome was (G13)."""
+    given = sources if "known" in sources.columns else sources.withColumn("known", none_tried())
+    given = given.withColumn("known", F.coalesce(F.col("known").cast(TRIED), none_tried()))
+
+    def searched(asked: DataFrame, marks: DataFrame, tier: str, limit: int) -> DataFrame:
+        evaluate = over_windows(marks.join(asked.select(key), key, "left_semi"), sources, key, measure, tier, settle)
+        return search_rounds(asked.withColumn("limit", F.lit(limit)), key, evaluate, settle).select(key, "tried")
+
+    fresh = given.where(F.size("known") == 0).withColumn("first", F.lit(None).cast("long"))
+    rough = searched(fresh, windows, "coarse", coarse)
+    bounded = exact_bounds(given.join(rough, key, "left").withColumn("tried", F.coalesce("tried", none_tried())), key)
+    first = searched(settle(bounded.drop("tried")), windows, "exact", exact)
+    now = settle(reselected(given.join(first.withColumn("tried", complete_or_all(F.col("tried"))), key), margin))
+
+    closer = calibrated_near(now, windows, key, measure, settle)
+    now = now.join(closer, key, "left").withColumn("tried", replaced(F.col("tried"), F.col("candidate")))
+    now = settle(reselected(now.withColumn("calibrated", F.col("candidate").isNotNull()).drop("candidate"), margin))
+
+    def again(open_: DataFrame, marks: DataFrame) -> DataFrame:
+        """Selections of a new search upward from the selected rate."""
+        asked = open_.select(key, "target", F.col("selected").alias("least"), F.greatest("selected", "budget").alias("budget"), "ceiling", "tolerance", F.lit(None).cast("long").alias("first"), none_tried().alias("known"))
+        new = searched(settle(asked), marks, "exact", exact).withColumn("tried", complete_or_all(F.col("tried")))
+        return reselected(open_.drop("tried", "outcome", "selected", "quality", "required").join(new, key), margin)
+
     close = now.where((F.col("outcome") == "found") & (F.col("quality") - F.col("target") < band)).select(key)
     promoted = settle(first_reserve(windows, close, key, True))
     windows = settle(moved_to(windows, promoted, key, "search"))
-    state = now.join(promoted.select(key, F.lit(True).alias("__up")), key, "left")
-    again = state.where("__up").select(key, "target", "most", F.col("selected").alias("least"))
-    others = state.where("__up is null").select(*now.columns, F.lit(False).alias("expanded"))
-    now = others.unionByName(selected(scored(measured, windows, key), again, key).withColumn("expanded", F.lit(True)))
-    now = settle(now.withColumns({"rounds": F.lit(0), "open": F.col("outcome") == "found"}))
+    now = settle(now.join(promoted.select(key, F.lit(True).alias("__up")), key, "left").withColumn("expanded", F.coalesce("__up", F.lit(False))).drop("__up"))
+    now = now.where("not expanded").unionByName(again(now.where("expanded"), windows))
+    now = settle(now.withColumns({"rounds": F.lit(0), "held": F.lit(None).cast("double"), "open": F.col("outcome") == "found", "ended": F.lit(False)}))
 
     for nth in range(rounds + 1):
-        held = windows.where("pool = 'holdout'").select(key, "window")
-        seen = now.where("open").join(held, key).join(measured.withColumnRenamed("quality", "__q"), [key, "window"]).where("rate = selected")
-        failed = settle(seen.where(F.col("__q") < F.col("target")).select(key, "window"))
-        bad = failed.select(key).distinct().withColumn("__bad", F.lit(True))
-        now = now.join(bad, key, "left").withColumn("open", F.col("open") & F.col("__bad").isNotNull()).drop("__bad")
-        if nth == rounds or failed.isEmpty():
-            now = settle(now.withColumn("outcome", F.when(F.col("open"), "limit").otherwise(F.col("outcome"))))
+        held = windows.where("pool = 'holdout'").join(now.where("open").select(key, "target", F.col("selected").alias("rate")), key)
+        seen = measure(held.withColumn("tier", F.lit("holdout"))).select(key, "window", "quality")
+        told = settle(held.select(key, "window", "target").join(seen, [key, "window"], "left"))
+        missed = ~F.coalesce(F.col("quality") >= F.col("target"), F.lit(False))
+        worst = told.groupBy(key).agg(F.min("quality").alias("__held"), F.bool_or(missed).alias("__bad"))
+        now = settle(now.join(worst, key, "left").withColumns({"held": F.coalesce("__held", "held"), "open": F.col("open") & F.coalesce("__bad", F.lit(False))}).drop("__held", "__bad"))
+        if now.where("open").isEmpty():
+            break
+        if nth == rounds:
+            now = now.withColumns({"outcome": F.when(F.col("open"), "limit").otherwise(F.col("outcome")), "ended": F.col("open") | F.col("ended")})
             break
-        windows = moved_to(windows, failed, key, "search")
+        windows = moved_to(windows, told.where(missed), key, "search")
         left = windows.where("pool = 'holdout'").select(key).distinct()
         short = now.where("open").select(key).join(left, key, "left_anti")
-        fresh = settle(first_reserve(windows, short, key, False))
-        windows = settle(moved_to(windows, fresh, key, "holdout"))
-        spent = short.join(fresh, key, "left_anti").withColumn("__spent", F.lit(True))
-        now = settle(now.join(spent, key, "left").withColumns({"outcome": F.when(F.col("__spent"), "exhausted").otherwise(F.col("outcome")), "open": F.col("open") & F.col("__spent").isNull()}).drop("__spent"))
-        more = now.where("open").select(key, "target", "most", F.col("selected").alias("least"))
-        new = selected(scored(measured, windows, key), more, key).join(now.select(key, "expanded"), key).withColumns({"rounds": F.lit(nth + 1), "open": F.col("outcome") == "found"})
-        now = settle(now.where("not open").unionByName(new))
-
-    candidates = settle(scored(measured, windows, key))
-    following = F.lead("quality").over(Window.partitionBy(key).orderBy("rate"))
-    odd = candidates.withColumn("__next", following).where(F.col("__next") < F.col("quality") - AMBIGUOUS).select(key).distinct()
-    odd = settle(odd.join(now.where("outcome = 'found'").select(key), key, "left_semi"))
-    point = candidates.join(odd, key, "left_semi").join(sources.select(key, "target"), key).groupBy(key).agg(F.min(F.struct(F.abs(F.col("quality") - F.col("target")).alias("d"), "rate"))["rate"].alias("rate"))
-    if repeated is not None:
-        told = point.join(repeated.withColumnRenamed("quality", "__again"), [key, "rate"])
-        candidates = candidates.join(told, [key, "rate"], "left").select(key, "rate", F.coalesce("__again", "quality").alias("quality"))
-    once_more = selected(candidates, now.join(odd, key, "left_semi").select(key, "target", "most", "least"), key)
-    once_more = once_more.join(now.select(key, "rounds", "expanded"), key).withColumn("ambiguous", F.lit(True))
-    rest = now.join(odd, key, "left_anti").withColumn("ambiguous", F.lit(False))
-    columns = [key, "selected", "quality", "outcome", "rounds", "expanded", "ambiguous"]
-    return rest.select(*columns).unionByName(once_more.select(*columns))
+        replacement = settle(first_reserve(windows, short, key, False))
+        windows = settle(moved_to(windows, replacement, key, "holdout"))
+        spent = short.join(replacement, key, "left_anti").withColumn("__spent", F.lit(True))
+        now = now.join(spent, key, "left")
+        gone = F.col("__spent").isNotNull()
+        now = settle(now.withColumns({"outcome": F.when(gone, "exhausted").otherwise(F.col("outcome")), "ended": F.col("ended") | gone, "rounds": F.col("rounds") + F.col("open").cast("int"), "open": F.col("open") & ~gone}).drop("__spent"))
+        new = again(now.where("open"), windows)
+        lost = F.col("outcome") != "found"
+        new = new.withColumns({"ended": lost, "open": ~lost, "outcome": F.when(lost & (F.col("outcome") != "size_blocked"), "refinement_failed").otherwise(F.col("outcome"))})
+        now = settle(now.where("not open").unionByName(new.select(*now.columns)))
+
+    now = settle(now.withColumn("ambiguous", ~F.col("ended") & drops(F.col("tried"))))
+    point = F.array_min(F.transform("tried", lambda t, i: F.struct(F.abs(t["quality"] - F.col("target")).alias("d"), i.alias("i"), t["rate"].alias("rate"))))
+    odd = now.where("ambiguous").select(key, point["rate"].alias("rate"))
+    repeat = over_windows(windows.join(odd, key, "left_semi"), sources, key, measure, "again", settle)(settle(odd))
+    repeat = repeat.select(key, F.struct(*FIELDS).cast(TRIED[6:-1]).alias("candidate"))
+    odd_rows = now.where("ambiguous").join(repeat, key, "left").withColumn("tried", replaced(F.col("tried"), F.col("candidate"))).drop("candidate")
+    out = now.where("not ambiguous").unionByName(reselected(odd_rows, margin).select(*now.columns))
+    return out.select(key, "selected", "quality", "outcome", "required", "rounds", "expanded", "calibrated", "ambiguous", "held")
 
 
 def size_representatives(reserves: DataFrame, key: str, risk: str, middle: str, centre: str, half: str, k: int = 2) -> DataFrame:

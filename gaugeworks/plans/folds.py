@@ -13,7 +13,7 @@ from gaugeworks.functions.expr import predicted_size
 from gaugeworks.operators import intervals, ranks, rounds, sampling_plan, search, sizes
 from gaugeworks.plans.queries import SQL as PLAN_SQL
 from gaugeworks.plans.queries import table
-from gaugeworks.plans.shared import settled
+from gaugeworks.plans.shared import Tables, settled
 from gaugeworks.streaming import fold
 
 
@@ -56,28 +56,34 @@ def search_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_measured(rows, "o_custkey", "rate", "quality", 40.0)
 
 
-def curves(lineitem: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(measured, windows, sources): the lines of an order as windows, each measured at
-    eight rates; better rates are mostly better, harder parts need more."""
+def measured_lines(rows: DataFrame) -> DataFrame:
+    """What a line of an order measures at a rate: better rates are mostly better, harder
+    parts need more, some rates dip, and a coarse or repeated look differs a little."""
+    hard, dip = (F.col("l_partkey") % 17) / 17.0, F.when((F.col("l_partkey") + F.floor(F.col("rate") / 1000)) % 11 == 0, 3.0).otherwise(0.0)
+    look = F.when(F.col("tier") == "coarse", (F.col("l_partkey") % 3 - 1) * 0.3).when(F.col("tier") == "again", 0.25).otherwise(0.0)
+    got = F.floor(F.col("rate") * (90 + F.col("l_partkey") % 5 * 5) / 100).cast("long")
+    return rows.withColumns({"quality": 84.0 + F.col("rate") / 1000 * 1.9 - hard * 4 - dip + look, "observed": got})
+
+
+def line_windows(lineitem: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(windows, sources): the lines of an order as the windows of a source."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    rows = lineitem.select(F.col("l_orderkey").alias("source"), F.row_number().over(order).alias("window"), "l_partkey", "l_shipdate", "l_quantity")
+    rows = lineitem.select(F.col("l_orderkey").alias("source"), F.row_number().over(order).alias("window"), "l_partkey")
     pool = F.when(F.col("window") <= 2, "search").when(F.col("window") <= 4, "holdout").otherwise("reserve")
-    windows = rows.select("source", "window", pool.alias("pool"), (F.col("l_partkey") % 600).cast("double").alias("start"), (F.col("l_partkey") % 3 + 1).alias("reasons"))
-    rate = F.explode(F.sequence(F.lit(1), F.lit(8)))
-    hard = (F.col("l_partkey") % 17) / 17.0
-    each = rows.select("source", "window", "l_partkey", hard.alias("hard"), rate.alias("rate"))
-    dip = F.when((F.col("l_partkey") + F.col("rate")) % 11 == 0, 3.0).otherwise(0.0)
-    measured = each.select("source", "window", (F.col("rate") * 1000).cast("long").alias("rate"), (84.0 + F.col("rate") * 1.9 - F.col("hard") * 4 - dip).alias("quality"))
-    sources = rows.groupBy("source").agg(F.lit(92.0).alias("target"), (F.max(F.col("l_partkey") % 4) * 1000 + 5000).cast("long").alias("most"))
-    return measured, windows, sources
+    centre = (F.col("l_partkey") % 600).cast("double")
+    windows = rows.select("source", "window", pool.alias("pool"), centre.alias("start"), (F.col("l_partkey") % 3 + 1).alias("reasons"), ((F.col("l_partkey") % 20) / 20.0).alias("risk"), centre.alias("centre"), "l_partkey")
+    part = F.max("l_partkey")
+    longs = {"least": part % 3 * 1000 + 1000, "budget": part % 5 * 1000 + 5000, "ceiling": F.lit(14000), "cap": F.when(part % 7 == 0, 9000), "most": part % 4 * 15000 + 45000, "tolerance": F.lit(1000), "audio": F.lit(0)}
+    sources = rows.groupBy("source").agg(F.lit(92.0).alias("target"), *(x.cast("long").alias(n) for n, x in longs.items()), F.lit(60.0).alias("duration"), F.lit(0.5).alias("middle"))
+    return windows, sources
 
 
 def verified_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Selections held against windows they were not chosen
-    on, over every order's measured curves."""
-    measured, windows, sources = (settled(df) for df in curves(table(spark, sf_dir, "lineitem")))
-    again = rounds.scored(measured, windows, "source").withColumn("quality", F.col("quality") + 0.25)
-    return rounds.verified(measured, windows, sources, "source", settled, repeated=again)
+    """Every order's lines are searched,
+    verified and measured as the rounds ask for them."""
+    tables = Tables()
+    windows, sources = (tables(df) for df in line_windows(table(spark, sf_dir, "lineitem")))
+    return tables.last(rounds.verified(sources, windows, "source", measured_lines, tables))
 
 
 def calibrated_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,51 @@
-"""Cutting lineage between rounds."""
+"""Tables between the steps of a query, in the cluster's shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names.  Only where none is set, as in tests
+    on one machine, is a temporary one made and set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp()
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's checkpoint folder and read from there.  Only where
-    no folder is set, as in tests on one machine, is a temporary one made."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp())
-    return df.checkpoint(eager=True)
+    """``df`` written to the shared folder and read from there: lineage ends, and what is
+    planned next knows the table's size (a checkpoint passes on an estimate, which grows
+    with every join until planning itself takes minutes)."""
+    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex[:12]}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+class Tables:
+    """``settled`` that remembers its tables, so that a query can delete those that its
+    result does not read."""
+
+    def __init__(self) -> None:
+        self.held: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.held.append(settled(df))
+        return self.held[-1]
+
+    def last(self, df: DataFrame) -> DataFrame:
+        """``df`` as a table of its own; all others are deleted."""
+        out = settled(df)
+        for table in self.held:
+            spark = table.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        self.held = []
+        return out

@@ -147,74 +147,6 @@ def test_search_limits_known_settings_and_sizes():
     assert search.search(measure, 500_000, 3_000_000, 3_000_000, 95.0, first=2_500_000)[1] == 1_833_000 and tried == [2_500_000, 1_833_000]
 
 
-def plain_rounds(measured, windows, target, most, limit=2, band=0.7, add=0.25):
-    """The rounds of one source by loops: measured[(window, rate)] and windows as dicts."""
-    windows = {w["window"]: dict(w) for w in windows}
-    pool = lambda p: [w for w in windows.values() if w["pool"] == p]
-
-    def candidates():
-        need = [w["window"] for w in pool("search")]
-        rates = sorted({r for _, r in measured})
-        return {r: min(measured[w, r] for w in need) for r in rates if all((w, r) in measured for w in need)}
-
-    def pick(found, least):
-        good = [r for r, q in found.items() if q >= target and (least is None or r >= least)]
-        fit = [r for r in good if r <= most]
-        return (min(fit), found[min(fit)], "found") if fit else (None, None, "size_blocked" if good else "unreachable")
-
-    rate, quality, outcome = pick(candidates(), None)
-    n, expanded, least = 0, False, None
-    if outcome == "found" and quality - target < band and pool("reserve"):
-        best = min(pool("reserve"), key=lambda w: (-w["reasons"], w["start"], w["window"]))
-        best["pool"], expanded, least = "search", True, rate
-        rate, quality, outcome = pick(candidates(), least)
-    while outcome == "found":
-        failed = [w for w in pool("holdout") if (w["window"], rate) in measured and measured[w["window"], rate] < target]
-        if not failed:
-            break
-        if n == limit:
-            outcome = "limit"
-            break
-        for w in failed:
-            w["pool"] = "search"
-        if not pool("holdout"):
-            if not pool("reserve"):
-                outcome = "exhausted"
-                break
-            min(pool("reserve"), key=lambda w: (w["start"], w["window"]))["pool"] = "holdout"
-        n, least = n + 1, rate
-        rate, quality, outcome = pick(candidates(), least)
-    found, odd = candidates(), False
-    rates = sorted(found)
-    if outcome == "found" and any(found[b] < found[a] - 0.5 for a, b in zip(rates, rates[1:])):
-        odd = True
-        point = min(rates, key=lambda r: (abs(found[r] - target), r))
-        first = {w["window"] for w in windows.values() if w["first"] == "search"}
-        found[point] = min(measured[w, point] for w in first) + add
-        rate, quality, outcome = pick(found, least)
-    return rate, quality, outcome, n, expanded, odd
-
-
-def test_rounds_equal_loops_over_each_source(spark):
-    from gaugeworks.plans import folds
-
-    line = folds.table(spark, "/root/testdata/sf0.001", "lineitem")
-    measured, windows, sources = folds.curves(line)
-    got = {r.source: r for r in folds.verified_rounds(spark, "/root/testdata/sf0.001").collect()}
-    marks, curve = {}, {}
-    for w in windows.collect():
-        marks.setdefault(w.source, []).append({**w.asDict(), "first": w.pool})
-    for m in measured.collect():
-        curve.setdefault(m.source, {})[m.window, m.rate] = m.quality
-    wanted = {s.source: plain_rounds(curve[s.source], marks[s.source], s.target, s.most) for s in sources.collect()}
-    assert set(got) == set(wanted)
-    for k, want in wanted.items():
-        r = got[k]
-        assert (r.selected, r.outcome, r.rounds, r.expanded, r.ambiguous) == (want[0], *want[2:]), (k, r, want)
-        assert r.quality == pytest.approx(want[1]) if want[1] is not None else r.quality is None
-    assert {r.outcome for r in got.values()} >= {"found", "size_blocked", "exhausted"} and any(r.expanded for r in got.values()) and any(r.ambiguous for r in got.values()) and {r.rounds for r in got.values()} >= {0, 1, 2}
-
-
 def scouts(n, seed):
     rng = random.Random(seed)
     rows = [(f"w{k:03d}", 10.0 + 12.0 * k, rng.uniform(0, 120), rng.uniform(0, 60), rng.choice([0.0, 0.0, 15.0]), 0.1, 0.2, 0.1, 0) for k in range(n)]
