@@ -10,9 +10,9 @@
    cell that half a window around it touches, so two vectors whose windows collide on all
    cuts meet in the cell of their midpoint, whatever borders lie between them.  The more
    vectors a label has, the more cuts; ``tables`` independent sets of cuts keep the recall.
-4. In a cell (or two chunks of a large one) the projections it is cut by are sorted and
-   collisions in the windows counted; pairs that collide on all of them get their count
-   over all projections, and those that pass it are verified by their cosine.
+4. In a cell (or two chunks of a large one) a projection is sorted and windows over it
+   give the pairs that collide there; their collisions on the other projections are counted,
+   and pairs that collide on all cuts and pass the count are verified by their cosine.
    A pair is verified once: in the first table in whose windows it collides, in the cell
    of its midpoint.  A group returns counts and a spanning forest, never the pairs.
 5. Components of the forests are the classes of near copies.
@@ -39,10 +39,10 @@ COSINE = 0.98
 RECALL = 0.9999
 PROJECTIONS = 32
 #: Half a window in standard deviations of the difference of a pair at the threshold.
-SPREAD = 3.0
+SPREAD = 3.2
 #: Vectors that a cell may be expected to hold; a larger one is compared chunk by chunk.
-CELL_ROWS = 256
-CHUNK_ROWS = 1024
+CELL_ROWS = 1024
+CHUNK_ROWS = 2048
 MOST_CUTS = 12
 ONE = 1 << 32
 
@@ -135,20 +135,31 @@ def entered_cells(classes: DataFrame, plan: Plan) -> DataFrame:
     return classes.select("lab", "id", "vector").mapInArrow(run, "lab string, id long, t int, cell long")
 
 
-def collisions(left: np.ndarray, right: np.ndarray, reach: int) -> np.ndarray:
-    """Collisions of every left with every right row on some projections: the right rows
-    are sorted along each, every left row counts those in the window around it."""
-    n, m = len(left), len(right)
-    count = np.zeros((n, m), np.uint8)
-    for k in range(left.shape[1]):
-        order = np.argsort(right[:, k], kind="stable")
-        line = right[order, k]
-        low = np.searchsorted(line, left[:, k] - reach, "left")
-        size = np.searchsorted(line, left[:, k] + reach, "right") - low
-        row = np.repeat(np.arange(n), size)
-        place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + low[row]
-        count[row, order[place]] += 1  # a pair occurs once a projection
-    return count
+def colliding(left: np.ndarray, right: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """(left, right) places that collide on one projection: the right ones are sorted,
+    every left one takes what lies in the window around it."""
+    order = np.argsort(right, kind="stable")
+    low = np.searchsorted(right[order], left - reach, "left")
+    size = np.searchsorted(right[order], left + reach, "right") - low
+    row = np.repeat(np.arange(len(left)), size)
+    return row, order[np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + low[row]]
+
+
+def counted(lines: np.ndarray, u: np.ndarray, v: np.ndarray, plan: Plan, table: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (u, v) those that collide on all cuts of the table and on ``least``
+    projections (rows of ``lines``) in all.  A pair goes as soon as it has missed too many."""
+    cuts = plan.columns(table)
+    for k in range(cuts.start + 1, cuts.stop):
+        hit = np.abs(lines[k][u] - lines[k][v]) <= plan.reach
+        u, v = u[hit], v[hit]
+    missed, allowed = np.zeros(len(u), np.int16), plan.projections - plan.least
+    for n, k in enumerate(k for k in range(plan.projections) if not cuts.start <= k < cuts.stop):
+        missed += np.abs(lines[k][u] - lines[k][v]) > plan.reach
+        if n % 4 == 3:
+            live = missed <= allowed
+            u, v, missed = u[live], v[live], missed[live]
+    live = missed <= allowed
+    return u[live], v[live]
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -168,7 +179,7 @@ def verified(x: np.ndarray, copies: np.ndarray, chunk: np.ndarray, i: int, j: in
     """(rows linked with each member, a root of each) among the pairs of chunk ``i`` with
     chunk ``j``, or within one, that are counted in this cell of this table."""
     n = len(x)
-    p = projected(x, plan.projections)
+    lines = np.ascontiguousarray(projected(x, plan.projections).T)
     rows = np.flatnonzero(chunk == i)
     columns = rows if i == j else np.flatnonzero(chunk == j)
     cuts = plan.columns(table)
@@ -176,25 +187,26 @@ def verified(x: np.ndarray, copies: np.ndarray, chunk: np.ndarray, i: int, j: in
     us, vs = [], []
     for r in range(0, len(rows), 256):
         part = rows[r : r + 256]
-        a, b = np.nonzero(collisions(p[part][:, cuts], p[columns][:, cuts], plan.reach) == plan.cuts)
+        a, b = colliding(lines[cuts.start][part], lines[cuts.start][columns], plan.reach)
         a, b = part[a], columns[b]
         if i == j:
             a, b = a[a < b], b[a < b]
-        for k in range(0, len(a), 1 << 15):
-            u, v = a[k : k + (1 << 15)], b[k : k + (1 << 15)]
-            near = np.abs(p[u] - p[v]) <= plan.reach
-            whole = near[:, : plan.tables * plan.cuts].reshape(len(u), plan.tables, plan.cuts).all(axis=2)
-            mine = (near.sum(axis=1) >= plan.least) & ~whole[:, :table].any(axis=1)
-            h = np.repeat(begun(label, table), len(u))
-            for c in range(cuts.start, cuts.stop):
-                h = step(h, ((p[u, c] + p[v, c]) >> 1) // plan.width)
-            mine &= h.view(np.int64) == cell
-            u, v = u[mine], v[mine]
-            alike = np.einsum("ij,ij->i", x[u], x[v]) >= cosine
-            u, v = u[alike], v[alike]
-            links += np.bincount(u, copies[v], n) + np.bincount(v, copies[u], n)
-            us.append(u)
-            vs.append(v)
+        u, v = counted(lines, a, b, plan, table)
+        for t in range(table):  # pairs that an earlier table has
+            earlier = (np.abs(lines[plan.columns(t)][:, u] - lines[plan.columns(t)][:, v]) <= plan.reach).all(axis=0)
+            u, v = u[~earlier], v[~earlier]
+        h = np.repeat(begun(label, table), len(u))
+        for c in range(cuts.start, cuts.stop):
+            h = step(h, ((lines[c][u] + lines[c][v]) >> 1) // plan.width)
+        mine = h.view(np.int64) == cell
+        u, v = u[mine], v[mine]
+        for k in range(0, len(u), 1 << 15):
+            p, q = u[k : k + (1 << 15)], v[k : k + (1 << 15)]
+            alike = np.einsum("ij,ij->i", x[p], x[q]) >= cosine
+            p, q = p[alike], q[alike]
+            links += np.bincount(p, copies[q], n) + np.bincount(q, copies[p], n)
+            us.append(p)
+            vs.append(q)
     none = np.zeros(0, np.int64)
     return links.astype(np.int64), forest(n, np.concatenate([none, *us]), np.concatenate([none, *vs]))
 

@@ -61,7 +61,7 @@ def linked(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("cell,chunk", [(256, 1024), (4, 1024), (256, 16)])
+@pytest.mark.parametrize("cell,chunk", [(1024, 2048), (4, 2048), (1024, 16)])
 def test_near_vectors_equal_all_pairs(spark, monkeypatch, cell, chunk):
     monkeypatch.setattr(V, "CELL_ROWS", cell)
     monkeypatch.setattr(V, "CHUNK_ROWS", chunk)
@@ -93,8 +93,13 @@ def test_windows_are_calibrated():
 
 def test_counts_equal_windows():
     rng = np.random.default_rng(2)
-    a, b = rng.integers(0, 1000, (30, 5)), rng.integers(0, 1000, (40, 5))
-    assert (V.collisions(a, b, 90) == (np.abs(a[:, None] - b[None]) <= 90).sum(axis=2)).all()
+    plan = V.Plan(reach=300, width=600, cuts=2, tables=2, projections=9, least=6)
+    lines = rng.integers(0, 1000, (9, 70))
+    a, b = V.colliding(lines[2][:30], lines[2][30:], plan.reach)
+    hit = np.abs(lines[:, :30, None] - lines[:, None, 30:]) <= plan.reach
+    assert sorted(zip(a, b)) == sorted(zip(*np.nonzero(hit[2])))
+    u, v = V.counted(lines, a, b + 30, plan, 1)
+    assert sorted(zip(u, v - 30)) == sorted(zip(*np.nonzero(hit[2] & hit[3] & (hit.sum(axis=0) >= 6)))) and len(u)
 
 
 def mined(rows, anchors, low=50, high=95):
