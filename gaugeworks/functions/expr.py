@@ -57,8 +57,8 @@ def parse_rate_down(text: Column) -> Column:
 
 
 def parse_speed(text: Column) -> Column:
-    """``1.5x`` as 1.5; null if not positive."""
-    value = F.regexp_extract(F.trim(text), r"^([0-9]+(?:\.[0-9]+)?)x?$", 1).try_cast(DOUBLE)
+    """``1.5x`` as 1.5; null without the ``x`` or if not positive."""
+    value = F.regexp_extract(F.trim(text), r"^([0-9]+(?:\.[0-9]+)?)x$", 1).try_cast(DOUBLE)
     return F.when(value > 0, value)
 
 

@@ -70,10 +70,23 @@ def inner_window(total: Column, size: Column, at: Column) -> tuple[Column, Colum
 
 
 def filled(template: Column, values: Mapping[str, Column]) -> Column:
-    """Names in braces replaced by their values."""
-    for name, value in values.items():
-        template = F.replace(template, F.lit("{" + name + "}"), value)
-    return template
+    """F16: names in braces replaced by their values, doubled braces by single ones.  All or
+    nothing: a template with a name that has no value, a format after a name, a numbered
+    place or a brace without its other one is returned as it is."""
+    field = r"\{[A-Za-z_][A-Za-z0-9_]*\}"
+    parts = F.regexp_extract_all(template, F.lit(r"\{\{|\}\}|" + field + r"|[^{}]+|[{}]"), 0)
+    known = [F.lit("{" + name + "}") for name in values]
+
+    def good(part: Column) -> Column:
+        return part.isin("{{", "}}") | (part.isin(*known) if known else F.lit(False)) | ~part.rlike("[{}]")
+
+    def told(part: Column) -> Column:
+        out = F.when(part == "{{", "{").when(part == "}}", "}")
+        for name, value in values.items():
+            out = out.when(part == "{" + name + "}", F.coalesce(value, F.lit("None")))
+        return out.otherwise(part)
+
+    return F.when(F.forall(parts, good), F.array_join(F.transform(parts, told), "")).otherwise(template)
 
 
 def adaptive_windows(seconds: Column, uncertainty: Column, heterogeneity: Column, least: int, most: int) -> Column:

@@ -24,7 +24,7 @@ def fold(events: DataFrame, key: str, sequence: Sequence[str], fields: Mapping[s
 
 def outcome(needs_decision: Column, skipped: Column, success: Column) -> Column:
     """The final state, by precedence."""
-    return F.when(needs_decision, "needs_decision").when(skipped, "skipped").when(success, "completed").otherwise("failed")
+    return F.when(needs_decision, "needs_decision").when(skipped, "skipped").when(success, "done").otherwise("failed")
 
 
 def pass_percent(nth: Column, percent: Column, passes: Column) -> Column:
@@ -38,7 +38,7 @@ GROUPS = {
     "running": ("running", "analyzing", "encoding", "validating"),
     "failed": ("failed",),
     "needs_decision": ("needs_decision",),
-    "done": ("done", "completed"),
+    "done": ("done",),
     "skipped": ("skipped",),
     "cancelled": ("cancelled",),
 }
@@ -117,6 +117,11 @@ TRANSITIONS: dict[str, dict[str, object]] = {
     "needs_decision": {"status": "needs_decision", "finished_at": "@at", "file_percent": 100.0, "pass_percent": 100.0, "error": "@message"},
     "skip": {"status": "skipped", "finished_at": "@at", "file_percent": 100.0, "error": "@message"},
     "done": {"status": "done", "finished_at": "@at", "file_percent": 100.0, "pass_percent": 100.0, "pass_index": "@passes", "error": None},
+    "assign": {"backend": "@backend", "encoder": "@encoder"},
+    "decline": {"status": "skipped", "error": "@message"},
+    "accept": {"status": "done", "file_percent": 100.0, "error": None},
+    "rate": {"target_rate": "@rate"},
+    "pending": {"error": "@message"},
 }
 
 
@@ -133,7 +138,8 @@ def transition(rows: DataFrame, commands: DataFrame, key: str, order: str, smart
         sets = {c: fields[name] for c, fields in TRANSITIONS.items() if name in fields}
         if name != key and sets:
             takes = F.col("command").isin(*sets)
-            value = F.struct(F.col("command").alias("c"), F.col("at").alias("at"), short.alias("m"))
+            told = [F.col(n) if n in commands.columns else F.lit(None).cast(kind).alias(n) for n, kind in (("backend", "string"), ("encoder", "string"), ("rate", "long"))]
+            value = F.struct(F.col("command").alias("c"), F.col("at").alias("at"), short.alias("m"), *told)
             last.append(F.max_by(F.when(takes, value), F.when(takes, F.col(order))).alias(f"__{name}"))
     folded = known.groupBy(key).agg(*last)
     joined = rows.join(folded, key, "left")
@@ -144,7 +150,7 @@ def transition(rows: DataFrame, commands: DataFrame, key: str, order: str, smart
         for command, fields in TRANSITIONS.items():
             if name in fields:
                 what = fields[name]
-                places = {"@at": by["at"], "@message": by["m"], "@passes": F.greatest(F.col("total_passes"), F.lit(1)) if "total_passes" in held else F.lit(1)}
+                places = {"@at": by["at"], "@message": by["m"], "@backend": by["backend"], "@encoder": by["encoder"], "@rate": by["rate"], "@passes": F.greatest(F.col("total_passes"), F.lit(1)) if "total_passes" in held else F.lit(1)}
                 places["@waiting"] = F.when(F.col(smart), "waiting_analysis").otherwise("queued") if smart in held else F.lit("queued")
                 places["@working"] = F.when(F.col(smart), "waiting_analysis").otherwise("encoding") if smart in held else F.lit("encoding")
                 value = places[what] if isinstance(what, str) and what in places else F.lit(what)
@@ -195,37 +201,70 @@ def event_fields(state: Column, **given: Column) -> dict[str, Column]:
     return out
 
 
-# Which states an action applies to, and the state it leads to.
-ACTIONS = {
-    "skip": (("needs_decision",), "skipped"),
-    "reanalyze": (("needs_decision",), "@waiting"),
-    "reselect": (("needs_decision",), "queued"),
-    "retry": (("failed", "cancelled", "needs_decision"), "@waiting"),
-    "accept": (("needs_decision",), "done"),
-    "discard": (("needs_decision",), "skipped"),
-    "cancel": (("queued", "waiting_analysis", "analyzing", "encoding"), "cancelled"),
+def inserted(rows: DataFrame, plan: DataFrame, key: str, skip_reason: str, smart: Column, two_pass: Column | None = None) -> DataFrame:
+    """``rows`` and the first states of the planned rows whose key they do not hold;
+    columns that only one side has are null on the other."""
+    new = initial(plan, skip_reason, smart, two_pass).join(rows.select(key), key, "left_anti")
+    return rows.unionByName(new, allowMissingColumns=True)
+
+
+#: Which states an action applies to, and the commands (see ``TRANSITIONS``) it stands for.
+#: ``@aside``: only where an output was kept aside (``rejected``); ``@decided``: only where
+#: none was.
+ACTIONS: dict[str, tuple[tuple[str, ...], str | None, tuple[str, ...]]] = {
+    "skip": (("needs_decision",), "@decided", ("decline",)),
+    "reanalyze": (("needs_decision",), "@decided", ("retry",)),
+    "reselect": (("needs_decision",), "@decided", ("rate", "retry")),
+    "retry": (("failed", "cancelled", "needs_decision"), None, ("retry",)),
+    "accept": (("needs_decision",), "@aside", ("accept",)),
+    "discard": (("needs_decision",), "@aside", ("decline",)),
+    "cancel": (("queued", "waiting_analysis", "analyzing", "encoding"), None, ("cancel",)),
 }
 
 
 def apply_actions(rows: DataFrame, actions: DataFrame, key: str, order: str, smart: str = "smart") -> DataFrame:
-    """``rows`` after the actions of their keys (key, order, action), one after the
-    other, each where the state it finds allows it; ``applied`` counts those.  A key's
-    actions are few (people give them) and are folded as one array; other rows and unknown
-    actions change nothing."""
-    given = actions.where(F.col("action").isin(*ACTIONS)).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("action").alias("a")))).alias("__acts"))
-    joined = rows.join(given, key, "left")
-    waiting = F.when(F.col(smart), "waiting_analysis").otherwise("queued") if smart in rows.columns else F.lit("queued")
+    """``rows`` after the actions of their keys (key, order, action, and where known
+    ``found``, ``requires_analysis``, ``rate``, ``message``, ``at``), one after the other, each where
+    the state it finds allows it; ``applied`` counts those.
+
+    An action changes the fields that its transition changes.  ``reselect`` sets the rate
+    and the row waits again where a rate was ``found``, waits again to be analysed where that
+    is required, and else stays pending with the reason as its error.  Which actions apply
+    is decided from the states alone: a key's actions are few (people give them) and are
+    folded as one array; what they change is one aggregation, as in :func:`transition`."""
+    told = {"found": "boolean", "requires_analysis": "boolean", "rate": "long", "message": "string", "at": "double"}
+    given = actions.select(key, F.col(order).cast("long").alias("o"), F.col("action").alias("a"), *(F.col(n).cast(k).alias(n) if n in actions.columns else F.lit(None).cast(k).alias(n) for n, k in told.items()))
+    given = given.where(F.col("a").isin(*ACTIONS)).withColumn("keeps", (F.col("a") == "reselect") & ~F.coalesce("found", F.lit(False)) & ~F.coalesce("requires_analysis", F.lit(False)))
+    acts = given.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("o", "a", "keeps"))).alias("acts"))
+    aside = F.col("rejected").isNotNull() if "rejected" in rows.columns else None
+    smart_ = F.coalesce(F.col(smart), F.lit(False)) if smart in rows.columns else F.lit(False)
+    states = rows.select(key, "status", smart_.alias("smart"), (F.lit(None).cast("boolean") if aside is None else aside).alias("aside")).join(acts, key)
+    waiting = F.when(F.col("smart"), "waiting_analysis").otherwise("queued")
+    leads = {"decline": F.lit("skipped"), "accept": F.lit("done"), "cancel": F.lit("cancelled"), "retry": waiting}
 
     def step(held: Column, act: Column) -> Column:
-        status, n = held["s"], held["n"]
         to = F.lit(None).cast("string")
-        for name, (states, new) in ACTIONS.items():
-            to = F.when((act["a"] == name) & status.isin(*states), waiting if new == "@waiting" else F.lit(new)).otherwise(to)
-        return F.struct(F.coalesce(to, status).alias("s"), (n + F.when(to.isNotNull(), 1).otherwise(0)).alias("n"))
-
-    start = F.struct(F.col("status").alias("s"), F.lit(0).alias("n"))
-    done = F.aggregate(F.coalesce(F.col("__acts"), F.array().cast("array<struct<o:long,a:string>>")), start, step)
-    return joined.withColumn("__done", done).withColumns({"status": F.col("__done.s"), "applied": F.col("__done.n")}).drop("__acts", "__done")
+        for name, (from_, which, commands) in ACTIONS.items():
+            may = held["s"].isin(*from_)
+            if which:
+                may = may & F.coalesce(F.col("aside") == F.lit(which == "@aside"), F.lit(True)) & (held["first"] if which == "@aside" else F.lit(True))
+            to = F.when((act["a"] == name) & may, F.when(act["keeps"], held["s"]).otherwise(leads[commands[-1]])).otherwise(to)
+        done = F.when(to.isNotNull(), F.concat(held["done"], F.array(act["o"]))).otherwise(held["done"])
+        return F.struct(F.coalesce(to, held["s"]).alias("s"), done.alias("done"), (held["first"] & (to.isNull() | act["keeps"])).alias("first"))
+
+    start = F.struct(F.col("status").alias("s"), F.array().cast("array<bigint>").alias("done"), F.lit(True).alias("first"))
+    effective = states.select(key, F.explode(F.aggregate("acts", start, step)["done"]).alias("o"))
+    kept = effective.join(given, [key, "o"])
+    commands = F.when(F.col("keeps"), F.array(F.lit("pending")))
+    for name, (_, _, names) in ACTIONS.items():
+        whole = F.array(*(F.lit(c) for c in names))
+        if name == "reselect":
+            whole = F.when(F.coalesce("found", F.lit(False)), whole).otherwise(F.array(F.lit("retry")))
+        commands = F.when((F.col("a") == name) & ~F.col("keeps"), whole).otherwise(commands)
+    each = kept.select(key, "o", F.posexplode(commands).alias("nth", "command"), "at", "message", "rate").withColumn("o", F.col("o") * 4 + F.col("nth"))
+    counts = effective.groupBy(key).agg(F.count("*").cast("int").alias("applied"))
+    out = transition(rows, each, key, "o", smart).join(counts, key, "left")
+    return out.withColumn("applied", F.coalesce("applied", F.lit(0)))
 
 
 def end_state(status: Column) -> Column:
@@ -241,5 +280,5 @@ def rows_that(status: Column) -> dict[str, Column]:
         "executable": status.isin("queued", "waiting_analysis"),
         "removable": ~status.isin(*GROUPS["running"]),
         "retryable": status.isin("failed", "cancelled"),
-        "completed": status.isin(*GROUPS["done"], *GROUPS["skipped"]),
+        "completed": status.isin(*GROUPS["done"], *GROUPS["skipped"], *GROUPS["cancelled"]),
     }

@@ -524,7 +524,7 @@ def lifecycle(t):
     return state.transition(rows, commands, "c_custkey", "seq").select("c_custkey", "status", "pass_percent", "error")
 
 
-@query("select event_id, case when event_type = 'view' then 'needs_decision' when event_type = 'signup' then 'skipped' when value > 40 then 'completed' else 'failed' end as outcome, round(least(100.0, greatest(0.0, (event_id % 2 + least(100.0, value) / 100) / 2 * 100)), 6) as percent from events")
+@query("select event_id, case when event_type = 'view' then 'needs_decision' when event_type = 'signup' then 'skipped' when value > 40 then 'done' else 'failed' end as outcome, round(least(100.0, greatest(0.0, (event_id % 2 + least(100.0, value) / 100) / 2 * 100)), 6) as percent from events")
 def terminal_state(t):
     """Outcome by precedence, progress over two passes."""
     e = F.col("event_type")
@@ -606,7 +606,7 @@ def short_text(t):
 @query("""
     select p_partkey, case when p_size % 4 = 3 then null else round_even(p_size * case p_size % 4 when 0 then 1000 when 1 then 1000000 else 1 end, 0)::bigint end as rate,
            case p_size % 4 when 0 then floor((p_size + 0.98765::double) * 1000)::bigint when 1 then 0 when 2 then p_size::bigint * 1000000000 end as rate_down,
-           p_size + 0.5::double as speed, p_size * 3600 + 120 + 3.5::double as clock, p_size / 1001.0::double as fraction, case when p_size % 2 = 0 then p_size else 0 end::bigint as lenient from part where p_size > 0""")
+           case when p_size % 3 = 0 then null when p_size % 3 = 1 then p_size + 0.5::double end as speed, p_size * 3600 + 120 + 3.5::double as clock, p_size / 1001.0::double as fraction, case when p_size % 2 = 0 then p_size else 0 end::bigint as lenient from part where p_size > 0""")
 def parse_units(t):
     """Numbers in text."""
     s, n = F.col("p_size").cast("string"), F.col("p_size")
@@ -615,7 +615,7 @@ def parse_units(t):
         "p_partkey",
         X.parse_rate(F.concat(s, unit)).alias("rate"),
         X.parse_rate_down(F.when(n % 4 == 0, F.concat(s, F.lit(".98765K "))).when(n % 4 == 1, "0m").when(n % 4 == 2, F.concat(s, F.lit("g"))).otherwise(F.concat(s, F.lit("q")))).alias("rate_down"),
-        X.parse_speed(F.concat(s, F.lit(".5x"))).alias("speed"),
+        X.parse_speed(F.when(n % 3 == 0, F.concat(s, F.lit(".5"))).when(n % 3 == 1, F.concat(s, F.lit(".5x"))).otherwise("0x")).alias("speed"),
         X.parse_clock(F.concat(s, F.lit(":2:3.50"))).alias("clock"),
         X.parse_fraction(F.concat(s, F.lit("/1001"))).alias("fraction"),
         X.lenient_long(F.when(n % 2 == 0, F.concat(s, F.lit(".7"))).otherwise("x")).alias("lenient"),

@@ -119,10 +119,14 @@ def entry_diagnostics(t):
     return rows.select("page_id", R.first_reason([(F.col("known").isNull(), "unknown key"), (F.length("url") % 5 == 0, "not text"), (F.col("url").contains("?") != (F.col("page_id") % 2 == 0), "placeholders differ")]).alias("reason"))
 
 
-@query("select c_custkey, replace(replace('{name} has {n} of {rest}', '{name}', c_name), '{n}', c_custkey::varchar) as text, list_sort(list_distinct(regexp_extract_all('{name} has {n} of {rest}', '[{](\\w+)[}]', 1)))[1] as first_name from customer")
+@query("""
+    select c_custkey, case c_custkey % 5 when 0 then c_name || ' has ' || c_custkey when 1 then '{name} has {n} of {rest}' when 2 then '{' || c_name || '} {x' when 3 then '{name} {n:>5}' else '{name} } {n}' end as text,
+           case c_custkey % 5 when 2 then 'name' else 'n' end as first_name from customer""")
 def template_text(t):
-    """Templates filled by name; a missing name stays as it is."""
-    template = F.lit("{name} has {n} of {rest}")
+    """Templates filled by name, all names or none: one that is missing, a format
+    or a lone brace leaves the template as it is."""
+    forms = ["{name} has {n}", "{name} has {n} of {rest}", "{{{name}}} {{x", "{name} {n:>5}", "{name} } {n}"]
+    template = F.element_at(F.array(*(F.lit(f) for f in forms)), (F.col("c_custkey") % 5 + 1).cast("int"))
     return t("customer").select("c_custkey", R.filled(template, {"name": F.col("c_name"), "n": F.col("c_custkey").cast("string")}).alias("text"), catalogs.placeholders(template)[0].alias("first_name"))
 
 
@@ -175,12 +179,13 @@ def identity_match(t):
     return rows.select("s_suppkey", same.alias("same"))
 
 
-@query("select o_orderkey, o_totalprice <= 200000 and o_orderkey % 7 <> 0 as accepted, case when o_orderstatus = 'P' then 'source is missing' when o_orderkey % 7 = 0 and o_orderkey % 2 = 0 then 'output exists' when o_orderkey % 10 = 0 then 'source and output are the same file' end as reason from orders")
+@query("select o_orderkey, case when o_totalprice > 200000 then '/out/a.b/' || o_orderkey || '.size-miss-xxxxxxxx.mp4' when o_orderkey % 7 <> 0 then '/out/a.b/' || o_orderkey || '.mp4' end as to_path, o_totalprice <= 200000 and o_orderkey % 7 <> 0 as accepted, case when o_orderstatus = 'P' then 'source is missing' when o_orderkey % 7 = 0 and o_orderkey % 2 = 0 then 'output exists' when o_orderkey % 10 = 0 then 'source and output are the same file' end as reason from orders")
 def publish_reasons(t):
     """Accepted outputs, and why a source isn't copied."""
     key = F.col("o_orderkey")
-    rows = t("orders").select(key, (F.col("o_orderstatus") != "P").alias("source_exists"), F.lit("a").alias("source"), F.when(key % 10 == 0, "a").otherwise("b").alias("target"), (key % 7 == 0).alias("target_exists"), (key % 2 == 1).alias("overwrite"), F.col("o_totalprice").alias("size"), F.lit(200000.0).alias("most"), key.cast("string").alias("path"))
-    return sinks.copy_reasons(sinks.publish_split(rows, "most", "size", "path")).select("o_orderkey", "accepted", "reason")
+    rows = t("orders").select(key, (F.col("o_orderstatus") != "P").alias("source_exists"), F.lit("a").alias("source"), F.when(key % 10 == 0, "a").otherwise("b").alias("target"), (key % 7 == 0).alias("target_exists"), (key % 2 == 1).alias("overwrite"), F.col("o_totalprice").alias("size"), F.lit(200000.0).alias("most"), F.concat(F.lit("/out/a.b/"), key.cast("string"), F.lit(".mp4")).alias("path"))
+    to = F.regexp_replace("to", r"(size-miss-)[0-9a-f]{8}\.", "$1xxxxxxxx.")
+    return sinks.copy_reasons(sinks.publish_split(rows, "most", "size", "path")).select("o_orderkey", to.alias("to_path"), "accepted", "reason")
 
 
 @query("""
@@ -219,17 +224,35 @@ def sidecar_targets(t):
 
 
 @query("""
-    select o_custkey, case when bool_or(o_orderkey % 7 in (1, 2)) then 'running' when bool_or(o_orderkey % 7 = 3) then 'decision_pending' else 'idle' end as state,
-           count(*) filter (o_orderkey % 7 in (0)) executable, count(*) filter (o_orderkey % 7 not in (1, 2)) removable, count(*) filter (o_orderkey % 7 = 4) retryable, count(*) filter (o_orderkey % 7 in (5, 6)) completed from orders group by o_custkey""")
+    select o_custkey, case when bool_or(o_orderkey % 8 in (1, 2)) then 'running' when bool_or(o_orderkey % 8 = 3) then 'decision_pending' else 'idle' end as state,
+           count(*) filter (o_orderkey % 8 in (0)) executable, count(*) filter (o_orderkey % 8 not in (1, 2)) removable, count(*) filter (o_orderkey % 8 in (4, 7)) retryable, count(*) filter (o_orderkey % 8 in (5, 6, 7)) completed from orders group by o_custkey""")
 def queue_states(t):
     """What may be done with the rows of a queue, and where it stands."""
-    names = ["queued", "analyzing", "encoding", "needs_decision", "failed", "done", "skipped"]
-    status = F.element_at(F.array(*(F.lit(x) for x in names)), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    names = ["queued", "analyzing", "encoding", "needs_decision", "failed", "done", "skipped", "cancelled"]
+    status = F.element_at(F.array(*(F.lit(x) for x in names)), (F.col("o_orderkey") % 8 + 1).cast("int"))
     rows = t("orders").select("o_custkey", status.alias("status"))
     that = S.rows_that(F.col("status"))
     return rows.groupBy("o_custkey").agg(S.end_state(F.col("status")).alias("state"), *(F.count_if(c).alias(k) for k, c in that.items()))
 
 
+@query("""
+    with o as (select o_orderkey k, o_orderkey % 8 s, (o_orderkey // 8) % 7 a, o_orderkey % 3 = 0 aside, o_orderkey % 5 f, case when o_orderkey % 2 = 0 then 'waiting_analysis' else 'queued' end waits from orders),
+    d as (select *, case when a in (0, 1, 2) and s = 3 and not aside then ['skip', 'retry', case when f in (0, 1) then 'retry' else 'pending' end][a + 1] when a = 3 and s in (3, 4, 7) then 'retry'
+                         when a = 4 and s = 3 and aside then 'accept' when a = 5 and s = 3 and aside then 'skip' when a = 6 and s in (0, 1, 2) then 'cancel' end c from o)
+    select k as o_orderkey, case when c = 'skip' then 'skipped' when c = 'retry' then waits when c = 'accept' then 'done' when c = 'cancel' then 'cancelled' else ['queued', 'analyzing', 'encoding', 'needs_decision', 'failed', 'done', 'skipped', 'cancelled'][s + 1] end as status,
+           case when c in ('skip', 'cancel', 'pending') then 'because of ' || k when c in ('retry', 'accept') then null else 'old' end as error, case c when 'retry' then 0.0 when 'accept' then 100.0 else 50.0 end::double as file_percent,
+           case when c = 'retry' then 0.0 else 30.0 end::double as pass_percent, case when a = 2 and c = 'retry' and f = 0 then k else 7 end::bigint as target_rate, (c is not null)::int as applied from d""")
+def decision_actions(t):
+    """What people decide about queue rows, and the fields that changes."""
+    key = F.col("o_orderkey")
+    names = ["queued", "analyzing", "encoding", "needs_decision", "failed", "done", "skipped", "cancelled"]
+    told = ["skip", "reanalyze", "reselect", "retry", "accept", "discard", "cancel"]
+    at = lambda values, n: F.element_at(F.array(*(F.lit(v) for v in values)), (n + 1).cast("int"))
+    rows = t("orders").select("o_orderkey", at(names, key % 8).alias("status"), (key % 2 == 0).alias("smart"), F.when(key % 3 == 0, "kept aside").alias("rejected"), F.lit("old").alias("error"), F.lit(50.0).alias("file_percent"), F.lit(30.0).alias("pass_percent"), F.lit(7).cast("long").alias("target_rate"))
+    acts = t("orders").select("o_orderkey", F.lit(1).alias("n"), at(told, F.floor(key / 8) % 7).alias("action"), (key % 5 == 0).alias("found"), (key % 5 == 1).alias("requires_analysis"), key.cast("long").alias("rate"), F.concat(F.lit("because of "), key.cast("string")).alias("message"))
+    return S.apply_actions(rows, acts, "o_orderkey", "n").select("o_orderkey", "status", "error", "file_percent", "pass_percent", "target_rate", "applied")
+
+
 @query("select o_orderkey, row_number() over (partition by o_custkey order by o_orderkey <> first, o_orderkey) as place from (select *, max(o_orderkey) over (partition by o_custkey) first from orders)")
 def move_to_front(t):
     """One row moved to the front, the others in order."""

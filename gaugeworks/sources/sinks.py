@@ -16,9 +16,25 @@ from gaugeworks.functions.expr import classify_line, file_name, parent, stem, su
 RECEIPT = "fingerprint string, schema_version int, source string, windows array<struct<pool:string,start:double,size:double>>, candidates array<struct<rate:long,minimum:double,scores:array<double>>>"
 
 
-def fingerprint(columns: Sequence[str]) -> Column:
-    """SHA-256 of a row's fields in name order, nulls kept."""
-    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
+def canonical(column: Column, kind: DataType) -> Column:
+    """A value whose names are in order on every level: structs by field, maps by key."""
+    if isinstance(kind, StructType):
+        inner = F.struct(*(canonical(column[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)))
+        return F.when(column.isNotNull(), inner)
+    if isinstance(kind, ArrayType):
+        return F.transform(column, lambda x: canonical(x, kind.elementType))
+    if isinstance(kind, MapType):
+        turned = F.transform_values(column, lambda _, v: canonical(v, kind.valueType))
+        return F.map_from_entries(F.array_sort(F.map_entries(turned), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)))
+    return column
+
+
+def fingerprint(columns: Sequence[str], schema: StructType | None = None) -> Column:
+    """SHA-256 of a row's fields in name order, nulls kept.  With the row's
+    ``schema`` the names inside its fields are put in order too: equal records have equal
+    keys, however they are nested."""
+    fields = [canonical(F.col(c), schema[c].dataType).alias(c) if schema else F.col(c) for c in sorted(columns)]
+    return F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)
 
 
 FINGERPRINT = r"[0-9a-f]{64}"
@@ -48,10 +64,11 @@ def finite(df: DataFrame) -> Column:
 def save_receipts(receipts: DataFrame, folder: str) -> None:
     """K1: one partition a fingerprint, replaced as a whole; other receipts stay.  A
     receipt with a malformed fingerprint or a number that is not finite fails the write
-    before anything is replaced.  Fields are written in name order."""
+    before anything is replaced.  Fields are written in name order on every level."""
     good = F.coalesce(F.col("fingerprint").rlike(f"^{FINGERPRINT}$"), F.lit(False)) & finite(receipts)
     checked = receipts.withColumn("fingerprint", F.when(good, F.col("fingerprint")).otherwise(F.raise_error(F.lit("not a valid receipt"))))
-    checked.select(*sorted(receipts.columns)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("fingerprint").json(folder)
+    ordered = [canonical(F.col(f"`{c}`"), receipts.schema[c].dataType).alias(c) for c in sorted(receipts.columns)]
+    checked.select(*ordered).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("fingerprint").json(folder)
 
 
 def valid_receipt(version: int = 5) -> Column:
@@ -135,14 +152,16 @@ def output_lines(row: DataFrame) -> DataFrame:
 
 
 def publish_split(outputs: DataFrame, limit: str, size: str, path: str) -> DataFrame:
-    """K6: where each output goes: its own path if small enough, else a ``size-miss`` name
-    of eight hex digits beside it.  An own path that exists by now (``target_exists``, if
+    """K6: where each output goes: its own path if small enough, else beside it under its
+    name with ``size-miss`` and eight hex digits before the suffix.  An own path that exists by now (``target_exists``, if
     such a column is there) is refused: ``to`` is null."""
     token = F.substring(F.sha2(F.concat_ws("|", path, F.col(size).cast("string")), 256), 1, 8)
     fits = F.col(limit).isNull() | (F.col(size) <= F.col(limit))
     free = ~F.coalesce(F.col("target_exists"), F.lit(False)) if "target_exists" in outputs.columns else F.lit(True)
     own = F.when(free, F.col(path))
-    return outputs.withColumn("accepted", fits & free).withColumn("to", F.when(fits, own).otherwise(F.concat(F.col(path), F.lit(".size-miss-"), token)))
+    folder = F.substr(F.col(path), F.lit(1), F.length(path) - F.length(file_name(F.col(path))))
+    missed = F.concat(folder, stem(F.col(path)), F.lit(".size-miss-"), token, suffix(F.col(path)))
+    return outputs.withColumn("accepted", fits & free).withColumn("to", F.when(fits, own).otherwise(missed))
 
 
 def copy_reasons(skipped: DataFrame) -> DataFrame:
@@ -292,19 +311,26 @@ def clear_receipts(spark: SparkSession, folder: str) -> int:
     return sum(files.delete(p, True) for p in found)
 
 
-# The fields of a measurement's key besides those of its settings, and what
-# the key of a decision adds.
-MEASURED_BY = ["source", "ffmpeg", "codec", "encoder", "backend", "preset", "pix_fmt", "two_pass", "maxrate_factor", "bufsize_factor", "sample_scheme_version"]
-MEASURED_SETTINGS = ["whole_video_max_sec", "scout_duration_sec", "scout_multiplier", "scout_max_windows", "sample_duration_sec", "sample_count_under_10m", "sample_count_10_to_60m", "sample_count_60_to_180m", "sample_count_over_180m", "holdout_window_count", "holdout_window_count_over_180m", "search_min_windows", "search_max_windows", "holdout_target_min", "holdout_target_max", "reserve_window_count", "max_refinement_rounds"]
-MEASURED_MEDIA = ["source_width", "source_height", "source_fps", "source_pix_fmt", "source_bit_depth", "candidate_encode_width", "candidate_encode_height", "candidate_encode_bit_depth"]
-MEASURED_WITH = ["vmaf_generation", "vmaf_resolution_mode", "viewing_context", "vmaf_pooling", "temporal_drop_tolerance", "risk_vector_version", "adaptive_planner_version", "size_prediction_version", "vmaf_model", "vmaf_hfr", "vmaf_display_width", "vmaf_display_height", "vmaf_measurement_pix_fmt", "vmaf_measurement_bit_depth", "vmaf_measurement_pipeline_version", "vmaf_scale_algorithm", "vmaf_aspect_policy", "vmaf_subsample", "vmaf_backend", "analysis_algorithm_version"]
+# The fields of a measurement's key, and those of a decision's key.
+MEASURED_BY = [
+    "source", "ffmpeg", "codec", "encoder", "backend", "preset",
+    "pix_fmt", "two_pass", "maxrate_factor", "bufsize_factor", "sample_scheme_version", "whole_video_max_sec",
+    "scout_duration_sec", "scout_multiplier", "scout_max_windows", "sample_duration_sec", "sample_count_under_10m", "sample_count_10_to_60m",
+    "sample_count_60_to_180m", "sample_count_over_180m", "holdout_window_count", "holdout_window_count_over_180m", "search_min_windows", "search_max_windows",
+    "holdout_target_min", "holdout_target_max", "reserve_window_count", "max_refinement_rounds", "source_width", "source_height",
+    "source_fps", "source_pix_fmt", "source_bit_depth", "candidate_encode_width", "candidate_encode_height", "candidate_encode_bit_depth",
+    "vmaf_generation", "vmaf_resolution_mode", "viewing_context", "vmaf_pooling", "temporal_drop_tolerance", "risk_vector_version",
+    "adaptive_planner_version", "size_prediction_version", "vmaf_model", "vmaf_hfr", "vmaf_display_width", "vmaf_display_height",
+    "vmaf_measurement_pix_fmt", "vmaf_measurement_bit_depth", "vmaf_measurement_pipeline_version", "vmaf_scale_algorithm", "vmaf_aspect_policy", "vmaf_subsample",
+    "vmaf_backend", "analysis_algorithm_version",
+]
 DECIDED_BY = ["measurement_fingerprint", "min_vmaf", "max_output_ratio", "audio_mode", "audio_bitrate", "min_video_kbps", "max_video_kbps", "container", "coarse_max_candidates", "exact_max_candidates", "coarse_vmaf_subsample", "exact_vmaf_subsample", "min_search_tolerance_bps", "search_tolerance_ratio", "preferred_vmaf_margin", "analysis_algorithm_version"]
 
 
 def measurement_key() -> Column:
     """The key of everything that changes a measurement: the same key, the same
     measurement.  Policies are not in it."""
-    return fingerprint([*MEASURED_BY, *MEASURED_SETTINGS, *MEASURED_MEDIA, *MEASURED_WITH])
+    return fingerprint(MEASURED_BY)
 
 
 def decision_key() -> Column:

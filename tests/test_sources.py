@@ -2,6 +2,7 @@
 
 import io
 import json
+import re
 import tarfile
 import zipfile
 from concurrent.futures import ThreadPoolExecutor
@@ -133,8 +134,10 @@ def test_outputs(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "n")).count() == 2
     K.write_table_text(row, str(tmp_path / "c"), {"note": "note", "first": "items[0]"})
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).columns == ["note", "first"]
-    out = spark.createDataFrame([("p", 5, 10), ("q", 11, 10)], "path string, n long, most long")
-    assert [(r.accepted, r.to == r.path) for r in K.publish_split(out, "most", "n", "path").collect()] == [(True, True), (False, False)]
+    out = spark.createDataFrame([("p", 5, 10), ("/a.b/q", 11, 10), ("/a.b/q.x.mp4", 11, 10)], "path string, n long, most long")
+    fits, bare, named = K.publish_split(out, "most", "n", "path").collect()
+    assert (fits.accepted, fits.to) == (True, "p") and not bare.accepted
+    assert re.fullmatch(r"/a\.b/q\.size-miss-[0-9a-f]{8}", bare.to) and re.fullmatch(r"/a\.b/q\.x\.size-miss-[0-9a-f]{8}\.mp4", named.to)
 
 
 def test_presets_and_settings(spark, tmp_path):
@@ -218,7 +221,7 @@ def test_summary_is_one_file_with_sorted_keys(spark, tmp_path):
 
 
 def test_keys_and_receipts(spark, tmp_path):
-    names = [*K.MEASURED_BY, *K.MEASURED_SETTINGS, *K.MEASURED_MEDIA, *K.MEASURED_WITH]
+    names = list(K.MEASURED_BY)
     assert len(names) == len(set(names)) == 56
     decided = [c for c in K.DECIDED_BY if c not in names and c != "measurement_fingerprint"]
     rows = spark.createDataFrame([tuple(range(len(names) + len(decided)))], [*names, *decided])
@@ -242,6 +245,33 @@ def test_actions_apply_where_the_state_allows(spark):
     assert [(r.status, r.file_percent, r.total_passes) for r in state.initial(plan, "skip", F.col("smart"), ~F.col("smart")).collect()] == [("skipped", 100.0, 1), ("waiting_analysis", 0.0, 1), ("queued", 0.0, 2)]
 
 
+def test_a_decision_changes_the_fields_of_its_row(spark):
+    from gaugeworks.operators import state
+
+    schema = "k string, status string, smart boolean, rejected string, error string, file_percent double, target_rate long, started_at double"
+    rows = spark.createDataFrame([(k, "needs_decision", True, r, "old", 80.0, 5, 3.0) for k, r in (("a", None), ("b", None), ("c", None), ("d", "x"), ("e", "x"), ("f", "x"))], schema)
+    acts = [("a", 1, "reselect", False, False, None, "too large"), ("a", 2, "reselect", True, None, 9, None), ("a", 3, "skip", None, None, None, None), ("b", 1, "reselect", False, True, None, None), ("c", 1, "reselect", False, False, None, "nothing fits"), ("d", 1, "accept", None, None, None, None), ("e", 1, "skip", None, None, None, None), ("f", 1, "retry", None, None, None, None), ("f", 2, "accept", None, None, None, None)]
+    given = spark.createDataFrame(acts, "k string, n long, action string, found boolean, requires_analysis boolean, rate long, message string")
+    got = {r.k: (r.status, r.error, r.file_percent, r.target_rate, r.started_at, r.applied) for r in state.apply_actions(rows, given, "k", "n").collect()}
+    assert got["a"] == ("waiting_analysis", None, 0.0, 9, None, 2) and got["b"] == ("waiting_analysis", None, 0.0, 5, None, 1)
+    assert got["c"] == ("needs_decision", "nothing fits", 80.0, 5, 3.0, 1) and got["d"] == ("done", None, 100.0, 5, 3.0, 1)
+    assert got["e"] == ("needs_decision", "old", 80.0, 5, 3.0, 0) and got["f"] == ("waiting_analysis", None, 0.0, 5, None, 1)
+    plan = spark.createDataFrame([("a", None), ("g", "too short")], "k string, why string")
+    more = {r.k: (r.status, r.error) for r in state.inserted(rows.select("k", "status", "error"), plan, "k", "why", F.lit(True)).collect()}
+    assert more["a"] == ("needs_decision", "old") and more["g"] == ("skipped", "too short")
+    assign = spark.createDataFrame([("a", 1, "assign", 1.0, None, "gpu", "x265")], "k string, n long, command string, at double, message string, backend string, encoder string")
+    held = rows.withColumns({"backend": F.lit("cpu"), "encoder": F.lit(None).cast("string")})
+    assert [(r.backend, r.encoder) for r in state.transition(held, assign, "k", "n").where("k < 'c'").orderBy("k").collect()] == [("gpu", "x265"), ("cpu", None)]
+
+
+def test_equal_records_have_equal_keys(spark):
+    a = spark.sql("select named_struct('b', 1, 'a', array(named_struct('y', 2, 'x', map('q', 1, 'p', 2)))) as r, 5 as n")
+    b = spark.sql("select 5 as n, named_struct('a', array(named_struct('x', map('p', 2, 'q', 1), 'y', 2)), 'b', 1) as r")
+    other = spark.sql("select 5 as n, named_struct('a', array(named_struct('x', map('p', 1, 'q', 2), 'y', 2)), 'b', 1) as r")
+    keys = [df.select(K.fingerprint(df.columns, df.schema)).first()[0] for df in (a, b, other)]
+    assert keys[0] == keys[1] != keys[2]
+
+
 def test_events_say_what_they_say(spark):
     from gaugeworks.operators import state
 
