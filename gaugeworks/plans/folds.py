@@ -3,18 +3,18 @@ brute force in the tests."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.expr import predicted_size
-from gaugeworks.operators import intervals, ranks, rounds, sampling_plan, search, sizes
+from gaugeworks.operators import intervals, ranks, rounds, sampling_plan, search, sizes, state
 from gaugeworks.plans.queries import SQL as PLAN_SQL
 from gaugeworks.plans.queries import table
-from gaugeworks.plans.shared import Tables, settled
-from gaugeworks.streaming import fold
+from gaugeworks.plans.shared import Tables, settled, shared_folder
+from gaugeworks.streaming import fold, live
 
 
 def scout_grid(orders: DataFrame, slots: int = 32, length: float = 600.0) -> DataFrame:
@@ -105,13 +105,57 @@ def calibrated_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("source", F.size("observed").alias("windows"), "mean_rate", "upper_rate", "predicted_bytes", (F.col("predicted_bytes") <= F.col("most")).alias("fits"))
 
 
+def live_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/live_{uuid.uuid4().hex[:12]}"
+
+
 def live_state_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R1 as a stream: the same state as the batch fold."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    """R1 as a stream: the same state as the batch fold, written by changes."""
+    folder = live_folder(spark)
     fields = {"last_type": F.col("event_type"), "last_large": F.when(F.col("value") > 50, F.col("value")), "last_event": F.col("event_id")}
-    stream = fold.live_fold(fold.read_events(spark, f"{sf_dir}/events.parquet"), "user_id", ["event_id"], fields)
-    return fold.settled(stream, f"{root}/live_{uuid.uuid4().hex[:12]}")
+    live.kept_changes(live.changes(fold.read_events(spark, f"{sf_dir}/events.parquet"), "user_id", ["event_id"], fields), folder)
+    return live.current(spark, folder, "user_id", list(fields))
+
+
+#: What an event says of its user's row in a queue.
+EVENT_STATUS = {"view": "analyzing", "click": "encoding", "signup": "done", "error": "failed"}
+
+
+def queue_fields() -> dict[str, Column]:
+    status = F.lit("queued")
+    for kind, name in EVENT_STATUS.items():
+        status = F.when(F.col("event_type") == kind, name).otherwise(status)
+    return {"status": status, "percent": F.floor(F.least(F.lit(100.0), F.greatest(F.lit(0.0), "value"))).cast("double")}
+
+
+def queue_shares(get: Callable[[str], Column]) -> dict[str, Column]:
+    """What a row adds to the totals of its queue."""
+    status, percent = get("status"), F.coalesce(get("percent"), F.lit(0.0))
+    groups = {f"n_{g}": status.isin(*states).cast("int") for g, states in state.GROUPS.items()}
+    return {"n": F.lit(1), **groups, "finished": F.round(state.progress_share(status, percent) * 100).cast("long")}
+
+
+def live_queue_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of the queue, kept after every batch by what its changes take away and
+    add."""
+    folder, batches = live_folder(spark), []
+    totals = live.Totals(spark, folder, queue_shares)
+
+    def each(changed: DataFrame, n: int) -> None:
+        totals(changed, n)
+        batches.append(n)
+
+    live.kept_changes(live.changes(fold.read_events(spark, f"{sf_dir}/events.parquet"), "user_id", ["event_id"], queue_fields()), folder, each)
+    names = ["n", *(f"n_{g}" for g in state.GROUPS), "finished"]
+    last = totals.after(batches[-1]) if batches else {}
+    return spark.createDataFrame([tuple(int(last.get(k, 0)) for k in names)], ", ".join(f"{k} long" for k in names))
+
 
+LIVE_QUEUE = """
+    with s as (select user_id, arg_max(event_type, event_id) filter (event_type is not null) t, arg_max(value, event_id) filter (value is not null) v from events where user_id is not null group by user_id),
+    q as (select case t when 'view' then 'analyzing' when 'click' then 'encoding' when 'signup' then 'done' when 'error' then 'failed' else 'queued' end s, floor(least(100.0, greatest(0.0, coalesce(v, 0)))) p from s)
+    select count(*) n, count(*) filter (s = 'queued') n_queued, count(*) filter (s in ('analyzing', 'encoding')) n_running, count(*) filter (s = 'failed') n_failed, 0::bigint n_needs_decision, count(*) filter (s = 'done') n_done,
+           0::bigint n_skipped, 0::bigint n_cancelled, coalesce(sum(case when s = 'done' then 100 else p end), 0)::bigint finished from q"""
 
-QUERIES = {f.__name__: f for f in (sample_plan, aligned_plan, search_trace, verified_rounds, calibrated_sizes, live_state_fold)}
-SQL = {"live_state_fold": PLAN_SQL["state_fold"]}
+QUERIES = {f.__name__: f for f in (sample_plan, aligned_plan, search_trace, verified_rounds, calibrated_sizes, live_state_fold, live_queue_metrics)}
+SQL = {"live_state_fold": PLAN_SQL["state_fold"], "live_queue_metrics": LIVE_QUEUE}
