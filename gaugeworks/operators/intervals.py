@@ -1,49 +1,94 @@
 """Joins and folds on intervals of an axis, within a key.
 
-Overlap and containment joins get an equality: each interval is put into every bucket
-of the axis it touches, and a pair counts only in the later of the two first buckets,
-so no join is a nested loop and no pair comes twice."""
+Overlap and containment joins get an equality from bins of every size: an interval lies in
+one or two bins of the power of two that is just as long as it, and so in one or two of
+every greater one.  Of two intervals that meet, the longer one's own bins are among the
+bins of that size that the shorter one touches.  So each interval is in a few rows for
+every size that occurs, however long it is and wherever it lies, no join is a nested loop,
+and a pair counts only in the later of the two first bins, so none comes twice."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EPS = 1e-9
+#: Powers of two that bins have: shorter intervals count as the least, others as the
+#: greatest, in which all finite numbers are in bin -1 or 0.
+LEAST, GREATEST = -20, 1000
 
 
-def _bucketed(df: DataFrame, start: str, end: str, width: float) -> DataFrame:
-    first, last = F.floor(F.col(start) / width), F.floor(F.col(end) / width)
-    return df.withColumn("__first", first).withColumn("__bucket", F.explode(F.sequence(first, last)))
+def level_of(low: Column, high: Column) -> Column:
+    """The power of two from which bins are as long as the interval."""
+    return F.when(high - low < 2.0**GREATEST, F.greatest(F.lit(LEAST), F.ceil(F.log2(F.greatest(high - low, F.lit(2.0**LEAST)))))).otherwise(F.lit(GREATEST)).cast("int")
 
 
-def overlap_join(left: DataFrame, right: DataFrame, key: str, width: float) -> DataFrame:
+def bin_of(at: Column, level: Column) -> Column:
+    place = F.when(level < GREATEST, F.floor(at / F.pow(F.lit(2.0), level)))
+    return F.coalesce(place, F.when(at < 0, -1).otherwise(0)).cast("long")
+
+
+def levels_in(*tables: DataFrame) -> list[int]:
+    """The levels that occur, a few dozen at most: all that reaches the driver."""
+    found: set[int] = set()
+    for df in tables:
+        found |= set(df.agg(F.collect_set("__level")).first()[0])
+    return sorted(found)
+
+
+def levelled(df: DataFrame, key: str, start: str = "start", end: str = "end") -> DataFrame:
+    """(key, id, start, end) with bounds in order and their level; rows without bounds go."""
+    rows = df.select(key, "id", F.col(start).cast("double").alias("start"), F.col(end).cast("double").alias("end"))
+    rows = rows.where(F.col("start").isNotNull() & F.col("end").isNotNull())
+    rows = rows.withColumns({"__low": F.least("start", "end"), "__high": F.greatest("start", "end")})
+    return rows.withColumn("__level", level_of(F.col("__low"), F.col("__high")))
+
+
+def in_bins(rows: DataFrame, levels: list[int]) -> DataFrame:
+    """A row for every bin of the levels from an interval's own on that it touches:
+    ``__at`` its level, ``__first`` the first bin, ``__bin`` and ``__own``, whether the level
+    is its own."""
+    at = F.explode(F.filter(F.array(*(F.lit(n) for n in levels)), lambda n: n >= F.col("__level"))) if levels else F.explode(F.array().cast("array<int>"))
+    placed = rows.withColumn("__at", at)
+    placed = placed.withColumns({"__first": bin_of(F.col("__low"), F.col("__at")), "__last": bin_of(F.col("__high"), F.col("__at")), "__own": F.col("__at") == F.col("__level")})
+    return placed.withColumn("__bin", F.explode(F.sequence("__first", "__last"))).drop("__last", "__low", "__high", "__level")
+
+
+def overlap_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Pairs of intervals of one key that overlap by more than rounding.  Both sides
-    have (key, id, start, end); right columns get the suffix ``_r``."""
-    a = _bucketed(left.select(key, "id", "start", "end"), "start", "end", width)
-    b = _bucketed(right.select(key, "id", "start", "end"), "start", "end", width)
-    b = b.select(F.col(key), F.col("id").alias("id_r"), F.col("start").alias("start_r"), F.col("end").alias("end_r"), F.col("__first").alias("__first_r"), "__bucket")
-    joined = a.join(b, [key, "__bucket"])
-    once = F.col("__bucket") == F.greatest("__first", "__first_r")
+    have (key, id, start, end), of any length and order; right columns get the suffix
+    ``_r``.  Rows with a null bound meet nothing."""
+    a, b = levelled(left, key), levelled(right, key)
+    levels = levels_in(a, b)
+    a, b = in_bins(a, levels), in_bins(b, levels)
+    b = b.select(key, F.col("id").alias("id_r"), F.col("start").alias("start_r"), F.col("end").alias("end_r"), F.col("__first").alias("__first_r"), F.col("__own").alias("__own_r"), "__at", "__bin")
+    once = (F.col("__bin") == F.greatest("__first", "__first_r")) & (F.col("__own") | F.col("__own_r"))
     meets = (F.col("start") < F.col("end_r") - EPS) & (F.col("start_r") < F.col("end") - EPS)
-    return joined.where(once & meets).select(key, "id", "start", "end", "id_r", "start_r", "end_r")
+    columns = [key, "id", "start", "end", "id_r", "start_r", "end_r"]
+    # the longer of two has its own bins; of two of one level the left one does
+    longer = a.where("__own").join(b, [key, "__at", "__bin"]).where(once & meets).select(*columns)
+    shorter = a.where("not __own").join(b.where("__own_r"), [key, "__at", "__bin"]).where(once & meets).select(*columns)
+    return longer.unionByName(shorter)
 
 
-def overlap_anti(left: DataFrame, right: DataFrame, key: str, width: float) -> DataFrame:
+def overlap_anti(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """The intervals of ``left`` that overlap none of ``right``; ids are unique in a key."""
-    hit = overlap_join(left, right, key, width).select(key, "id").distinct()
+    hit = overlap_join(left, right, key).select(key, "id").distinct()
     return left.join(hit, [key, "id"], "left_anti")
 
 
-def points_inside(intervals: DataFrame, points: DataFrame, key: str, width: float) -> DataFrame:
+def points_inside(intervals: DataFrame, points: DataFrame, key: str) -> DataFrame:
     """(key, id, point): points strictly inside an interval."""
-    a = _bucketed(intervals.select(key, "id", "start", "end"), "start", "end", width)
-    p = points.select(key, "point", F.floor(F.col("point") / width).alias("__bucket"))
+    a = levelled(intervals, key)
+    levels = levels_in(a)
+    a = in_bins(a, levels).where("__own")
+    at = F.explode(F.array(*(F.lit(n) for n in levels))) if levels else F.explode(F.array().cast("array<int>"))
+    p = points.select(key, "point").where(F.col("point").isNotNull()).withColumn("__at", at).withColumn("__bin", bin_of(F.col("point"), F.col("__at")))
     inside = (F.col("point") > F.col("start") + EPS) & (F.col("point") < F.col("end") - EPS)
-    return a.join(p, [key, "__bucket"]).where(inside).select(key, "id", "point")
+    return a.join(p, [key, "__at", "__bin"]).where(inside).select(key, "id", "point")
 
 
 def capacity(df: DataFrame, key: str) -> DataFrame:

@@ -300,9 +300,9 @@ def _windows(t, days, where="true"):
 @query(f"""
     select a.k, a.id, b.id as id_r from {WIN30} a join {WIN30} b on a.k = b.k and a.id < b.id and a.start < b."end" - 1e-9 and b.start < a."end" - 1e-9""")
 def interval_overlap(t):
-    """Overlapping pairs, by time buckets."""
+    """Overlapping pairs, by bins of every size."""
     w = _windows(t, 30)
-    return intervals.overlap_join(w, w, "k", 60 * DAY).where("id < id_r").select("k", "id", "id_r")
+    return intervals.overlap_join(w, w, "k").where("id < id_r").select("k", "id", "id_r")
 
 
 @query(f"""
@@ -310,7 +310,7 @@ def interval_overlap(t):
     where not exists (select 1 from {WIN30} b join orders p on p.o_orderkey = b.id and p.o_orderstatus = 'P' where b.k = a.k and a.start < b."end" - 1e-9 and b.start < a."end" - 1e-9)""")
 def anti_overlap(t):
     """Windows that overlap no protected one."""
-    return intervals.overlap_anti(_windows(t, 30, "o_orderstatus <> 'P'"), _windows(t, 30, "o_orderstatus = 'P'"), "k", 60 * DAY).select("k", "id")
+    return intervals.overlap_anti(_windows(t, 30, "o_orderstatus <> 'P'"), _windows(t, 30, "o_orderstatus = 'P'"), "k").select("k", "id")
 
 
 @query(f"""
@@ -319,7 +319,7 @@ def anti_overlap(t):
 def point_in_interval(t):
     """Points strictly inside windows."""
     points = t("orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k"), seconds("o_orderdate").alias("point"))
-    return intervals.points_inside(_windows(t, 60), points, "k", 120 * DAY)
+    return intervals.points_inside(_windows(t, 60), points, "k")
 
 
 @query(f"""
