@@ -9,10 +9,10 @@ and a pair counts only in the later of the two first bins, so none comes twice."
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS = 1e-9
@@ -91,14 +91,30 @@ def points_inside(intervals: DataFrame, points: DataFrame, key: str) -> DataFram
     return a.join(p, [key, "__at", "__bin"]).where(inside).select(key, "id", "point")
 
 
-def capacity(df: DataFrame, key: str) -> DataFrame:
-    """The most intervals of each key that don't overlap: by earliest end, then start,
+#: Rows of a key up to which its fold is one pass of one task.
+FOLD_ROWS = 1 << 17
+
+
+def capacity(df: DataFrame, key: str, settle: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """G1: the most intervals of each key that don't overlap: by earliest end, then start,
     then id, each one that the last taken leaves free.
 
-    The rows of a key reach the fold sorted and are read as a stream, so a key may be
-    longer than memory."""
-    schema = df.select(key, "id", "start", "end").schema
-    ordered = df.select(key, "id", "start", "end").repartition(key).sortWithinPartitions(key, "end", "start", "id")
+    A key of at most ``FOLD_ROWS`` rows is one sorted pass; the choices of longer ones are
+    found by all tasks (:func:`chained`)."""
+    rows = df.select(key, "id", "start", "end")
+    counts = rows.groupBy(key).count()
+    hot = settle(counts.where(F.col("count") > FOLD_ROWS))
+    if hot.isEmpty():
+        return folded(rows, key)
+    wide = [F.col(key).eqNullSafe(F.col("__hot"))]
+    named = hot.select(F.col(key).alias("__hot"))
+    short = rows.join(named, wide, "left_anti")
+    return folded(short, key).unionByName(chained(rows.join(named, wide, "left_semi"), key, settle))
+
+
+def folded(df: DataFrame, key: str) -> DataFrame:
+    """The choices of each key by a fold over its sorted rows, read as a stream."""
+    ordered = df.repartition(key).sortWithinPartitions(key, "end", "start", "id")
 
     def fold(batches: Iterator[Any]) -> Iterator[Any]:
         now, free = object(), 0.0
@@ -112,7 +128,52 @@ def capacity(df: DataFrame, key: str) -> DataFrame:
                 keep.append(take)
             yield batch[keep]
 
-    return ordered.mapInPandas(fold, schema)
+    return ordered.mapInPandas(fold, df.schema)
+
+
+def next_free(rows: DataFrame, key: str, settle: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(key, n, to): for every interval the one that is taken next if it is taken: the first
+    by (end, start, id) of those that begin after its end.
+
+    Begins and ends stand in one line, dealt by ranges of it, so a key is spread over tasks:
+    each takes the least of what follows within its range, and what later ranges have
+    comes as one row a range.  An interval no longer than rounding may begin after an end
+    and yet be before that one in the order; such are looked up in a second line, the order
+    itself."""
+    order = F.struct("end", "start", "id", "n")
+    kind = rows.select(order.alias("o")).schema["o"].dataType
+    none, tiny = F.lit(None).cast(kind), F.col("end") - F.col("start") <= EPS
+    place = lambda which, a, b, c, o: [key, F.lit(which).alias("which"), a.alias("a"), b.alias("b"), c.cast(rows.schema["id"].dataType).alias("c"), "n", o.alias("o")]
+    begins = rows.where(~tiny).select(*place(0, F.col("start"), F.lit(1.0), F.lit(None), order))
+    ends = rows.select(*place(0, F.col("end") - EPS, F.lit(0.0), F.lit(None), none))
+    ordered = rows.select(*place(1, F.col("end"), F.col("start"), F.col("id"), F.when(tiny, order)))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = begins.unionByName(ends).unionByName(ordered)
+    line = settle(both.repartitionByRange(parts, key, "which", "a", "b", "c", "n").withColumn("part", F.spark_partition_id()))
+    backwards = Window.partitionBy(key, "which", "part").orderBy(*(F.desc(c) for c in "abcn")).rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(key, "which").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = line.groupBy(key, "which", "part").agg(F.min("o").alias("least")).withColumn("beyond", F.min("least").over(later)).drop("least")
+    seen = line.withColumn("own", F.min("o").over(backwards)).where("which = 1 or b = 0.0").join(ranges, [key, "which", "part"])
+    return seen.groupBy(key, "n").agg(F.min(F.least("own", "beyond"))["n"].alias("to")).where("to is not null")
+
+
+def chained(df: DataFrame, key: str, settle: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The choices of keys of any length, whose ends are not before their starts: every interval points to the one that would be
+    taken next; pointers are doubled by joins until none is left, and from each key's first
+    interval the longest jumps mark the choices, then those half as long, and so on.  So many
+    joins as the logarithm of the longest chain."""
+    rows = settle(df.withColumn("n", F.monotonically_increasing_id()))
+    jumps = [settle(next_free(rows, key, settle))]
+    while True:
+        a, b = jumps[-1].select("n", F.col("to").alias("via"), key), jumps[-1].select(F.col("n").alias("via"), "to")
+        further = settle(a.join(b, "via").select(key, "n", "to"))
+        if further.isEmpty():
+            break
+        jumps.append(further)
+    taken = rows.groupBy(key).agg(F.min(F.struct("end", "start", "id", "n"))["n"].alias("n")).select("n")
+    for step in reversed(jumps):
+        taken = settle(taken.unionByName(step.join(taken, "n").select(F.col("to").alias("n"))))
+    return rows.join(taken, "n").select(*df.columns)
 
 
 def align_to_segments(windows: DataFrame, parts: DataFrame, key: str) -> DataFrame:
@@ -124,8 +185,6 @@ def align_to_segments(windows: DataFrame, parts: DataFrame, key: str) -> DataFra
     Segments of a key don't overlap, so the nearest one is the last that begins at or
     before the window or the first that begins after it, among those of sufficient size:
     one sorted pass each way over a key and size."""
-    from pyspark.sql import Window
-
     fixed = F.coalesce(F.col("fixed"), F.lit(False)) if "fixed" in windows.columns else F.lit(False)
     sized = windows.select(key, "id", "start", (F.col("end") - F.col("start")).alias("__size"), fixed.alias("__fixed"))
     s = parts.select(F.col(key), F.col("start").alias("s"), F.col("end").alias("e"))
@@ -150,8 +209,6 @@ def align_to_segments(windows: DataFrame, parts: DataFrame, key: str) -> DataFra
 def nearest_distance(candidates: DataFrame, anchors: DataFrame, key: str, at: str, default) -> DataFrame:
     """(candidate columns, distance): to the nearest anchor of the key, found as the
     neighbour on either side in one sorted pass; ``default`` without anchors."""
-    from pyspark.sql import Window
-
     both = candidates.select("*", F.lit(False).alias("__anchor")).unionByName(anchors.select(key, at, F.lit(True).alias("__anchor")), allowMissingColumns=True)
     before = Window.partitionBy(key).orderBy(at).rangeBetween(Window.unboundedPreceding, 0)
     after = Window.partitionBy(key).orderBy(at).rangeBetween(0, Window.unboundedFollowing)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import expr as X
 from gaugeworks.operators import catalogs, evaluation, intervals, ranks, robust, selection, series, sizes, state
+from gaugeworks.plans.shared import settled
 from gaugeworks.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -331,7 +332,7 @@ def point_in_interval(t):
     select k, id from taken""")
 def capacity(t):
     """G1: the most windows that don't overlap."""
-    return intervals.capacity(_windows(t, 90), "k").select("k", "id")
+    return intervals.capacity(_windows(t, 90), "k", settled).select("k", "id")
 
 
 def _aligned(t):

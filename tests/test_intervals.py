@@ -3,6 +3,7 @@
 import random
 
 from gaugeworks.operators import intervals as I
+from gaugeworks.plans.shared import settled
 
 INF = float("inf")
 
@@ -47,3 +48,26 @@ def test_a_long_interval_is_in_few_rows(spark):
     rows = I.levelled(frame(spark, [(0, 1, 0.0, 1e9), (0, 2, 3.0, 103.0), (0, 3, -INF, INF)]), "k")
     counts = {r.id: r["count"] for r in I.in_bins(rows, I.levels_in(rows)).groupBy("id").count().collect()}
     assert all(n <= 2 * 3 for n in counts.values())
+
+
+def taken(rows):
+    out, free = [], {}
+    for k, i, start, end in sorted(rows, key=lambda r: (r[3], r[2], r[1])):
+        if k not in free or start >= free[k] - 1e-9:
+            out.append((k, i))
+            free[k] = end
+    return sorted(out)
+
+
+def test_capacity_of_long_keys_equals_the_fold(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = []
+    for n in range(900):
+        start = rng.choice([rng.uniform(0, 3000), float(rng.randint(0, 40))])
+        rows.append((rng.choice([0, 0, 0, 1, 2]), n, start, start + rng.choice([0.0, 1.0, rng.uniform(0, 30), 2000.0])))
+    rows += [(3, 1, 0.0, 1.0), (3, 2, 1.0, 2.0), (3, 3, 1.0, 2.0), (4, 1, 5.0, 5.0), (4, 2, 5.0, 5.0)]
+    want = taken(rows)
+    for most in (1 << 17, 100, 0):
+        monkeypatch.setattr(I, "FOLD_ROWS", most)
+        got = I.capacity(frame(spark, rows), "k", settled)
+        assert got.columns == ["k", "id", "start", "end"] and sorted((r.k, r.id) for r in got.collect()) == want

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from gaugeworks.functions import expr as X
 from gaugeworks.functions import rules as R
 from gaugeworks.operators import catalogs, evaluation, intervals, ranks, robust, sampling_plan, search, series, sizes, state
+from gaugeworks.plans.shared import settled
 
 
 def one(spark, column, **values):
@@ -225,7 +226,7 @@ def test_moved_windows_stay_apart():
 def test_capacity_is_the_most_there_can_be(spark):
     rng = random.Random(8)
     rows = [(k, i, float(s), float(s + rng.randint(1, 9))) for k in range(6) for i, s in enumerate(rng.choices(range(20), k=7))]
-    got = intervals.capacity(spark.createDataFrame(rows, "k long, id long, start double, end double"), "k").groupBy("k").count().collect()
+    got = intervals.capacity(spark.createDataFrame(rows, "k long, id long, start double, end double"), "k", settled).groupBy("k").count().collect()
     for r in got:
         own = [x for x in rows if x[0] == r.k]
         best = 0
