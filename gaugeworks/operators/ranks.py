@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.plans.shared import settled
+
 
 def midrank(df: DataFrame, metric: str, key: Sequence[str] = (), out: str = "midrank") -> DataFrame:
     """``df`` with the mid-rank of ``metric`` in 0..1 within ``key``: ties share the mean
@@ -21,8 +22,9 @@ def midrank(df: DataFrame, metric: str, key: Sequence[str] = (), out: str = "mid
 
 def _ranged(df: DataFrame, parts: int, order: Sequence[str]) -> DataFrame:
     """``df`` dealt into ranges, with the range as ``__p``.  Both readers must see the
-    same bounds, which are sampled, so the ranges are kept on disk once dealt."""
-    return df.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    same bounds, which are sampled, so the ranges are written once dealt: a lost executor
+    costs nothing of them."""
+    return settled(df.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id()))
 
 
 def global_midrank(df: DataFrame, metric: str, out: str = "midrank", parts: int | None = None) -> DataFrame:
