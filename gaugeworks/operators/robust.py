@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 
 #: Slopes held at a time.
 HELD = 1 << 20
+#: Rows up to which all slopes are computed, again for each of four digits.
+SQUARE_ROWS = 1 << 13
 
 
 def slope_blocks(x: np.ndarray, y: np.ndarray, least_gap: float) -> Iterator[np.ndarray]:
@@ -67,16 +69,46 @@ def slopes_at_most(x: np.ndarray, y: np.ndarray, slope: float) -> int:
     return pairs_not_rising(z) - int((tied * (tied - 1) // 2).sum())
 
 
+def by_digits(x: np.ndarray, y: np.ndarray, least_gap: float) -> float | None:
+    """The median of the slopes of all pairs, exactly: the middle ones are found 16 bits at a
+    time from counts over all of them."""
+
+    def nth(k: int) -> float:
+        prefix = 0
+        for shift in (48, 32, 16, 0):
+            counts = np.zeros(1 << 16, np.int64)
+            for block in slope_blocks(x, y, least_gap):
+                u = block.view(np.uint64)
+                u = np.where(u >> np.uint64(63), ~u, u | np.uint64(1 << 63))  # in the order of the floats
+                if shift < 48:
+                    u = u[u >> np.uint64(shift + 16) == np.uint64(prefix)]
+                counts += np.bincount((u >> np.uint64(shift) & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16)
+            sums = np.cumsum(counts)
+            digit = int(np.searchsorted(sums, k, "right"))
+            k -= int(sums[digit] - counts[digit])
+            prefix = prefix << 16 | digit
+        bits = prefix ^ (1 << 63) if prefix >> 63 else ~prefix & (1 << 64) - 1
+        return float(np.array([bits], np.uint64).view(np.float64)[0])
+
+    n = sum(map(len, slope_blocks(x, y, least_gap)))
+    if not n:
+        return None
+    return nth(n // 2) if n % 2 else (nth(n // 2 - 1) + nth(n // 2)) / 2
+
+
 def slopes_median(x: np.ndarray, y: np.ndarray, least_gap: float = 1e-9) -> float | None:
     """Median slope over all pairs of ``x`` further apart than ``least_gap``.
 
-    Up to ``HELD`` pairs they are all held.  Of more, the middle ones are found by halving
-    between bounds that pairs of neighbours give, each time counting the slopes below in
-    n log n; so memory grows with the rows and time hardly faster.  ``x`` that differ by
-    less than ``least_gap`` count as the first of them there."""
+    Up to ``HELD`` pairs they are all held, and up to ``SQUARE_ROWS`` rows all are computed.
+    Beyond, the middle ones are found by narrowing bounds, each time counting the slopes
+    below in n log n, so memory grows with the rows and time hardly faster; the result is
+    right but for the rounding of what a line leaves, and ``x`` that differ by less than
+    ``least_gap`` count as the first of them."""
     if len(x) * (len(x) - 1) // 2 <= HELD:
         slopes = np.concatenate([np.zeros(0), *slope_blocks(x, y, least_gap)])
         return float(np.median(slopes)) if len(slopes) else None
+    if len(x) <= SQUARE_ROWS:
+        return by_digits(x, y, least_gap)
     order = np.argsort(x, kind="stable")
     x, y = x[order], y[order]
     x = x[np.maximum.accumulate(np.where(np.append(True, np.diff(x) > least_gap), np.arange(len(x)), 0))]

@@ -25,9 +25,11 @@ def test_median_slope_equals_all_pairs(monkeypatch, n):
             want = np.median(np.concatenate([np.zeros(0), *R.slope_blocks(np.sort(x), y[np.argsort(x, kind="stable")], 1e-9)]))
             with monkeypatch.context() as m:
                 m.setattr(R, "HELD", 0)
+                m.setattr(R, "SQUARE_ROWS", 0)
                 assert R.slopes_median(x, y) == pytest.approx(want, rel=1e-9, abs=1e-9)
     with monkeypatch.context() as m:
         m.setattr(R, "HELD", 0)
+        m.setattr(R, "SQUARE_ROWS", 0)
         assert R.slopes_median(np.ones(n), np.arange(n, dtype=float)) is None
 
 
