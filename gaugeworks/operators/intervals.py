@@ -15,6 +15,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.operators.longkeys import LONG, Keys
+
 EPS = 1e-9
 #: Powers of two that bins have: shorter intervals count as the least, others as the
 #: greatest, in which all finite numbers are in bin -1 or 0.
@@ -206,13 +208,13 @@ def align_to_segments(windows: DataFrame, parts: DataFrame, key: str) -> DataFra
     return best.select(key, "id", new.alias("new_start"), (F.abs(new - F.col("start")) > EPS).alias("moved"), within.alias("held"))
 
 
-def nearest_distance(candidates: DataFrame, anchors: DataFrame, key: str, at: str, default) -> DataFrame:
-    """(candidate columns, distance): to the nearest anchor of the key, found as the
-    neighbour on either side in one sorted pass; ``default`` without anchors."""
+def nearest_distance(candidates: DataFrame, anchors: DataFrame, key: str, at: str, default, long: int = LONG) -> DataFrame:
+    """(candidate columns, distance): to the nearest anchor of the key, found as the
+    neighbour on either side in sorted passes, which go by ranges for keys of more than
+    ``long`` rows; ``default`` without anchors."""
     both = candidates.select("*", F.lit(False).alias("__anchor")).unionByName(anchors.select(key, at, F.lit(True).alias("__anchor")), allowMissingColumns=True)
-    before = Window.partitionBy(key).orderBy(at).rangeBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(key).orderBy(at).rangeBetween(0, Window.unboundedFollowing)
-    mark = F.when(F.col("__anchor"), F.col(at))
-    below, above = F.max(mark).over(before), F.min(mark).over(after)
-    near = F.least(F.col(at) - below, above - F.col(at))
-    return both.withColumn("distance", F.coalesce(near, F.lit(default))).where(~F.col("__anchor")).drop("__anchor")
+    mark, keys = F.when(F.col("__anchor"), F.col(at)), Keys(both, key, long)
+    sides = keys.running(both, [at], {"__below": ("max", mark)}, peers=True)
+    sides = keys.running(sides, [at], {"__above": ("min", mark)}, after=True, peers=True)
+    near = F.least(F.col(at) - F.col("__below"), F.col("__above") - F.col(at))
+    return sides.withColumn("distance", F.coalesce(near, F.lit(default))).where(~F.col("__anchor")).drop("__anchor", "__below", "__above")

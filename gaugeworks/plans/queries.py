@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import expr as X
-from gaugeworks.operators import catalogs, evaluation, intervals, ranks, robust, selection, series, sizes, state
+from gaugeworks.operators import catalogs, evaluation, intervals, longkeys, ranks, robust, selection, series, sizes, state
 from gaugeworks.plans.shared import settled
 from gaugeworks.sources import readers
 
@@ -84,7 +84,7 @@ def case_regret(t):
 @query("select user_id, quantile_disc(value, 0.9) p90, quantile_disc(value, 0.1) p10 from events group by user_id")
 def nearest_rank_p90_p10(t):
     """A1, A2."""
-    return t("events").groupBy("user_id").agg(series.nearest_rank("value", 0.9).alias("p90"), series.nearest_rank("value", 0.1).alias("p10"))
+    return longkeys.nearest_ranks(t("events"), "user_id", "value", {"p90": 0.9, "p10": 0.1})
 
 
 @query("""
