@@ -14,6 +14,7 @@ from gaugeworks.operators import intervals, ranks, rounds, sampling_plan, search
 from gaugeworks.plans.queries import SQL as PLAN_SQL
 from gaugeworks.plans.queries import table
 from gaugeworks.plans.shared import Tables, settled, shared_folder
+from gaugeworks.sources import readers
 from gaugeworks.streaming import fold, live
 
 
@@ -50,6 +51,16 @@ def aligned_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling_plan.aligned_plans(plans, moved, "source", size)
 
 
+def frame_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as frame logs, written as text and read back by ranges of bytes."""
+    folder = f"{shared_folder(spark)}/frames_{uuid.uuid4().hex[:12]}"
+    events = table(spark, sf_dir, "events")
+    lines = F.format_string("frame:%d pts:%d\nvalue=%s\nkind=%s\nuser=%s", "event_id", "event_id", *(F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in ("value", "event_type", "user_id")))
+    events.select(lines.alias("line")).write.text(folder)
+    found = readers.frame_logs(spark, folder)
+    return found.select("frame", F.col("values")["value"].alias("value"), F.col("values")["user"].cast("long").alias("user"), F.col("bad").cast("long").alias("bad"))
+
+
 def search_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bracketed searches over measured curves."""
     rows = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_totalprice").cast("long").alias("rate"), (F.col("o_totalprice") / 5000).alias("quality"))
@@ -157,5 +168,8 @@ LIVE_QUEUE = """
     select count(*) n, count(*) filter (s = 'queued') n_queued, count(*) filter (s in ('analyzing', 'encoding')) n_running, count(*) filter (s = 'failed') n_failed, 0::bigint n_needs_decision, count(*) filter (s = 'done') n_done,
            0::bigint n_skipped, 0::bigint n_cancelled, coalesce(sum(case when s = 'done' then 100 else p end), 0)::bigint finished from q"""
 
-QUERIES = {f.__name__: f for f in (sample_plan, aligned_plan, search_trace, verified_rounds, calibrated_sizes, live_state_fold, live_queue_metrics)}
-SQL = {"live_state_fold": PLAN_SQL["state_fold"], "live_queue_metrics": LIVE_QUEUE}
+#: A kind is no number, so each frame has one bad value at least.
+FRAME_LOGS = "select event_id as frame, value, user_id as \"user\", 1 + (value is null)::bigint + (user_id is null)::bigint as bad from events"
+
+QUERIES = {f.__name__: f for f in (frame_logs, sample_plan, aligned_plan, search_trace, verified_rounds, calibrated_sizes, live_state_fold, live_queue_metrics)}
+SQL = {"frame_logs": FRAME_LOGS, "live_state_fold": PLAN_SQL["state_fold"], "live_queue_metrics": LIVE_QUEUE}

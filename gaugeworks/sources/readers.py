@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import expr as X
 from gaugeworks.functions.rules import first_reason
+from gaugeworks.operators.series import number_records
 
 # Extensions of media and of sidecar files.
 MEDIA = ["mp4", "mkv", "avi", "mov", "wmv", "flv", "webm", "m4v", "ts", "m2ts", "mts", "mpg", "mpeg", "3gp", "ogv"]
@@ -93,14 +94,14 @@ def media_rows(probes: DataFrame, text: str = "value", size: str = "size") -> Da
     return rows.withColumns(out).drop("__p")
 
 
-def frame_records(lines: DataFrame, key: str, order: str, text: str = "value") -> DataFrame:
-    """One row a frame, (key, frame, values): ``frame:N`` begins a record and
-    ``key=value`` lines fill it.  ``bad`` counts values that are not finite numbers and
-    lines before the first frame."""
-    begins = F.regexp_extract(text, r"^frame:(\d+)", 1)
-    frame = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines.select(key, order, begins.alias("__b"), F.regexp_extract(text, r"^([^=\s]+)=(.*)$", 1).alias("__k"), F.regexp_extract(text, r"^([^=\s]+)=(.*)$", 2).alias("__v"))
-    marked = marked.withColumn("record", F.sum(F.when(F.col("__b") != "", 1).otherwise(0)).over(frame))
+def frame_entries(lines: DataFrame, *kept: str, text: str = "value") -> DataFrame:
+    """What lines of frame text say: ``__b`` the number where one begins a frame, else empty,
+    and the name and text of a ``key=value`` line."""
+    pair = r"^([^=\s]+)=(.*)$"
+    return lines.select(*kept, F.regexp_extract(text, r"^frame:(\d+)", 1).alias("__b"), F.regexp_extract(text, pair, 1).alias("__k"), F.regexp_extract(text, pair, 2).alias("__v"))
+
+
+def gathered_frames(marked: DataFrame, key: str) -> DataFrame:
     number = F.col("__v").try_cast("double")
     fine = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < float("inf"))
     entry = F.when((F.col("__k") != "") & fine & (F.col("record") > 0), F.struct("__k", number.alias("v")))
@@ -108,14 +109,72 @@ def frame_records(lines: DataFrame, key: str, order: str, text: str = "value") -
     return marked.groupBy(key, "record").agg(F.max("__b").try_cast("long").alias("frame"), F.map_from_entries(F.array_sort(F.collect_set(entry))).alias("values"), bad.alias("bad"))
 
 
+def frame_records(lines: DataFrame, key: str, order: str, text: str = "value") -> DataFrame:
+    """One row a frame, (key, frame, values): ``frame:N`` begins a record and
+    ``key=value`` lines fill it.  ``bad`` counts values that are not finite numbers and
+    lines before the first frame."""
+    marked = frame_entries(lines, key, order, text=text)
+    return gathered_frames(number_records(marked, key, [order], F.col("__b") != ""), key)
+
+
+def text_pieces(spark: SparkSession, folder: str, separator: str = "\n") -> DataFrame:
+    """(path, block, place, value): the pieces of text files between separators.  Spark reads
+    a file by ranges of bytes, each piece in the range where it begins; a range (``block``)
+    is read front to back, so ``place`` orders its pieces, and blocks order a file."""
+    found = spark.read.option("lineSep", separator).option("recursiveFileLookup", True).text(folder)
+    return found.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value")
+
+
+def numbered_pieces(pieces: DataFrame, begins: Column) -> DataFrame:
+    """``record``: how many pieces of the file that begin a record stand at or before each
+    one.  They are counted inside a range of bytes and added up over the ranges before it,
+    so a record cut at a border goes on under its number and no task holds a file."""
+    one = F.when(begins, 1).otherwise(0)
+    counts = pieces.groupBy("path", "block").agg(F.sum(one).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("path", "block", F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = F.sum(one).over(Window.partitionBy("path", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    return pieces.withColumn("__inside", inside).join(offsets, ["path", "block"]).withColumn("record", F.col("__before") + F.col("__inside")).drop("__before", "__inside")
+
+
+def frame_logs(spark: SparkSession, folder: str) -> DataFrame:
+    """``frame_records`` of the text files of a folder, key ``path``.  A file of any
+    size is read in ranges of ``spark.sql.files.maxPartitionBytes``."""
+    marked = frame_entries(text_pieces(spark, folder), "path", "block", "place")
+    return gathered_frames(numbered_pieces(marked, F.col("__b") != ""), "path")
+
+
+def judged_scores(rows: DataFrame, previous: Column) -> DataFrame:
+    fine = F.col("score").between(0, 100) & (previous.isNull() | (F.col("frame") > previous))
+    return rows.withColumn("valid", F.coalesce(fine, F.lit(False)))
+
+
 def frame_scores(texts: DataFrame, key: str, text: str = "value") -> DataFrame:
     """(key, pos, frame, score, valid) of score texts: the frame number defaults to
-    the place and must rise, the score lie in 0..100."""
+    the place and must rise, the score lie in 0..100.  A text is parsed whole; files of
+    any size are for ``score_files``."""
     each = texts.select(key, F.posexplode(F.from_json(text, SCORES)["frames"]).alias("pos", "f"))
     rows = each.select(key, "pos", F.coalesce("f.frameNum", F.col("pos").cast("long")).alias("frame"), F.col("f.metrics.vmaf").alias("score"))
-    before = F.lag("frame").over(Window.partitionBy(key).orderBy("pos"))
-    fine = F.col("score").between(0, 100) & (before.isNull() | (F.col("frame") > before))
-    return rows.withColumn("valid", F.coalesce(fine, F.lit(False)))
+    return judged_scores(rows, F.lag("frame").over(Window.partitionBy(key).orderBy("pos")))
+
+
+def score_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``frame_scores`` of the score files of a folder, key ``path``.  Files are read in
+    ranges of bytes, cut at closing braces; a piece with ``"metrics": {`` begins a frame, whose
+    number stands before it or in a piece after it.  Metrics are flat objects of numbers; a
+    frame without metrics has no row.  The frame before is found by a join on its place."""
+    inner = r'"metrics"\s*:\s*(\{[^{}]*)$'
+    number = r'"frameNum"\s*:\s*(\d+)'
+    pieces = text_pieces(spark, folder, "}").where("trim(value) <> ''")
+    cut = pieces.select("path", "block", "place", F.regexp_extract("value", inner, 1).alias("__m"), F.regexp_extract("value", r"(?s)^\s*[,{\[]?.*?" + number, 1).alias("__f"), F.col("value").rlike(r"^\s*,\s*" + number).alias("__after"))
+    begins = F.col("__m") != ""
+    marked = numbered_pieces(cut, begins).where("record > 0").where(begins | F.col("__after"))
+    score = F.from_json(F.concat("__m", F.lit("}")), "vmaf double")["vmaf"]
+    frames = marked.groupBy("path", "record").agg(F.max(F.when(begins, score)).alias("score"), F.max(F.nullif("__f", F.lit(""))).try_cast("long").alias("__frame"))
+    pos = (F.col("record") - 1).cast("int")
+    rows = frames.select("path", pos.alias("pos"), F.coalesce("__frame", pos.cast("long")).alias("frame"), "score")
+    earlier = rows.select("path", (F.col("pos") + 1).alias("pos"), F.col("frame").alias("__earlier"))
+    return judged_scores(rows.join(earlier, ["path", "pos"], "left"), F.col("__earlier")).drop("__earlier")
 
 
 def manifest_cases(spark: SparkSession, path: str) -> DataFrame:

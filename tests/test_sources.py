@@ -2,6 +2,7 @@
 
 import io
 import json
+import random
 import re
 import tarfile
 import zipfile
@@ -10,6 +11,7 @@ from concurrent.futures import ThreadPoolExecutor
 import pytest
 from pyspark.sql import functions as F
 
+from gaugeworks.plans.shared import settled
 from gaugeworks.sources import readers as R
 from gaugeworks.sources import sinks as K
 
@@ -74,6 +76,41 @@ def test_frame_scores(spark):
     assert got == [(0, 95.0, True), (1, 101.0, False), (0, 50.0, False)]
 
 
+@pytest.mark.parametrize("size", [64, 1000])
+def test_texts_by_ranges_of_bytes(spark, tmp_path, size):
+    """Files in many ranges give what one pass gives, wherever the borders fall."""
+    rng = random.Random(size)
+    logs, scores = tmp_path / "logs", tmp_path / "scores"
+    logs.mkdir(), scores.mkdir()
+    expected = {}
+    for name, n in (("a.log", 60), ("b.log", 1), ("c.log", 0)):
+        body = "early=1\n" + "".join(f"frame:{i} pts:{i}\n" + "".join(f"k{j}={rng.choice([i + j / 8, 'nan', 'oops'])}\n" for j in range(rng.randint(0, 4))) for i in range(n))
+        (logs / name).write_text(body)
+        expected[name] = body.splitlines()
+        frames = [{"frameNum": i + rng.choice([0, 0, -1]), "metrics": {"psnr": 1.5, "vmaf": rng.choice([50.0, 101.0, 99.5])}} for i in range(1, n + 1)]
+        for f in frames[::5]:
+            del f["frameNum"]
+        for f in frames[1::5]:
+            f["frameNum"] = f.pop("frameNum")  # after the metrics
+        text = json.dumps({"version": "1", "frames": frames, "pooled_metrics": {"vmaf": {"mean": 1.0}}}, indent=rng.choice([None, 2]))
+        (scores / name).write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        found, judged = (settled(f(spark, str(d))) for f, d in ((R.frame_logs, logs), (R.score_files, scores)))
+        assert R.text_pieces(spark, str(logs)).select("path", "block").distinct().count() > 3
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    name = F.regexp_extract("path", "([^/]+)$", 1)
+    rows = spark.createDataFrame([(k, i, v) for k, lines_ in expected.items() for i, v in enumerate(lines_)], "k string, i int, value string")
+    plain = R.frame_records(rows, "k", "i")
+    key = lambda r: (r[0], r.record, r.frame, sorted(r["values"].items()), r.bad)
+    assert sorted(map(key, found.withColumn("path", name).collect()), key=repr) == sorted(map(key, plain.collect()), key=repr)
+    whole = spark.createDataFrame([(n, (scores / n).read_text()) for n in expected], "k string, value string")
+    cells = ("pos", "frame", "score", "valid")
+    want = [(r.k, *(r[c] for c in cells)) for r in R.frame_scores(whole, "k").collect()]
+    assert sorted((r.k, *(r[c] for c in cells)) for r in judged.withColumn("k", name).collect()) == sorted(want) and len(want) == 61
+
+
 def test_manifest(spark, tmp_path):
     path = tmp_path / "m.json"
     path.write_text(json.dumps({"schema_version": 1, "cases": [{"id": "a", "command": ["x"]}, {"id": "b/..", "command": ["x"]}, {"id": "c"}, {"id": "d", "command": ["x"]}, {"id": "d", "command": ["x"]}]}))
