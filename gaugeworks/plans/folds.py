@@ -14,7 +14,7 @@ from gaugeworks.operators import intervals, ranks, rounds, sampling_plan, search
 from gaugeworks.plans.queries import SQL as PLAN_SQL
 from gaugeworks.plans.queries import table
 from gaugeworks.plans.shared import Tables, settled, shared_folder
-from gaugeworks.sources import readers
+from gaugeworks.sources import batches, readers, sinks
 from gaugeworks.streaming import fold, live
 
 
@@ -61,6 +61,20 @@ def frame_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("frame", F.col("values")["value"].alias("value"), F.col("values")["user"].cast("long").alias("user"), F.col("bad").cast("long").alias("bad"))
 
 
+def batch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1, K3, C4: results saved as batches, one of them tried again after it was there and
+    another after a compaction; later batches replace what earlier ones said of a key."""
+    held = batches.BatchLog(spark, f"{shared_folder(spark)}/batches_{uuid.uuid4().hex[:12]}", "key")
+    rows = table(spark, sf_dir, "customer").select(sinks.fingerprint(["c_custkey"]).alias("key"), "c_custkey", "c_nationkey", "c_acctbal")
+    held.append(rows, 0)
+    held.append(rows.where("c_nationkey % 2 = 0").withColumn("c_acctbal", F.col("c_acctbal") * 2), 1)
+    held.append(rows, 1)
+    held.compact()
+    held.append(rows.where("c_nationkey % 3 = 0").withColumn("c_acctbal", F.col("c_acctbal") * 4), 2)
+    held.append(rows, 0)
+    return held.rows().select("c_custkey", F.col("__batch").alias("batch"), F.round("c_acctbal", 4).alias("value"))
+
+
 def search_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bracketed searches over measured curves."""
     rows = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_totalprice").cast("long").alias("rate"), (F.col("o_totalprice") / 5000).alias("quality"))
@@ -171,5 +185,9 @@ LIVE_QUEUE = """
 #: A kind is no number, so each frame has one bad value at least.
 FRAME_LOGS = "select event_id as frame, value, user_id as \"user\", 1 + (value is null)::bigint + (user_id is null)::bigint as bad from events"
 
-QUERIES = {f.__name__: f for f in (frame_logs, sample_plan, aligned_plan, search_trace, verified_rounds, calibrated_sizes, live_state_fold, live_queue_metrics)}
-SQL = {"frame_logs": FRAME_LOGS, "live_state_fold": PLAN_SQL["state_fold"], "live_queue_metrics": LIVE_QUEUE}
+BATCH_LOG = """
+    select c_custkey, case when c_nationkey % 3 = 0 then 2 when c_nationkey % 2 = 0 then 1 else 0 end::bigint as batch,
+           round(c_acctbal * case when c_nationkey % 3 = 0 then 4 when c_nationkey % 2 = 0 then 2 else 1 end, 4) as value from customer"""
+
+QUERIES = {f.__name__: f for f in (frame_logs, batch_log, sample_plan, aligned_plan, search_trace, verified_rounds, calibrated_sizes, live_state_fold, live_queue_metrics)}
+SQL = {"frame_logs": FRAME_LOGS, "batch_log": BATCH_LOG, "live_state_fold": PLAN_SQL["state_fold"], "live_queue_metrics": LIVE_QUEUE}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, FloatType, MapType, StringType, StructField, StructType
 
 from gaugeworks.functions.expr import classify_line, file_name, parent, stem, suffix
+from gaugeworks.sources.batches import BatchLog
 
 RECEIPT = "fingerprint string, schema_version int, source string, windows array<struct<pool:string,start:double,size:double>>, candidates array<struct<rate:long,minimum:double,scores:array<double>>>"
 
@@ -61,14 +62,18 @@ def finite(df: DataFrame) -> Column:
     return reduce(lambda a, b: a & b, found) if found else F.lit(True)
 
 
+def checked_receipts(receipts: DataFrame) -> DataFrame:
+    """Receipts with fields in name order on every level; one that is not fit is an error."""
+    good = F.coalesce(F.col("fingerprint").rlike(f"^{FINGERPRINT}$"), F.lit(False)) & finite(receipts)
+    checked = receipts.withColumn("fingerprint", F.when(good, F.col("fingerprint")).otherwise(F.raise_error(F.lit("not a valid receipt"))))
+    return checked.select(*(canonical(F.col(f"`{c}`"), receipts.schema[c].dataType).alias(c) for c in sorted(receipts.columns)))
+
+
 def save_receipts(receipts: DataFrame, folder: str) -> None:
     """K1: one partition a fingerprint, replaced as a whole; other receipts stay.  A
     receipt with a malformed fingerprint or a number that is not finite fails the write
     before anything is replaced.  Fields are written in name order on every level."""
-    good = F.coalesce(F.col("fingerprint").rlike(f"^{FINGERPRINT}$"), F.lit(False)) & finite(receipts)
-    checked = receipts.withColumn("fingerprint", F.when(good, F.col("fingerprint")).otherwise(F.raise_error(F.lit("not a valid receipt"))))
-    ordered = [canonical(F.col(f"`{c}`"), receipts.schema[c].dataType).alias(c) for c in sorted(receipts.columns)]
-    checked.select(*ordered).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("fingerprint").json(folder)
+    checked_receipts(receipts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("fingerprint").json(folder)
 
 
 def valid_receipt(version: int = 5) -> Column:
@@ -92,6 +97,17 @@ def load_receipts(spark: SparkSession, folder: str, keys: DataFrame | None = Non
     return rows if keys is None else rows.join(keys, "fingerprint", "left_semi")
 
 
+def log_receipts(receipts: DataFrame, folder: str, batch: int) -> bool:
+    """K1 for very many receipts: one batch of a log, in few files, instead of a folder a
+    fingerprint.  Unfit receipts fail the batch; a batch that is there adds nothing."""
+    return BatchLog(receipts.sparkSession, folder, "fingerprint").append(checked_receipts(receipts), batch)
+
+
+def logged_receipts(spark: SparkSession, folder: str, keys: DataFrame | None = None) -> DataFrame:
+    """The latest consistent receipts of a log, of ``keys`` (fingerprint) if given."""
+    return BatchLog(spark, folder, "fingerprint").rows(keys).where(valid_receipt()).drop("__batch")
+
+
 def reuse(wanted: DataFrame, exact: DataFrame, measured: DataFrame) -> DataFrame:
     """C4: where each wanted (decision, measurement) pair's result comes from: an exact
     decision, a measurement to decide again on, or nothing yet."""

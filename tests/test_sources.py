@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from gaugeworks.plans.shared import settled
 from gaugeworks.sources import readers as R
 from gaugeworks.sources import sinks as K
+from gaugeworks.sources.batches import BatchLog
 
 
 def lines(spark, *text):
@@ -156,6 +157,38 @@ def test_receipts_fail_closed(spark, tmp_path):
     assert K.load_receipts(spark, folder).first().source == "new"
 
 
+def test_receipt_log(spark, tmp_path):
+    """Batches count once and whole; look-ups, few and many, find the latest."""
+    folder = str(tmp_path / "log")
+    w = [("search", 0.0, 5.0)]
+    made = lambda n, source: spark.range(n).select(F.sha2(F.col("id").cast("string"), 256).alias("fingerprint"), F.lit(5).alias("schema_version"), F.lit(source).alias("source"), F.from_json(F.lit(json.dumps([dict(zip(("pool", "start", "size"), w[0]))])), "array<struct<pool:string,start:double,size:double>>").alias("windows"), F.from_json(F.lit("[]"), "array<struct<rate:long,minimum:double,scores:array<double>>>").alias("candidates"))
+    assert K.log_receipts(made(3000, "old"), folder, 0) and not K.log_receipts(made(5000, "again"), folder, 0)
+    assert K.logged_receipts(spark, folder).count() == 3000
+    with pytest.raises(Exception, match="valid receipt"):
+        K.log_receipts(made(10, "x").withColumn("fingerprint", F.lit("zz")), folder, 1)
+    assert K.logged_receipts(spark, folder).count() == 3000
+    assert K.log_receipts(made(100, "new"), folder, 1)
+    log = BatchLog(spark, folder, "fingerprint")
+    for _ in range(2):
+        got = {r.source: r["count"] for r in K.logged_receipts(spark, folder).groupBy("source").count().collect()}
+        assert got == {"old": 2900, "new": 100}
+        for n, new in ((5, 5), (150, 100), (1000, 100)):
+            found = K.logged_receipts(spark, folder, made(n, "?").select("fingerprint"))
+            assert found.count() == n and found.where("source = 'new'").count() == new
+        log.compact()
+        assert not K.log_receipts(made(7, "late"), folder, 1)
+    assert len(list((tmp_path / "log" / "data").glob("*/*.parquet"))) < 20
+    assert K.log_receipts(made(1, "last"), folder, 2)
+    log.compact()
+    assert len(list((tmp_path / "log" / "log").glob("0*"))) == 3  # the last two summaries and what came between
+    assert K.logged_receipts(spark, folder).where("source = 'last'").count() == 1
+    (tmp_path / "log" / "log" / "000000000003").write_text('{"da')
+    assert K.log_receipts(made(2, "after"), folder, 3) and not K.log_receipts(made(2, "twice"), folder, 3)
+    assert K.logged_receipts(spark, folder).where("source = 'after'").count() == 2
+    with pytest.raises(FileNotFoundError):
+        BatchLog(spark, str(tmp_path / "none"), "fingerprint").rows()
+
+
 def test_reuse_ladder(spark):
     wanted = spark.createDataFrame([("d1", "m1"), ("d2", "m1"), ("d3", "m3")], "decision string, measurement string")
     got = K.reuse(wanted, spark.createDataFrame([("d1",)], "decision string"), spark.createDataFrame([("m1",)], "measurement string"))
