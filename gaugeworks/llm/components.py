@@ -2,7 +2,7 @@
 
 Each round is two aggregations and two joins on the links; rounds grow with the
 logarithm of the longest chain.  Links live in tables of the shared folder between
-rounds and never reach the driver, which sees a count and a checksum.
+rounds and never reach the driver, which sees a count and whether they are settled.
 """
 
 from __future__ import annotations
@@ -15,13 +15,20 @@ from gaugeworks.llm.cluster import discard, join_with_hot, written
 MOST_ROUNDS = 60
 
 
-def _signature(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _neighbours(links: DataFrame, loops: DataFrame) -> DataFrame:
+    """(u, m, n, below, above) of every node: the least of itself and its neighbours, and
+    how many links it has, to smaller nodes and to larger ones."""
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).unionByName(loops)
+    return both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"), F.count_if(F.col("v") < F.col("u")).alias("below"), F.count_if(F.col("v") > F.col("u")).alias("above"))
 
 
-def _least_neighbour(links: DataFrame, u: str, v: str) -> DataFrame:
-    """(u, m, n): the least neighbour of every node and its number of links."""
-    return links.groupBy(u).agg(F.min(v).alias("m"), F.count("*").alias("n"))
+def _small_star(links: DataFrame, total: int) -> DataFrame:
+    """Every node's smaller neighbours and itself, linked with the least of them."""
+    few = written(links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    moved = join_with_hot(links, few, ["u"], "n", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    out = written(moved.unionByName(few.select("u", F.col("m").alias("v"))).distinct(), "links")
+    discard(few)
+    return out
 
 
 def connected_components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -29,34 +36,27 @@ def connected_components(links: DataFrame, u: str = "u", v: str = "v") -> DataFr
     with.  Links may repeat, run either way or join a node with itself; nulls are
     no nodes.  No links, no rows.
 
-    A node with very many links, the centre of a star, gets its least neighbour by an
-    aggregation that combines before it shuffles and gives it to its links where they
-    are (``join_with_hot``), so no task takes all of them."""
-    now = links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where(f"`{u}` is not null and `{v}` is not null").distinct()
-    now = written(now, "links")
-    given = now
-    loops = now.where("u = v").select(F.col("u").alias("node"), F.col("v").alias("root"))
-    now = now.where("u <> v")
-    before = _signature(now)
+    The links are settled when each node has one smaller neighbour or only larger ones:
+    the table that a round begins with tells, and then it is the result.  A node with very
+    many links, the centre of a star, gets its least neighbour by an aggregation that
+    combines before it shuffles and gives it to its links by ``join_with_hot``, so no task
+    takes all of them."""
+    given = links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where(f"`{u}` is not null and `{v}` is not null").distinct()
+    given = written(given, "links")
+    loops, proper = given.where("u = v"), given.where("u <> v")
+    total = proper.count()
+    now = _small_star(proper, total) if total else proper
     for _ in range(MOST_ROUNDS):
-        if not before[0]:
+        least = written(_neighbours(now, loops), "least")
+        if least.where("below > 1 or (below = 1 and above > 0)").isEmpty():
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(_least_neighbour(both, "u", "v").select("u", F.least("u", "m").alias("m"), "n"), "least")
-        large = join_with_hot(both.where("v > u"), least, ["u"], "n", 2 * before[0])
-        large = written(large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
-        few = written(_least_neighbour(large, "u", "v"), "least")
-        moved = join_with_hot(large, few, ["u"], "n", before[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        last, now = now, written(moved.unionByName(few.select("u", F.col("m").alias("v"))).distinct(), "links")
-        discard(last, least, large, few)
-        after = _signature(now)
-        if after == before:
-            break
-        before = after
+        large = join_with_hot(both.where("v > u"), least, ["u"], "n", 2 * total)
+        large = written(large.select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
+        last, now = now, _small_star(large, total)
+        discard(last, least, large)
     else:
         raise RuntimeError(f"components not settled after {MOST_ROUNDS} rounds")
-    stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    rooted = stars.unionByName(stars.select("root", "root").toDF("node", "root")).unionByName(loops).groupBy("node").agg(F.min("root").alias("root"))
-    out = written(rooted, "components")
-    discard(now, given)
+    out = written(least.select(F.col("u").alias("node"), F.col("m").alias("root")), "components")
+    discard(now, given, least)
     return out

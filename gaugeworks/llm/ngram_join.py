@@ -117,12 +117,12 @@ def signatures(docs: DataFrame, key: str, text: str, n: int, bands: int, rows: i
 
 
 def candidate_links(classes: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
-    """Stars over the buckets: (u, v) of class ids that share a band hash with v; and the
-    table of buckets that they read.
+    """Stars over the buckets: (u, v) of class ids that share a band hash with v, once a
+    bucket; and the table of buckets that they read.
     ``total`` is the number of classes and bands, of which a bucket may hold a large part."""
     spread = classes.select("id", F.explode("bands").alias("band"))
     least = written(spread.groupBy("band").agg(F.min("id").alias("v"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    return join_with_hot(spread, least, ["band"], "n", total).where("id <> v").select(F.col("id").alias("u"), "v").distinct(), least
+    return join_with_hot(spread, least, ["band"], "n", total).where("id <> v").select(F.col("id").alias("u"), "v"), least
 
 
 def chunked(members: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
