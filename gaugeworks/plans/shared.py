@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows up to which a settled table is sent to all executors where it is joined.
+BROADCAST_ROWS = 20_000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that the session names.  Only where none is set, as in tests
     on one machine, is a temporary one made and set."""
@@ -21,10 +25,13 @@ def shared_folder(spark: SparkSession) -> str:
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read from there: lineage ends, and what is
     planned next knows the table's size (a checkpoint passes on an estimate, which grows
-    with every join until planning itself takes minutes)."""
+    with every join until planning itself takes minutes).  How joins meet it is told by its
+    rows: a million keys can be a file of a few bytes each hundred, which Spark would take
+    for small and gather on the driver."""
     path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out = out.hint("broadcast" if out.count() <= BROADCAST_ROWS else "merge")
     out.written_to = path
     return out
 

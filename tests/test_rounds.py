@@ -244,3 +244,16 @@ def test_a_holdout_without_a_result_does_not_pass(spark):
     got = rounds.verified(sources, windows, "source", lost, settled)
     has = {r.source for r in windows.where("pool = 'holdout'").select("source").distinct().collect()}
     assert has and all(r.outcome != "found" or r.source not in has for r in got.collect())
+
+
+def test_settled_tables_are_broadcast_by_their_rows(spark, monkeypatch):
+    """A table of many rows that is a small file is not gathered on the driver for a join."""
+    from gaugeworks.plans import shared
+
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 100)
+    many, few = shared.settled(spark.range(5000)), shared.settled(spark.range(50))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for kind in ("inner", "left", "left_semi", "left_anti"):
+        assert "Broadcast" not in plan(many.join(many.where("id % 2 = 0").select("id"), "id", kind))
+        assert "BroadcastHashJoin" in plan(many.join(few, "id", kind))
+    assert many.join(few, "id").count() == 50 and many.join(many.where("id % 2 = 0"), "id", "left_anti").count() == 2500
