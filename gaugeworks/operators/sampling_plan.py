@@ -20,6 +20,7 @@ MOST_SCOUTS = 128
 SCALES = {"spatial": 100.0, "motion": 50.0, "transition": 100.0}
 # The weights of the risk dimensions.
 WEIGHTS = {"spatial": 0.27, "motion": 0.30, "transition": 0.17, "dark": 0.08, "flat": 0.08, "noise": 0.10}
+WEIGHED = np.array(list(WEIGHTS.values()))
 # Why a window was taken.
 SPATIAL, MOTION, HARDEST = ("highest_spatial_risk", "highest_si"), ("highest_motion_risk", "highest_ti"), ("global_compression_risk", "global_hardest")
 TRANSITION, COVERAGE, HARD = "transition_risk", "coverage_bin_{}", "hardship"
@@ -133,7 +134,7 @@ def content(risks: np.ndarray, cuts: int) -> tuple[float, float]:
     dispersion = float(np.append(risks.std(axis=0), 0.0).mean())
     high = float((risks.max(axis=0) >= 0.65).mean())
     varied = min(1.0, 2.2 * dispersion + 0.12 * cuts / n + 0.25 * high)
-    mean = float((risks @ np.array(list(WEIGHTS.values()))).mean())
+    mean = float((risks @ WEIGHED).mean())
     return min(1.0, 0.55 * varied + 0.30 * mean + 0.15 / math.sqrt(n)), varied
 
 
@@ -152,11 +153,16 @@ def plan_source(scouts: Sequence[dict], duration: float, s: PlanSettings) -> lis
     if len(set(ids)) < len(ids):
         raise NoPlan("scouts repeat")
     raw = {k: np.array([r[k] for r in rows], float) for k in WEIGHTS}
-    if not all(np.isfinite(v).all() for v in raw.values()):
+    table = np.array(list(raw.values()))
+    if not np.isfinite(table).all():
         raise NoPlan("a metric is not finite")
     rank = {k: midranks(raw[k]) for k in SCALES}
-    risks = np.column_stack([0.55 * np.clip(raw[k] / SCALES[k], 0, 1) + 0.45 * rank[k] if k in SCALES else np.clip(raw[k], 0, 1) for k in WEIGHTS])
-    hard = risks @ np.array(list(WEIGHTS.values()))
+    risks = np.minimum(np.maximum(table.T / np.array([[SCALES.get(k, 1.0) for k in WEIGHTS]]), 0), 1)
+    for place, k in enumerate(WEIGHTS):
+        if k in SCALES:
+            risks[:, place] = 0.55 * risks[:, place] + 0.45 * rank[k]
+    risks = np.ascontiguousarray(risks)
+    hard = risks @ WEIGHED
     centre = [float(r["centre"]) for r in rows]
     size = min(s.sample_sec, duration)
     line = Timeline(ids, centre, [min(max(0.0, c - size / 2), max(0.0, duration - size)) for c in centre], size, duration)
@@ -204,6 +210,14 @@ def plan_source(scouts: Sequence[dict], duration: float, s: PlanSettings) -> lis
     return [(pool, ids[i], float(line.start[i]), why) for pool, i, why in sorted(out, key=lambda r: (r[0], line.start[r[1]], ids[r[1]]))]
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df`` by key over as many tasks as the session has partitions or cores.  Rows of a
+    plan are small and slow, and Spark would join such partitions by their bytes until a few
+    tasks did all plans."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
+
+
 def sample_plan(scouts: DataFrame, key: str, duration: str, settings: PlanSettings | None = None) -> DataFrame:
     """(key, pool, scout_id, start_sec, reasons) for every source of ``scouts``.
     A source that is short is searched whole; one that can't be planned has one row of
@@ -214,7 +228,7 @@ def sample_plan(scouts: DataFrame, key: str, duration: str, settings: PlanSettin
     sized = scouts.groupBy(key).agg(F.count("*").alias("n"), F.first(duration).alias("d"))
     few = sized.where(F.col("n") <= MOST_SCOUTS)
     each = scouts.select(key, F.struct(F.col("id").cast("string").alias("id"), *(F.col(n).cast("double").alias(n) for n in names[1:])).alias("scout"))
-    held = each.join(few, key).groupBy(key).agg(F.first("d").alias("d"), F.collect_list("scout").alias("scouts"))
+    held = dealt(each, key).join(few, key).groupBy(key).agg(F.first("d").alias("d"), F.collect_list("scout").alias("scouts"))
     over = sized.where(F.col("n") > MOST_SCOUTS).select(key, F.lit("none").alias("pool"), F.lit(None).cast("string").alias("scout_id"), F.lit(None).cast("double").alias("start_sec"), F.concat(F.col("n").cast("string"), F.lit(" scouts")).alias("reasons"))
     schema = StructType([StructField(key, scouts.schema[key].dataType), StructField("pool", StringType()), StructField("scout_id", StringType()), StructField("start_sec", DoubleType()), StructField("reasons", StringType())])
 
@@ -253,7 +267,7 @@ def aligned_plans(plans: DataFrame, moved: DataFrame, key: str, size: float) ->
     windows as its settings allow, so it is one row with an array of them."""
     rank = F.when(F.col("pool") == "search", 0).when(F.col("pool") == "holdout", 1).otherwise(2)
     one = F.struct(rank.alias("rank"), "start_sec", "scout_id", "pool", F.coalesce("new_start", "start_sec").alias("to"), F.coalesce("crosses", F.lit(False)).alias("crosses"))
-    held = plans.where("pool in ('search', 'holdout', 'reserve')").join(moved, [key, "scout_id"], "left").groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("windows"))
+    held = dealt(plans.where("pool in ('search', 'holdout', 'reserve')").join(moved, [key, "scout_id"], "left"), key).groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("windows"))
     row = StructType([StructField("pool", StringType()), StructField("scout_id", StringType()), StructField("start_sec", DoubleType()), StructField("crosses", StringType())])
     schema = StructType([StructField(key, plans.schema[key].dataType), StructField("windows", ArrayType(row))])
 
