@@ -8,8 +8,8 @@ transforms.
    pre-aggregated to one with a count.  What remains, different segments of one
    anchor, is dealt by anchor into buckets.
 3. In a bucket every shard of segments gets its Burrows-Wheeler transform; the
-   transforms are merged by refining their interleave, one pair of bytes a round.
-   The round in which two neighbours part is their common prefix; neighbours that
+   transforms are merged by refining their interleave, eight bytes a round.
+   Neighbours part in the round that holds the end of their common prefix; those that
    stay together through 200 bytes are repeated intervals.  The suffixes of the
    bucket are not sorted again.
 4. An anchor with very many different segments, of a passage in many texts, is not left
@@ -88,58 +88,68 @@ def segments(raw: np.ndarray, at: np.ndarray, length: int = LENGTH, level: int =
     return text[begin], anchor[begin], name[begin], n[begin], np.append(begin, len(text)), first - at[text]
 
 
+def ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys (pairs of 32 bits, in any order) in order, and their stable order.  If pairs and
+    places fit in 63 bits, plain values are sorted, which numpy does several times faster."""
+    first, second = keys >> 32, keys & 0xFFFFFFFF
+    low, place = int(second.max(initial=0)).bit_length(), len(keys).bit_length()
+    if int(first.max(initial=0)).bit_length() + low + place > 63:
+        order = np.argsort(keys, kind="stable")
+        return keys[order], order
+    packed = np.sort((first << low | second) << place | np.arange(len(keys)))
+    return packed >> place, packed & ((1 << place) - 1)
+
+
 class Transform:
-    """The Burrows-Wheeler transform of a shard of strings, in pairs of bytes.
+    """The Burrows-Wheeler transform of a shard of strings.
 
     Row ``i`` is the ``i``-th suffix of all strings in order, the empty ones included
-    (a string's end comes before any byte; equal suffixes by place).  ``pair[i]`` are the two bytes before
-    it and ``back[i]`` the row of the suffix that they lead; rows with less than two
-    bytes before them have -1.
+    (a string's end comes before any byte; equal suffixes by place): ``suffix[i]`` is its
+    place.
     """
 
     def __init__(self, raw: np.ndarray, at: np.ndarray):
         n = len(raw)
         end = np.repeat(at[1:], np.diff(at))
         left = end - np.arange(n)
-        view = eights(raw)[:n].byteswap()
+        self.view = view = eights(raw)[:n].byteswap()
         short = np.minimum(left, 8).astype(np.uint64)
         view = view & ~(np.uint64(0xFFFFFFFFFFFFFFFF) >> (short * np.uint64(8) % np.uint64(64)) * (short < 8).astype(np.uint64)) if n else view
         rank = self._ranked(view, short)
         depth = 8
         order = np.argsort(rank, kind="stable")
+        # ties keep their rows; only they are ordered by the rank that follows them
+        group = np.arange(n)
         while depth < int(np.diff(at).max(initial=0)):
-            ordered = rank[order]
-            tied = np.zeros(n, bool)
-            same = ordered[1:] == ordered[:-1]
-            tied[1:] |= same
-            tied[:-1] |= same
-            live = np.flatnonzero(tied)
-            live = live[left[order[live]] > depth] if len(live) else live
-            if not len(live):
+            r = rank[order[group]]
+            same = r[1:] == r[:-1]
+            tied = np.append(False, same) | np.append(same, False)
+            tied &= left[order[group]] >= depth  # those of shorter ones are equal to their ends
+            group = group[tied]
+            if not len(group):
                 break
-            # ties keep their rows; only they are ordered by the rank that follows them
-            group = np.flatnonzero(tied)
-            at_group = order[group]
-            follow = np.where(left[at_group] > depth, rank[np.minimum(at_group + depth, n - 1)] + 1, 0)
-            inner = np.lexsort((at_group, follow, rank[at_group]))
-            order[group] = at_group[inner]
-            r, f = rank[at_group[inner]], follow[inner]
-            new = np.append(True, (r[1:] != r[:-1]) | (f[1:] != f[:-1]))
-            first = group[np.maximum.accumulate(np.where(new, np.arange(len(group)), 0))]
-            rank = rank.copy()
-            rank[at_group[inner]] = first
+            places = order[group]
+            follow = np.where(left[places] > depth, rank[np.minimum(places + depth, n - 1)] + 1, 0)
+            both, inner = ordered(rank[places] << 32 | follow)
+            places = places[inner]
+            order[group] = places
+            new = np.append(True, both[1:] != both[:-1])
+            rank[places] = group[np.maximum.accumulate(np.where(new, np.arange(len(group)), 0))]
             depth *= 2
         # the strings' empty suffixes come first
         strings = len(at) - 1
-        row = np.empty(n, np.int64)
-        row[order] = np.arange(n) + strings
+        self.row = np.empty(n, np.int32)
+        self.row[order] = np.arange(strings, n + strings, dtype=np.int32)
         self.suffix = np.concatenate([at[1:], order])
-        begin = np.concatenate([at[:-1], np.repeat(at[:-1], np.diff(at))[order]])
-        led = self.suffix - 2
-        has = led >= begin
-        led = np.where(has, led, 0)
-        self.back = np.where(has, row[led], -1) if n else np.full(strings, -1)
-        self.pair = (raw[led].astype(np.uint16) << 8) | raw[np.minimum(led + 1, n - 1)] if n else np.zeros(strings, np.uint16)
+        self.begin = np.concatenate([at[:-1], np.repeat(at[:-1], np.diff(at))[order]])
+
+    def before(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows, bytes, led): the rows with ``width`` bytes (8 at most) before them in
+        their string, those bytes as one integer in their order, and the rows of the
+        suffixes that they lead."""
+        rows = np.flatnonzero(self.suffix - width >= self.begin)
+        led = self.suffix[rows] - width
+        return rows, self.view[led] >> np.uint64(64 - 8 * width), self.row[led]
 
     @staticmethod
     def _ranked(view: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -153,34 +163,66 @@ class Transform:
         return rank
 
 
+def numbered(lead: np.ndarray) -> np.ndarray:
+    """The number of each value among those that occur twice or more, in their order;
+    -1 for those that occur once."""
+    order = np.argsort(lead)
+    v = lead[order]
+    parts = v[1:] != v[:-1]
+    alone = np.append(True, parts) & np.append(parts, True)
+    out = np.empty(len(lead), np.int32)
+    out[order] = np.where(alone, -1, np.cumsum(np.append(True, parts) & ~alone) - 1)
+    return out
+
+
+def distributed(number: np.ndarray, most: int) -> np.ndarray:
+    """The stable order of numbers up to ``most``, by 16 bits a pass."""
+    order = np.argsort(number.astype(np.uint16), kind="stable")
+    for shift in range(16, int(most).bit_length(), 16):
+        order = order[np.argsort((number[order] >> shift).astype(np.uint16), kind="stable")]
+    return order
+
+
 def merged_repeats(shards: list[Transform], length: int = LENGTH) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each shard the suffixes whose first ``length`` bytes (even) another suffix
     of any shard shares, in order of their places, and the repeated interval of each:
     suffixes of one interval have a common prefix of ``length`` bytes or more, those of
     different ones a shorter one, and intervals are numbered in the order of their strings.
 
-    The interleave of the shards' rows is refined: if it is in order by ``2 k`` bytes,
-    a stable distribution by the pair before each row puts the rows led by those pairs
-    in order by ``2 k + 2``.  Neighbours part in the round that is their common prefix.
+    The interleave of the shards' rows is refined by ``w`` bytes a round, the most of 8, 4
+    and 2 that divides ``length``: if it is in order by ``w k`` bytes, a stable distribution
+    by the ``w`` bytes before each row puts the rows led by them in order by ``w k + w``.
+    Neighbours part in the round that holds the end of their common prefix.
+    Only rows that lead to a whole string of ``length`` bytes are taken.
     A row that stands alone has no repeat at this length, nor has any row it leads, so
-    both drop out and only repeated intervals are refined further.
+    both drop out and only repeated intervals are refined further; so do rows led by
+    bytes that occur once.
     """
+    width = next(w for w in (8, 4, 2) if length % w == 0)
     base = np.cumsum([0, *(len(s.suffix) for s in shards)])
-    pair = np.concatenate([s.pair for s in shards])
-    back = np.concatenate([np.where(s.back >= 0, s.back + b, -1) for s, b in zip(shards, base)]).astype(np.int32)
-    interleave, block = np.arange(base[-1], dtype=np.int32), np.zeros(base[-1], np.int32)
-    for _ in range(length // 2):
+    interleave = np.concatenate([np.flatnonzero(s.suffix - length >= s.begin) + b for s, b in zip(shards, base)]).astype(np.int32)
+    block = np.zeros(len(interleave), np.int32)
+    rows, lead, led = (np.concatenate(x) for x in zip(*([own + b, bytes_, to + b] for (own, bytes_, to), b in zip((s.before(width) for s in shards), base))))
+    number = numbered(lead)
+    again = number >= 0
+    most = int(number.max(initial=0))
+    # by row: the number of the bytes before it and the row that they lead
+    back = np.full(base[-1], -1, np.int32)
+    back[rows[again]] = led[again]
+    pair = np.zeros(base[-1], np.uint16 if most < 1 << 16 else np.int32)
+    pair[rows[again]] = number[again]
+    for _ in range(length // width):
         led = back[interleave]
-        has = led >= 0
+        has = np.flatnonzero(led >= 0)
         lead, led, block = pair[interleave[has]], led[has], block[has]
-        order = np.argsort(lead, kind="stable")
+        order = distributed(lead, most)
         lead, interleave, block = lead[order], led[order], block[order]
         if len(interleave) < 2:
             return [(np.zeros(0, np.int64), np.zeros(0, np.int32)) for _ in shards]
         parts = (lead[1:] != lead[:-1]) | (block[1:] != block[:-1])
-        alone = np.append(True, parts) & np.append(parts, True)
-        block = np.append(np.int32(0), np.cumsum(parts, dtype=np.int32))[~alone]
-        interleave = interleave[~alone]
+        stay = np.flatnonzero(~(np.append(True, parts) & np.append(parts, True)))
+        block = np.append(np.int32(0), np.cumsum(parts, dtype=np.int32))[stay]
+        interleave = interleave[stay]
     owner, out = np.searchsorted(base, interleave, "right") - 1, []
     for k, s in enumerate(shards):
         place = s.suffix[interleave[owner == k] - base[k]]

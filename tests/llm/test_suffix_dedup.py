@@ -75,6 +75,37 @@ def test_merged_transforms_equal_counting():
             assert [x.tolist() for x in S.repeated_windows(texts, length, rng.choice([60, 200, 10000]))] == want
 
 
+def test_merging_takes_eight_bytes_a_round_and_only_rows_of_whole_strings(monkeypatch):
+    rng = random.Random(8)
+    shared = bytes(rng.choice(b"abcd") for _ in range(260))
+    texts = [shared[k:] + bytes(rng.choice(b"abcd") for _ in range(40)) for k in range(0, 60, 3)] + [shared[:199], b"", bytes(300)]
+    count = Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
+    want = [[i for i in range(len(t) - 199) if count[t[i : i + 200]] > 1] for t in texts]
+    size = [len(t) for t in texts]
+    at = S.np.concatenate([[0], S.np.cumsum(size)])
+    raw = S.np.frombuffer(b"".join(texts), S.np.uint8)
+    shards = [S.Transform(raw[at[a] : at[b]], at[a : b + 1] - at[a]) for a, b in ((0, 9), (9, len(texts)))]
+    sorts, argsort = [], S.np.argsort
+    monkeypatch.setattr(S.np, "argsort", lambda x, **how: sorts.append(len(x)) or argsort(x, **how))
+    found = S.merged_repeats(shards)
+    monkeypatch.undo()
+    places = S.np.concatenate([found[0][0], found[1][0] + at[9]])
+    assert places.tolist() == [a + i for a, w in zip(at.tolist(), want) for i in w]
+    assert len(sorts) <= 200 // 8 + 5
+    assert sum(sorts) <= sum(size) + 200 // 8 * sum(max(0, n - 199) for n in size) + 2 * len(places)
+
+
+def test_numbers_above_16_bits_are_distributed_in_order():
+    rng = S.np.random.default_rng(3)
+    for most in (0, 5, 65535, 65536, 1 << 20):
+        number = rng.integers(0, most + 1, 5000, dtype=S.np.int32)
+        assert S.distributed(number, most).tolist() == S.np.argsort(number, kind="stable").tolist()
+    for top in (3, 1 << 20, (1 << 31) - 1):
+        keys = rng.integers(0, top + 1, 3000) << 32 | rng.integers(0, top + 1, 3000)
+        order = S.np.argsort(keys, kind="stable")
+        assert S.ordered(keys)[1].tolist() == order.tolist()
+
+
 def test_hot_anchors_are_cut_again(spark, monkeypatch):
     monkeypatch.setattr(S, "SPLIT_BYTES", 600)
     rows = cases(11)
