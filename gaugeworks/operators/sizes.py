@@ -6,7 +6,7 @@ no shuffle, no Python."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,38 +21,48 @@ BASE, BY_COUNT, BY_RESIDUAL, BY_TIMELINE = 0.03, 0.14, 1.5, 0.20
 FITTED, PLAIN = "risk_distribution_clipped_theil_sen", "robust_median_window_ratio"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once: an expression named several times, or inside
+    a lambda, is computed each time and for each element, and so is all that it holds."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def median(values: Column) -> Column:
-    """The median of an array of numbers; null for an empty one."""
-    ordered, n = F.array_sort(values), F.size(values)
-    low = F.try_element_at(ordered, F.ceil(n / 2).cast("int"))
-    high = F.try_element_at(ordered, (F.floor(n / 2) + 1).cast("int"))
-    return F.when(n > 0, (low + high) / 2)
+    """The median of the numbers of an array, nulls left out; null if there are none."""
+
+    def middle(ordered: Column) -> Column:
+        low, high = F.shiftright(F.size(ordered) - 1, 1), F.shiftright(F.size(ordered), 1)
+        return F.when(F.size(ordered) > 0, (F.get(ordered, low) + F.get(ordered, high)) / 2)
+
+    return once(F.sort_array(F.array_compact(values)), middle)
 
 
 def mean(values: Column) -> Column:
-    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values))
+    return once(values, lambda v: F.when(F.size(v) > 0, F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)))
 
 
 def spread(values: Column) -> Column:
     """Population standard deviation of an array; 0 for fewer than two values."""
-    centre = mean(values)
-    return F.when(F.size(values) > 1, F.sqrt(mean(F.transform(values, lambda x: (x - centre) * (x - centre))))).otherwise(0.0)
+    off = once(mean(values), lambda centre: F.transform(values, lambda x: (x - centre) * (x - centre)))
+    return F.when(F.size(values) > 1, F.sqrt(mean(off))).otherwise(0.0)
+
+
+def line(risks: Column, ratios: Column) -> Column:
+    """(low, slope): the median of the pairwise slopes, limited, and the median of what it
+    leaves; a constant where all risks are the same."""
 
+    def slopes(points: Column) -> Column:
+        def from_(p: Column, i: Column) -> Column:
+            later = F.filter(F.slice(points, i + 2, F.size(points)), lambda q: F.abs(q["x"] - p["x"]) > 1e-9)
+            return F.transform(later, lambda q: (q["y"] - p["y"]) / (q["x"] - p["x"]))
 
-def line(risks: Column, ratios: Column) -> tuple[Column, Column]:
-    """(intercept, slope): the median of the pairwise slopes, limited, and the median of
-    what it leaves; a constant where all risks are the same."""
-    points = F.arrays_zip(risks.alias("x"), ratios.alias("y"))
-    places = F.sequence(F.lit(0), F.size(risks) - 1)
+        return F.flatten(F.transform(points, from_))
 
-    def slopes_from(i: Column) -> Column:
-        later = F.filter(points, lambda p, k: (k > i) & (F.abs(p["x"] - F.get(risks, i)) > 1e-9))
-        return F.transform(later, lambda p: (p["y"] - F.get(ratios, i)) / (p["x"] - F.get(risks, i)))
+    def fit(points: Column) -> Column:
+        slope = once(median(slopes(points)), lambda m: F.when(m.isNotNull(), clamp(m, -SLOPE, SLOPE)).otherwise(0.0))
+        return once(slope, lambda s: F.struct(median(F.transform(points, lambda p: p["y"] - s * p["x"])).alias("low"), s.alias("slope")))
 
-    slopes = F.flatten(F.transform(places, slopes_from))
-    slope = F.when(F.size(slopes) > 0, clamp(median(slopes), -SLOPE, SLOPE)).otherwise(0.0)
-    offsets = F.transform(points, lambda p: p["y"] - slope * p["x"])
-    return median(offsets), slope
+    return once(F.arrays_zip(risks.alias("x"), ratios.alias("y")), fit)
 
 
 def predicted_sizes(df: DataFrame, requested: str, observed: str, duration: str, audio: str, source_bytes: str, risks: str | None = None, timeline: str | None = None) -> DataFrame:
@@ -72,8 +82,7 @@ def predicted_sizes(df: DataFrame, requested: str, observed: str, duration: str,
     ratios = F.col("__ratios")
     if risks and timeline:
         fitted = F.coalesce((F.size(risks) == F.size(ratios)) & (F.size(timeline) > 0), F.lit(False))
-        low, slope = line(F.col(risks), ratios)
-        out = out.withColumn("__fit", F.when(fitted, F.struct(low.alias("low"), slope.alias("slope"))))
+        out = out.withColumn("__fit", F.when(fitted, line(F.col(risks), ratios)))
         on_line = lambda r: clamp(F.col("__fit.low") + F.col("__fit.slope") * r, *RATIO)
         central = F.coalesce(mean(F.transform(F.col(timeline), on_line)), median(ratios))
         left = F.zip_with(ratios, F.col(risks), lambda y, r: F.abs(y - on_line(r)))

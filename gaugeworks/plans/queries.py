@@ -711,7 +711,7 @@ def size_predictions(t):
     """Rates of sources from those of their windows, by a robust line over
     the windows' risks."""
     window = F.struct((F.col("l_quantity") / 50).alias("x"), F.col("l_extendedprice").alias("y"), F.col("l_tax").alias("t"))
-    rows = t("lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(window)).alias("w"))
+    rows = t("lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.sort_array(F.collect_list(window)).alias("w"))
     rows = rows.select("k", *(F.col(f"w.{c}").alias(c) for c in ("x", "y", "t")), F.lit(40000).alias("asked"), F.lit(60.0).alias("duration"), F.lit(0).alias("audio"), F.lit(None).cast("long").alias("source"))
     out = sizes.predicted_sizes(rows, "asked", "y", "duration", "audio", "source", "x", "t")
     upper = F.greatest(F.col("mean_rate"), X.whole(F.col("mean_rate") * (1 + F.round("uncertainty", 9))))
