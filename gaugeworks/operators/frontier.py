@@ -39,14 +39,15 @@ def up(x: Column) -> Column:
     return F.greatest(F.lit(STEP).cast("long"), (F.ceil(x / STEP) * STEP).cast("long"))
 
 
-def opened(searches: DataFrame, key: str) -> DataFrame:
-    """The first state of each search."""
+def opened(searches: DataFrame, key: str, carried: Sequence[str] = ()) -> DataFrame:
+    """The first state of each search, with the columns ``carried``."""
     longs = {c: F.col(c).cast("long") for c in ("least", "budget", "ceiling", "tolerance", "first")}
     budget, low = down(longs["budget"]), up(longs["least"])
     top = down(F.greatest(longs["ceiling"], budget))
     guess = F.least(down(F.greatest(low, longs["first"])), top)
     return searches.select(
         key,
+        *carried,
         F.col("target").cast("double").alias("target"),
         F.least(F.lit(LIMIT), F.greatest(F.lit(0), F.col("limit"))).cast("int").alias("limit"),
         F.greatest(F.lit(STEP).cast("long"), F.coalesce(longs["tolerance"], F.lit(STEP))).alias("tolerance"),
@@ -120,7 +121,7 @@ def transitions() -> tuple[list[Column], list[Column], list[Column]]:
     return read, there, after
 
 
-def search_rounds(searches: DataFrame, key: str, evaluate: Evaluate, settle: Settle) -> DataFrame:
+def search_rounds(searches: DataFrame, key: str, evaluate: Evaluate, settle: Settle, carried: Sequence[str] = ()) -> DataFrame:
     """(key, tried, spent, ended) of every search.
 
     ``searches``: key, ``least``, ``budget``, ``ceiling`` (rates), ``target``, ``limit`` (at most
@@ -129,11 +130,13 @@ def search_rounds(searches: DataFrame, key: str, evaluate: Evaluate, settle: Set
     The budget is tried first: if it passes, the search goes down to ``least``, else up to
     ``ceiling``.  A ``first`` guess that passes ends the search, after one try below it if
     it has quality to spare.  ``evaluate`` takes (key, rate) and returns these with the other
-    ``FIELDS`` it knows; a pair it does not return has failed."""
-    now, done, steps = settle(opened(searches, key)), [], transitions()
+    ``FIELDS`` it knows; a pair it does not return has failed.  It gets the columns ``carried``
+    of ``searches`` too, so that a search which holds what it measures needs no join for it.
+    The first round reads ``searches`` twice, so settle what is dear to compute."""
+    now, done, steps = opened(searches, key, carried), [], transitions()
     asks = (F.col("spent") < F.col("limit")) & ~holds(F.col("tried"), F.col("probe"))
     while True:
-        probes = now.where(asks).select(key, F.col("probe").alias("rate"))
+        probes = now.where(asks).select(key, *carried, F.col("probe").alias("rate"))
         found = evaluate(probes)
         held = [F.col(f) if f in found.columns else F.lit(None).alias(f) for f in FIELDS]
         results = found.select(key, F.struct(*held).alias("result"))
@@ -144,7 +147,7 @@ def search_rounds(searches: DataFrame, key: str, evaluate: Evaluate, settle: Set
         spent = F.col("spent") + F.when(asks, 1).otherwise(0)
         after = joined.withColumns({"tried": tried, "spent": spent})
         for step in steps:
-            after = after.select(key, *step)
+            after = after.select(key, *carried, *step)
         after = settle(after)
         ended = F.col("stage").isin("none", "both", "required")
         done.append(after.where(ended).select(key, "tried", "spent", F.col("stage").alias("ended")))

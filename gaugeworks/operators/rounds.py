@@ -1,8 +1,9 @@
 """Rounds of verification: settings are searched on some windows of a source, held against
 windows they were not chosen on, and chosen again where those fail them (G10 to G13).
 
-All sources go through a step together, as joins; only the sources that a step concerns are
-in it.  Nothing is measured beforehand: what a step needs to know is asked of ``measure``,
+All sources go through a step together, each as one row with its windows in an array, so that
+only measuring needs windows as rows; only the sources that a step concerns are in it.  If
+``settle`` keeps tables in buckets by the key, no step moves a row.  Nothing is measured beforehand: what a step needs to know is asked of ``measure``,
 a function from rows to rows that runs in tasks.
 
 Tables: ``sources`` (key, ``target`` quality, ``least``, ``budget`` and ``ceiling`` rates,
@@ -25,6 +26,9 @@ from gaugeworks.operators.sizes import predicted_sizes
 AMBIGUOUS = 0.5
 CONFIDENT = 0.7
 
+#: The column that holds a source's windows.
+MARKS = "__marks"
+
 #: From windows with ``rate`` and ``tier`` (coarse, exact, size, holdout, again) to the same
 #: rows with ``quality`` and ``observed`` (the rate the window got; may be absent).
 Measure = Callable[[DataFrame], DataFrame]
@@ -38,16 +42,24 @@ def sized(rows: DataFrame, observed: str = "observed") -> DataFrame:
     return made.drop("__source", "mean_rate", "upper_rate", "predicted_bytes", "predicted_ratio", "uncertainty", "method")
 
 
-def over_windows(windows: DataFrame, sources: DataFrame, key: str, measure: Measure, tier: str, settle: Settle) -> Evaluate:
-    """Measures rates over the search windows: a rate has the quality of its worst window."""
-    every = F.count("*").over(Window.partitionBy(key))
-    wanted = settle(windows.where("pool = 'search'").withColumn("__n", every).join(sources.select(key, "duration", "audio"), key))
+def within(marks: str, pool: str) -> Column:
+    """The windows of a pool, out of the column that holds all of a source."""
+    return F.filter(marks, lambda m: m["pool"] == pool)
+
+
+def over_windows(key: str, measure: Measure, tier: str, sizes: bool = True) -> Evaluate:
+    """Measures rates over the search windows: a rate has the quality of its worst window, and
+    unless ``sizes`` is false what the windows' rates say of its size."""
 
     def evaluate(probes: DataFrame) -> DataFrame:
-        seen = measure(probes.join(wanted, key).withColumn("tier", F.lit(tier)))
+        own = within(MARKS, "search")
+        rows = probes.select(key, "rate", "duration", "audio", F.size(own).alias("__n"), F.inline(own))
+        seen = measure(rows.withColumn("tier", F.lit(tier)))
+        if not sizes:
+            return seen.groupBy(key, "rate").agg(F.min("quality").alias("quality"))
         got = F.col("observed") if "observed" in seen.columns else F.col("rate")
-        rows = F.transform(F.array_sort(F.collect_list(F.when(F.col("quality").isNotNull(), F.struct("window", got.cast("long").alias("o"))))), lambda r: r["o"])
-        each = seen.groupBy(key, "rate").agg(F.min("quality").alias("quality"), rows.alias("observed"), (F.count("quality") == F.max("__n")).alias("complete"), F.max("duration").alias("duration"), F.max("audio").alias("audio"))
+        observed = F.transform(F.sort_array(F.collect_list(F.when(F.col("quality").isNotNull(), F.struct("window", got.cast("long").alias("o"))))), lambda r: r["o"])
+        each = seen.groupBy(key, "rate").agg(F.min("quality").alias("quality"), observed.alias("observed"), (F.count("quality") == F.max("__n")).alias("complete"), F.max("duration").alias("duration"), F.max("audio").alias("audio"))
         return sized(each).select(key, *FIELDS)
 
     return evaluate
@@ -92,34 +104,34 @@ def drops(tried: Column) -> Column:
     return F.exists(F.arrays_zip(ordered.alias("a"), later.alias("b")), lambda p: F.coalesce(p["b"]["quality"] < p["a"]["quality"] - AMBIGUOUS, F.lit(False)))
 
 
-def first_reserve(windows: DataFrame, keys: DataFrame, key: str, by_reasons: bool) -> DataFrame:
-    """(key, window): of each key's reserves the one with most reasons, then the earliest
-    (T12), or just the earliest."""
-    order = F.struct(F.when(F.lit(by_reasons), -F.col("reasons")).otherwise(0).alias("r"), "start", "window")
-    return windows.where("pool = 'reserve'").join(keys, key, "left_semi").groupBy(key).agg(F.min(order)["window"].alias("window"))
+def first_reserve(marks: str, by_reasons: bool) -> Column:
+    """Of a source's reserves the window with most reasons, then the earliest (T12), or just
+    the earliest; null if there is none."""
+    order = lambda m: F.struct(-m["reasons"] if by_reasons else F.lit(0), m["start"], m["window"].alias("window"))
+    return F.array_min(F.transform(within(marks, "reserve"), order))["window"]
 
 
-def moved_to(windows: DataFrame, which: DataFrame, key: str, pool: str) -> DataFrame:
-    """``windows`` with those of ``which`` (key, window) in another pool."""
-    marked = which.select(key, "window", F.lit(pool).alias("__pool"))
-    joined = windows.join(marked, [key, "window"], "left")
-    return joined.withColumn("pool", F.coalesce("__pool", "pool")).select(*windows.columns)
+def moved_to(marks: str, which: Callable[[Column], Column], pool: str) -> Column:
+    """``marks`` with those windows for which ``which`` holds in another pool."""
+    return F.transform(marks, lambda m: m.withField("pool", F.when(which(m), F.lit(pool)).otherwise(m["pool"])))
 
 
-def calibrated_near(now: DataFrame, windows: DataFrame, key: str, measure: Measure, settle: Settle) -> DataFrame:
+def calibrated_near(now: DataFrame, key: str, measure: Measure) -> DataFrame:
     """(key, candidate) for size-blocked sources whose required candidate fits without
     its uncertainty only: its sizes predicted anew with up to two reserves more."""
     at = F.try_element_at(F.filter("tried", lambda t: t["rate"] == F.col("required")), F.lit(1))
     asked = now.where("outcome = 'size_blocked'").withColumn("c", at)
-    asked = asked.where(near_boundary("c.central", "c.bytes", "most")).select(key, "middle", "duration", "audio", "c")
-    reserves = windows.where("pool = 'reserve'").join(asked, key).withColumns({"half": F.col("duration") / 2, "risk": F.coalesce("risk", F.lit(0.5))})
-    chosen = size_representatives(reserves, key, "risk", "middle", "centre", "half").withColumns({"rate": F.col("c.rate"), "tier": F.lit("size")})
-    seen = measure(chosen)
-    more = F.transform(F.array_sort(F.collect_list(F.struct(F.abs(F.col("risk") - F.col("middle")).alias("r"), F.abs(F.col("centre") - F.col("half")).alias("d"), "window", F.col("observed").cast("long").alias("o")))), lambda r: r["o"])
-    rows = seen.groupBy(key).agg(more.alias("more"), F.first("c").alias("c"), F.max("duration").alias("duration"), F.max("audio").alias("audio"))
-    rows = sized(rows.select(key, "duration", "audio", "c", F.col("c.rate").alias("rate"), F.concat("c.observed", "more").alias("observed")))
+    asked = asked.where(near_boundary("c.central", "c.bytes", "most")).withColumn("half", F.col("duration") / 2)
+    off = lambda m: F.struct(F.abs(F.coalesce(m["risk"], F.lit(0.5)) - F.col("middle")), F.abs(m["centre"] - F.col("half")), m["window"].alias("window"))
+    nearest = F.slice(F.sort_array(F.transform(within(MARKS, "reserve"), off)), 1, 2)
+    asked = asked.withColumn("__near", F.transform(nearest, lambda n: n["window"]))
+    chosen = F.filter(within(MARKS, "reserve"), lambda m: F.array_contains("__near", m["window"]))
+    rows = asked.select(key, "middle", "duration", "audio", "half", "c", F.inline(chosen)).withColumns({"risk": F.coalesce("risk", F.lit(0.5)), "rate": F.col("c.rate"), "tier": F.lit("size")})
+    more = F.transform(F.sort_array(F.collect_list(F.struct(F.abs(F.col("risk") - F.col("middle")).alias("r"), F.abs(F.col("centre") - F.col("half")).alias("d"), "window", F.col("observed").cast("long").alias("o")))), lambda r: r["o"])
+    seen = measure(rows).groupBy(key).agg(more.alias("more"), F.first("c").alias("c"), F.max("duration").alias("duration"), F.max("audio").alias("audio"))
+    made = sized(seen.select(key, "duration", "audio", "c", F.col("c.rate").alias("rate"), F.concat("c.observed", "more").alias("observed")))
     fields = [F.col(f) if f in ("rate", "central", "bytes", "observed") else F.col(f"c.{f}").alias(f) for f in FIELDS]
-    return settle(rows.select(key, F.struct(*fields).cast(TRIED[6:-1]).alias("candidate")))
+    return made.select(key, F.struct(*fields).cast(TRIED[6:-1]).alias("candidate"))
 
 
 def verified(sources: DataFrame, windows: DataFrame, key: str, measure: Measure, settle: Settle, coarse: int = 4, exact: int = 3, rounds: int = 2, band: float = CONFIDENT, margin: float = 0.0) -> DataFrame:
@@ -142,64 +154,70 @@ def verified(sources: DataFrame, windows: DataFrame, key: str, measure: Measure,
        the source selected anew, whatever its outcome was (G13)."""
     given = sources if "known" in sources.columns else sources.withColumn("known", none_tried())
     given = given.withColumn("known", F.coalesce(F.col("known").cast(TRIED), none_tried()))
+    marks = windows.groupBy(key).agg(F.collect_list(F.struct(*(c for c in windows.columns if c != key))).alias(MARKS))
+    none = F.array().cast(marks.schema[MARKS].dataType)
+    given = settle(given.join(marks, key, "left").withColumn(MARKS, F.coalesce(MARKS, none)))
 
-    def searched(asked: DataFrame, marks: DataFrame, tier: str, limit: int) -> DataFrame:
-        evaluate = over_windows(marks.join(asked.select(key), key, "left_semi"), sources, key, measure, tier, settle)
-        return search_rounds(asked.withColumn("limit", F.lit(limit)), key, evaluate, settle).select(key, "tried")
+    def searched(asked: DataFrame, tier: str, limit: int) -> DataFrame:
+        evaluate = over_windows(key, measure, tier, sizes=tier != "coarse")  # coarse results only bound the exact search
+        return search_rounds(asked.withColumn("limit", F.lit(limit)), key, evaluate, settle, (MARKS, "duration", "audio")).select(key, "tried")
 
-    fresh = given.where(F.size("known") == 0).withColumn("first", F.lit(None).cast("long"))
-    rough = searched(fresh, windows, "coarse", coarse)
+    needed = [key, "target", "least", "budget", "ceiling", "tolerance", "first", "known", within(MARKS, "search").alias(MARKS), "duration", "audio"]
+    fresh = given.where(F.size("known") == 0).withColumn("first", F.lit(None).cast("long")).select(*needed)
+    rough = searched(fresh, "coarse", coarse)
     bounded = exact_bounds(given.join(rough, key, "left").withColumn("tried", F.coalesce("tried", none_tried())), key)
-    first = searched(settle(bounded.drop("tried")), windows, "exact", exact)
+    first = searched(settle(bounded.select(*needed)), "exact", exact)
     now = settle(reselected(given.join(first.withColumn("tried", complete_or_all(F.col("tried"))), key), margin))
 
-    closer = calibrated_near(now, windows, key, measure, settle)
+    closer = calibrated_near(now, key, measure)
     now = now.join(closer, key, "left").withColumn("tried", replaced(F.col("tried"), F.col("candidate")))
-    now = settle(reselected(now.withColumn("calibrated", F.col("candidate").isNotNull()).drop("candidate"), margin))
+    now = reselected(now.withColumn("calibrated", F.col("candidate").isNotNull()).drop("candidate"), margin)
+    close = F.coalesce((F.col("outcome") == "found") & (F.col("quality") - F.col("target") < band), F.lit(False))
+    now = now.withColumn("__best", F.when(close, first_reserve(MARKS, True)))
+    now = now.withColumns({"expanded": F.col("__best").isNotNull(), MARKS: moved_to(MARKS, lambda m: m["window"] == F.col("__best"), "search")}).drop("__best")
+    now = settle(now.withColumns({"rounds": F.lit(0), "held": F.lit(None).cast("double"), "ended": F.lit(False)}))
 
-    def again(open_: DataFrame, marks: DataFrame) -> DataFrame:
+    def again(open_: DataFrame) -> DataFrame:
         """Selections of a new search upward from the selected rate."""
-        asked = open_.select(key, "target", F.col("selected").alias("least"), F.greatest("selected", "budget").alias("budget"), "ceiling", "tolerance", F.lit(None).cast("long").alias("first"), none_tried().alias("known"))
-        new = searched(settle(asked), marks, "exact", exact).withColumn("tried", complete_or_all(F.col("tried")))
+        asked = open_.select(key, "target", F.col("selected").alias("least"), F.greatest("selected", "budget").alias("budget"), "ceiling", "tolerance", F.lit(None).cast("long").alias("first"), none_tried().alias("known"), within(MARKS, "search").alias(MARKS), "duration", "audio")
+        new = searched(asked, "exact", exact).withColumn("tried", complete_or_all(F.col("tried")))
         return reselected(open_.drop("tried", "outcome", "selected", "quality", "required").join(new, key), margin)
 
-    close = now.where((F.col("outcome") == "found") & (F.col("quality") - F.col("target") < band)).select(key)
-    promoted = settle(first_reserve(windows, close, key, True))
-    windows = settle(moved_to(windows, promoted, key, "search"))
-    now = settle(now.join(promoted.select(key, F.lit(True).alias("__up")), key, "left").withColumn("expanded", F.coalesce("__up", F.lit(False))).drop("__up"))
-    now = now.where("not expanded").unionByName(again(now.where("expanded"), windows))
-    now = settle(now.withColumns({"rounds": F.lit(0), "held": F.lit(None).cast("double"), "open": F.col("outcome") == "found", "ended": F.lit(False)}))
+    now = now.where("not expanded").unionByName(again(now.where("expanded")))
+    now, closed = settle(now.withColumn("open", F.col("outcome") == "found")), []
 
     for nth in range(rounds + 1):
-        held = windows.where("pool = 'holdout'").join(now.where("open").select(key, "target", F.col("selected").alias("rate")), key)
-        seen = measure(held.withColumn("tier", F.lit("holdout"))).select(key, "window", "quality")
-        told = settle(held.select(key, "window", "target").join(seen, [key, "window"], "left"))
-        missed = ~F.coalesce(F.col("quality") >= F.col("target"), F.lit(False))
-        worst = told.groupBy(key).agg(F.min("quality").alias("__held"), F.bool_or(missed).alias("__bad"))
-        now = settle(now.join(worst, key, "left").withColumns({"held": F.coalesce("__held", "held"), "open": F.col("open") & F.coalesce("__bad", F.lit(False))}).drop("__held", "__bad"))
-        if now.where("open").isEmpty():
+        last = nth == rounds
+        asked = now.where("open").select(key, "target", F.col("selected").alias("rate"), F.inline(within(MARKS, "holdout")))
+        seen = measure(asked.withColumn("tier", F.lit("holdout"))).groupBy(key).agg(F.collect_list(F.struct("window", "quality")).alias("__seen"))
+        now = now.join(seen, key, "left")
+        passed = F.transform(F.filter("__seen", lambda w: w["quality"] >= F.col("target")), lambda w: w["window"])
+        now = now.withColumns({"__passed": passed, "held": F.coalesce(F.array_min(F.transform("__seen", lambda w: w["quality"])), "held")})
+        missed = lambda m: F.col("open") & (m["pool"] == "holdout") & ~F.coalesce(F.array_contains("__passed", m["window"]), F.lit(False))
+        if last:
+            now = now.withColumn("open", F.exists(MARKS, missed)).drop("__seen", "__passed")
+            now = settle(now.withColumns({"outcome": F.when(F.col("open"), "limit").otherwise(F.col("outcome")), "ended": F.col("open") | F.col("ended")}))
             break
-        if nth == rounds:
-            now = now.withColumns({"outcome": F.when(F.col("open"), "limit").otherwise(F.col("outcome")), "ended": F.col("open") | F.col("ended")})
+        now = now.withColumns({"open": F.exists(MARKS, missed), MARKS: moved_to(MARKS, missed, "search")}).drop("__seen", "__passed")
+        short = F.col("open") & (F.size(within(MARKS, "holdout")) == 0)
+        now = now.withColumns({"__short": short, "__fresh": F.when(short, first_reserve(MARKS, False))})
+        gone = F.col("__short") & F.col("__fresh").isNull()
+        now = now.withColumns({MARKS: moved_to(MARKS, lambda m: m["window"] == F.col("__fresh"), "holdout"), "outcome": F.when(gone, "exhausted").otherwise(F.col("outcome")), "ended": F.col("ended") | gone, "rounds": F.col("rounds") + F.col("open").cast("int"), "open": F.col("open") & ~gone})
+        now = settle(now.drop("__short", "__fresh"))
+        if now.where("open").isEmpty():
             break
-        windows = moved_to(windows, told.where(missed), key, "search")
-        left = windows.where("pool = 'holdout'").select(key).distinct()
-        short = now.where("open").select(key).join(left, key, "left_anti")
-        replacement = settle(first_reserve(windows, short, key, False))
-        windows = settle(moved_to(windows, replacement, key, "holdout"))
-        spent = short.join(replacement, key, "left_anti").withColumn("__spent", F.lit(True))
-        now = now.join(spent, key, "left")
-        gone = F.col("__spent").isNotNull()
-        now = settle(now.withColumns({"outcome": F.when(gone, "exhausted").otherwise(F.col("outcome")), "ended": F.col("ended") | gone, "rounds": F.col("rounds") + F.col("open").cast("int"), "open": F.col("open") & ~gone}).drop("__spent"))
-        new = again(now.where("open"), windows)
+        new = again(now.where("open"))
         lost = F.col("outcome") != "found"
         new = new.withColumns({"ended": lost, "open": ~lost, "outcome": F.when(lost & (F.col("outcome") != "size_blocked"), "refinement_failed").otherwise(F.col("outcome"))})
-        now = settle(now.where("not open").unionByName(new.select(*now.columns)))
+        closed.append(now.where("not open"))
+        now = settle(new.select(*now.columns))
 
-    now = settle(now.withColumn("ambiguous", ~F.col("ended") & drops(F.col("tried"))))
+    for done in closed:
+        now = done.unionByName(now)
+    now = now.withColumn("ambiguous", ~F.col("ended") & drops(F.col("tried")))
     point = F.array_min(F.transform("tried", lambda t, i: F.struct(F.abs(t["quality"] - F.col("target")).alias("d"), i.alias("i"), t["rate"].alias("rate"))))
-    odd = now.where("ambiguous").select(key, point["rate"].alias("rate"))
-    repeat = over_windows(windows.join(odd, key, "left_semi"), sources, key, measure, "again", settle)(settle(odd))
+    odd = now.where("ambiguous").select(key, point["rate"].alias("rate"), MARKS, "duration", "audio")
+    repeat = over_windows(key, measure, "again")(odd)
     repeat = repeat.select(key, F.struct(*FIELDS).cast(TRIED[6:-1]).alias("candidate"))
     odd_rows = now.where("ambiguous").join(repeat, key, "left").withColumn("tried", replaced(F.col("tried"), F.col("candidate"))).drop("candidate")
     out = now.where("not ambiguous").unionByName(reselected(odd_rows, margin).select(*now.columns))

@@ -103,11 +103,17 @@ def line_windows(lineitem: DataFrame) -> tuple[DataFrame, DataFrame]:
     return windows, sources
 
 
+#: Lines that a bucket of sources holds.
+ROWS_A_BUCKET = 300_000
+
+
 def verified_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order's lines are searched,
     verified and measured as the rounds ask for them."""
-    tables = Tables()
-    windows, sources = (tables(df) for df in line_windows(table(spark, sf_dir, "lineitem")))
+    lineitem = table(spark, sf_dir, "lineitem")
+    buckets = max(2 * spark.sparkContext.defaultParallelism, lineitem.count() // ROWS_A_BUCKET)
+    tables = Tables("source", buckets)
+    windows, sources = line_windows(lineitem.repartition(buckets, "l_orderkey"))
     return tables.last(rounds.verified(sources, windows, "source", measured_lines, tables))
 
 

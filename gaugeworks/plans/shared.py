@@ -38,21 +38,35 @@ def settled(df: DataFrame) -> DataFrame:
 
 class Tables:
     """``settled`` that remembers its tables, so that a query can delete those that its
-    result does not read."""
+    result does not read.  With ``key`` they are kept in ``buckets`` by it, so that what is
+    joined or grouped by the key is not shuffled again."""
 
-    def __init__(self) -> None:
-        self.held: list[DataFrame] = []
+    def __init__(self, key: str | None = None, buckets: int = 1) -> None:
+        self.held: list[tuple[SparkSession, str, str | None]] = []
+        self.key, self.buckets = key, buckets
 
     def __call__(self, df: DataFrame) -> DataFrame:
-        self.held.append(settled(df))
-        return self.held[-1]
+        if self.key is None:
+            out = settled(df)
+            self.held.append((df.sparkSession, out.written_to, None))
+            return out
+        spark, name = df.sparkSession, f"settled_{uuid.uuid4().hex[:12]}"
+        path = f"{shared_folder(spark)}/{name}"
+        self.held.append((spark, path, name))
+        dealt = df.repartition(self.buckets, self.key)  # left out by Spark where rows lie so already
+        dealt.write.bucketBy(self.buckets, self.key).option("compression", "zstd").option("path", path).saveAsTable(name)
+        out = spark.table(name)
+        out = out.hint("broadcast" if out.count() <= BROADCAST_ROWS else "merge")
+        out.written_to = path
+        return out
 
     def last(self, df: DataFrame) -> DataFrame:
         """``df`` as a table of its own; all others are deleted."""
         out = settled(df)
-        for table in self.held:
-            spark = table.sparkSession
-            folder = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        for spark, path, name in self.held:
+            if name:
+                spark.sql(f"drop table if exists {name}")
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
         self.held = []
         return out

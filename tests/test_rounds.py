@@ -257,3 +257,19 @@ def test_settled_tables_are_broadcast_by_their_rows(spark, monkeypatch):
         assert "Broadcast" not in plan(many.join(many.where("id % 2 = 0").select("id"), "id", kind))
         assert "BroadcastHashJoin" in plan(many.join(few, "id", kind))
     assert many.join(few, "id").count() == 50 and many.join(many.where("id % 2 = 0"), "id", "left_anti").count() == 2500
+
+
+def test_tables_in_buckets_meet_without_a_shuffle(spark):
+    """Steps between measurements move no row: tables lie in buckets by the key."""
+    from gaugeworks.plans.shared import Tables
+
+    tables = Tables("k", 3)
+    left, right = (tables(spark.range(30_000).selectExpr("id % 25000 k", f"id {c}", f"array(id) x{c}")) for c in "ab")
+    per = right.groupBy("k").agg(F.max("b").alias("b"))
+    joined = left.join(per, "k", "left")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    again = tables(joined)
+    assert again.count() == 30_000 and len(again.inputFiles()) == 3
+    names = [name for _, _, name in tables.held]
+    assert tables.last(again).count() == 30_000 and not any(map(spark.catalog.tableExists, names))
